@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow``, with this package's place on the Python workers' path.
+
+    Workers import the package by name, so what a function caches in its module lasts from
+    task to task. On a cluster the package is installed or sent with --py-files; then the
+    added place is merely not there.
+    """
+    environment, here = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = environment.get("PYTHONPATH", "").split(":")
+    if here not in known:
+        environment["PYTHONPATH"] = ":".join([here, *filter(None, known)])
+    return df.mapInArrow(fn, schema)

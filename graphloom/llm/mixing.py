@@ -1,0 +1,95 @@
+"""Mixing sources to target weights by a low-discrepancy schedule.
+
+Sources get targets from their weights and sizes. The mix is a sequence of slots of equal
+numbers of words: slot k's golden-ratio point is mapped through the cumulative targets to a
+source, slots are ranked within their source, and rank r takes block r of the source's
+shuffled documents. A source that the schedule gives too many slots drops its last ones; one
+short of slots gets them after the others; the last block is cut to the target. So every
+source gives its target to the word, whatever the sizes.
+
+Running sums are taken in two steps (sums of buckets, then inside a bucket), so no task gets
+all rows of a source.
+
+Defined cases: null text has size 0, is listed and never taken; null is a source of its own
+and comes last; repeated rows are told apart by their place in their bucket only, and each
+counts; empty tables give empty results; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import materialise, n_words, read
+
+WEIGHTS = (5, 2, 1)
+SHARE = 1.5
+MOST = 2
+#: Slots in a mix: so many, unless blocks would then pass MOST_WORDS words.
+SLOTS = 65_536
+MOST_WORDS = 4_096
+#: The golden ratio's fraction as a 32-bit multiplier: k * GOLDEN mod 2^32 fills the line evenly.
+GOLDEN = 2_654_435_769
+#: Rows of a bucket, about.
+BUCKET_ROWS = 20_000
+
+
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """(source, source_size, target, ...) by source; ``sizes`` has source and size.
+
+    Targets share ``share`` of all words by weight; none passes ``most`` times its source's
+    size. With sources in order of cap per weight, those before a place are capped and the
+    rest share what is left, which is the fixed point of resharing. One row a source.
+    """
+    per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    everything = Window.partitionBy(F.lit(0))
+    by_source = everything.orderBy(F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_source) - 1, F.lit(len(weights))) + 1).cast("int"))
+    per = per.withColumn("weight", weight.cast("double")).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
+    full_first = everything.orderBy((F.col("_cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
+    before, onward = full_first.rowsBetween(Window.unboundedPreceding, -1), full_first.rowsBetween(0, Window.unboundedFollowing)
+    left = F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
+    per = per.withColumn("_level", left / F.sum("weight").over(onward))
+    # The level of the first source whose cap stands above it holds for all after it.
+    level = F.first(F.when(F.col("_cap") >= F.col("_level") * F.col("weight"), F.col("_level")), ignorenulls=True)
+    per = per.withColumn("_water", level.over(full_first.rowsBetween(Window.unboundedPreceding, 0)))
+    target = F.when(F.col("_water").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_water") * F.col("weight")))
+    return per.select("source", "source_size", "weight", target.alias("target"))
+
+
+def _shuffle_key(doc_id: Column) -> Column:
+    """60 bits of a digest of the id: the order of a source's documents."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def places(sized: DataFrame) -> DataFrame:
+    """``sized`` (source, size, _key, ...) with ``at``: words of its source's shuffled documents before it."""
+    n = sized.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    buckets = max(1, -(-n // BUCKET_ROWS)) * 8
+    sized = sized.withColumn("_bucket", (F.col("_key") / ((1 << 60) / buckets)).cast("long"))
+    totals = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
+    order = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.struct("source", "_bucket").alias("_b"), F.coalesce(F.sum("_words").over(order), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    out = sized.withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    same = F.struct(out["source"], out["_bucket"]).eqNullSafe(totals["_b"])
+    return out.join(totals, same).withColumn("at", (F.col("_at") + F.col("_from")).cast("long")).drop("_at", "_from", "_b", "_bucket")
+
+
+def block_words(total: float) -> int:
+    """Words of a block for a mix of ``total`` words."""
+    return int(max(1, min(MOST_WORDS, total // SLOTS)))
+
+
+def schedule(goals: DataFrame, block: int) -> DataFrame:
+    """(slot, source, rank): which block of which source fills each slot of the mix."""
+    spark = goals.sparkSession
+    by_source = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
+    whole = Window.partitionBy(F.lit(0))
+    share = F.col("target") / F.sum("target").over(whole)
+    goals = goals.filter("target >= 0.5").withColumn("_to", F.sum(share).over(by_source.rowsBetween(Window.unboundedPreceding, 0)) if False else F.sum("target").over(by_source.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(whole))
+    goals = goals.withColumn("_low", F.coalesce(F.lag("_to").over(by_source), F.lit(0.0))).withColumn("_n", F.ceil(F.round("target") / block))
+    goals = goals.withColumn("_last", F.lead("_to").over(by_source).isNull())
+    total = goals.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("t")).first()["t"]
+    slots = int(-(-total // block))
+    return goals, slots

@@ -1,0 +1,183 @@
+"""Secret scans: pattern spans, and literals assigned to sensitive names.
+
+The lexer finds assignments of source and configuration syntax (``name = literal``,
+``"name": 'literal'``, ``name: bareword``, ``name := a + b``), keeps the constants of the
+text, follows names through them, and scores the literals that reach a name by how
+sensitive that name is and how random the literal looks.
+
+Defined cases: null text is empty and has no spans; repeated rows give repeated results;
+spans are code points, end exclusive, in order of start and then kind; ``scan`` reads its
+id and text columns only.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from graphloom.llm.common import map_batches, read
+
+KINDS = ("assign", "access", "hex", "lexed")
+BASE = KINDS[:3]
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
+HEX = re.compile(r"[0-9a-f]{16,}")
+
+#: Words of a name and how sensitive they make it.
+SENSITIVE = {
+    "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0,
+    "credential": 2.5, "credentials": 2.5, "auth": 1.5, "authorization": 1.5, "bearer": 2.0, "signature": 1.0,
+    "private": 1.5, "access": 1.0, "api": 1.0, "key": 1.5, "client": 0.5, "session": 1.0, "encryption": 1.5, "salt": 1.0,
+}
+#: Least sensitivity of a name, and least score of name and literal together.
+MIN_NAME, MIN_SCORE = 2.0, 5.0
+MIN_LITERAL = 8
+#: Literals that stand for a secret given elsewhere.
+PLACEHOLDER = re.compile(r"(?i)\A(?:\$\{.*|<.*>|\{\{.*|%\(.*|x{4,}|\*{4,}|your[-_ ].*|change[-_ ]?me.*|example.*|placeholder.*|none|null|true|false|undefined|redacted.*|process\.env.*|os\.environ.*)\Z")
+
+_OPERATOR = re.compile(r":=|=>|[:=]")
+_NAME = re.compile(r"""(?:([A-Za-z_][A-Za-z0-9_.-]*)|"([A-Za-z_][A-Za-z0-9_. -]*)"|'([A-Za-z_][A-Za-z0-9_. -]*)')[ \t]*\Z""")
+_TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_$+/.~@!%^&*=-]+))""")
+_PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'A-Za-z_])")
+#: Longest name looked at, with its quotes and the blanks after it.
+NAME_CHARS = 128
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+
+Literal = tuple[str, int, int]
+
+
+def sensitivity(name: str) -> float:
+    """How sensitive a name is: the sum over its distinct words."""
+    parts = {p.lower() for p in _PARTS.findall(name)}
+    return sum(SENSITIVE.get(p, 0.0) for p in parts)
+
+
+def entropy(s: str) -> float:
+    """Bits per character of a string's own distribution of characters."""
+    n = len(s)
+    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
+
+
+def literal_score(s: str) -> float:
+    """0 for short literals, placeholders and plain words; more for long mixed ones."""
+    if len(s) < MIN_LITERAL or PLACEHOLDER.match(s) or s.isalpha():
+        return 0.0
+    classes = sum(bool(re.search(c, s)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(entropy(s), 4.0) + 0.5 * (classes - 1) + (0.5 if len(s) >= 20 else 0.0)
+
+
+def pairs(text: str) -> list[tuple[str, list[Literal | str]]]:
+    """Assignments in order: (name, terms); a term is a literal with its place, or a name."""
+    found, done = [], 0
+    for op in _OPERATOR.finditer(text):
+        if op.start() < done or text[op.start() - 1 : op.start()] in ("=", "!", "<", ">", ":") or text[op.end() : op.end() + 1] in ("=", "/"):
+            continue
+        name = _NAME.search(text, max(0, op.start() - NAME_CHARS), op.start())
+        if not name:
+            continue
+        terms: list[Literal | str] = []
+        at = op.end()
+        while term := _TERM.match(text, at):
+            group = term.lastindex
+            value = term[group]
+            terms.append(value if group == 3 and re.fullmatch("[A-Za-z_][A-Za-z0-9_.]*", value) else (value, *term.span(group)))
+            at = term.end()
+            if not (plus := _PLUS.match(text, at)):
+                break
+            at = plus.end()
+        if terms:
+            found.append(((name[1] or name[2] or name[3]).strip(), terms))
+            done = at if isinstance(terms[0], tuple) and text[at - 1] in "\"'" else op.end()
+    return found
+
+
+def lexed(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, score) of every literal that reaches a sensitive name."""
+    constants: dict[str, list[Literal]] = {}
+    hits: dict[tuple[int, int], float] = {}
+    for name, terms in pairs(text):
+        value: list[Literal] = []
+        for t in terms:
+            # A name stands for the constant it was last given; a bareword that names none is itself the literal's text.
+            value += constants.get(t, []) if isinstance(t, str) else [t]
+        constants[name] = value[:64]
+        if (weight := sensitivity(name)) >= MIN_NAME and value:
+            score = weight + literal_score("".join(v[0] for v in value))
+            if score >= MIN_SCORE + (weight - MIN_NAME) * 0.5 and literal_score("".join(v[0] for v in value)) > 0:
+                for _, start, end in value:
+                    if end > start:
+                        hits[start, end] = max(score, hits.get((start, end), 0.0))
+    return [(a, b, s) for (a, b), s in hits.items()]
+
+
+def spans(text: str) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, score) of a text, by start and then kind; pattern spans score 1."""
+    out = [("assign", *m.span(), 1.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [("access", *m.span(), 1.0) for m in ACCESS.finditer(text)]
+    out += [("hex", *m.span(), 1.0) for m in HEX.finditer(text)]
+    out += [("lexed", *x) for x in lexed(text)]
+    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+
+SPANS = T.ArrayType(
+    T.StructType(
+        [T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]
+    )
+)
+_ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+
+
+def scan(docs: DataFrame, text_col: str = "text", to: str = "spans") -> DataFrame:
+    """``docs`` with ``to``: the spans of each row's whole text."""
+    docs = docs.drop(to) if to != text_col else docs
+    schema = T.StructType([*docs.schema, T.StructField(to, SPANS)])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ("kind", "start", "end", "score")
+        for b in batches:
+            found = [[dict(zip(keys, s, strict=True)) for s in spans(t or "")] for t in b.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _ARROW_SPANS)], names=[*b.schema.names, to])
+
+    return map_batches(docs, find, schema)
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every found span of its text replaced by ``mark``; touching spans share one."""
+    schema = docs.schema
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = schema.names.index(text_col)
+        for b in batches:
+            texts = pa.array([t and redacted(t, mark) for t in b.column(at).to_pylist()], b.schema.types[at])
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], texts, *b.columns[at + 1 :]], names=b.schema.names)
+
+    return map_batches(docs, clear, schema)
+
+
+def redacted(text: str, mark: str) -> str:
+    """``text`` with its spans replaced."""
+    out, at = [], 0
+    for _, start, end, _ in spans(text):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def _digest(found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of every document."""
+    found = scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *map(of, BASE), F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"), of("lexed"))
