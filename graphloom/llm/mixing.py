@@ -10,9 +10,9 @@ source gives its target to the word, whatever the sizes.
 Running sums are taken in two steps (sums of buckets, then inside a bucket), so no task gets
 all rows of a source.
 
-Defined cases: null text has size 0, is listed and never taken; null is a source of its own
-and comes last; repeated rows are told apart by their place in their bucket only, and each
-counts; empty tables give empty results; extra columns are ignored.
+Defined cases: a null or empty text has size 0, is listed and never taken; null is a source
+of its own and comes last; repeated rows each count and are told apart by ``_row``; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ SHARE = 1.5
 MOST = 2
 #: Slots in a mix: so many, unless blocks would then pass MOST_WORDS words.
 SLOTS = 65_536
-MOST_WORDS = 4_096
+MOST_WORDS = 1_048_576
 #: The golden ratio's fraction as a 32-bit multiplier: k * GOLDEN mod 2^32 fills the line evenly.
 GOLDEN = 2_654_435_769
-#: Rows of a bucket, about.
-BUCKET_ROWS = 20_000
+#: Rows of a bucket of a running sum, about, and the least number of buckets.
+BUCKET_ROWS, MIN_BUCKETS = 20_000, 16
+#: Cells of the unit line in which points and sources meet.
+CELLS = 4_096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -57,23 +59,48 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _shuffle_key(doc_id: Column) -> Column:
-    """60 bits of a digest of the id: the order of a source's documents."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def source_key(source: Column) -> Column:
+    """A text for each source, null too, to join on."""
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
 
 
-def places(sized: DataFrame) -> DataFrame:
-    """``sized`` (source, size, _key, ...) with ``at``: words of its source's shuffled documents before it."""
-    n = sized.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    buckets = max(1, -(-n // BUCKET_ROWS)) * 8
-    sized = sized.withColumn("_bucket", (F.col("_key") / ((1 << 60) / buckets)).cast("long"))
-    totals = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    order = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.struct("source", "_bucket").alias("_b"), F.coalesce(F.sum("_words").over(order), F.lit(0)).alias("_from"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = sized.withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    same = F.struct(out["source"], out["_bucket"]).eqNullSafe(totals["_b"])
-    return out.join(totals, same).withColumn("at", (F.col("_at") + F.col("_from")).cast("long")).drop("_at", "_from", "_b", "_bucket")
+def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(_row, doc_id, source, size, _key) of every row, written once: all later steps read it.
+
+    ``_key``: 60 bits of a digest of the id, the order of a source's documents.
+    """
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("_row"),
+        "doc_id",
+        "source",
+        n_words(F.col(text_col)).alias("size"),
+        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("_key"),
+    )
+    return materialise(rows, "sized")
+
+
+def running(df: DataFrame, bucket: Column, order: list[str], value: Column, to: str) -> DataFrame:
+    """``df`` with ``to``: the sum of ``value`` over the rows of its source before it.
+
+    Rows go by bucket, then by ``order``; a task holds one bucket of one source.
+    """
+    df = df.withColumn("_skey", source_key(F.col("source"))).withColumn("_bucket", bucket).withColumn("_value", value)
+    totals = df.groupBy("_skey", "_bucket").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy("_skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_skey", "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy("_skey", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_at", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    df = df.join(totals, ["_skey", "_bucket"])
+    return df.withColumn(to, (F.col("_at") + F.col("_from")).cast("long")).drop("_skey", "_bucket", "_value", "_at", "_from")
+
+
+def places(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``sized`` with ``at``: words of the source's shuffled documents before each."""
+    n = rows.count()
+    buckets = max(MIN_BUCKETS, -(-n // BUCKET_ROWS))
+    bucket = (F.col("_key") / float((1 << 60) // buckets)).cast("long")
+    return running(rows, bucket, ["_key", "doc_id", "size", "_row"], F.col("size"), "at")
 
 
 def block_words(total: float) -> int:
@@ -81,15 +108,91 @@ def block_words(total: float) -> int:
     return int(max(1, min(MOST_WORDS, total // SLOTS)))
 
 
-def schedule(goals: DataFrame, block: int) -> DataFrame:
+def schedule(goals: DataFrame, block: int, slots: int) -> DataFrame:
     """(slot, source, rank): which block of which source fills each slot of the mix."""
-    spark = goals.sparkSession
-    by_source = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     whole = Window.partitionBy(F.lit(0))
-    share = F.col("target") / F.sum("target").over(whole)
-    goals = goals.filter("target >= 0.5").withColumn("_to", F.sum(share).over(by_source.rowsBetween(Window.unboundedPreceding, 0)) if False else F.sum("target").over(by_source.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(whole))
-    goals = goals.withColumn("_low", F.coalesce(F.lag("_to").over(by_source), F.lit(0.0))).withColumn("_n", F.ceil(F.round("target") / block))
-    goals = goals.withColumn("_last", F.lead("_to").over(by_source).isNull())
+    by_source = whole.orderBy(F.col("source").asc_nulls_last())
+    upto = F.sum("target").over(by_source.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(whole)
+    goals = (
+        goals.filter(F.round("target") >= 1)
+        .withColumn("_to", upto)
+        .withColumn("_low", F.coalesce(F.lag("_to").over(by_source), F.lit(0.0)))
+        .withColumn("_high", F.when(F.lead("_to").over(by_source).isNull(), F.lit(1.0)).otherwise(F.col("_to")))
+        .withColumn("_index", F.row_number().over(by_source).cast("long"))
+        .withColumn("_wanted", F.ceil(F.round("target") / block).cast("long"))
+    )
+    last_cell = F.least(F.floor(F.col("_high") * CELLS), F.lit(CELLS - 1))
+    cells = goals.select("source", "_low", "_high", F.explode(F.sequence(F.floor(F.col("_low") * CELLS), last_cell)).alias("_cell"))
+    point = F.pmod(F.col("id") * GOLDEN, F.lit(1 << 32)) / F.lit(float(1 << 32))
+    points = goals.sparkSession.range(slots).select(F.col("id").alias("slot"), point.alias("_point"))
+    points = points.withColumn("_cell", F.floor(F.col("_point") * CELLS))
+    hits = points.join(cells, "_cell").filter("_point >= _low AND _point < _high").select("slot", "source")
+    ranked = running(hits, F.floor(F.col("slot") / CELLS), ["slot"], F.lit(1), "rank").withColumn("_k", source_key(F.col("source")))
+    goals = goals.withColumn("_k", source_key(F.col("source")))
+    kept = ranked.join(goals.select("_k", "_wanted"), "_k").filter("rank < _wanted").select("slot", "source", "rank")
+    had = kept.groupBy(source_key(F.col("source")).alias("_k")).agg(F.count(F.lit(1)).alias("_had"))
+    short = goals.join(had, "_k", "left").withColumn("_had", F.coalesce("_had", F.lit(0))).filter("_had < _wanted")
+    sources = F.max("_index").over(whole)
+    extra = short.withColumn("_n", sources).select(
+        "source", "_index", "_had", "_n", F.explode(F.sequence("_had", F.col("_wanted") - 1)).alias("rank")
+    )
+    extra = extra.select((slots + (F.col("rank") - F.col("_had")) * F.col("_n") + F.col("_index") - 1).alias("slot"), "source", "rank")
+    return kept.unionByName(extra)
+
+
+def mix(rows: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
+    """(slot, _row, pass, from_word, to_word): the mix, in order of slot, pass, row.
+
+    A row says that a slot takes words [from_word, to_word) of a document on its pass-th use.
+    ``rows`` is what ``sized`` gave, ``goals`` what ``targets`` gave.
+    """
     total = goals.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("t")).first()["t"]
+    block = block_words(total)
     slots = int(-(-total // block))
-    return goals, slots
+    placed = places(rows.filter("size > 0")).withColumn("_k", source_key(F.col("source")))
+    per = goals.select(source_key(F.col("source")).alias("_k"), "source_size", F.round("target").cast("long").alias("_goal"))
+    placed = placed.join(per, "_k").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    placed = placed.withColumn("_lo", F.col("at") + F.col("pass") * F.col("source_size"))
+    placed = placed.withColumn("_hi", F.least(F.col("_lo") + F.col("size"), F.col("_goal"))).filter("_lo < _hi")
+    blocks = F.sequence(F.floor(F.col("_lo") / block), F.floor((F.col("_hi") - 1) / block))
+    pieces = placed.withColumn("rank", F.explode(blocks))
+    plan = schedule(goals, block, slots).withColumn("_k", source_key(F.col("source"))).drop("source")
+    start = F.greatest(F.col("_lo"), F.col("rank") * block) - F.col("_lo")
+    end = F.least(F.col("_hi"), (F.col("rank") + 1) * block) - F.col("_lo")
+    return pieces.join(plan, ["_k", "rank"]).select("slot", "_row", "pass", start.alias("from_word"), end.alias("to_word"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    rows = sized(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    goals = materialise(targets(rows), "targets")
+    taken = mix(rows, goals).groupBy("_row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    per = goals.select(source_key(F.col("source")).alias("_k"), "source_size", "target")
+    out = rows.withColumn("_k", source_key(F.col("source"))).join(per, "_k").join(taken, "_row", "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
+    substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS k FROM documents),
+p AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap,
+    [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
+l AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM p),
+h AS (
+  SELECT *, min(lev) FILTER (cap >= lev * w) OVER () AS water FROM l),
+t AS (
+  SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * w) END AS target FROM h),
+a AS (
+  SELECT d.*, t.source_size, t.target, round(t.target)::BIGINT AS goal,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(pos + size, goal) - pos) + greatest(0, least(pos + source_size + size, goal) - pos - source_size))::BIGINT AS taken
+FROM a
+"""

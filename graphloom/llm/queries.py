@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.llm import quality
+from graphloom.llm import bpe, chat, mixing, quality, secrets
 
 
 def queries() -> dict[str, Callable]:
-    return {"op5_quality_rules": quality.op5_quality_rules}
+    return {
+        "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op2_chat_format": chat.op2_chat_format,
+        "op4_secret_scan": secrets.op4_secret_scan,
+        "op5_quality_rules": quality.op5_quality_rules,
+        "op10_mix_sources": mixing.op10_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": chat.OP2_SQL, "op10_mix_sources": mixing.OP10_SQL}
