@@ -183,9 +183,10 @@ p AS (
 l AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST
-    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM p),
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev,
+    row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS rn FROM p),
 h AS (
-  SELECT *, min(lev) FILTER (cap >= lev * w) OVER () AS water FROM l),
+  SELECT *, arg_min(lev, rn) FILTER (cap >= lev * w) OVER () AS water FROM l),
 t AS (
   SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * w) END AS target FROM h),
 a AS (
