@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm import tiles
 from graphloom.llm.common import map_batches, materialise, read
@@ -34,8 +35,7 @@ THRESHOLD = 0.93
 BLOCK_ITEMS = 1_024
 #: Vectors of the sample that gives the axes.
 SAMPLE = 4_096
-#: Leading axes that cells are cut along, and dimensions after which a tile tests its bound.
-CELL_AXES = 2
+#: Leading dimensions after which a tile tests its bound.
 STEPS = (8, 16, 32)
 #: Slack for rounding in bounds; the last test has none.
 SLACK = 1e-9
@@ -69,11 +69,10 @@ def _turned(unit: np.ndarray, turn: dict[int, np.ndarray]) -> np.ndarray:
 
 
 def with_cells(vectors: DataFrame, turn: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """``vectors`` (node, copies, label, embedding) with ``cells``: the cell on each of the first axes."""
+    """``vectors`` (node, copies, label, embedding) with c1 and c2: the cell on each of the first two axes."""
     width = math.sqrt(2 - 2 * threshold) + SLACK
-    schema = vectors.schema.add("cells", "string").add("c1", "long").add("c2", "long")
-    names = [f for f in schema.names if f != "cells"]
-    schema = type(schema)([f for f in schema.fields if f.name != "cells"])
+    schema = T.StructType([*vectors.schema, T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType())])
+    names = schema.names
 
     def place(batches):
         for b in batches:

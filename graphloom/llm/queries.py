@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.llm import bpe, chat, mixing, quality, secrets
+from graphloom.llm import bpe, chat, jaccard, langid, mixing, neighbours, quality, secrets
 
 
 def queries() -> dict[str, Callable]:
@@ -13,9 +13,17 @@ def queries() -> dict[str, Callable]:
         "op2_chat_format": chat.op2_chat_format,
         "op4_secret_scan": secrets.op4_secret_scan,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_language_id": langid.op6_language_id,
+        "op7_embedding_near_dedup": neighbours.op7_embedding_near_dedup,
+        "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.OP2_SQL, "op10_mix_sources": mixing.OP10_SQL}
+    return {
+        "op2_chat_format": chat.OP2_SQL,
+        "op7_embedding_near_dedup": neighbours.OP7_SQL,
+        "op9_ngram_jaccard": jaccard.OP9_SQL,
+        "op10_mix_sources": mixing.OP10_SQL,
+    }
