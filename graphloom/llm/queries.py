@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.llm import bpe, chat, jaccard, langid, mixing, neighbours, quality, secrets
+from graphloom.llm import bpe, chat, jaccard, langid, lm, mixing, neighbours, quality, secrets
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_chat_format": chat.op2_chat_format,
+        "op3_lattice_lm": lm.op3_lattice_lm,
         "op4_secret_scan": secrets.op4_secret_scan,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_language_id": langid.op6_language_id,
