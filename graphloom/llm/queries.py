@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.llm import bpe, chat, jaccard, langid, lm, mixing, neighbours, quality, secrets
+from graphloom.llm import bpe, chat, jaccard, langid, licenses, lm, mixing, neighbours, quality, secrets
 
 
 def queries() -> dict[str, Callable]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable]:
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_language_id": langid.op6_language_id,
         "op7_embedding_near_dedup": neighbours.op7_embedding_near_dedup,
+        "op8_license_scan": licenses.op8_license_scan,
         "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
@@ -25,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": chat.OP2_SQL,
         "op7_embedding_near_dedup": neighbours.OP7_SQL,
+        "op8_license_scan": licenses.op8_license_scan,
         "op9_ngram_jaccard": jaccard.OP9_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
     }
