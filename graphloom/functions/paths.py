@@ -1,0 +1,101 @@
+"""Columns over paths, patterns, ids and addresses."""
+
+from __future__ import annotations
+
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: What each mark of a pattern stands for. A star crosses slashes.
+_GLOB = ((r"\*+", ".*"), (r"\?", "."))
+
+
+def is_glob(pattern: Column) -> Column:
+    return pattern.rlike(r"[*?\[]")
+
+
+def usable_pattern(pattern: Column) -> Column:
+    """False for absolute patterns and those that go up."""
+    return ~pattern.startswith("/") & ~pattern.rlike(r"(?:\A|/)\.\.(?:/|\z)")
+
+
+def glob_regex(pattern: Column) -> Column:
+    """The regular expression of a pattern of ``*``, ``?`` and ``[..]`` (``[!..]``: none of)."""
+    out = F.regexp_replace(pattern, r"([.+^$(){}|\\])", r"\\$1")
+    for mark, rx in _GLOB:
+        out = F.regexp_replace(out, mark, rx)
+    return F.concat(F.lit(r"\A"), F.replace(out, F.lit("[!"), F.lit("[^")), F.lit(r"\z"))
+
+
+def matches_any(path: Column, patterns: list[str]) -> Column:
+    """True if one of the given patterns matches."""
+    return reduce(or_, [F.regexp_like(path, glob_regex(F.lit(p))) if any(c in p for c in "*?[") else path == p for p in patterns], F.lit(False))
+
+
+def included(path: Column, include: list[str], exclude: list[str]) -> Column:
+    """Exclusion wins; an empty list of inclusions includes all."""
+    return ~matches_any(path, exclude) & (matches_any(path, include) if include else F.lit(True))
+
+
+def within(path: Column, directory: Column) -> Column:
+    """True for the directory itself and all under it."""
+    return (path == directory) | path.startswith(F.concat(directory, F.lit("/")))
+
+
+def normalise_path(path: Column) -> Column:
+    """Without leading ``./``, repeated or closing slashes; other oddities stay."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"/{2,}", "/"), r"\A(?:\./)+", ""), r"(?<=.)/\z", "")
+
+
+def target_id(package: Column, name: Column) -> Column:
+    """``package/name``, or the name at the root."""
+    return F.concat_ws("/", F.nullif(package, F.lit("")), name)
+
+
+def parent(path: Column) -> Column:
+    return F.regexp_extract(path, r"\A(.*)/[^/]*\z", 1)
+
+
+def basename(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def relative_reference(package: Column, ref: Column) -> Column:
+    """The id that a reference names from a package: ``./x``, ``../x`` or ``a/b``; null if malformed."""
+    bad = ref.contains(":") | ref.contains("//") | ref.startswith("/") | (ref == "")
+    ups = F.size(F.regexp_extract_all(F.regexp_extract(ref, r"\A((?:\.\./)+)", 1), F.lit(r"\.\./"), F.lit(0)))
+    parts = F.filter(F.split(package, "/"), lambda p: p != "")
+    up = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - ups, F.lit(0))), "/")
+    rest = F.regexp_replace(ref, r"\A(?:\.\./)+", "")
+    relative = F.when(ups > F.size(parts), F.lit(None)).otherwise(target_id(up, rest))
+    here = target_id(package, F.regexp_replace(ref, r"\A\./", ""))
+    return F.when(bad, F.lit(None)).when(ref.startswith("../"), relative).when(ref.startswith("./"), here).otherwise(ref)
+
+
+def file_uri_path(uri: Column) -> Column:
+    """The path of a file URI, or of a plain path: slashes forward, percent codes decoded."""
+    plain = F.replace(F.regexp_replace(uri, r"\Afile://(?:localhost)?/?", ""), F.lit("\\"), F.lit("/"))
+    return F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
+
+
+def area(path: Column) -> Column:
+    """The area a changed path belongs to; null for paths that aren't tracked."""
+    return (
+        F.when(within(path, F.lit(".git")), F.lit(None)).when(within(path, F.lit(".cache/out")), "output")
+        .when(within(path, F.lit(".cache")), F.lit(None)).otherwise("source")
+    )
+
+
+def is_public_ipv4(address: Column) -> Column:
+    """False for private, loopback, link-local, shared, reserved and malformed addresses."""
+    part = lambda i: F.regexp_extract(address, r"\A(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\z", i).try_cast("int")
+    a, b, c, d = (part(i) for i in (1, 2, 3, 4))
+    bad = (
+        a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
+        | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19))
+        | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+    )
+    whole = a.between(0, 255) & b.between(0, 255) & c.between(0, 255) & d.between(0, 255)
+    return F.coalesce(whole & ~bad, F.lit(False))

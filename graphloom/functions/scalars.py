@@ -1,0 +1,97 @@
+"""Columns over sizes, states, digests, names and text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_POWERS = {"": 1, "b": 1}
+for _i, _u in enumerate("kmgt", start=1):
+    _POWERS |= {_u: 1024**_i, f"{_u}ib": 1024**_i, f"{_u}b": 1000**_i}
+SEVERITIES = ("none", "note", "warning", "error")
+
+
+def parse_size(text: Column) -> Column:
+    """Bytes of ``10``, ``2GiB``, ``3kb``: one letter and ``iB`` are binary, ``kB`` decimal; null if malformed."""
+    t = F.lower(F.trim(text))
+    number = F.regexp_extract(t, r"\A(\d+) *([a-z]*)\z", 1).try_cast("long")
+    unit = F.regexp_extract(t, r"\A(\d+) *([a-z]*)\z", 2)
+    times = F.create_map(*[F.lit(x) for pair in _POWERS.items() for x in pair])
+    return number * F.element_at(times.cast("map<string,bigint>"), unit)
+
+
+def status_of(exit_code: Column) -> Column:
+    return F.when(exit_code == 0, "passed").otherwise("failed")
+
+
+def severity_of_level(level: Column) -> Column:
+    """Severity of a report's level; unknown and missing ones are warnings."""
+    return F.when(level.isin(*SEVERITIES), level).otherwise("warning")
+
+
+def severity_rank(severity: Column) -> Column:
+    """0 for none to 3 for error; null for other texts."""
+    return (F.array_position(F.array(*map(F.lit, SEVERITIES)), severity) - 1).cast("int")
+
+
+def is_digest(text: Column) -> Column:
+    """True for 64 lower-case hex digits."""
+    return F.coalesce(text.rlike(r"\A[0-9a-f]{64}\z"), F.lit(False))
+
+
+def cursor(source: Column, line: Column) -> Column:
+    """A log line's place as text that sorts within its source."""
+    return F.format_string("%s:%012d", source, line)
+
+
+def stable_id(domain: str, *parts: Column) -> Column:
+    """Digest of a domain, a zero character and the parts as JSON."""
+    return F.sha2(F.concat(F.lit(domain), F.lit("\0"), F.to_json(F.struct(*parts))), 256)
+
+
+def length_prefixed(*parts: Column) -> Column:
+    """Parts joined so that no other parts give the same text: each follows its length."""
+    return F.concat(*[x for p in parts for x in (F.octet_length(p).cast("string"), F.lit(":"), p)])
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def first_branch(branches: Column, wanted: list[str]) -> Column:
+    """The value of the first token of ``wanted`` that a map of branches has, else ``default``, else null."""
+    return F.coalesce(*[F.element_at(branches, t) for t in [*wanted, "default"]])
+
+
+def arch(name: Column) -> Column:
+    """One name for each processor family."""
+    n = F.lower(name)
+    return F.when(n.isin("arm64", "aarch64"), "arm64").when(n.isin("amd64", "x64", "x86_64"), "x86_64").otherwise(n)
+
+
+def operating_system(name: Column) -> Column:
+    n = F.lower(name)
+    return F.when(n.isin("darwin", "macos", "osx"), "macos").when(n.isin("win32", "windows"), "windows").otherwise(n)
+
+
+def shell_quote(text: Column) -> Column:
+    """A text as one word of a POSIX shell."""
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
+def cut_bytes(text: Column, most: int) -> Column:
+    """(text, truncated): the first ``most`` bytes as text; a cut character at the end goes."""
+    head = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))
+    truncated = F.octet_length(text) > most
+    return F.struct(F.when(truncated, F.regexp_replace(head, "\ufffd+\\z", "")).otherwise(text).alias("text"), truncated.alias("truncated"))
+
+
+def workers(batches: Column, most: int) -> Column:
+    """Workers for so many batches: at least 1, at most ``most``."""
+    return F.greatest(F.lit(1), F.least(batches, F.lit(most)))
+
+
+def human_row(*columns: Column) -> Column:
+    """Values joined by `` | ``; null is written so."""
+    return F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns])

@@ -1,0 +1,81 @@
+"""Test results and lint findings: merging, counting, flattening."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from graphloom.functions.paths import file_uri_path
+from graphloom.functions.scalars import severity_of_level, severity_rank
+
+SKIPPED = ("skipped", "pending", "todo", "disabled")
+
+#: Fixed shape of a SARIF report, as far as findings need it.
+SARIF = """runs array<struct<
+  tool struct<driver struct<name string, rules array<struct<id string, helpUri string>>>>,
+  results array<struct<ruleId string, level string, message struct<text string>, locations array<struct<
+    physicalLocation struct<artifactLocation struct<uri string>, region struct<startLine bigint, startColumn bigint>>>>>>>>"""
+
+
+def counters(cases: DataFrame, key: str) -> DataFrame:
+    """Counts by key: a flaky case counts as passed and as flaky; an unknown status as failed."""
+    skipped, passed = F.col("status").isin(*SKIPPED), F.col("status").isin("passed", "flaky")
+    return cases.groupBy(key).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(passed).alias("passed"),
+        F.count_if(F.coalesce(~passed & ~skipped, F.lit(True))).alias("failed"),
+        F.count_if(skipped).alias("skipped"),
+        F.count_if(F.col("status") == "flaky").alias("flaky"),
+    )
+
+
+def merge_cases(cases: DataFrame) -> DataFrame:
+    """The last batch's row of each (target, case_id); within a batch the last position."""
+    w = Window.partitionBy("target", "case_id").orderBy(F.col("batch").desc(), F.col("position").desc(), F.col("status").desc())
+    return cases.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def with_missing(cases: DataFrame, planned: DataFrame) -> DataFrame:
+    """``cases`` plus a ``missing`` case for each planned (target, case_id) that has none."""
+    absent = planned.select("target", "case_id").distinct().join(cases.select("target", "case_id"), ["target", "case_id"], "left_anti")
+    return cases.select("target", "case_id", "status").unionAll(absent.withColumn("status", F.lit("missing")))
+
+
+def all_passed(cases: DataFrame, key: str) -> DataFrame:
+    """(key, all_passed): true if no case failed."""
+    return cases.groupBy(key).agg(F.bool_and(F.col("status").isin("passed", "flaky", *SKIPPED)).alias("all_passed"))
+
+
+def missing_units(requested: DataFrame, cases: DataFrame) -> DataFrame:
+    """Requested (target, case_id) that no case answers."""
+    return requested.select("target", "case_id").distinct().join(cases.select("target", "case_id"), ["target", "case_id"], "left_anti")
+
+
+def sarif_findings(reports: DataFrame, json_col: str = "report") -> DataFrame:
+    """(tool, rule_id, severity, message, path, line, column, help_uri) of every result of SARIF reports."""
+    runs = reports.select(F.explode(F.from_json(json_col, SARIF)["runs"]).alias("run"))
+    each = runs.select(F.col("run.tool.driver").alias("d"), F.explode("run.results").alias("r"))
+    help_uri = F.filter(F.coalesce("d.rules", F.array()), lambda x: x["id"] == F.col("r.ruleId"))
+    place = F.get(F.col("r.locations"), F.lit(0))["physicalLocation"]
+    return each.select(
+        F.col("d.name").alias("tool"),
+        F.col("r.ruleId").alias("rule_id"),
+        severity_of_level(F.col("r.level")).alias("severity"),
+        F.col("r.message.text").alias("message"),
+        file_uri_path(place["artifactLocation"]["uri"]).alias("path"),
+        place["region"]["startLine"].alias("line"),
+        place["region"]["startColumn"].alias("column"),
+        F.get(help_uri, F.lit(0))["helpUri"].alias("help_uri"),
+    )
+
+
+def lint_summary(findings: DataFrame) -> DataFrame:
+    """One row: findings in all and by severity; those of severity none count in all only."""
+    each = [F.count_if(F.col("severity") == s).alias(f"{s}s") for s in ("note", "warning", "error")]
+    return findings.agg(F.count(F.lit(1)).alias("total"), *each)
+
+
+def fails_at(findings: DataFrame, key: str, threshold: str) -> DataFrame:
+    """(key, fails): true if a finding is of the threshold's severity or worse."""
+    least = severity_rank(F.lit(threshold))
+    return findings.groupBy(key).agg(F.coalesce(F.max(severity_rank(F.col("severity"))) >= least, F.lit(False)).alias("fails"))

@@ -1,0 +1,87 @@
+"""Change-impact selection: paths to owners to dependents, with reasons; batches and plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.functions.paths import glob_regex, is_glob, normalise_path
+from graphloom.plans.fixpoint import reverse_closure
+
+
+def pattern_owners(changed: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(path, id): targets (id, pattern) with a declared pattern that a changed path matches.
+
+    Patterns without wildcards join by equality. Others join on their literal directory (the
+    part before the first wildcard, up to a slash) with the directories above the path, and
+    the rest is matched by regular expression, so no pattern meets unrelated paths.
+    """
+    changed = changed.select("path").distinct()
+    exact = patterns.filter(~is_glob(F.col("pattern"))).join(changed, F.col("pattern") == F.col("path")).select("path", "id")
+    globs = patterns.filter(is_glob(F.col("pattern")))
+    globs = globs.withColumn("_dir", F.regexp_extract("pattern", r"\A((?:[^*?\[/]*/)*)", 1)).withColumn("_rx", glob_regex(F.col("pattern")))
+    above = changed.withColumn("_dir", F.explode(directories(F.col("path"))))
+    matched = above.join(globs, "_dir").filter(F.regexp_like("path", F.col("_rx"))).select("path", "id")
+    return exact.unionAll(matched).distinct()
+
+
+def directories(path: Column) -> Column:
+    """Every directory above a path with its closing slash, and ''."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))))
+
+
+def nearest_packages(changed: DataFrame, targets: DataFrame) -> DataFrame:
+    """(path, package, id): targets of the deepest package that holds a path; all of them.
+
+    The root package '' holds files at the root only. Paths join their prefixes by equality.
+    """
+    packages = targets.select("package").distinct()
+    parts = F.split("path", "/")
+    # Every prefix may be a package, the path itself too; a path in a directory isn't at the root.
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    up = F.when(F.size(parts) == 1, F.concat(F.array(F.lit("")), up)).otherwise(up)
+    held = changed.select("path").distinct().withColumn("package", F.explode(up)).join(packages, "package")
+    best = held.groupBy("path").agg(F.max_by("package", F.length("package")).alias("package"))
+    return best.join(targets.select("package", "id"), "package").select("path", "package", "id")
+
+
+def unmatched(changed: DataFrame, owners: DataFrame) -> DataFrame:
+    """Changed paths without an owner."""
+    return changed.select("path").distinct().join(owners.select("path").distinct(), "path", "left_anti")
+
+
+def affected(changed: DataFrame, patterns: DataFrame, targets: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFrame:
+    """(id, reasons): the tests to run for changed paths, with sorted distinct reasons.
+
+    Without changed paths all tests run. A declared pattern decides who owns a path, the
+    nearest package only where none matches; a path without either selects all tests.
+    """
+    tests = tests.select("id").distinct()
+    changed = changed.select(normalise_path(F.col("path")).alias("path")).distinct()
+    if changed.isEmpty():
+        return tests.withColumn("reasons", F.lit("full run"))
+    declared = pattern_owners(changed, patterns)
+    near = nearest_packages(unmatched(changed, declared), targets)
+    owners = declared.unionAll(near.select("path", "id")).distinct()
+    reached = reverse_closure(edges, owners.select(F.col("id").alias("start")).distinct())
+    hit = reached.join(owners.withColumnRenamed("id", "start"), "start").join(tests.withColumnRenamed("id", "node"), "node")
+    reason = F.when(F.col("hops") == 0, F.concat(F.lit("owns "), F.col("path"))).otherwise(F.concat(F.lit("depends on "), F.col("start"), F.lit(" for "), F.col("path")))
+    rows = hit.select(F.col("node").alias("id"), reason.alias("reason"))
+    lost = unmatched(changed, owners)
+    # All tests run for one of the unmatched paths and, with it, for all: one reason for each path.
+    rows = rows.unionAll(tests.join(lost.select(F.concat(F.lit("unmatched "), F.col("path")).alias("reason"), F.lit(1).alias("_one")), F.lit(1) == F.col("_one")).select("id", "reason"))
+    return rows.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("reason")), "; ").alias("reasons"))
+
+
+def file_batches(units: DataFrame) -> DataFrame:
+    """(target, batch, units): one batch a file; one for the whole target if any unit has no file."""
+    whole = units.groupBy("target").agg(F.bool_or(F.col("file").isNull() | (F.col("file") == "")).alias("_whole"))
+    named = units.join(whole, "target").withColumn("batch", F.when(F.col("_whole"), F.col("target").cast("string")).otherwise(F.col("file")))
+    return named.groupBy("target", "batch").agg(F.array_join(F.sort_array(F.collect_set("unit")), ",").alias("units"))
+
+
+def plan_id(paths: DataFrame, domain: str = "plan") -> DataFrame:
+    """One row: an id that depends on the set of paths, not on their order or repetition."""
+    listed = F.array_join(F.sort_array(F.collect_set("path")), "\n")
+    return paths.agg(F.sha2(F.concat(F.lit(domain), F.lit("\n"), listed), 256).alias("plan_id"))

@@ -1,0 +1,93 @@
+"""Recursive graph queries as loops of joins; every round is stored, so plans stay small.
+
+All take ``edges`` (src, dst), where src depends on dst. Duplicate edges are allowed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.sources.tables import stored
+
+
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(start, node, hops): what each seed (start) reaches, itself left out even on a cycle."""
+    edges = edges.select("src", "dst").distinct()
+    seen = stored(seeds.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct(), "closure")
+    frontier, hops = seen, 0
+    while True:
+        hops += 1
+        step = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
+        step = stored(step.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)), "closure")
+        if step.isEmpty():
+            return seen.filter("hops > 0")
+        seen, frontier = seen.unionAll(step), step
+
+
+def reverse_closure(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """(start, node, hops): the owners themselves (hops 0) and all that depend on them."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    own = owners.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct()
+    return own.unionAll(closure(back, owners))
+
+
+def longest_path(nodes: DataFrame, edges: DataFrame, at_least: int = 1) -> DataFrame:
+    """(node, depth): ``at_least`` for a node that no edge enters, else 1 more than the deepest node before it.
+
+    Raises ValueError on a cycle, found when a round has passed more nodes than there are.
+    """
+    edges = edges.select("src", "dst").distinct()
+    depth = stored(nodes.select("node", F.lit(at_least).cast("long").alias("depth")), "depth")
+    n, rounds = depth.count(), 0
+    while True:
+        rounds += 1
+        through = edges.join(depth, edges["src"] == depth["node"]).groupBy("dst").agg((F.max("depth") + 1).alias("_d"))
+        new = depth.join(through, depth["node"] == through["dst"], "left")
+        new = stored(new.select("node", F.greatest("depth", F.coalesce("_d", "depth")).alias("depth"), (F.col("_d") > F.col("depth")).alias("_new")), "depth")
+        if new.filter("_new").isEmpty():
+            return new.select("node", "depth")
+        if rounds > n:
+            raise ValueError("the graph has a cycle")
+        depth = new.select("node", "depth")
+
+
+def critical_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, depth): 1 for a node that nothing depends on, else 1 more than its deepest dependent."""
+    return longest_path(nodes, edges)
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, depth): 0 for a node without dependencies, else 1 more than its highest dependency."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return longest_path(nodes, back, at_least=0)
+
+
+def cycle_core(edges: DataFrame) -> DataFrame:
+    """The edges left when nodes without a way in, or without a way out, are peeled off again and again."""
+    rest = stored(edges.select("src", "dst").distinct(), "core")
+    n = rest.count()
+    while n:
+        into, out = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
+        peeled = stored(rest.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"), "core")
+        left = peeled.count()
+        if left == n:
+            break
+        rest, n = peeled, left
+    return rest
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(node): the nodes that reach themselves."""
+    core = cycle_core(edges)
+    if core.isEmpty():
+        return core.select(F.col("src").alias("node"))
+    reached = closure(core, core.select(F.col("src").alias("start")))
+    # A node's own step back to itself is left out of the closure: close it by one more edge.
+    loops = reached.join(core, (reached["node"] == core["src"]) & (reached["start"] == core["dst"])).select(F.col("start").alias("node"))
+    return loops.unionAll(core.filter("src = dst").select(F.col("src").alias("node"))).distinct()
+
+
+def is_acyclic(edges: DataFrame) -> bool:
+    """True if peeling leaves nothing."""
+    return cycle_core(edges).isEmpty()

@@ -1,0 +1,94 @@
+"""Reading and writing record files: NDJSON, JSON documents, logs, manifests, append-only stores."""
+
+from __future__ import annotations
+
+import json
+import tomllib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions.paths import included
+from graphloom.sources.tables import map_batches
+
+MANIFEST = "package string, path string, id string, name string, kind string, deps array<string>, srcs array<string>, visibility array<string>, attrs string"
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet store, or no rows where none has been written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def append(df: DataFrame, path: str, key: str = "id") -> None:
+    """Appends records to a store; an id that repeats in ``df`` or is in the store is an error."""
+    repeated = df.groupBy(key).count().filter("count > 1")
+    known = read_or_empty(df.sparkSession, path, df.select(key).schema.simpleString()[7:-1].replace(":", " "))
+    if not repeated.isEmpty() or not df.join(known, key, "left_semi").isEmpty():
+        raise ValueError(f"a record's {key} is there already")
+    df.write.mode("append").parquet(path)
+
+
+def read_ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of line-delimited JSON; blank lines are skipped, a malformed line fails the read."""
+    try:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row for each JSON document."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def write_by_target(df: DataFrame, path: str, key: str = "target") -> None:
+    """JSON documents in a folder for each target."""
+    df.write.mode("overwrite").partitionBy(key).json(path)
+
+
+def read_manifests(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), name: str = "manifest.toml") -> DataFrame:
+    """Targets of all manifests below a folder: ``[[target]]`` tables with name, kind, deps, srcs, visibility, attrs.
+
+    Files in folders that start with a dot are skipped; inclusions and exclusions are
+    patterns over a package's path.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    inner = F.regexp_replace(F.regexp_replace("path", r"\A[a-z]+:/*", ""), f"\\A{base}/?", "")
+    files = files.select(inner.alias("path"), "content").withColumn("package", F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1))
+    files = files.filter(~F.col("path").rlike(r"(?:\A|/)\.") & included(F.col("package"), list(include), list(exclude)))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = pa.list_(pa.string())
+        types = [pa.string()] * 5 + [strings] * 3 + [pa.string()]
+        for b in batches:
+            out: list[list] = [[] for _ in types]
+            for path, content, package in zip(*(b.column(c).to_pylist() for c in ("path", "content", "package")), strict=True):
+                for t in tomllib.loads(content.decode()).get("target", []):
+                    ident = f"{package}/{t['name']}" if package else t["name"]
+                    row = (package, path, ident, t["name"], t["kind"], *(t.get(k, []) for k in ("deps", "srcs", "visibility")), json.dumps(t.get("attrs", {}), sort_keys=True, default=str))
+                    for o, x in zip(out, row, strict=True):
+                        o.append(x)
+            names = [c.split()[0] for c in MANIFEST.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=names)
+
+    return map_batches(files, parse, MANIFEST).orderBy("package", "path")
+
+
+def marker_projects(paths: DataFrame, markers: DataFrame) -> DataFrame:
+    """(package, project): folders that hold every marker file (project, marker) of a project."""
+    folder, file = F.regexp_extract("path", r"\A(.*?)/?[^/]*\z", 1), F.element_at(F.split("path", "/"), -1)
+    wanted = markers.groupBy("project").agg(F.count_distinct("marker").alias("_all"))
+    held = paths.select(folder.alias("package"), file.alias("marker")).join(F.broadcast(markers), "marker")
+    got = held.groupBy("package", "project").agg(F.count_distinct("marker").alias("_n")).join(F.broadcast(wanted), "project")
+    return got.filter("_n = _all").select("package", "project")

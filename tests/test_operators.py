@@ -1,0 +1,230 @@
+"""Semantics that differ from plain SQL, and cases that the tables don't hold."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.functions import paths as P
+from graphloom.functions import scalars as S
+from graphloom.operators import edits, graph, history, journal, logs, results, search, selection, store, validate
+from graphloom.plans import fixpoint, pattern
+from graphloom.plans.pattern import Condition
+from graphloom.sources import files
+from graphloom.streaming import journal as stream
+
+ATTEMPT = "id string, batch_id string, duration_ms long, status string, cache string, started_at_unix_ms long"
+TARGET = "id string, package string, name string, kind string, deps array<string>, providers array<string>, capabilities array<string>, attrs string"
+
+
+def values(df, *columns):
+    return sorted(tuple(r) for r in (df.select(*columns) if columns else df).collect())
+
+
+@pytest.fixture(scope="module")
+def app(spark):
+    rows = [
+        ("apps/App", "apps", "App", "app", ["apps/Core", "apps/Core", "gone/X"], ["bundle"], ["build", "run"], json.dumps({"info": {"id": "com.x"}, "list": ["a", "b"], "n": 1, "f": 1.0})),
+        ("apps/Core", "apps", "Core", "library", ["apps/Util"], ["module"], ["build"], "{}"),
+        ("apps/Util", "apps", "Util", "library", [], ["module"], ["build"], "{}"),
+        ("apps/Tests", "apps", "Tests", "test", ["apps/Core"], [], ["build", "test"], "{}"),
+    ]
+    return spark.createDataFrame(rows, TARGET)
+
+
+def test_estimate_takes_the_newest_real_runs(spark):
+    rows = [("1", "b", 10, "passed", "miss", 1), ("2", "b", 30, "passed", "miss", 2), ("3", "b", 1000, "passed", "hit", 3), ("4", "b", 2, "failed", "miss", 4)]
+    rows += [("5", "c", 10, "passed", None, 1), ("6", "c", 31, "passed", None, 2), ("7", "d", -5, "passed", None, 1)]
+    rows += [(f"e{i}", "e", 1 if i >= 5 else 9_999, "passed", None, i) for i in range(25)]
+    got = dict(values(history.duration_estimates(spark.createDataFrame(rows, ATTEMPT))))
+    assert got == {"b": 20, "c": 20, "d": 0, "e": 1}
+
+
+def test_newest_comes_oldest_first_and_needs_a_limit(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, t long")
+    assert [r["id"] for r in history.newest(df, "t", 2).collect()] == ["b", "c"]
+    with pytest.raises(ValueError):
+        history.newest(df, "t", 0)
+
+
+def test_patterns_are_two_valued(spark, app):
+    nodes = graph.nodes(app)
+    def ids(*groups):
+        return {r[0] for r in pattern.node(nodes, "t", "target").where(*groups).returns(id="t.id").collect()}
+    assert ids([Condition("t", "info.id", "=", "com.x")]) == {"apps/App"}
+    assert ids([Condition("t", "info.id", "<>", "com.x")]) == {"apps/Core", "apps/Util", "apps/Tests"}
+    assert ids([Condition("t", "info.id", "=", None)]) == set()
+    assert ids([Condition("t", "list", "contains", "b")]) == {"apps/App"}
+    assert ids([Condition("t", "n", "=", 1)]) == {"apps/App"} and ids([Condition("t", "f", "=", 1)]) == set()
+    assert ids([Condition("x", "id", "<>", "y")]) == set()
+    assert ids([Condition("t", "id", "ends", "Tests")], [Condition("t", "kind", "in", ["app"])]) == {"apps/Tests", "apps/App"}
+
+
+def test_one_hop_is_a_bag_and_any_depth_a_set(spark, app):
+    nodes, edges = graph.nodes(app), graph.edges(app)
+    start = pattern.node(nodes, "a", "Target", kind="app")
+    one = pattern.related(nodes, edges, start, "DEPENDS_ON", pattern.node(nodes, "b")).returns(b="b.name")
+    assert values(one) == [("Core",), ("Core",)]
+    far = pattern.related(nodes, edges, start, "DEPENDS_ON", pattern.node(nodes, "b"), any_depth=True).returns(b="b.name")
+    assert values(far) == [("Core",), ("Util",)]
+    test = pattern.related(nodes, edges, pattern.node(nodes, "a", "Target"), "EXPOSES", pattern.node(nodes, "c", "capability", name="test"))
+    assert values(test.returns(a="a.name")) == [("Tests",)]
+
+
+def test_closures_cycles_and_depths(spark):
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "src long, dst long")
+    seeds = spark.createDataFrame([(1,)], "start long")
+    assert values(fixpoint.closure(ring, seeds), "node") == [(2,), (3,)]
+    assert values(fixpoint.reverse_closure(ring, seeds), "node") == [(1,), (2,), (3,), (4,)]
+    assert values(fixpoint.cycle_members(ring)) == [(1,), (2,), (3,)]
+    two = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (5, 5)], "src long, dst long")
+    assert values(fixpoint.cycle_members(two)) == [(1,), (2,), (3,), (4,), (5,)]
+    nodes = spark.createDataFrame([("root",), ("short",), ("long-b",), ("long-a",)], "node string")
+    tree = spark.createDataFrame([("root", "short"), ("root", "long-b"), ("long-b", "long-a")], "src string, dst string")
+    assert dict(values(fixpoint.critical_depth(nodes, tree))) == {"root": 1, "short": 2, "long-b": 2, "long-a": 3}
+    assert fixpoint.is_acyclic(tree)
+    with pytest.raises(ValueError):
+        fixpoint.critical_depth(spark.createDataFrame([(1,), (2,), (3,), (4,)], "node long"), ring)
+
+
+def test_affected_tests(spark, app):
+    edges, tests = graph.depends_on(app), app.filter("kind = 'test'")
+    patterns = spark.createDataFrame([("apps/Util", "apps/util/*.c"), ("apps/Tests", "apps/tests/t.c")], "id string, pattern string")
+    def run(*paths):
+        return dict(values(selection.affected(spark.createDataFrame([(p,) for p in paths], "path string"), patterns, app, edges, tests)))
+    assert run("./apps/util/deleted.c") == {"apps/Tests": "depends on apps/Util for apps/util/deleted.c"}
+    assert run("apps/tests/t.c") == {"apps/Tests": "owns apps/tests/t.c"}
+    assert "unmatched elsewhere/x" in run("elsewhere/x")["apps/Tests"]
+    near = run("apps/readme")["apps/Tests"]
+    assert "owns apps/readme" in near
+    assert run() == {"apps/Tests": "full run"}
+
+
+def test_file_batches_fall_back_to_the_target(spark):
+    df = spark.createDataFrame([("a", "u1", "f"), ("a", "u2", "f"), ("b", "u1", "f"), ("b", "u2", "")], "target string, unit string, file string")
+    assert values(selection.file_batches(df)) == [("a", "f", "u1,u2"), ("b", "b", "u1,u2")]
+
+
+def test_eviction_keeps_to_the_budget(spark):
+    blobs = spark.createDataFrame([("d1", 10, 1), ("d2", 10, 2), ("d3", 10, 3), ("d4", 10, 4)], "digest string, size long, modified long")
+    acts = spark.createDataFrame([("a1", 1, 1), ("a2", 1, 2)], "id string, size long, modified long")
+    refs = spark.createDataFrame([("a1", "d1"), ("a2", "d1"), ("a2", "d2")], "id string, ref string")
+    assert values(store.orphans(blobs, refs), "digest") == [("d3",), ("d4",)]
+    assert values(store.evict_orphans(blobs, refs, 42, 35), "digest") == [("d3",)]
+    assert values(store.evict_actions(blobs, acts, refs, 22, 21)) == [("a1", 1, 0)]
+    assert values(store.gc_report(blobs, acts, refs, 100)) == [(42, 42, 0, 0)]
+    assert values(store.gc_report(blobs, acts, refs, 5)) == [(42, 0, 4, 2)]
+
+
+def test_results(spark):
+    rows = [("t", "a", 1, 1, "failed"), ("t", "a", 2, 1, "flaky"), ("t", "b", 1, 2, "todo"), ("t", "c", 1, 3, None)]
+    df = spark.createDataFrame(rows, "target string, case_id string, batch long, position long, status string")
+    merged = results.merge_cases(df)
+    assert values(results.counters(merged.filter("case_id <> 'c'"), "target")) == [("t", 2, 1, 0, 1, 1)]
+    assert values(results.counters(df.filter("case_id = 'c'"), "target")) == [("t", 1, 0, 1, 0, 0)]
+    planned = spark.createDataFrame([("t", "a"), ("t", "z")], "target string, case_id string")
+    assert values(results.with_missing(df.filter("case_id = 'b'"), planned)) == [("t", "a", "missing"), ("t", "b", "todo"), ("t", "z", "missing")]
+    assert values(results.missing_units(planned, df)) == [("t", "z")]
+
+
+def test_sarif(spark):
+    place = {"physicalLocation": {"artifactLocation": {"uri": "file:///src/a%20b.c"}, "region": {"startLine": 3, "startColumn": 1}}}
+    run = {"tool": {"driver": {"name": "lint", "rules": [{"id": "R1", "helpUri": "http://h"}]}}, "results": [{"ruleId": "R1", "level": "odd", "message": {"text": "m"}, "locations": [place]}, {"ruleId": "R2", "level": "error", "message": {"text": "n"}}]}
+    got = results.sarif_findings(spark.createDataFrame([(json.dumps({"runs": [run]}),)], "report string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("lint", "R1", "warning", "m", "src/a b.c", 3, 1, "http://h"), ("lint", "R2", "error", "n", None, None, None, None)], key=str)
+    assert values(results.fails_at(got, "tool", "error")) == [("lint", True)]
+
+
+def test_changes_since(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "a"), (5, "c"), (6, None)], "generation long, path string")
+    def since(a, b):
+        return tuple(journal.changes_since(df, F.lit(a).cast("long"), F.lit(b).cast("long")).first())
+    assert since(0, 3) == (True, "a,b", 2) and since(3, 3) == (True, "", 0)
+    assert since(3, 5) == (False, None, None) and since(4, 6) == (False, None, None) and since(9, 6) == (False, None, None)
+
+
+def test_logs(spark):
+    lines = spark.createDataFrame([("stdout", 1, "x"), ("stdout", 2, "y"), ("stderr", 1, None)], "source string, order long, message string")
+    got = logs.records(lines, [])
+    assert values(got, "cursor", "level") == [("stderr:000000000000", "error"), ("stdout:000000000000", "info"), ("stdout:000000000001", "info")]
+    assert values(logs.matching_logs(got, after="stdout:000000000000"), "cursor") == [("stdout:000000000001",)]
+    assert logs.first_events(got, ["cursor"], 0).count() == 1 and logs.first_events(got, ["cursor"], 0, at_least_one=False).count() == 0
+
+
+def test_rules(spark, app):
+    assert values(validate.missing_dependencies(app), "target", "message") == [("apps/App", "no target gone/X")]
+    assert values(validate.duplicate_targets(app.unionAll(app.limit(1))), "code") == [("duplicate_target",)]
+    schema = spark.createDataFrame([("app", "n", True, [], [], "float"), ("app", "list", False, [], [], "list<string>"), ("library", "x", True, [], [], "string")], "kind string, name string, required boolean, allowed array<string>, disallowed array<string>, type string")
+    assert values(validate.type_mismatches(app, schema), "target", "attribute") == [("apps/App", "n")]
+    assert values(validate.missing_attributes(app, schema), "target") == [("apps/Core",), ("apps/Util",)]
+    assert values(validate.unknown_attributes(app, schema), "attribute") == [("f",), ("info",)]
+    shown = app.withColumn("visibility", F.when(F.col("name") == "Core", F.array(F.lit("subtree:lib"))).otherwise(F.array(F.lit("public"))))
+    assert values(validate.invisible_dependencies(shown), "target") == [("apps/App",), ("apps/App",), ("apps/Tests",)]
+    sources = spark.createDataFrame([("apps/App", "a.c"), ("apps/App", "b.c")], "id string, path string")
+    assert values(validate.missing_sources(sources, spark.createDataFrame([("a.c",)], "path string")), "message") == [("no file b.c",)]
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([("2GiB",), ("1k",), ("1kB",), ("7",), ("1.5m",), ("3xb",)], "t string")
+    assert [r[0] for r in df.select(S.parse_size(F.col("t"))).collect()] == [2 << 30, 1024, 1000, 7, None, None]
+    one = spark.range(1)
+    def of(*columns):
+        return tuple(one.select(*columns).first())
+    assert of(S.cut_bytes(F.lit("aé"), 2)["text"], S.cut_bytes(F.lit("aé"), 3)["truncated"]) == ("a", False)
+    assert of(S.is_digest(F.lit("A" * 64)), S.is_digest(F.lit("a" * 64))) == (False, True)
+    assert of(S.arch(F.lit("AArch64")), S.operating_system(F.lit("Darwin")), S.workers(F.lit(0), 4)) == ("arm64", "macos", 1)
+    assert of(P.relative_reference(F.lit("a/b"), F.lit("../c")), P.relative_reference(F.lit(""), F.lit("../c"))) == ("a/c", None)
+    assert of(P.target_id(F.lit(""), F.lit("x")), P.area(F.lit(".git/x")), P.area(F.lit(".cache/out/y"))) == ("x", None, "output")
+    assert of(P.included(F.lit("a/b"), [], ["a*"]), P.included(F.lit("a/b"), ["a/*"], [])) == (False, True)
+    assert of(P.usable_pattern(F.lit("../x")), P.usable_pattern(F.lit("a/*"))) == (False, True)
+
+
+def test_search(spark):
+    df = spark.createDataFrame([("apple_app", "an app"), ("apple_test", "tests"), ("rust_test", "tests"), ("go_lib", "a library")], "kind string, docs string")
+    def kinds(q):
+        return {r[0] for r in search.matching(df, q).select("kind").collect()}
+    assert kinds("the apple target") == {"apple_app", "apple_test"}
+    assert kinds("rust go app") == {"rust_test", "go_lib", "apple_app"}
+    assert kinds("test") == {"apple_test", "rust_test"} and kinds("libra") == {"go_lib"} and len(kinds("the")) == 4
+
+
+def test_edits_are_all_or_nothing(spark):
+    now = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, v string")
+    good = spark.createDataFrame([("create", "c", "3"), ("update", "a", None), ("delete", "b", None)], "op string, id string, v string")
+    assert values(edits.apply(now, good, ["v"])) == [("a", "1"), ("c", "3")]
+    with pytest.raises(ValueError):
+        edits.apply(now, good.unionAll(spark.createDataFrame([("create", "a", "x")], good.schema)), ["v"])
+
+
+def test_files(spark, tmp_path):
+    where = str(tmp_path / "store")
+    assert files.read_or_empty(spark, where, "id string, n long").count() == 0
+    rows = spark.createDataFrame([("a", 1)], "id string, n long")
+    files.append(rows, where)
+    assert values(files.read_or_empty(spark, where, "id string, n long")) == [("a", 1)]
+    with pytest.raises(ValueError):
+        files.append(rows, where)
+    assert files.read_ndjson(spark, str(tmp_path / "none"), "a long").count() == 0
+    (tmp_path / "x.ndjson").write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert values(files.read_ndjson(spark, str(tmp_path / "x.ndjson"), "a long")) == [(1,), (2,)]
+    (tmp_path / "bad.ndjson").write_text('{"a": 1}\nnope\n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        files.read_ndjson(spark, str(tmp_path / "bad.ndjson"), "a long").collect()
+    (tmp_path / "w" / "apps").mkdir(parents=True)
+    (tmp_path / "w" / ".hid").mkdir()
+    for d in ("apps", ".hid"):
+        (tmp_path / "w" / d / "manifest.toml").write_text('[[target]]\nname = "A"\nkind = "app"\ndeps = ["x/y"]\n[target.attrs]\nn = 1\n')
+    assert values(files.read_manifests(spark, str(tmp_path / "w")), "id", "attrs") == [("apps/A", '{"n": 1}')]
+    paths = spark.createDataFrame([("p/a.toml",), ("p/b.lock",), ("q/a.toml",)], "path string")
+    markers = spark.createDataFrame([("both", "a.toml"), ("both", "b.lock"), ("one", "a.toml")], "project string, marker string")
+    assert values(files.marker_projects(paths, markers)) == [("p", "both"), ("p", "one"), ("q", "one")]
+
+
+def test_stream_numbers_changes_across_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, text in enumerate(('{"area":"a","path":"x"}\n{"area":"b","path":"y"}', '{"area":"a","path":"z"}')):
+        (tmp_path / "in" / f"{k}.json").write_text(text)
+        changes = stream.tail(spark, str(tmp_path / "in"), "area string, path string")
+        stream.drain(stream.number_changes(changes), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert values(got, "area", "generation", "path") == [("a", 1, "x"), ("a", 2, "z"), ("b", 1, "y")]
