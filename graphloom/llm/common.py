@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphloom.sources.tables import map_batches
+from graphloom.sources.tables import stored as materialise
+from graphloom.sources.tables import table as read
+
+__all__ = ["SPACES", "crc_remainder", "let", "map_batches", "materialise", "n_words", "read", "words"]
+
 #: A word is a longest run of characters outside ``SPACES``.
 SPACES = "\\x20\\x09-\\x0D"
 
@@ -39,39 +41,3 @@ def let(value: Column, body) -> Column:
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a new folder if unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def map_batches(df: DataFrame, fn, schema) -> DataFrame:
-    """``df.mapInArrow``, with this package's place on the Python workers' path.
-
-    Workers import the package by name, so what a function caches in its module lasts from
-    task to task. On a cluster the package is installed or sent with --py-files; then the
-    added place is merely not there.
-    """
-    environment, here = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    known = environment.get("PYTHONPATH", "").split(":")
-    if here not in known:
-        environment["PYTHONPATH"] = ":".join([here, *filter(None, known)])
-    return df.mapInArrow(fn, schema)
