@@ -26,7 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": chat.OP2_SQL,
         "op7_embedding_near_dedup": neighbours.OP7_SQL,
-        "op8_license_scan": licenses.op8_license_scan,
         "op9_ngram_jaccard": jaccard.OP9_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
     }
