@@ -34,3 +34,25 @@ def test_entry_without_the_optional_parts(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["batch_id", "estimate_ms"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_rest_works_without_the_optional_parts(tmp_path):
+    """With its optional folders gone, the entry module still lists the library's own queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    skip = shutil.ignore_patterns("llm", "__pycache__")
+    shutil.copytree(root / "graphloom", tmp_path / "graphloom", ignore=skip)
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), all(isinstance(s, str) for s in e.oracle_sql().values()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(named.queries())), "True"]
+
+
+def test_all_sql_is_text():
+    import __spark_entry__
+
+    assert all(isinstance(s, str) for s in __spark_entry__.oracle_sql().values())
