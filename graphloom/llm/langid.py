@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,8 @@ from graphloom.llm.common import crc_remainder, map_batches, read
 EMBED, WIDTHS, FILTERS = 8, (2, 3, 4), 16
 WINDOW_BYTES = 256
 TRAIN_PER_LANGUAGE, TRAIN_TOTAL, WINDOWS_PER_TEXT = 1_000, 20_000, 2
+#: Range of the hash that draws the sample, and how many rows more than wanted it may draw.
+HASHES, SPARE = 1 << 40, 1.2
 EPOCHS, BATCH, RATE = 4, 128, 0.01
 #: Windows that a prediction step holds at once.
 STEP = 64
@@ -159,13 +161,37 @@ def _gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.n
     }
 
 
+def sample(docs: DataFrame) -> list[tuple[str, str]]:
+    """(text, lang) of the training sample: of each language the first rows by a hash of the id.
+
+    Languages are counted first; then a row is let through if its hash lies under its
+    language's rate, so the texts that leave the scan are about those wanted and no task
+    gathers a language. What is left over is cut by the same hash.
+    """
+    usable = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
+    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(TRAIN_TOTAL)
+    counts = {r["lang"]: r["n"] for r in counted.collect()}
+    if not counts:
+        return []
+    each = max(1, min(TRAIN_PER_LANGUAGE, TRAIN_TOTAL // len(counts)))
+    rates = [(lang, min(HASHES, round(HASHES * each * SPARE / n))) for lang, n in counts.items()]
+    rates = docs.sparkSession.createDataFrame(rates, "lang string, _rate long")  # at most TRAIN_TOTAL rows
+    key = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(HASHES))
+    drawn = usable.withColumn("_key", key).join(F.broadcast(rates), "lang").filter("_key < _rate")
+    drawn = drawn.orderBy("_key", "doc_id", "lang").limit(2 * TRAIN_TOTAL).select("text", "lang").collect()
+    kept: dict[str, int] = {}
+    out = []
+    for r in drawn:
+        kept[r["lang"]] = kept.get(r["lang"], 0) + 1
+        if kept[r["lang"]] <= each:
+            out.append((r["text"], r["lang"]))
+    return out
+
+
 def train(docs: DataFrame) -> Model | None:
     """A model of the rows of ``docs`` (doc_id, text, lang) that have both text and language."""
-    ranked = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = ranked.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= TRAIN_PER_LANGUAGE)
-    sample = sample.orderBy("_r", "lang").limit(TRAIN_TOTAL).select("text", "lang").collect()
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None
+    rows = sample(docs)
+    return fit([text for text, _ in rows], [lang for _, lang in rows]) if rows else None
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
