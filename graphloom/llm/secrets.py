@@ -3,7 +3,8 @@
 The lexer finds assignments of source and configuration syntax (``name = literal``,
 ``"name": 'literal'``, ``name: bareword``, ``name := a + b``), keeps the constants of the
 text, follows names through them, and scores the literals that reach a name by how
-sensitive that name is and how random the literal looks.
+sensitive that name is and how random the literal looks. A bareword that names no constant of
+the text is itself a literal (``.env``, YAML, properties), unless it is called (``name(...)``).
 
 Defined cases: null text is empty and has no spans; repeated rows give repeated results;
 spans are code points, end exclusive, in order of start and then kind; ``scan`` reads its
@@ -50,7 +51,13 @@ _PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'A-Za-z_])")
 NAME_CHARS = 128
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
+#: Arguments right after a bareword, which make it a call.
+_CALL = re.compile(r"\((?:[ \t]*\n|(?:[^()\n]|\([^()\n]*+\))*+\))")
+_IDENTIFIER = re.compile("[A-Za-z_][A-Za-z0-9_.]*")
+
 Literal = tuple[str, int, int]
+#: A literal with its place, and what it may be instead: "name", "call" or nothing ("").
+Term = tuple[str, int, int, str]
 
 
 def sensitivity(name: str) -> float:
@@ -73,28 +80,32 @@ def literal_score(s: str) -> float:
     return min(entropy(s), 4.0) + 0.5 * (classes - 1) + (0.5 if len(s) >= 20 else 0.0)
 
 
-def pairs(text: str) -> list[tuple[str, list[Literal | str]]]:
-    """Assignments in order: (name, terms); a term is a literal with its place, or a name."""
+def pairs(text: str) -> list[tuple[str, list[Term]]]:
+    """Assignments in order: (name, terms); an identifier without quotes may be a name or a call."""
     found, done = [], 0
     for op in _OPERATOR.finditer(text):
-        if op.start() < done or text[op.start() - 1 : op.start()] in ("=", "!", "<", ">", ":") or text[op.end() : op.end() + 1] in ("=", "/"):
+        if op.start() < done or text[op.start() - 1 : op.start()] in ("=", "!", "<", ">", ":") or text[op.end() : op.end() + 1] == "=":
+            continue
+        if op[0] == ":" and text.startswith("//", op.end()):
             continue
         name = _NAME.search(text, max(0, op.start() - NAME_CHARS), op.start())
         if not name:
             continue
-        terms: list[Literal | str] = []
+        terms: list[Term] = []
         at = op.end()
         while term := _TERM.match(text, at):
             group = term.lastindex
-            value = term[group]
-            terms.append(value if group == 3 and re.fullmatch("[A-Za-z_][A-Za-z0-9_.]*", value) else (value, *term.span(group)))
             at = term.end()
+            instead = ""
+            if group == 3 and _IDENTIFIER.fullmatch(term[3]):
+                instead = "call" if _CALL.match(text, at) else "name"
+            terms.append((term[group], *term.span(group), instead))
             if not (plus := _PLUS.match(text, at)):
                 break
             at = plus.end()
         if terms:
             found.append(((name[1] or name[2] or name[3]).strip(), terms))
-            done = at if isinstance(terms[0], tuple) and text[at - 1] in "\"'" else op.end()
+            done = at if not terms[0][3] and text[at - 1] in "\"'" else op.end()
     return found
 
 
@@ -104,9 +115,12 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
     hits: dict[tuple[int, int], float] = {}
     for name, terms in pairs(text):
         value: list[Literal] = []
-        for t in terms:
+        for *literal, instead in terms:
             # A name stands for the constant it was last given; a bareword that names none is itself the literal's text.
-            value += constants.get(t, []) if isinstance(t, str) else [t]
+            if instead == "name" and literal[0] in constants:
+                value += constants[literal[0]]
+            elif instead != "call":
+                value.append(tuple(literal))
         constants[name] = value[:64]
         if (weight := sensitivity(name)) >= MIN_NAME and value:
             score = weight + literal_score("".join(v[0] for v in value))

@@ -44,6 +44,26 @@ def test_constants_reach_sensitive_names():
     assert "Zx9kQ2mB7vL4pR8t" not in secrets.redacted(text, "[S]") and secrets.redacted("plain", "[S]") == "plain"
 
 
+def test_unquoted_secrets_of_configuration():
+    secret = ["wJalrXUtnFEMIK7MDENG", "sk_live_4eC39HqLyjW", "Zx9kQ2mB7vL4pR8t", "/aB3dE5gH7jK9mN1", "/x8Yz6Wv4Ut2Sr0Q", "Kq7Wm2Zr9Tb4Lp6X", "Hn5Vc8Xd3Gj1Fk7Q", "Pz4Ry8Uo2Ie6Wq1M"]
+    text = """AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENG
+export STRIPE_SECRET_KEY=sk_live_4eC39HqLyjW
+db_pwd: Zx9kQ2mB7vL4pR8t
+SESSION_SECRET_KEY=/aB3dE5gH7jK9mN1
+client_secret_key:/x8Yz6Wv4Ut2Sr0Q
+app.secretKey = Kq7Wm2Zr9Tb4Lp6X
+base = Hn5Vc8Xd3Gj1Fk7Q
+store:
+  pwd: base
+db_pwd: Pz4Ry8Uo2Ie6Wq1M(old
+secret_key_url://host.example.org/a1b2c3
+user_pwd = read_pwd_v2(path, f(x))
+"""
+    assert {text[a:b] for a, b, _ in secrets.lexed(text)} == set(secret)
+    clear = secrets.redacted(text, "[S]")
+    assert not any(s in clear for s in secret) and "read_pwd_v2" in clear and "host.example.org" in clear
+
+
 def test_secret_query(spark):
     docs = dict(duckdb.sql(f"SELECT doc_id, text FROM '{DIR}/documents.parquet'").fetchall())
     got = secrets.op4_secret_scan(spark, DIR).collect()
