@@ -5,9 +5,8 @@ TF-IDF vectors (joins and sums over terms), whole texts at a time. A file withou
 of its own inherits that of the nearest ancestor directory with a licence file, by joining
 its ancestor paths to the directories of such files.
 
-Document frequencies come from all such sentences of the corpus, for the templates' terms;
-a term of no template weighs as one never seen. Broadcast are the templates' terms and
-weights only, whose number is fixed.
+Document frequencies come from all such sentences of the corpus, for every term. Broadcast
+are the templates' terms and weights only, whose number is fixed.
 
 Defined cases: null and empty texts have no licence of their own but may inherit; ties go to
 the first licence by name; repeated rows give repeated results; a null path inherits
@@ -88,17 +87,17 @@ def own_licenses(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     found = materialise(sentences(files), "sentences")
     n = found.count()
     tf = found.select("_row", "pos", F.explode(terms(F.col("sentence"))).alias("term")).groupBy("_row", "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weight = F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    frequencies = materialise(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     of_templates = templates(spark)
-    vocabulary = of_templates.select("term").distinct()
-    seen = tf.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = vocabulary.join(seen, "term", "left").select("term", (F.log((F.lit(n + 1.0)) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
-    idf = materialise(idf, "idf")  # a row for each term of the templates
-    unseen = F.log(F.lit(n + 1.0)) + 1
+    vocabulary = F.broadcast(of_templates.select("term").distinct())
+    seen = F.broadcast(frequencies.join(vocabulary, "term", "left_semi"))
+    idf = materialise(of_templates.select("term").distinct().join(seen, "term", "left").select("term", weight.alias("idf")), "idf")  # a row for each term of the templates
     weighed = of_templates.join(F.broadcast(idf), "term").withColumn("_wt", F.col("tf") * F.col("idf"))
     lengths = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("_wt") * F.col("_wt"))).alias("_nt"))
     posting = weighed.join(lengths, "template").select("term", "license", "template", (F.col("_wt") / F.col("_nt")).alias("_wt"))
     posting = materialise(posting, "postings")
-    vectors = tf.join(F.broadcast(idf), "term", "left").withColumn("_w", F.col("tf") * F.coalesce("idf", unseen)).select("_row", "pos", "term", "_w")
+    vectors = tf.join(frequencies.hint("merge"), "term").select("_row", "pos", "term", (F.col("tf") * weight).alias("_w"))
     norms = vectors.groupBy("_row", "pos").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
     dots = vectors.join(F.broadcast(posting), "term").groupBy("_row", "pos", "template", "license").agg(F.sum(F.col("_w") * F.col("_wt")).alias("_d"))
     scored = dots.join(norms, ["_row", "pos"]).withColumn("score", F.round(F.col("_d") / F.col("_n"), 6)).filter(F.col("score") >= min_cosine)

@@ -156,6 +156,16 @@ def test_license_scores_are_cosines(spark):
             assert abs(r["score"] - best) < 1e-5
 
 
+def test_license_scores_hold_as_the_corpus_grows(spark):
+    texts = ["This project is licensed under the MIT License."] + ["Released under the MIT License.", "Licensed under CC BY-NC 4.0."] * 6
+    texts += ["Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "This project is licensed under terms of its own."] * 2 + ["The licensed premises."]
+    for copies in (1, 300):
+        df = spark.createDataFrame([(i, f"d/{i}", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+        df = df.crossJoin(spark.range(copies)).drop("id")
+        got = licenses.scan(df).filter("doc_id = 0").distinct().collect()
+        assert [(r["license"], r["origin"]) for r in got] == [("MIT", "own")]
+
+
 def test_language_of_held_out_rows(spark):
     got = langid.op6_language_id(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
