@@ -1,11 +1,16 @@
 """License scans with DataFrame functions only.
 
-Sentences that hold a licence word are compared to licence templates by the cosine of sparse
-TF-IDF vectors (joins and sums over terms), whole texts at a time. A file without a licence
+Pieces of a text are compared to licence templates by the cosine of sparse TF-IDF vectors
+(joins and sums over terms): header blocks (adjoining lines with a licence word, alone and
+with the lines next to them) to the headers by which licences are granted, whole licence
+files to full licence texts, and besides sentences with a licence word to short grants. A
+whole text is a licence file's by its name, or if one of ``LINES`` of its lines speaks of
+licence, copyright, warranty or liability (``LEGAL``), as every template of a header or text
+does. The texts are in ``licence_texts``, by licence. A file without a licence
 of its own inherits that of the nearest ancestor directory with a licence file, by joining
 its ancestor paths to the directories of such files.
 
-Document frequencies come from all such sentences of the corpus, for every term. Broadcast
+Document frequencies come from all pieces of a kind, for every term. Broadcast
 are the templates' terms and weights only, whose number is fixed.
 
 Defined cases: null and empty texts have no licence of their own but may inherit; ties go to
@@ -15,10 +20,12 @@ nothing; extra columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, n_words, read
+from graphloom.llm.common import let, materialise, n_words, read
 
 #: Sentences by which well-known licences are granted.
 TEMPLATES = (
@@ -53,11 +60,41 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved, proprietary and confidential license."),
 )
 
+_GNU = "{0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+_GNU_END = " {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details. You should have received a copy of the GNU {1}General Public License along with {2}. If not, see <https://www.gnu.org/licenses/>."
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+#: The notices that files carry at their head.
+HEADERS = (
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE + ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    *[
+        (license, _GNU.format(work, ":" if version == "3" else ";", kind, "," if version == "3" else ";", version) + end)
+        for license, work, kind, version in (
+            ("GPL-3.0", "This program", "", "3"), ("GPL-2.0", "This program", "", "2"), ("LGPL-3.0", "This library", "Lesser ", "3"),
+            ("LGPL-2.1", "This library", "Lesser ", "2.1"), ("AGPL-3.0", "This program", "Affero ", "3"),
+        )
+        for end in ("", _GNU_END.format(work, kind, work.lower()))
+    ],
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at https://opensource.org/licenses/MIT."),
+    ("MIT", "This source code is licensed under the MIT license found in the LICENSE file in the root directory of this source tree."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+)
+
+#: Kinds of pieces: sentences, header blocks without and with the lines next to them, whole files.
+SENTENCE, CUES, BLOCK, WHOLE = range(4)
+LEGAL = "(?i)licen[cs]|copyright|warrant|liabil"
+#: One line in so many is ``LEGAL`` in a whole text that is compared as a licence file.
+LINES = 20
+
 #: A sentence is looked at if it holds one of these.
 CUE = "(?i)[lcsrp](?:icen[cs]|opyright|pdx|edistribut|ermission is hereby|ublic domain|roprietary|c0 1| by)|eative commons"
 SENTENCE_END = "\\n|(?<=[.!?;])\\s+"
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 MIN_COSINE = 0.6
+#: Least cosine of whole files: long texts of one language share their common words.
+MIN_WHOLE = 0.8
 #: Names of licence files, and the share of its words in licence sentences (percent) that makes a file of any name one.
 LICENCE_FILE = "(?i)(?:^|/)(?:licen[cs]e|copying|unlicense|notice)[^/]*$"
 LICENCE_PERCENT = 100
@@ -67,44 +104,73 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def templates(spark: SparkSession, listed: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(template, license, term, tf) of the templates."""
-    rows = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(listed)])
+def licence_texts() -> tuple[tuple[str, str], ...]:
+    """(license, text) of the full licence texts; short ones are headers, too."""
+    return tuple((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """(kind, template, license, term, tf) of the templates."""
+    texts = licence_texts()
+    headers = (*HEADERS, *[t for t in texts if len(t[1]) < 2000])
+    of_kind = ((SENTENCE, TEMPLATES), (CUES, headers), (BLOCK, headers), (WHOLE, texts))
+    listed = [(kind, i, name, text) for kind, some in of_kind for i, (name, text) in enumerate(some)]
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for k, i, name, text in listed])
     rows = spark.range(1).select(F.inline(rows))
-    return rows.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.select("kind", "template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("kind", "template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _blocks(lines: Column, cues: Column, around: int) -> Column:
+    """Runs of the lines that hold a licence word or are ``around`` from one that does."""
+    near = lambda i: F.array_contains(F.slice(cues, F.greatest(i + 1 - around, F.lit(1)), F.least(i, F.lit(around)) + 1 + around), True)
+    marked = F.array_join(F.transform(lines, lambda line, i: F.when(near(i), line).otherwise(F.lit("\0"))), "\n")
+    return F.filter(F.split(marked, "\\x00"), lambda b: b.rlike(LEGAL))
 
 
-def sentences(files: DataFrame) -> DataFrame:
-    """(_row, pos, sentence) of every sentence of ``files`` (_row, text) with a licence word."""
+def pieces(files: DataFrame) -> DataFrame:
+    """(_row, kind, pos, piece) of what is compared of ``files`` (_row, path, text) with a licence word."""
     hit = files.filter(F.col("text").rlike(CUE))
-    parts = F.filter(F.split("text", SENTENCE_END), lambda s: s.rlike(CUE))
-    return hit.select("_row", F.posexplode(parts).alias("pos", "sentence"))
+    sentences = F.filter(F.split("text", SENTENCE_END), lambda s: s.rlike(CUE))
+    named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
+
+    def larger(lines: Column, cues: Column) -> Column:
+        whole = named | ((F.size(F.filter(lines, lambda line: line.rlike(LEGAL))) * LINES >= F.greatest(F.size(lines), F.lit(1))))
+        return F.array(_blocks(lines, cues, 0), _blocks(lines, cues, 1), F.when(whole, F.array("text")).otherwise(F.array().cast("array<string>")))
+
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike("[A-Za-z0-9]"))
+    found = let(lines, lambda ls: let(F.transform(ls, lambda line: line.rlike(CUE)), lambda cs: larger(ls, cs)))
+    by_kind = hit.select("_row", F.posexplode(F.concat(F.array(sentences), found)).alias("kind", "_pieces"))
+    return by_kind.select("_row", "kind", F.posexplode("_pieces").alias("pos", "piece"))
 
 
 def own_licenses(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(_row, license, score, n_matches, license_words) of the files (_row, text) with a licence."""
-    spark = files.sparkSession
-    found = materialise(sentences(files), "sentences")
-    n = found.count()
-    tf = found.select("_row", "pos", F.explode(terms(F.col("sentence"))).alias("term")).groupBy("_row", "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    frequencies = materialise(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    """(_row, license, score, n_matches, license_words) of the files (_row, path, text) with a licence."""
+    spark, key = files.sparkSession, ["_row", "kind", "pos"]
+    found = materialise(pieces(files), "pieces")
+    sizes = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+    n = F.element_at(F.array(*[F.lit(sizes.get(k, 0) + 1.0) for k in (SENTENCE, CUES, BLOCK, WHOLE)]), F.col("kind") + 1)
+    tf = found.select(*key, F.explode(terms(F.col("piece"))).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    weight = F.log(n / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    frequencies = materialise(tf.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     of_templates = templates(spark)
-    vocabulary = F.broadcast(of_templates.select("term").distinct())
-    seen = F.broadcast(frequencies.join(vocabulary, "term", "left_semi"))
-    idf = materialise(of_templates.select("term").distinct().join(seen, "term", "left").select("term", weight.alias("idf")), "idf")  # a row for each term of the templates
-    weighed = of_templates.join(F.broadcast(idf), "term").withColumn("_wt", F.col("tf") * F.col("idf"))
-    lengths = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("_wt") * F.col("_wt"))).alias("_nt"))
-    posting = weighed.join(lengths, "template").select("term", "license", "template", (F.col("_wt") / F.col("_nt")).alias("_wt"))
+    vocabulary = of_templates.select("kind", "term").distinct()
+    seen = F.broadcast(frequencies.join(F.broadcast(vocabulary), ["kind", "term"], "left_semi"))
+    weighed = of_templates.join(seen, ["kind", "term"], "left").withColumn("_wt", F.col("tf") * weight)
+    weighed = materialise(weighed, "weights")  # a row for each term of a template
+    lengths = weighed.groupBy("kind", "template").agg(F.sqrt(F.sum(F.col("_wt") * F.col("_wt"))).alias("_nt"))
+    posting = weighed.join(F.broadcast(lengths), ["kind", "template"]).select("kind", "term", "license", "template", (F.col("_wt") / F.col("_nt")).alias("_wt"))
     posting = materialise(posting, "postings")
-    vectors = tf.join(frequencies.hint("merge"), "term").select("_row", "pos", "term", (F.col("tf") * weight).alias("_w"))
-    norms = vectors.groupBy("_row", "pos").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
-    dots = vectors.join(F.broadcast(posting), "term").groupBy("_row", "pos", "template", "license").agg(F.sum(F.col("_w") * F.col("_wt")).alias("_d"))
-    scored = dots.join(norms, ["_row", "pos"]).withColumn("score", F.round(F.col("_d") / F.col("_n"), 6)).filter(F.col("score") >= min_cosine)
-    best = scored.groupBy("_row", "pos").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    best = best.join(found, ["_row", "pos"]).withColumn("_words", n_words(F.col("sentence")))
+    vectors = tf.join(frequencies.hint("merge"), ["kind", "term"]).select(*key, "term", (F.col("tf") * weight).alias("_w"))
+    norms = vectors.groupBy(*key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
+    dots = vectors.join(F.broadcast(posting), ["kind", "term"]).groupBy(*key, "template", "license").agg(F.sum(F.col("_w") * F.col("_wt")).alias("_d"))
+    least = F.when(F.col("kind") == WHOLE, F.lit(max(min_cosine, MIN_WHOLE))).otherwise(F.lit(min_cosine))
+    scored = dots.join(norms, key).withColumn("score", F.round(F.col("_d") / F.col("_n"), 6)).filter(F.col("score") >= least)
+    best = scored.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    # The lines next to a block may be anything: their words are not words of a licence.
+    best = best.join(found, key).withColumn("_words", F.when(F.col("kind") == BLOCK, F.lit(0)).otherwise(n_words(F.col("piece"))))
+    best = best.groupBy("_row", "kind").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("_words").alias("_words"))
     return best.groupBy("_row").agg(
-        F.min("b").alias("b"), F.count(F.lit(1)).alias("n_matches"), F.sum("_words").alias("license_words")
+        F.min("b").alias("b"), F.max("n").alias("n_matches"), F.max("_words").alias("license_words")
     ).select("_row", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "n_matches", "license_words")
 
 
@@ -123,7 +189,7 @@ def scan(files: DataFrame) -> DataFrame:
     ``origin`` is ``own``, ``inherited`` or ``none``; an inherited licence has the score that its licence file has.
     """
     files = files.select("doc_id", "path", "text").withColumn("_row", F.monotonically_increasing_id())
-    own = own_licenses(files.select("_row", "text"))
+    own = own_licenses(files.select("_row", "path", "text"))
     listed = files.select("_row", "doc_id", "path", n_words(F.col("text")).alias("_size"))
     listed = materialise(listed.join(own, "_row", "left"), "licensed")
     is_file = F.col("path").rlike(LICENCE_FILE) | (F.col("license_words") * 100 >= F.col("_size") * LICENCE_PERCENT)

@@ -166,6 +166,23 @@ def test_license_scores_hold_as_the_corpus_grows(spark):
         assert [(r["license"], r["origin"]) for r in got] == [("MIT", "own")]
 
 
+def test_headers_and_licence_files_are_compared_whole(spark):
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+    bsd = "// Copyright 2020 The Authors.\n// Use of this source code is governed by a BSD-style license\n// that can be found in the LICENSE file.\n\npackage main\n"
+    texts = dict(licenses.licence_texts())
+    prose = "The master of the house by the river asked for a license to use the mill and the road, and the council granted it to the man. " * 9
+    rows = [(1, "a/x.py", gpl + "\nimport os\nprint(os.name)\n"), (2, "b/x.go", bsd), (3, "c/LICENSE", "Copyright (c) 2026 Someone\n\n" + texts["MIT"]), (4, "c/y.py", "y = 1"),
+            (5, "d/COPYING", texts["GPL-3.0"]), (6, "e/doc", texts["Apache-2.0"]), (7, "e/z.py", "z = 1"), (8, "f/prose", prose), (9, "g/LICENSE", prose)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(df).collect()}
+    assert got == {1: ("GPL-3.0", "own"), 2: ("BSD-3-Clause", "own"), 3: ("MIT", "own"), 4: ("MIT", "inherited"), 5: ("GPL-3.0", "own"), 6: ("Apache-2.0", "own"),
+                   7: ("Apache-2.0", "inherited"), 8: (None, "none"), 9: (None, "none")}
+
+
 def test_language_of_held_out_rows(spark):
     got = langid.op6_language_id(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
