@@ -1,10 +1,19 @@
 """Secret scans: pattern spans, and literals assigned to sensitive names.
 
-The lexer finds assignments of source and configuration syntax (``name = literal``,
-``"name": 'literal'``, ``name: bareword``, ``name := a + b``), keeps the constants of the
-text, follows names through them, and scores the literals that reach a name by how
-sensitive that name is and how random the literal looks. A bareword that names no constant of
-the text is itself a literal (``.env``, YAML, properties), unless it is called (``name(...)``).
+The lexer finds assignments of source and configuration syntax: ``name = literal``,
+``"name": 'literal'``, ``x["name"] = literal``, ``name: type = literal``, ``name: bareword``,
+``name := a + b``. Literals may be quoted by one or three quotes or by backquotes, with a
+prefix (``f"..{other}.."``), in parentheses, side by side, and go on in the next line after
+``+``, a backslash or inside parentheses. The lexer keeps the constants of the text, follows
+names through them, and scores the literals that reach a name by how sensitive that name is
+and how random the literal looks. A bareword that names no constant of the text is itself a
+literal (``.env``, YAML, properties), unless it is called (``name(...)``), is part of an
+expression, or is a dotted name without a digit.
+
+Names, literals and constants have no greatest length or number. An assignment keeps its own
+literals and links to the assignments it names; sensitivity runs back along the links, each
+once, so the work grows with the text. How random a value is shows in its own literals and in
+the first ``HEAD`` characters of each constant it names.
 
 Defined cases: null text is empty and has no spans; repeated rows give repeated results;
 spans are code points, end exclusive, in order of start and then kind; ``scan`` reads its
@@ -40,24 +49,33 @@ SENSITIVE = {
 #: Least sensitivity of a name, and least score of name and literal together.
 MIN_NAME, MIN_SCORE = 2.0, 5.0
 MIN_LITERAL = 8
+#: Characters of a named constant that count for how random a value looks.
+HEAD = 256
 #: Literals that stand for a secret given elsewhere.
 PLACEHOLDER = re.compile(r"(?i)\A(?:\$\{.*|<.*>|\{\{.*|%\(.*|x{4,}|\*{4,}|your[-_ ].*|change[-_ ]?me.*|example.*|placeholder.*|none|null|true|false|undefined|redacted.*|process\.env.*|os\.environ.*)\Z")
 
 _OPERATOR = re.compile(r":=|=>|[:=]")
-_NAME = re.compile(r"""(?:([A-Za-z_][A-Za-z0-9_.-]*)|"([A-Za-z_][A-Za-z0-9_. -]*)"|'([A-Za-z_][A-Za-z0-9_. -]*)')[ \t]*\Z""")
-_TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_$+/.~@!%^&*=-]+))""")
-_PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'A-Za-z_])")
-#: Longest name looked at, with its quotes and the blanks after it.
-NAME_CHARS = 128
+#: A name before an operator, read backwards from it: plain, quoted, or a quoted subscript.
+_NAME_BACKWARDS = re.compile(r"""[ \t]*(?:([A-Za-z0-9_.-]*[A-Za-z_])|"([A-Za-z0-9_. -]*[A-Za-z_])"|'([A-Za-z0-9_. -]*[A-Za-z_])'|\]"([A-Za-z0-9_. -]*[A-Za-z_])"\[|\]'([A-Za-z0-9_. -]*[A-Za-z_])'\[)""")
+#: A declared type between a name's colon and its ``=``.
+_TYPE = re.compile(r"[ \t]*&?(?:'[a-z]+[ \t]+)?[A-Za-z_][\w.<>\[\], |?&*]*?[ \t]*=(?![=>])")
+_PREFIX = re.compile(r"(?:[fFrRbBuU]{1,2}|[@$])(?=[\"'])")
+_QUOTED = re.compile(r"""\"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`""", re.S)
+_BARE = re.compile(r"[A-Za-z0-9_$+/.~@!%^&*=-]+")
+#: What may stand before the first term, and between two, outside and inside parentheses.
+_LEAD = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*(?=[fFrRbBuU]{0,2}[\"'`]))?")
+_GAP = re.compile(r"[ \t]*(?:\\\r?\n[ \t]*)?(?:\+(?!=)[ \t]*(?:\\?\r?\n[ \t]*)?)?(?=[fFrRbBuU]{0,2}[\"'`])|[ \t]*(?:\\?\r?\n[ \t]*)?\+(?![=+])[ \t]*(?:\\?\r?\n[ \t]*)?(?=[\"'`A-Za-z_])")
+_GAP_INSIDE = re.compile(r"\s*(?:\+\s*)?(?=[\"'`A-Za-z_])")
+#: References in a formatted string or a template.
+_HOLE = re.compile(r"\$?\{([^{}]*)\}")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: Arguments right after a bareword, which make it a call.
 _CALL = re.compile(r"\((?:[ \t]*\n|(?:[^()\n]|\([^()\n]*+\))*+\))")
 _IDENTIFIER = re.compile("[A-Za-z_][A-Za-z0-9_.]*")
 
-Literal = tuple[str, int, int]
-#: A literal with its place, and what it may be instead: "name", "call" or nothing ("").
-Term = tuple[str, int, int, str]
+#: A literal's place, and what it may be: "text", "bare" (a literal or a name), "name" or "call".
+Term = tuple[int, int, str]
 
 
 def sensitivity(name: str) -> float:
@@ -80,55 +98,121 @@ def literal_score(s: str) -> float:
     return min(entropy(s), 4.0) + 0.5 * (classes - 1) + (0.5 if len(s) >= 20 else 0.0)
 
 
+def _quoted(text: str, at: int, closed: dict[str, int]) -> tuple[int, int, int] | None:
+    """(start, end, after) of the contents of a quoted literal at ``at``.
+
+    ``closed`` remembers for each three quotes from where on none follow, so no search is made twice.
+    """
+    three = text[at : at + 3]
+    if three in ('"""', "\'\'\'") and at < closed.get(three, len(text)):
+        end = text.find(three, at + 3)
+        if end >= 0:
+            return at + 3, end, end + 3
+        closed[three] = at
+    if m := _QUOTED.match(text, at):
+        return *m.span(m.lastindex), m.end()
+    return None
+
+
+def _terms(text: str, at: int, config: bool, closed: dict[str, int]) -> tuple[list[Term], int, bool]:
+    """The terms of the value at ``at``, where it ends, and if one is quoted. ``config``: it can't start in the next line."""
+    found: list[Term] = []
+    quoted = False
+    lead = _LEAD.match(text, at)
+    at = at + len(lead[0]) - len(lead[0].lstrip(" \t")) if config and "\n" in lead[0] else lead.end()
+    depth = 0
+    while text[at : at + 1] == "(":
+        depth += 1
+        inner = _GAP_INSIDE.match(text, at + 1)
+        at = inner.end() if inner else at + 1
+    while True:
+        prefix = _PREFIX.match(text, at)
+        if place := _quoted(text, prefix.end() if prefix else at, closed):
+            start, end, after = place
+            template = text[start - 1] == "`" or (prefix and prefix[0].lower().strip("rb@") in ("f", "$"))
+            if template:
+                for hole in _HOLE.finditer(text, start, end):
+                    found.append((start, hole.start(), "text"))
+                    if _IDENTIFIER.fullmatch(name := hole[1].strip()):
+                        of = hole.start(1) + hole[1].index(name)
+                        found.append((of, of + len(name), "name"))
+                    start = hole.end()
+            found.append((start, end, "text"))
+            at, quoted = after, True
+        elif bare := (_IDENTIFIER if depth or found else _BARE).match(text, at):
+            kind = "text"
+            if _IDENTIFIER.fullmatch(bare[0]):
+                kind = "call" if _CALL.match(text, bare.end()) else "name" if depth else "bare"
+            found.append((*bare.span(), kind))
+            at = bare.end()
+        else:
+            break
+        gap = (_GAP_INSIDE if depth else _GAP).match(text, at)
+        if not gap or (found[-1][2] != "text" and "+" not in gap[0]):
+            break
+        at = gap.end()
+    if len(found) > 1:  # an expression: its names are names
+        found = [(a, b, "name" if kind == "bare" else kind) for a, b, kind in found]
+    return found, at, quoted
+
+
 def pairs(text: str) -> list[tuple[str, list[Term]]]:
-    """Assignments in order: (name, terms); an identifier without quotes may be a name or a call."""
+    """Assignments in order: (name, terms)."""
     found, done = [], 0
+    closed: dict[str, int] = {}
+    backwards = None
     for op in _OPERATOR.finditer(text):
         if op.start() < done or text[op.start() - 1 : op.start()] in ("=", "!", "<", ">", ":") or text[op.end() : op.end() + 1] == "=":
             continue
         if op[0] == ":" and text.startswith("//", op.end()):
             continue
-        name = _NAME.search(text, max(0, op.start() - NAME_CHARS), op.start())
+        if backwards is None:
+            backwards = text[::-1]
+        name = _NAME_BACKWARDS.match(backwards, len(text) - op.start())
         if not name:
             continue
-        terms: list[Term] = []
-        at = op.end()
-        while term := _TERM.match(text, at):
-            group = term.lastindex
-            at = term.end()
-            instead = ""
-            if group == 3 and _IDENTIFIER.fullmatch(term[3]):
-                instead = "call" if _CALL.match(text, at) else "name"
-            terms.append((term[group], *term.span(group), instead))
-            if not (plus := _PLUS.match(text, at)):
-                break
-            at = plus.end()
+        declared = _TYPE.match(text, op.end()) if op[0] == ":" else None
+        begin = declared.end() if declared else op.end()
+        terms, at, quoted = _terms(text, begin, op[0] == ":" and not declared, closed)
         if terms:
-            found.append(((name[1] or name[2] or name[3]).strip(), terms))
-            done = at if not terms[0][3] and text[at - 1] in "\"'" else op.end()
+            found.append((name[name.lastindex][::-1].strip(), terms))
+            done = at if quoted else begin
     return found
 
 
 def lexed(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of every literal that reaches a sensitive name."""
-    constants: dict[str, list[Literal]] = {}
-    hits: dict[tuple[int, int], float] = {}
+    last: dict[str, int] = {}
+    literals: list[list[tuple[int, int]]] = []
+    links: list[list[int]] = []
+    heads: list[str] = []
+    best: list[float] = []
     for name, terms in pairs(text):
-        value: list[Literal] = []
-        for *literal, instead in terms:
+        own: list[tuple[int, int]] = []
+        named: list[int] = []
+        parts = []
+        for start, end, kind in terms:
             # A name stands for the constant it was last given; a bareword that names none is itself the literal's text.
-            if instead == "name" and literal[0] in constants:
-                value += constants[literal[0]]
-            elif instead != "call":
-                value.append(tuple(literal))
-        constants[name] = value[:64]
-        if (weight := sensitivity(name)) >= MIN_NAME and value:
-            score = weight + literal_score("".join(v[0] for v in value))
-            if score >= MIN_SCORE + (weight - MIN_NAME) * 0.5 and literal_score("".join(v[0] for v in value)) > 0:
-                for _, start, end in value:
-                    if end > start:
-                        hits[start, end] = max(score, hits.get((start, end), 0.0))
-    return [(a, b, s) for (a, b), s in hits.items()]
+            term = text[start:end]
+            held = last.get(term) if kind in ("name", "bare") else None
+            if held is not None:
+                named.append(held)
+                parts.append(heads[held])
+            elif kind == "text" or (kind == "bare" and ("." not in term or any(c.isdigit() for c in term))):
+                own.append((start, end))
+                parts.append(term)
+        value = "".join(parts)
+        last[name] = len(best)
+        literals.append(own)
+        links.append(named)
+        heads.append(value[:HEAD])
+        weight = sensitivity(name)
+        random = literal_score(value) if weight >= MIN_NAME else 0.0
+        best.append(weight + random if random > 0 and weight + random >= MIN_SCORE + (weight - MIN_NAME) * 0.5 else 0.0)
+    for at in range(len(best) - 1, -1, -1):  # links go back, so a value's score is final when its turn comes
+        for held in links[at]:
+            best[held] = max(best[held], best[at])
+    return [(a, b, score) for own, score in zip(literals, best, strict=True) if score for a, b in own if b > a]
 
 
 def spans(text: str) -> list[tuple[str, int, int, float]]:
@@ -177,12 +261,12 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
 
 def redacted(text: str, mark: str) -> str:
     """``text`` with its spans replaced."""
-    out, at = [], 0
+    out, at = [], -1
     for _, start, end, _ in spans(text):
-        if start >= at:
-            out += [text[at:start], mark]
+        if start > at:
+            out += [text[max(at, 0) : start], mark]
         at = max(at, end)
-    return "".join([*out, text[at:]])
+    return "".join([*out, text[max(at, 0) :]])
 
 
 def _digest(found: Column) -> Column:
