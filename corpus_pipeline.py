@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, jaccard, mixing, quality, secrets
-from graphloom.llm.common import materialise, words
+from graphloom.llm.common import SPACES, materialise, words
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,21 +61,29 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _documents(secrets.redact(docs.select(*COLUMNS)))
 
 
+def _first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word, as it is there."""
+    blanks = F.split(text, f"[^{SPACES}]+", -1)
+    parts = F.slice(F.arrays_zip(blanks.alias("b"), words(text).alias("w")), 1, n)
+    end = F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x["b"]) + F.length(x["w"]))
+    return F.substring(text, F.lit(1), end)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, once for each use, each cut to the words it takes.
+    """The documents that the mix takes, once for each use, in order of the slots of its schedule.
 
-    A use that the mix cuts short keeps its first words, joined by single spaces. Documents
-    without words are never taken.
+    A use that the mix cuts short keeps its first words with all between them. Documents
+    without words are never taken; equal rows are told apart by their place, and of those in
+    one slot the first row comes first. A text of any length counts by its words.
     """
     numbered = materialise(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     rows = mixing.sized(numbered)
     goals = materialise(mixing.targets(rows), "targets")
-    uses = mixing.mix(rows, goals).groupBy("_row", "pass").agg(F.max("to_word").alias("_to"))
+    uses = mixing.mix(rows, goals).groupBy("_row", "pass").agg(F.max("to_word").alias("_to"), F.min("slot").alias("_slot"))
     uses = uses.join(rows.select("_row", "size"), "_row")
-    uses = uses.select("_row", F.when(F.col("_to") < F.col("size"), F.col("_to").cast("int")).alias("_cut"))
-    taken = numbered.join(uses.hint("shuffle_hash"), "_row")
-    cut = F.array_join(F.slice(words(F.col("text")), 1, F.col("_cut")), " ")
-    return _documents(taken.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(cut)))
+    uses = uses.select("_row", "_slot", "pass", F.when(F.col("_to") < F.col("size"), F.col("_to").cast("int")).alias("_cut"))
+    taken = numbered.join(uses.hint("shuffle_hash"), "_row").orderBy("_slot", "pass", "_row")
+    return _documents(taken.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(_first_words(F.col("text"), F.col("_cut")))))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Sources get targets from their weights and sizes. The mix is a sequence of slots of equal
-numbers of words: slot k's golden-ratio point is mapped through the cumulative targets to a
-source, slots are ranked within their source, and rank r takes block r of the source's
-shuffled documents. A source that the schedule gives too many slots drops its last ones; one
+Sources get targets from their weights and sizes. The mix is a sequence of slots of
+``block_words`` words each, whatever the corpus: slot k's golden-ratio point is mapped through
+the cumulative targets to a source, slots are ranked within their source, and rank r takes
+block r of the source's shuffled documents. A source that the schedule gives too many slots drops its last ones; one
 short of slots gets them after the others; the last block is cut to the target. So every
 source gives its target to the word, whatever the sizes.
 
@@ -12,7 +12,9 @@ all rows of a source.
 
 Defined cases: a null or empty text has size 0, is listed and never taken; null is a source
 of its own and comes last; repeated rows each count and are told apart by ``_row``; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; a text of any length is placed by its number of words and may
+span slots; ties of key, id and size go by ``_row``; extra columns are ignored. Sources (one
+row each), not documents, are ordered in one task.
 """
 
 from __future__ import annotations
@@ -25,9 +27,8 @@ from graphloom.llm.common import materialise, n_words, read
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Slots in a mix: so many, unless blocks would then pass MOST_WORDS words.
-SLOTS = 65_536
-MOST_WORDS = 1_048_576
+#: Words of a slot.
+BLOCK_WORDS = 16_384
 #: The golden ratio's fraction as a 32-bit multiplier: k * GOLDEN mod 2^32 fills the line evenly.
 GOLDEN = 2_654_435_769
 #: Rows of a bucket of a running sum, about, and the least number of buckets.
@@ -105,11 +106,6 @@ def places(rows: DataFrame) -> DataFrame:
     return running(rows, bucket, ["_key", "doc_id", "size", "_row"], F.col("size"), "at")
 
 
-def block_words(total: float) -> int:
-    """Words of a block for a mix of ``total`` words."""
-    return int(max(1, min(MOST_WORDS, total // SLOTS)))
-
-
 def schedule(goals: DataFrame, block: int, slots: int) -> DataFrame:
     """(slot, source, rank): which block of which source fills each slot of the mix."""
     whole = Window.partitionBy(F.lit(0))
@@ -121,6 +117,7 @@ def schedule(goals: DataFrame, block: int, slots: int) -> DataFrame:
         .withColumn("_low", F.coalesce(F.lag("_to").over(by_source), F.lit(0.0)))
         .withColumn("_high", F.when(F.lead("_to").over(by_source).isNull(), F.lit(1.0)).otherwise(F.col("_to")))
         .withColumn("_index", F.row_number().over(by_source).cast("long"))
+        .withColumn("_n", F.count(F.lit(1)).over(whole))
         .withColumn("_wanted", F.ceil(F.round("target") / block).cast("long"))
     )
     last_cell = F.least(F.floor(F.col("_high") * CELLS), F.lit(CELLS - 1))
@@ -134,22 +131,19 @@ def schedule(goals: DataFrame, block: int, slots: int) -> DataFrame:
     kept = ranked.join(goals.select("_k", "_wanted"), "_k").filter("rank < _wanted").select("slot", "source", "rank")
     had = kept.groupBy(source_key(F.col("source")).alias("_k")).agg(F.count(F.lit(1)).alias("_had"))
     short = goals.join(had, "_k", "left").withColumn("_had", F.coalesce("_had", F.lit(0))).filter("_had < _wanted")
-    sources = F.max("_index").over(whole)
-    extra = short.withColumn("_n", sources).select(
-        "source", "_index", "_had", "_n", F.explode(F.sequence("_had", F.col("_wanted") - 1)).alias("rank")
-    )
+    extra = short.select("source", "_index", "_had", "_n", F.explode(F.sequence("_had", F.col("_wanted") - 1)).alias("rank"))
     extra = extra.select((slots + (F.col("rank") - F.col("_had")) * F.col("_n") + F.col("_index") - 1).alias("slot"), "source", "rank")
     return kept.unionByName(extra)
 
 
-def mix(rows: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
+def mix(rows: DataFrame, goals: DataFrame, most: int = MOST, block_words: int | None = None) -> DataFrame:
     """(slot, _row, pass, from_word, to_word): the mix, in order of slot, pass, row.
 
     A row says that a slot takes words [from_word, to_word) of a document on its pass-th use.
     ``rows`` is what ``sized`` gave, ``goals`` what ``targets`` gave.
     """
     total = goals.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("t")).first()["t"]
-    block = block_words(total)
+    block = block_words or BLOCK_WORDS
     slots = int(-(-total // block))
     placed = places(rows.filter("size > 0")).withColumn("_k", source_key(F.col("source")))
     per = goals.select(source_key(F.col("source")).alias("_k"), "source_size", F.round("target").cast("long").alias("_goal"))
@@ -165,19 +159,23 @@ def mix(rows: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
+    """Words that the mix takes of every document, its first and last slot, and in how many pieces."""
     rows = sized(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     goals = materialise(targets(rows), "targets")
-    taken = mix(rows, goals).groupBy("_row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    taken = mix(rows, goals).groupBy("_row").agg(
+        F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count(F.lit(1)).alias("n_pieces")
+    )
     per = goals.select(source_key(F.col("source")).alias("_k"), "source_size", "target")
     out = rows.withColumn("_k", source_key(F.col("source"))).join(per, "_k").join(taken, "_row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        "first_slot", "last_slot", F.coalesce("n_pieces", F.lit(0)).cast("long").alias("n_pieces"),
+    )
 
 
-OP10_SQL = r"""
+OP10_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+'))::BIGINT AS size,
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS k FROM documents),
 p AS (
   SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap,
@@ -191,11 +189,28 @@ h AS (
   SELECT *, arg_min(lev, rn) FILTER (cap >= lev * w) OVER () AS water FROM l),
 t AS (
   SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * w) END AS target FROM h),
+n AS (SELECT ceil(sum(target) / {BLOCK_WORDS})::BIGINT AS slots FROM t),
+g0 AS (
+  SELECT source, target, ceil(round(target) / {BLOCK_WORDS})::BIGINT AS wanted, row_number() OVER (ORDER BY source NULLS LAST) AS i, count(*) OVER () AS c,
+    sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () AS upto FROM t WHERE round(target) >= 1),
+g AS (
+  SELECT *, coalesce(lag(upto) OVER (ORDER BY i), 0.0) AS low, CASE WHEN i = c THEN 1.0 ELSE upto END AS high FROM g0),
+k AS (SELECT range AS slot, (range * {GOLDEN} % 4294967296) / 4294967296.0::DOUBLE AS point FROM range((SELECT slots FROM n))),
+q AS (
+  SELECT slot, source, wanted, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM k JOIN g ON point >= low AND point < high),
+kept AS (SELECT slot, source, rank FROM q WHERE rank < wanted),
+had AS (SELECT g.*, (SELECT count(*) FROM kept WHERE kept.source IS NOT DISTINCT FROM g.source) AS had FROM g),
+more AS (SELECT source, i, had, c, unnest(range(had, wanted)) AS rank FROM had WHERE had < wanted),
+plan AS (SELECT * FROM kept UNION ALL SELECT (SELECT slots FROM n) + (rank - had) * c + i - 1, source, rank FROM more),
 a AS (
   SELECT d.*, t.source_size, t.target, round(t.target)::BIGINT AS goal,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(pos + size, goal) - pos) + greatest(0, least(pos + source_size + size, goal) - pos - source_size))::BIGINT AS taken
-FROM a
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (
+  SELECT r, source, pos + p * source_size AS lo, least(pos + p * source_size + size, goal) AS hi FROM a, (VALUES (0), (1)) AS v(p) WHERE size > 0),
+pieces AS (SELECT *, unnest(range(lo // {BLOCK_WORDS}, (hi - 1) // {BLOCK_WORDS} + 1)) AS rank FROM u WHERE lo < hi),
+s AS (
+  SELECT r, sum(least(hi, (pieces.rank + 1) * {BLOCK_WORDS}) - greatest(lo, pieces.rank * {BLOCK_WORDS}))::BIGINT AS taken, min(slot) AS first_slot, max(slot) AS last_slot,
+    count(*) AS n_pieces FROM pieces JOIN plan ON pieces.source IS NOT DISTINCT FROM plan.source AND pieces.rank = plan.rank GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, last_slot, coalesce(n_pieces, 0) AS n_pieces FROM a LEFT JOIN s USING (r)
 """

@@ -107,7 +107,7 @@ def test_mix_gives_each_source_its_target(spark, monkeypatch):
     want = water(sizes)
     got = {r["source"]: r["target"] for r in goals.collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], abs_tol=1e-6) for s in want)
-    plan = mixing.mix(sized, goals).join(sized, "_row").collect()
+    plan = mixing.mix(sized, goals, block_words=4).join(sized, "_row").collect()
     taken: Counter = Counter()
     per_row: Counter = Counter()
     for r in plan:
@@ -115,7 +115,7 @@ def test_mix_gives_each_source_its_target(spark, monkeypatch):
         per_row[r["_row"]] += r["to_word"] - r["from_word"]
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
     assert all(per_row[r["_row"]] <= 2 * r["size"] for r in plan)
-    again = mixing.mix(sized, goals).collect()
+    again = mixing.mix(sized, goals, block_words=4).collect()
     key = lambda r: (r["slot"], r["_row"], r["pass"], r["from_word"], r["to_word"])
     assert sorted(map(key, again)) == sorted(map(key, plan))
     # Any stretch of the mix holds the sources in about their shares.
@@ -137,6 +137,21 @@ def test_mix_query_matches_sql(spark):
     assert sorted(map(tuple, mixing.op10_mix_sources(spark, DIR).collect())) == sorted(duckdb.sql(mixing.OP10_SQL).fetchall())
 
 
+def test_mix_query_of_odd_words_matches_sql(spark, tmp_path):
+    """White space of all kinds, one word after another longer than a slot, a source without words, ties."""
+    texts = ["a\rb\vc\fd", "", None, " x\u00a0y \u2003z\r", "\x1c\x1d a", "w " * 40_000, "v\t" * 700, "tie tie", "tie tie"]
+    rows = [(i, t, ("s", None, "hot", "hot")[i % 4]) for i, t in enumerate(texts * 9)] + [(3, "same same", "hot")] * 3 + [(900, None, "void")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, mixing.op10_mix_sources(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(mixing.OP10_SQL).fetchall()
+    assert len(want) == len(rows) and {r[1] for r in got} >= {4, 0, 2, 40_000, 700}
+    # Equal rows (the same id, text and source) may change places among themselves.
+    assert got == sorted(want, key=str)
+    assert len({r[5] for r in got}) > 10
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as pipeline
     from graphloom.llm import secrets
@@ -156,6 +171,9 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(str(r["doc_id"]) for r in out["ngram_jaccard"]) == sorted([*map(str, range(30)), "None"])
     assert not any(secrets.ASSIGN.search(r["text"]) for r in out["secret_scan"]) and any("[SECRET]" in r["text"] for r in out["secret_scan"])
     words = lambda rs: sum(len(r["text"].split()) for r in rs)
+    whole = {r["text"] for r in out["secret_scan"]}
+    cut = [r["text"] for r in out["mix_sources"] if r["text"] not in whole]
+    assert len(cut) <= 5 and all(any(w.startswith(t) for w in whole) for t in cut)
     assert abs(words(out["mix_sources"]) - 1.5 * words(out["secret_scan"])) < 5
     assert all(r["n_tokens"] > 0 for r in out["byte_bpe"]) and len(out["byte_bpe"]) == len(out["mix_sources"])
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
