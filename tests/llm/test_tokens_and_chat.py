@@ -81,6 +81,14 @@ def test_transcripts_read_back(spark):
             assert (r["loss_start"] is not None) == (role == "assistant")
             if role == "assistant":
                 assert transcript[r["loss_start"] : r["loss_end"]] == r["segment"][len("<s>[assistant]\n") : -len("</s>\n")]
+    replies = chat.examples(formatted)
+    assert sorted(r[0] for r in replies.select(chat.trainable(replies)).collect()) == sorted(t for turns in by.values() for role, t in turns if role == "assistant")
+    for r in chat.digests(formatted).collect():
+        turns = by[r["conv_id"]]
+        learnt = "".join(t for role, t in turns if role == "assistant")
+        assert r["turns_sha256"] == sha("".join(f"{role}\n{t}\n" for role, t in turns).encode()) and r["loss_sha256"] == sha(learnt.encode())
+        assert (r["n_turns"], r["loss_chars"], r["n_examples"]) == (len(turns), len(learnt), sum(role == "assistant" for role, _ in turns))
+        assert r["context_chars"] == sum(x["start"] for x in seen[r["conv_id"]] if x["role"] == "assistant")
     rendered = chat.render(chat.examples(formatted), formatted).collect()
     assert len(rendered) == sum(role == "assistant" for turns in by.values() for role, _ in turns)
     for r in rendered:
@@ -89,6 +97,15 @@ def test_transcripts_read_back(spark):
             assert whole.startswith(r["context"] + r["reply"])
 
 
+def test_no_conversations_and_a_long_one(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    none = chat.segments(spark.createDataFrame([], schema))
+    assert none.count() == chat.examples(none).count() == chat.digests(none).count() == 0
+    long = "\\</s>é\U0001f600[INST]" * 40_000
+    got = chat.digests(chat.segments(spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], schema))).first()
+    assert (got["n_turns"], got["loss_chars"], got["loss_sha256"]) == (2, len(long), sha(long.encode()))
+
+
 def test_digests_match_sql(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{DIR}/conversations.parquet'")
     got = sorted(map(tuple, chat.op2_chat_format(spark, DIR).collect()))
