@@ -1,12 +1,38 @@
-"""Connected components of links by alternating stars, each round written to the shared folder."""
+"""Connected components of links by alternating stars, each round written to the shared folder.
+
+Nodes can be named so that names sort as the ids of what they stand for (``named``). The
+least name of a component then says its least id (``id_of``), with no join by component.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import materialise
 
+_SHIFT = 1 << 63
+
+
+def named(ident: Column, kind: T.DataType, digest: Column) -> Column:
+    """A text that sorts as ``ident`` (a whole number or a text; nulls last), then as ``digest``."""
+    if isinstance(kind, T.IntegralType):
+        text = F.lpad((ident.cast("decimal(20,0)") + F.lit(str(_SHIFT)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
+    else:
+        text = F.concat(ident.cast("string"), F.lit("\0"))
+    return F.concat(F.coalesce(F.concat(F.lit("i"), text), F.lit("n")), digest)
+
+
+def id_of(name: Column, kind: T.DataType, digest_chars: int) -> Column:
+    """The id in a name that ``named`` gave, with a digest of so many characters."""
+    text = F.substring(name, F.lit(2), F.length(name) - 1 - digest_chars)
+    if isinstance(kind, T.IntegralType):
+        text = (text.cast("decimal(20,0)") - F.lit(str(_SHIFT)).cast("decimal(20,0)")).cast(kind)
+    else:
+        text = F.substring(text, F.lit(1), F.length(text) - 1).cast(kind)
+    return F.when(name.startswith("i"), text)
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours."""

@@ -11,8 +11,9 @@
 The result's classes are the connected groups of verified links.
 
 Defined cases: a text of one to four words has one n-gram, all its words; a null text or one
-without words links with nothing; ids may repeat or be null (a class is named by its least
-id, null if it has none); extra columns are ignored.
+without words links with nothing; ids (whole numbers or texts) may repeat or be null (a class
+is named by its least id, null if it has none); a text of any length is hashed in parts; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm import tiles
 from graphloom.llm.common import map_batches, materialise, read
-from graphloom.llm.components import components
+from graphloom.llm.components import components, id_of, named
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -40,6 +41,9 @@ RECALL, MOST_PERMUTATIONS = 0.999, 320
 BLOCK_ITEMS = 1_024
 #: Bytes of n-gram sets of a block, about.
 BLOCK_BYTES = 16_000_000
+#: Tasks that a large group's members are dealt to when they learn its number of blocks.
+SPREAD = 32
+DIGEST_CHARS = 32
 #: Bytes of a text hashed at once.
 PART_BYTES = 1 << 20
 
@@ -132,8 +136,8 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text_md5, node, n_grams, bands): node names the set; null without words."""
-    schema = docs.select("doc_id").schema.add("text_md5", "string").add("node", "string").add("n_grams", "long").add("bands", T.ArrayType(T.LongType()))
+    """(doc_id, text_md5, digest, n_grams, bands): ``digest`` is that of the set; null without words."""
+    schema = docs.select("doc_id").schema.add("text_md5", "string").add("digest", "string").add("n_grams", "long").add("bands", T.ArrayType(T.LongType()))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,19 +214,21 @@ def tile_links(threshold: float):
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, text_md5, node, group, class_id, n_links, n_copies), one row for each row of ``docs``.
+    """(doc_id, text_md5, group, class_id, n_links, n_copies), one row for each row of ``docs``.
 
     ``docs`` has doc_id and text. ``group`` names the connected group (null without words),
     ``class_id`` is its least doc_id, ``n_links`` counts the other documents linked directly.
     """
     bands, rows = bands_and_rows(threshold, recall)
     docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType
     signed = materialise(signatures(docs, bands, rows), "signatures")
     # Of each class: its least row, its size and its bands (equal in all its rows).
-    classes = signed.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_md5")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
+    classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(
+        F.min(least).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")
     )
-    classes = materialise(classes, "classes")
+    classes = materialise(classes.withColumn("node", named(F.col("rep.doc_id"), kind, F.col("digest"))), "classes")
     buckets = classes.select("node", F.explode("bands").alias("band"))
     met = buckets.groupBy("band").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     candidates = components(buckets.join(met, "band").filter("node > v").select(F.col("node").alias("u"), "v").distinct())
@@ -230,8 +236,12 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
     sizes = candidates.join(classes.select("node", "n_grams"), "node").groupBy("component")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ITEMS), F.ceil(F.sum("n_grams") * 8 / BLOCK_BYTES)).cast("long")
-    sizes = sizes.agg(blocks.alias("n_blocks"))
-    chosen = candidates.join(sizes, "component").join(classes, "node")
+    # Groups of more than one block are told to their members in SPREAD parts each, so none is a hot key.
+    large = sizes.agg(blocks.alias("n_blocks")).filter("n_blocks > 1")
+    large = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = candidates.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
+    chosen = dealt.join(large, ["component", "_salt"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    chosen = chosen.join(classes, "node")
     chosen = chosen.select("component", "n_blocks", "node", "copies", "bands", F.col("rep.doc_id").alias("_id"), F.col("rep.text_md5").alias("_md5"))
     # The id is part of the key, so the copies of a common text don't meet in one task.
     texts = docs.select(F.col("doc_id").alias("_doc"), "text", F.md5("text").alias("_text"))
@@ -257,15 +267,15 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
     linked = found.groupBy("node").agg(F.sum("n_links").alias("_links"))
     groups = components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("component", "group")
-    info = classes.select("node", "rep", "copies").join(linked, "node", "left").join(groups, "node", "left")
-    info = info.withColumn("group", F.coalesce("group", "node"))
-    first = info.groupBy("group").agg(F.min("rep.doc_id").alias("class_id"))
-    info = info.join(first, "group").withColumn("n_links", F.coalesce("_links", F.lit(0)) + F.col("copies") - 1)
-    info = info.select("node", "group", "class_id", "n_links", F.col("copies").alias("n_copies"))
-    out = signed.select("doc_id", "text_md5", "node").join(info, "node", "left")
+    info = classes.select("node", "digest", "copies").join(linked, "node", "left").join(groups, "node", "left")
+    # A group is named by its least node, whose name starts with its least id.
+    info = info.withColumn("group", F.coalesce("group", "node")).withColumn("class_id", id_of(F.col("group"), kind, DIGEST_CHARS))
+    info = info.withColumn("n_links", F.coalesce("_links", F.lit(0)) + F.col("copies") - 1)
+    info = info.select("digest", "group", "class_id", "n_links", F.col("copies").alias("n_copies"))
+    out = signed.select("doc_id", "text_md5", "digest").join(info, "digest", "left")
     return out.select(
-        "doc_id", "text_md5", "node", "group",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "text_md5", "group",
+        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )

@@ -14,7 +14,8 @@ The axes only set the order of work: the links are exact whatever the sample.
 Defined cases: a vector that is null, of zero length, all zeros, or holds null or non-finite
 components links with nothing and stands alone, as does one whose label is null; vectors of
 different lengths don't link; equal vectors of a label form a class that is compared once;
-repeated rows each count; ids may be null or repeat; extra columns are ignored.
+repeated rows each count; ids (whole numbers or texts) may be null or repeat; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from pyspark.sql import types as T
 
 from graphloom.llm import tiles
 from graphloom.llm.common import map_batches, materialise, read
-from graphloom.llm.components import components
+from graphloom.llm.components import components, id_of, named
 
 THRESHOLD = 0.93
 BLOCK_ITEMS = 1_024
+DIGEST_CHARS = 40
 #: Vectors of the sample that gives the axes.
 SAMPLE = 4_096
 #: Leading dimensions after which a tile tests its bound.
@@ -160,25 +162,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     usable = F.col("label").isNotNull() & parts.isNotNull() & (F.size(parts) > 0)
     finite = F.forall(parts, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     usable = usable & F.coalesce(finite & F.exists(parts, lambda v: v != 0), F.lit(False))
-    name = F.sha1(F.to_json(F.struct("label", "embedding")))
-    rows = vectors.select("vec_id", "label", "embedding", F.when(usable, name).alias("node"))
+    digest = F.sha1(F.to_json(F.struct("label", "embedding")))
+    kind = vectors.schema["vec_id"].dataType
+    rows = vectors.select("vec_id", "label", "embedding", F.when(usable, digest).alias("digest"))
     rows = materialise(rows, "vectors")
-    classes = rows.filter("node IS NOT NULL").groupBy("node").agg(
+    classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(
         F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
     )
-    classes = materialise(classes.withColumn("n", F.size("embedding")), "classes")
+    classes = classes.withColumn("node", named(F.col("rep"), kind, F.col("digest"))).withColumn("n", F.size("embedding"))
+    classes = materialise(classes, "classes")
     turn = axes(classes)
     placed = with_cells(classes.select("node", "copies", "label", "n", "embedding"), turn, threshold)
     tile = tiled(materialise(placed, "placed")).repartition("tile").sortWithinPartitions("tile")
     found = materialise(map_batches(tile, tiles.compare(["tile"], tile_links(turn, threshold)), tiles.REPORT), "found")
     linked = found.groupBy("node").agg(F.sum("n_links").alias("_links"))
     groups = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    info = classes.select("node", "rep", "copies").join(linked, "node", "left").join(groups, "node", "left")
-    info = info.withColumn("_group", F.coalesce("component", "node"))
-    least = info.groupBy("_group").agg(F.min("rep").alias("component_id"))
-    info = info.join(least, "_group").select("node", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "node").join(info, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    info = classes.select("node", "digest", "copies").join(linked, "node", "left").join(groups, "node", "left")
+    # A component is named by its least node, whose name starts with its least id.
+    least = id_of(F.coalesce("component", "node"), kind, DIGEST_CHARS)
+    info = info.select("digest", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), least.alias("component_id"))
+    out = rows.select("vec_id", "digest").join(info, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

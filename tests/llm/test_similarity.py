@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from graphloom.llm import jaccard, neighbours
-from graphloom.llm.components import components
+from graphloom.llm.components import components, id_of, named
 
 DIR = "/root/testdata/sf0.001"
 
@@ -77,10 +77,23 @@ def test_jaccard_with_null_and_repeated_ids(spark):
     a, b = "a b c d e f g h", "q r s t u v w x"
     df = spark.createDataFrame([(None, a), (None, a), (3, a), (3, b), (3, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.similar(df).collect()), key=str)
-    assert got == sorted([(None, None, 2), (None, None, 2), (3, None, 2), (3, 3, 0), (3, 3, 0)], key=str)
+    assert got == sorted([(None, 3, 2), (None, 3, 2), (3, 3, 2), (3, 3, 0), (3, 3, 0)], key=str)
     assert jaccard.similar(df.limit(0)).count() == 0
 
 
+def test_names_sort_as_ids(spark):
+    from pyspark.sql import functions as F
+
+    for kind, ids in (("long", [-(2**63), -10, -9, 0, 7, 10, 2**63 - 1]), ("int", [-3, 20, 100]), ("string", ["", "a", "a0", "b"])):
+        df = spark.createDataFrame([(i, f"{k:02d}") for k, i in enumerate([*ids, None])], f"i {kind}, d string")
+        named_ = df.withColumn("name", named(F.col("i"), df.schema["i"].dataType, F.col("d")))
+        got = [r[0] for r in named_.orderBy("name").select(id_of(F.col("name"), df.schema["i"].dataType, 2)).collect()]
+        assert got == [*ids, None]
+    rows = [("b", "w " * 9), ("a", "w " * 9), ("c", " ".join("abcdefghijkl"))]
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id string, text string")).select("doc_id", "class_id").collect()
+    assert sorted(map(tuple, got)) == [("a", "a"), ("b", "a"), ("c", "c")]
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard.bands_and_rows()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= jaccard.MOST_PERMUTATIONS
