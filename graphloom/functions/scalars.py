@@ -64,20 +64,65 @@ def first_branch(branches: Column, wanted: list[str]) -> Column:
     return F.coalesce(*[F.element_at(branches, t) for t in [*wanted, "default"]])
 
 
+#: Fixed names of processor families and systems.
+_ARCH = {"aarch64": "arm64", "arm64": "arm64", "x86_64": "amd64", "amd64": "amd64", "x86": "386", "i386": "386", "i686": "386"}
+_SYSTEM = {"darwin": "macos", "mac": "macos", "macosx": "macos"}
+
+
+def _renamed(name: Column, names: dict[str, str]) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), name), name)
+
+
 def arch(name: Column) -> Column:
-    """One name for each processor family."""
-    n = F.lower(name)
-    return F.when(n.isin("arm64", "aarch64"), "arm64").when(n.isin("amd64", "x64", "x86_64"), "x86_64").otherwise(n)
+    """One name for each processor family; others stay as they are."""
+    return _renamed(name, _ARCH)
 
 
 def operating_system(name: Column) -> Column:
-    n = F.lower(name)
-    return F.when(n.isin("darwin", "macos", "osx"), "macos").when(n.isin("win32", "windows"), "windows").otherwise(n)
+    """One name for each system; others stay as they are."""
+    return _renamed(name, _SYSTEM)
+
+
+def platform_tokens(system: Column, machine: Column) -> Column:
+    """What a platform is called in a map of branches, the most special first; unknown systems have no names."""
+    of = lambda *names: F.array(*names)
+    join = lambda tail: F.concat(system, F.lit(f"-{tail}"))
+    known = system.isin("macos", "linux", "windows")
+    return (
+        F.when(~known, F.array().cast("array<string>"))
+        .when(machine == "aarch64", of(join("arm64"), join("aarch64"), system, F.lit("arm64"), F.lit("aarch64")))
+        .when(machine == "x86_64", of(join("x86_64"), system, F.lit("x86_64")))
+        .otherwise(of(system))
+    )
+
+
+def json_pointer(text: Column, pointer: str) -> Column:
+    """The value at a JSON pointer (``/a/0/b``): texts bare, others as JSON; null if there is none."""
+    path = "$"
+    for part in pointer.split("/")[1:]:
+        part = part.replace("~1", "/").replace("~0", "~")
+        path += f"[{part}]" if part.isdigit() else f"['{part}']"
+    return F.get_json_object(text, path)
+
+
+def decoded_base64(text: Column) -> Column:
+    """The bytes of a standard base64 text; null if malformed."""
+    return F.try_to_binary(text, F.lit("base64"))
+
+
+def first_distinct(values: Column) -> Column:
+    """The distinct values of an array in order of their first place."""
+    return F.array_distinct(values)
 
 
 def shell_quote(text: Column) -> Column:
     """A text as one word of a POSIX shell."""
-    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))
+
+
+def powershell_quote(text: Column) -> Column:
+    """A text as one word of PowerShell."""
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
 
 
 def cut_bytes(text: Column, most: int) -> Column:
@@ -92,6 +137,17 @@ def workers(batches: Column, most: int) -> Column:
     return F.greatest(F.lit(1), F.least(batches, F.lit(most)))
 
 
+def worker_memory(limit: Column, n_workers: Column) -> Column:
+    """Bytes for each worker: an equal share of the limit, at least 1; 0 means no limit."""
+    return F.when(limit == 0, F.lit(0)).otherwise(F.greatest(F.floor(limit / F.greatest(n_workers, F.lit(1))), F.lit(1))).cast("long")
+
+
+def parallel_actions(cpus: Column, memory: Column, memory_each: Column) -> Column:
+    """Actions of the usual size that run at once: as many as processors and memory allow, at least 1."""
+    fit = F.greatest(F.least(cpus, F.floor(memory / memory_each)), F.lit(1))
+    return F.when((memory == 0) | (memory_each == 0), cpus).otherwise(fit).cast("long")
+
+
 def human_row(*columns: Column) -> Column:
     """Values joined by `` | ``; null is written so."""
     return F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns])

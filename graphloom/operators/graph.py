@@ -56,11 +56,20 @@ def lookup(targets: DataFrame, target_id: str) -> DataFrame:
     return found
 
 
+def capabilities_of(targets: DataFrame, target_id: str) -> DataFrame:
+    """(capability): those of one target; raises LookupError if there is no such target."""
+    return lookup(targets, target_id).select(F.explode("capabilities").alias("capability"))
+
+
+def packages(targets: DataFrame) -> DataFrame:
+    """(package): the distinct packages in order."""
+    return targets.select("package").distinct().orderBy("package")
+
+
 def workspace_summary(targets: DataFrame) -> DataFrame:
     """One row: targets, packages, and whether there are none."""
     return targets.agg(
         F.count(F.lit(1)).alias("n_targets"),
         F.count_distinct("package").alias("n_packages"),
-        F.array_join(F.sort_array(F.collect_set("package")), ",").alias("packages"),
         (F.count(F.lit(1)) == 0).alias("is_empty"),
     )

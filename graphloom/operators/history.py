@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.ranges import numbered
+
 SAMPLE = 20
 
 
@@ -45,11 +47,10 @@ def run_counts(rows: DataFrame) -> DataFrame:
 
 
 def longest_first(batches: DataFrame, estimates: DataFrame) -> DataFrame:
-    """(batch_id, estimate_ms, pos): batches by estimate, longest first; missing ones count as 0."""
+    """(batch_id, estimate_ms, pos): batches by estimate, longest first, ties by id; missing ones count as 0."""
     known = batches.select("batch_id").distinct().join(estimates, "batch_id", "left")
     known = known.withColumn("estimate_ms", F.coalesce("estimate_ms", F.lit(0).cast("long")))
-    order = Window.orderBy(F.col("estimate_ms").desc(), "batch_id")
-    return known.withColumn("pos", F.row_number().over(order).cast("long"))
+    return numbered(known, [F.col("estimate_ms").desc(), F.col("batch_id")])
 
 
 def adjacent_changes(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

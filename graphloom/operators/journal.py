@@ -9,25 +9,27 @@ MAX_RECORDS = 16_384
 
 
 def retained(journal: DataFrame, most: int = MAX_RECORDS) -> DataFrame:
-    """The newest ``most`` records of an area's journal; generations have no gaps in a journal."""
-    top = journal.agg(F.coalesce(F.max("generation"), F.lit(0)).alias("g")).first()["g"]
-    return journal.filter(F.col("generation") > top - most)
+    """The newest ``most`` records of each area's journal, by generation.
+
+    What is broadcast has one row an area (``paths.area`` knows two).
+    """
+    newest = journal.groupBy("area").agg(F.max("generation").alias("_top"))
+    return journal.join(F.broadcast(newest), "area").filter(F.col("generation") > F.col("_top") - most).drop("_top")
 
 
-def changes_since(journal: DataFrame, since: Column, current: Column) -> DataFrame:
-    """One row: known, and the sorted distinct paths changed after ``since`` up to ``current``.
+def changes_since(journal: DataFrame, since: int, current: int) -> DataFrame:
+    """(known, path): the distinct paths changed after ``since`` up to ``current``, a row each.
 
-    Not known (paths null) for a position in the future, if a record between is missing, or
-    if one lost its path; known and empty at the current position.
+    One row (false, null) for a position in the future, if a record between is missing, or if
+    one lost its path; one row (true, null) if nothing changed.
     """
     after = journal.filter((F.col("generation") > since) & (F.col("generation") <= current))
-    got = after.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("path").isNull()).alias("lost"), F.min("generation").alias("low"),
-        F.sort_array(F.collect_set("path")).alias("_p"),
-    )
-    whole = (F.col("n") == current - since) & (F.coalesce("low", since + 1) == since + 1) & (F.col("lost") == 0)
-    known = F.when(since > current, F.lit(False)).otherwise(whole)
-    return got.select(known.alias("known"), F.when(known, F.array_join("_p", ",")).alias("paths"), F.when(known, F.size("_p").cast("long")).alias("n_paths"))
+    got = after.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("path").isNull()).alias("lost"), F.min("generation").alias("low")).first()
+    whole = got["n"] == current - since and got["low"] in (None, since + 1) and not got["lost"]
+    if since <= current and whole and got["n"]:
+        return after.select(F.lit(True).alias("known"), "path").distinct()
+    row = (since <= current and whole, None)
+    return journal.sparkSession.createDataFrame([row], "known boolean, path string")
 
 
 def gaps(journal: DataFrame) -> DataFrame:

@@ -1,46 +1,76 @@
-"""Text search over a catalog of kinds."""
+"""Text search over a catalog of kinds, and lookups in it."""
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed words that a query may hold without meaning.
-STOP_WORDS = ("a", "an", "and", "for", "from", "in", "of", "or", "target", "targets", "the", "to", "with")
+from graphloom.functions.scalars import tokens
+
+#: Words that say nothing of a kind next to the name of a family.
+GENERIC = (
+    "app", "application", "binary", "build", "existing", "executable", "kind", "kinds", "libraries", "library", "mixed", "native",
+    "repository", "runner", "runners", "target", "targets", "test", "tests", "typed",
+)
 
 
 def query_terms(text: str) -> list[str]:
-    """Lower-case runs of letters and digits of a query, without stop words and repeats."""
-    words = "".join(c.lower() if c.isalnum() else " " for c in text).split()
-    return list(dict.fromkeys(w for w in words if w not in STOP_WORDS))
+    """Lower-case runs of letters and digits of a query, without repeats."""
+    return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in text).lower().split()))
+
+
+def _mentions(columns: list[str], terms: list[str]) -> Column:
+    """True if a word of the columns holds one of the terms."""
+    words = tokens(F.concat_ws(" ", *columns))
+    return F.exists(words, lambda w: reduce(or_, [w.contains(t) for t in terms], F.lit(False)))
 
 
-def matching(catalog: DataFrame, text: str) -> DataFrame:
-    """Catalog rows (kind, docs) that a query asks for.
+def matching(catalog: DataFrame, text: str, searched: tuple[str, ...] = ("kind", "docs")) -> DataFrame:
+    """Catalog rows that a query asks for. ``searched``: the columns with a kind's name, docs, examples, references.
 
     A kind is ``family_segment...``. If exactly one term is a family, that family; if several
-    are, those families or kinds whose segments hold another term; else kinds with a segment
-    equal to the first term that is one; else kinds whose name or docs hold any term.
+    are, those families and kinds that mention another term which isn't generic; else kinds
+    with a segment equal to the first term that is one; else kinds that mention any term.
+    Families and segments among the terms are found in one pass.
     """
     terms = query_terms(text)
     if not terms:
         return catalog
     parts = F.split("kind", "_")
-    families = [t for t in terms if not catalog.filter(F.get(parts, F.lit(0)) == t).isEmpty()]
     family = F.get(parts, F.lit(0))
+    flags = [F.bool_or(family == t) for t in terms] + [F.bool_or(F.array_contains(parts, t)) for t in terms]
+    known = catalog.agg(*[f.alias(str(i)) for i, f in enumerate(flags)]).first()
+    families = [t for t, hit in zip(terms, known[: len(terms)], strict=True) if hit]
+    segments = [t for t, hit in zip(terms, known[len(terms) :], strict=True) if hit]
     if len(families) == 1:
         return catalog.filter(family == families[0])
-    segments = F.slice(parts, 2, 1_000)
     if families:
-        others = [t for t in terms if t not in families]
-        more = reduce(or_, [F.array_contains(segments, t) for t in others], F.lit(False))
-        return catalog.filter(family.isin(*families) | more)
-    for t in terms:
-        found = catalog.filter(F.array_contains(segments, t))
-        if not found.isEmpty():
-            return found
-    words = F.lower(F.concat_ws(" ", "kind", "docs"))
-    return catalog.filter(reduce(or_, [words.contains(t) for t in terms]))
+        others = [t for t in terms if t not in families and t not in GENERIC]
+        return catalog.filter(family.isin(*families) | _mentions(list(searched), others))
+    if segments:
+        return catalog.filter(F.array_contains(parts, segments[0]))
+    return catalog.filter(_mentions(list(searched), terms))
+
+
+def summaries(catalog: DataFrame) -> DataFrame:
+    """(kind, docs, examples): of each kind its name, docs and the slugs of its examples (array of structs)."""
+    return catalog.select("kind", "docs", F.col("examples.slug").alias("examples"))
+
+
+def schema_of(catalog: DataFrame, kind: str) -> DataFrame:
+    """The row of a kind; raises LookupError if there is none."""
+    found = catalog.filter(F.col("kind") == kind)
+    if found.isEmpty():
+        raise LookupError(f"no kind {kind}")
+    return found
+
+
+def example_of(catalog: DataFrame, kind: str, slug: str) -> DataFrame:
+    """The columns of one example of a kind; raises LookupError if there is no such kind or example."""
+    found = schema_of(catalog, kind).select(F.inline("examples")).filter(F.col("slug") == slug)
+    if found.isEmpty():
+        raise LookupError(f"kind {kind} has no example {slug}")
+    return found

@@ -2,45 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.paths import glob_regex, is_glob, normalise_path
+from graphloom.functions.paths import glob_regex, is_glob, matches_any, normalise_path, parent, usable_pattern
+from graphloom.operators.digests import set_digest
 from graphloom.plans.fixpoint import reverse_closure
+from graphloom.sources.tables import stored
+
+#: The manifest at the root: a change of it changes the graph.
+DEFINITION = "manifest.toml"
 
 
 def pattern_owners(changed: DataFrame, patterns: DataFrame) -> DataFrame:
     """(path, id): targets (id, pattern) with a declared pattern that a changed path matches.
 
-    Patterns without wildcards join by equality. Others join on their literal directory (the
-    part before the first wildcard, up to a slash) with the directories above the path, and
-    the rest is matched by regular expression, so no pattern meets unrelated paths.
+    Absolute patterns and those that go up match nothing. Patterns without wildcards join by
+    equality. Others join on their literal directory (the part before the first wildcard, up
+    to a slash), or else on the extension they end in, and the rest is matched by regular
+    expression. Only a pattern with neither meets every path.
     """
     changed = changed.select("path").distinct()
-    exact = patterns.filter(~is_glob(F.col("pattern"))).join(changed, F.col("pattern") == F.col("path")).select("path", "id")
-    globs = patterns.filter(is_glob(F.col("pattern")))
-    globs = globs.withColumn("_dir", F.regexp_extract("pattern", r"\A((?:[^*?\[/]*/)*)", 1)).withColumn("_rx", glob_regex(F.col("pattern")))
-    above = changed.withColumn("_dir", F.explode(directories(F.col("path"))))
-    matched = above.join(globs, "_dir").filter(F.regexp_like("path", F.col("_rx"))).select("path", "id")
+    pattern = F.col("pattern")
+    patterns = patterns.filter(usable_pattern(pattern))
+    exact = patterns.filter(~is_glob(pattern)).join(changed, F.regexp_replace(pattern, r"\A(?:\./)+", "") == F.col("path")).select("path", "id")
+    folder = F.regexp_extract("pattern", r"\A((?:[^*?\[/]*/)+)", 1)
+    ending = F.regexp_extract("pattern", r"(\.[^.*?\[\]/]+)\z", 1)
+    key = F.when(folder != "", folder).when(ending != "", F.concat(F.lit("*"), ending)).otherwise(F.lit("*"))
+    globs = patterns.filter(is_glob(pattern)).withColumn("_key", key).withColumn("_rx", glob_regex(pattern))
+    own = F.array(F.lit("*"), F.concat(F.lit("*"), F.regexp_extract("path", r"(\.[^./]+)\z", 1)))
+    above = changed.withColumn("_key", F.explode(F.array_distinct(F.concat(own, directories(F.col("path"))))))
+    matched = above.join(globs, "_key").filter(F.regexp_like("path", F.col("_rx"))).select("path", "id")
     return exact.unionAll(matched).distinct()
 
 
 def directories(path: Column) -> Column:
-    """Every directory above a path with its closing slash, and ''."""
+    """Every directory above a path, with its closing slash."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))))
+    none = F.array().cast("array<string>")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")))
+    return F.when(F.size(parts) > 1, up).otherwise(none)
 
 
 def nearest_packages(changed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(path, package, id): targets of the deepest package that holds a path; all of them.
+    """(path, package, id): all targets of the deepest package that holds a path's directory.
 
-    The root package '' holds files at the root only. Paths join their prefixes by equality.
+    The root package '' holds files at the root only, manifests included. Prefixes of
+    directories join packages by equality.
     """
     packages = targets.select("package").distinct()
-    parts = F.split("path", "/")
-    # Every prefix may be a package, the path itself too; a path in a directory isn't at the root.
+    parts = F.split(parent(F.col("path")), "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    up = F.when(F.size(parts) == 1, F.concat(F.array(F.lit("")), up)).otherwise(up)
     held = changed.select("path").distinct().withColumn("package", F.explode(up)).join(packages, "package")
     best = held.groupBy("path").agg(F.max_by("package", F.length("package")).alias("package"))
     return best.join(targets.select("package", "id"), "package").select("path", "package", "id")
@@ -51,27 +63,47 @@ def unmatched(changed: DataFrame, owners: DataFrame) -> DataFrame:
     return changed.select("path").distinct().join(owners.select("path").distinct(), "path", "left_anti")
 
 
-def affected(changed: DataFrame, patterns: DataFrame, targets: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFrame:
-    """(id, reasons): the tests to run for changed paths, with sorted distinct reasons.
+def owners_of(changed: DataFrame, patterns: DataFrame, targets: DataFrame) -> DataFrame:
+    """(path, id): a declared pattern decides who owns a path, the nearest package only where none matches."""
+    declared = pattern_owners(changed, patterns)
+    near = nearest_packages(unmatched(changed, declared), targets)
+    return declared.unionAll(near.select("path", "id")).distinct()
+
+
+def graph_changes(changed: DataFrame, definitions: list[str]) -> DataFrame:
+    """Changed paths that define the graph: the root manifest and configured modules (patterns)."""
+    return changed.filter(matches_any(F.col("path"), definitions)) if definitions else changed.limit(0)
+
 
-    Without changed paths all tests run. A declared pattern decides who owns a path, the
-    nearest package only where none matches; a path without either selects all tests.
+def full_scope(changed: DataFrame, patterns: DataFrame, targets: DataFrame, definitions: list[str] = (DEFINITION,)) -> DataFrame:
+    """(path, reason) of the changed paths for which every test runs: definitions of the graph, and paths without an owner."""
+    changed = changed.select(normalise_path(F.col("path")).alias("path")).distinct()
+    defines = graph_changes(changed, list(definitions))
+    rest = changed.join(defines, "path", "left_anti")
+    lost = unmatched(rest, owners_of(rest, patterns, targets))
+    return defines.withColumn("reason", F.lit("graph definition")).unionAll(lost.withColumn("reason", F.lit("no owner")))
+
+
+def affected(changed: DataFrame, patterns: DataFrame, targets: DataFrame, edges: DataFrame, tests: DataFrame, definitions: list[str] = (DEFINITION,)) -> DataFrame:
+    """(id, reasons, full_scope): the tests to run for changed paths, with sorted distinct reasons of their own.
+
+    Without changed paths, or if ``full_scope`` has a path, all tests run; the flag says so
+    once, and the paths are not repeated for each test.
     """
     tests = tests.select("id").distinct()
-    changed = changed.select(normalise_path(F.col("path")).alias("path")).distinct()
+    changed = stored(changed.select(normalise_path(F.col("path")).alias("path")).distinct(), "changed")
     if changed.isEmpty():
-        return tests.withColumn("reasons", F.lit("full run"))
-    declared = pattern_owners(changed, patterns)
-    near = nearest_packages(unmatched(changed, declared), targets)
-    owners = declared.unionAll(near.select("path", "id")).distinct()
+        return tests.select("id", F.lit("full run").alias("reasons"), F.lit(True).alias("full_scope"))
+    defines = graph_changes(changed, list(definitions))
+    rest = changed.join(defines, "path", "left_anti")
+    owners = stored(owners_of(rest, patterns, targets), "owners")
+    every = not defines.unionAll(unmatched(rest, owners)).isEmpty()
     reached = reverse_closure(edges, owners.select(F.col("id").alias("start")).distinct())
     hit = reached.join(owners.withColumnRenamed("id", "start"), "start").join(tests.withColumnRenamed("id", "node"), "node")
     reason = F.when(F.col("hops") == 0, F.concat(F.lit("owns "), F.col("path"))).otherwise(F.concat(F.lit("depends on "), F.col("start"), F.lit(" for "), F.col("path")))
-    rows = hit.select(F.col("node").alias("id"), reason.alias("reason"))
-    lost = unmatched(changed, owners)
-    # All tests run for one of the unmatched paths and, with it, for all: one reason for each path.
-    rows = rows.unionAll(tests.join(lost.select(F.concat(F.lit("unmatched "), F.col("path")).alias("reason"), F.lit(1).alias("_one")), F.lit(1) == F.col("_one")).select("id", "reason"))
-    return rows.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("reason")), "; ").alias("reasons"))
+    own = hit.groupBy(F.col("node").alias("id")).agg(F.array_join(F.sort_array(F.collect_set(reason)), "; ").alias("reasons"))
+    out = tests.join(own, "id", "left" if every else "inner")
+    return out.select("id", F.coalesce("reasons", F.lit("")).alias("reasons"), F.lit(every).alias("full_scope"))
 
 
 def file_batches(units: DataFrame) -> DataFrame:
@@ -83,5 +115,34 @@ def file_batches(units: DataFrame) -> DataFrame:
 
 def plan_id(paths: DataFrame, domain: str = "plan") -> DataFrame:
     """One row: an id that depends on the set of paths, not on their order or repetition."""
-    listed = F.array_join(F.sort_array(F.collect_set("path")), "\n")
-    return paths.agg(F.sha2(F.concat(F.lit(domain), F.lit("\n"), listed), 256).alias("plan_id"))
+    whole = paths.select(F.lit(domain).alias("_plan"), "path").distinct()
+    return set_digest(whole, "_plan", F.col("path"), F.col("path"), domain).select(F.col("digest").alias("plan_id"))
+
+
+def restore_plan_order(completed: DataFrame, plan: DataFrame) -> DataFrame:
+    """``completed`` (batch_id, ...) in the order of the plan (batch_id, position), with the position."""
+    return completed.join(plan.select("batch_id", "position"), "batch_id").orderBy("position")
+
+
+def batches_by_target(plan: DataFrame) -> DataFrame:
+    """(target, pos, batch_id): the batches of each target in the plan's order, numbered from 1."""
+    order = Window.partitionBy("target").orderBy("position", "batch_id")
+    return plan.select("target", F.row_number().over(order).cast("long").alias("pos"), "batch_id")
+
+
+def planned_units(targets: DataFrame, units: DataFrame, target: str | None = None, unit: str | None = None) -> DataFrame:
+    """(target, batch, units): the batches of all tests, of one target, or of one of its units.
+
+    A target without known units is one batch. Raises LookupError for an unknown target or unit.
+    """
+    if target is not None:
+        targets = targets.filter(F.col("id") == target)
+        if targets.isEmpty():
+            raise LookupError(f"no target {target}")
+    chosen = units.join(targets.select(F.col("id").alias("target")), "target", "left_semi")
+    if unit is not None:
+        chosen = chosen.filter(F.col("unit") == unit)
+        if chosen.isEmpty():
+            raise LookupError(f"no unit {unit}")
+    bare = targets.select(F.col("id").alias("target")).distinct().join(units.select("target"), "target", "left_anti")
+    return file_batches(chosen).unionAll(bare.select("target", F.col("target").cast("string").alias("batch"), F.lit("").alias("units")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.ranges import running_before
 from graphloom.sources.tables import stored
 
 
@@ -15,6 +16,11 @@ def stats(blobs: DataFrame, actions: DataFrame) -> DataFrame:
     return b.unionByName(a)
 
 
+def put_blobs(writes: DataFrame) -> DataFrame:
+    """(digest, copies, first): one blob for each content; a content that is written again is not kept twice."""
+    return writes.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("modified").alias("first"))
+
+
 def refcounts(refs: DataFrame) -> DataFrame:
     """(digest, n): references to each blob; an action that names one twice counts twice."""
     return refs.groupBy(F.col("ref").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
@@ -25,21 +31,6 @@ def orphans(blobs: DataFrame, refs: DataFrame) -> DataFrame:
     return blobs.join(refs.select(F.col("ref").alias("digest")).distinct(), "digest", "left_anti")
 
 
-def running_before(df: DataFrame, order: list[str], value: str, to: str, parts: int = 64) -> DataFrame:
-    """``df`` with ``to``: the sum of ``value`` over the rows before it in ``order``.
-
-    Rows are dealt out by ranges of ``order``; sums of whole ranges come first, then sums
-    inside a range, so no task holds all rows.
-    """
-    dealt = stored(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
-    whole = dealt.groupBy("_p").agg(F.sum(value).alias("_s"))
-    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.select("_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_from"))  # ``parts`` rows at most
-    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(whole), "_p")
-    return out.withColumn(to, (F.col("_in") + F.col("_from")).cast("long")).drop("_p", "_in", "_from")
-
-
 def evict_orphans(blobs: DataFrame, refs: DataFrame, total: int, budget: int) -> DataFrame:
     """(digest, size): orphans to remove, oldest first, while more than the budget is left."""
     before = running_before(orphans(blobs, refs), ["modified", "digest"], "size", "_before")

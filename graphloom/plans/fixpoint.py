@@ -1,6 +1,8 @@
-"""Recursive graph queries as loops of joins; every round is stored, so plans stay small.
+"""Recursive graph queries as loops of joins over stored tables.
 
-All take ``edges`` (src, dst), where src depends on dst. Duplicate edges are allowed.
+All take ``edges`` (src, dst), where src depends on dst. Duplicate edges are allowed. Edges
+are stored once before a loop. Rounds are added to one stored table that is read as a single
+scan, so the plan of a round, and that of the result, don't grow with the number of rounds.
 """
 
 from __future__ import annotations
@@ -8,48 +10,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.sources.tables import stored
+from graphloom.sources.tables import Rounds, stored
+
+#: Rounds after which a loop over paths looks whether the graph has a cycle.
+CHECK_AFTER = 64
+
+
+def _distinct(edges: DataFrame) -> DataFrame:
+    return stored(edges.select("src", "dst").distinct(), "edges")
+
+
+def _reversed(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(start, node, hops): what each seed (start) reaches, itself left out even on a cycle."""
-    edges = edges.select("src", "dst").distinct()
-    seen = stored(seeds.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct(), "closure")
-    frontier, hops = seen, 0
+    edges = _distinct(edges)
+    seen = Rounds(edges.sparkSession, "closure")
+    frontier, hops = seen.add(seeds.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct()), 0
     while True:
         hops += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
-        step = stored(step.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)), "closure")
-        if step.isEmpty():
-            return seen.filter("hops > 0")
-        seen, frontier = seen.unionAll(step), step
+        frontier = seen.add(step.join(seen.all(), ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        if frontier.isEmpty():
+            return seen.all().filter("hops > 0")
 
 
 def reverse_closure(edges: DataFrame, owners: DataFrame) -> DataFrame:
     """(start, node, hops): the owners themselves (hops 0) and all that depend on them."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     own = owners.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct()
-    return own.unionAll(closure(back, owners))
+    return own.unionAll(closure(_reversed(edges), owners))
+
+
+def closure_of_kinds(targets: DataFrame, edges: DataFrame, roots: DataFrame, kinds: list[str]) -> DataFrame:
+    """(start, node): the roots and what they reach through targets (id, kind) of some kinds only."""
+    followed = targets.filter(F.col("kind").isin(*kinds)).select(F.col("id").alias("src"))
+    through = edges.join(followed, "src", "left_semi")
+    return roots.select("start", F.col("start").alias("node")).unionAll(closure(through, roots).select("start", "node"))
 
 
 def longest_path(nodes: DataFrame, edges: DataFrame, at_least: int = 1) -> DataFrame:
     """(node, depth): ``at_least`` for a node that no edge enters, else 1 more than the deepest node before it.
 
-    Raises ValueError on a cycle, found when a round has passed more nodes than there are.
+    Round k holds the ends of the paths of k edges, so a node's depth is the last round that
+    holds it, and only those nodes are carried on. Raises ValueError on a cycle.
     """
-    edges = edges.select("src", "dst").distinct()
-    depth = stored(nodes.select("node", F.lit(at_least).cast("long").alias("depth")), "depth")
-    n, rounds = depth.count(), 0
-    while True:
-        rounds += 1
-        through = edges.join(depth, edges["src"] == depth["node"]).groupBy("dst").agg((F.max("depth") + 1).alias("_d"))
-        new = depth.join(through, depth["node"] == through["dst"], "left")
-        new = stored(new.select("node", F.greatest("depth", F.coalesce("_d", "depth")).alias("depth"), (F.col("_d") > F.col("depth")).alias("_new")), "depth")
-        if new.filter("_new").isEmpty():
-            return new.select("node", "depth")
-        if rounds > n:
+    edges = _distinct(edges)
+    ends = Rounds(edges.sparkSession, "depth")
+    frontier, k = ends.add(edges.select(F.col("dst").alias("node"), F.lit(1).cast("long").alias("k")).distinct()), 1
+    while not frontier.isEmpty():
+        if k == CHECK_AFTER and not is_acyclic(edges):
             raise ValueError("the graph has a cycle")
-        depth = new.select("node", "depth")
+        k += 1
+        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        frontier = ends.add(step.withColumn("k", F.lit(k).cast("long")))
+    last = ends.all().groupBy("node").agg(F.max("k").alias("_k"))
+    return nodes.join(last, "node", "left").select("node", (F.coalesce("_k", F.lit(0)) + at_least).cast("long").alias("depth"))
 
 
 def critical_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,13 +76,17 @@ def critical_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, depth): 0 for a node without dependencies, else 1 more than its highest dependency."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return longest_path(nodes, back, at_least=0)
+    return longest_path(nodes, _reversed(edges), at_least=0)
+
+
+def ready_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, depth), the deepest first, ties by node: in which order ready nodes are taken."""
+    return critical_depth(nodes, edges).orderBy(F.col("depth").desc(), "node")
 
 
 def cycle_core(edges: DataFrame) -> DataFrame:
     """The edges left when nodes without a way in, or without a way out, are peeled off again and again."""
-    rest = stored(edges.select("src", "dst").distinct(), "core")
+    rest = _distinct(edges)
     n = rest.count()
     while n:
         into, out = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
@@ -77,15 +98,46 @@ def cycle_core(edges: DataFrame) -> DataFrame:
     return rest
 
 
+def _colours(edges: DataFrame) -> DataFrame:
+    """(node, colour): the greatest node that reaches each node, itself included."""
+    nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).distinct()
+    colours = stored(nodes.withColumn("colour", F.col("node")).withColumn("new", F.lit(True)), "colours")
+    while True:
+        told = edges.join(colours.filter("new"), F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("_c"))
+        both = colours.join(told, colours["node"] == told["dst"], "left")
+        risen = F.coalesce(F.col("_c") > F.col("colour"), F.lit(False))
+        colours = stored(both.select("node", F.when(risen, F.col("_c")).otherwise(F.col("colour")).alias("colour"), risen.alias("new")), "colours")
+        if colours.filter("new").isEmpty():
+            return colours.select("node", "colour")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle): the nodes that reach themselves, and a name for those that reach each other.
+
+    In the peeled graph every node takes the greatest node that reaches it as its colour. What
+    reaches back to a node of its own colour's name inside the colour is one group of cycles;
+    it is cut out, and the rest is peeled and coloured again.
+    """
+    rest = cycle_core(edges)
+    found = Rounds(edges.sparkSession, "cycles")
+    found.add(rest.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle")))
+    while not rest.isEmpty():
+        colour = _colours(rest)
+        of_src, of_dst = colour.select(F.col("node").alias("src"), F.col("colour").alias("_a")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("_b"))
+        inside = stored(rest.join(of_src, "src").join(of_dst, "dst").filter("_a = _b").select("src", "dst"), "inside")
+        roots = colour.filter("node = colour").select(F.col("node").alias("start"))
+        back = stored(reverse_closure(inside.filter("src <> dst"), roots).select("node", F.col("start").alias("cycle")), "groups")
+        sizes = back.groupBy("cycle").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        found.add(back.join(sizes, "cycle", "left_semi").select("node", "cycle"))
+        gone = back.select("node")
+        rest = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        rest = cycle_core(rest)
+    return found.all().groupBy("node").agg(F.max("cycle").alias("cycle"))
+
+
 def cycle_members(edges: DataFrame) -> DataFrame:
     """(node): the nodes that reach themselves."""
-    core = cycle_core(edges)
-    if core.isEmpty():
-        return core.select(F.col("src").alias("node"))
-    reached = closure(core, core.select(F.col("src").alias("start")))
-    # A node's own step back to itself is left out of the closure: close it by one more edge.
-    loops = reached.join(core, (reached["node"] == core["src"]) & (reached["start"] == core["dst"])).select(F.col("start").alias("node"))
-    return loops.unionAll(core.filter("src = dst").select(F.col("src").alias("node"))).distinct()
+    return cycles(edges).select("node")
 
 
 def is_acyclic(edges: DataFrame) -> bool:

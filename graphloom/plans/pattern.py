@@ -85,14 +85,19 @@ class Pattern:
     aliases: frozenset[str] = field(default_factory=frozenset)
 
     def where(self, *groups: list[Condition]) -> Pattern:
-        """Keeps rows for which all conditions of one of the groups hold."""
-        either = [reduce(and_, [c.column(set(self.aliases)) for c in g]) for g in groups]
+        """Keeps rows for which all conditions of one of the groups hold; without groups, all rows."""
+        if not groups:
+            return self
+        either = [reduce(and_, [c.column(set(self.aliases)) for c in g], F.lit(True)) for g in groups]
         return Pattern(self.rows.filter(reduce(or_, either)), self.aliases)
 
-    def returns(self, **results: str) -> DataFrame:
-        """One column for each name: ``alias`` (the node as JSON) or ``alias.path`` (null if missing)."""
+    def returns(self, *plain: str, **results: str) -> DataFrame:
+        """One column for each result: ``alias`` (the node as JSON) or ``alias.path`` (null if missing).
+
+        A result given without a name is named by its own text.
+        """
         columns = []
-        for name, what in results.items():
+        for name, what in [*((w, w) for w in plain), *results.items()]:
             alias, _, path = what.partition(".")
             if alias not in self.aliases:
                 value = F.lit(None).cast("string")

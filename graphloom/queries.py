@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths as P
 from graphloom.functions import scalars as S
-from graphloom.operators import digests, graph, history, journal, logs, results, search, selection, store, validate
+from graphloom.operators import contract, digests, edits, graph, history, journal, logs, providers, results, scripts, search, selection, selects, store, validate
 from graphloom.plans import fixpoint, pattern
 from graphloom.plans.pattern import Condition
+from graphloom.sources import files
 from graphloom.sources import records as R
 from graphloom.sources.records import with_
 from graphloom.sources.tables import stored, table
@@ -20,9 +21,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-#: The day that change queries start from: every path changed on it.
-CHANGED_PAGES = "page_id % 50 = 0"
-
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a function under its name, with its SQL."""
@@ -133,13 +131,20 @@ def graph_edges(spark, sf):
     return graph.edges(R.targets(spark, sf))
 
 
-@query("SELECT o_orderkey AS src, s_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderstatus = 'F'")
+@query("SELECT 'orders/' || o_orderkey AS src, 'supplier/' || s_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderstatus = 'F'")
 def one_hop(spark, sf):
     """Duplicate edges stay: the pattern's matches are a bag."""
-    orders = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("src"))
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("dst"))
-    return orders.join(lines, "src").join(suppliers, "dst").select("src", "dst")
+    name = lambda t, c: F.concat(F.lit(f"{t}/"), F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+
+    def nodes_of(t: str, key: str, label: str, props) -> DataFrame:
+        return table(spark, sf, t).select(name(t, key).alias("id"), F.lit(label).alias("label"), F.col(key).cast("string").alias("name"), F.lit(t).alias("kind"), none.alias("package"), props.alias("props"))
+
+    orders = nodes_of("orders", "o_orderkey", "Order", F.to_json(F.struct(F.col("o_orderstatus").alias("status"))))
+    nodes = orders.unionAll(nodes_of("supplier", "s_suppkey", "Supplier", F.lit("{}")))
+    edges = table(spark, sf, "lineitem").select(name("orders", "l_orderkey").alias("src"), name("supplier", "l_suppkey").alias("dst"), F.lit("FROM").alias("type"))
+    left, right = pattern.node(nodes, "o", "Order", status="F"), pattern.node(nodes, "s", "Supplier")
+    return pattern.related(nodes, edges, left, "FROM", right).returns(src="o.id", dst="s.id")
 
 
 def _graph(spark, sf):
@@ -164,11 +169,26 @@ def capability_match(spark, sf):
     return graph.with_capability(R.targets(spark, sf), "F")
 
 
-@query(with_("targets") + " SELECT count(*) AS n_targets, count(DISTINCT package) AS n_packages, array_to_string(list_sort(list(DISTINCT package)), ',') AS packages, count(*) = 0 AS is_empty FROM targets")
+@query(with_("targets") + " SELECT count(*) AS n_targets, count(DISTINCT package) AS n_packages, count(*) = 0 AS is_empty FROM targets")
 def workspace_summary(spark, sf):
     return graph.workspace_summary(R.targets(spark, sf))
 
 
+@query(with_("targets") + " SELECT DISTINCT package FROM targets")
+def workspace_packages(spark, sf):
+    return graph.packages(R.targets(spark, sf))
+
+
+@query(with_("targets") + " SELECT unnest(capabilities) AS capability FROM targets WHERE id = 'orders/3'")
+def capabilities_of_target(spark, sf):
+    return graph.capabilities_of(R.targets(spark, sf), "orders/3")
+
+
+@query(with_("targets") + " SELECT id, kind, attrs FROM targets WHERE id = 'part/17'")
+def target_lookup(spark, sf):
+    return graph.lookup(R.targets(spark, sf), "part/17").select("id", "kind", "attrs")
+
+
 @query(with_("targets") + " SELECT id, name FROM targets WHERE kind = 'part' AND name = '17'")
 def pattern_node(spark, sf):
     nodes, _ = _graph(spark, sf)
@@ -222,16 +242,13 @@ def pattern_transitive(spark, sf):
 
 # Closures and paths
 
-_SEEDS = "p_partkey % 97 = 5"
-
-
 @query(
     with_("deep", recursive=True)
-    + f""", c AS (SELECT p_partkey AS start, p_partkey AS node FROM part WHERE {_SEEDS} UNION SELECT c.start, d.dst FROM c JOIN deep d ON d.src = c.node)
+    + """, c AS (SELECT p_partkey AS start, p_partkey AS node FROM part UNION SELECT c.start, d.dst FROM c JOIN deep d ON d.src = c.node)
 SELECT start, node FROM c WHERE start <> node"""
 )
 def closure_deep(spark, sf):
-    seeds = table(spark, sf, "part").filter(_SEEDS).select(F.col("p_partkey").alias("start"))
+    seeds = table(spark, sf, "part").select(F.col("p_partkey").alias("start"))
     return fixpoint.closure(R.deep_edges(spark, sf), seeds).select("start", "node")
 
 
@@ -265,10 +282,8 @@ SELECT start, node FROM c"""
 def closure_of_kinds(spark, sf):
     """Only targets of some kinds are followed; roots are part of the result."""
     targets = R.targets(spark, sf)
-    followed = targets.filter(F.col("kind").isin("order", "part")).select(F.col("id").alias("src"))
-    edges = graph.depends_on(targets).join(followed, "src", "left_semi")
     roots = targets.filter(F.col("id").isin("orders/1", "orders/2", "part/500")).select(F.col("id").alias("start"))
-    return roots.select("start", F.col("start").alias("node")).unionAll(fixpoint.closure(edges, roots).select("start", "node"))
+    return fixpoint.closure_of_kinds(targets, graph.depends_on(targets), roots, ["order", "part"])
 
 
 @query(
@@ -291,6 +306,17 @@ def topo_levels(spark, sf):
     return fixpoint.levels(nodes, R.deep_edges(spark, sf))
 
 
+@query(
+    with_("deep", recursive=True)
+    + """, w AS (SELECT p_partkey AS node, 1::BIGINT AS depth FROM part UNION SELECT d.dst, w.depth + 1 FROM w JOIN deep d ON d.src = w.node)
+SELECT node, max(depth) AS depth FROM w GROUP BY node"""
+)
+def ready_order(spark, sf):
+    """Parts as they are taken when ready: the deepest first."""
+    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
+    return fixpoint.ready_order(nodes, R.deep_edges(spark, sf))
+
+
 @query(
     with_("cyclic", recursive=True)
     + """, c AS (SELECT src AS start, dst AS node FROM cyclic UNION SELECT c.start, d.dst FROM c JOIN cyclic d ON d.src = c.node)
@@ -304,25 +330,24 @@ def cycle_members(spark, sf):
 
 
 def _page_paths(spark, sf) -> DataFrame:
-    """(path): host and path of pages that changed."""
-    pages = table(spark, sf, "pages").filter(CHANGED_PAGES)
-    return pages.select(F.regexp_extract("url", r"\Ahttps?://([^?#]*)", 1).alias("path"))
+    """(path): host and path of all pages, as changed paths."""
+    return table(spark, sf, "pages").select(F.regexp_extract("url", r"\Ahttps?://([^?#]*)", 1).alias("path"))
 
 
 def _page_packages(spark, sf) -> DataFrame:
-    """(id, package): a target for each host, and one for each language folder of hosts whose name has an m."""
+    """(id, package): a target for each host that isn't a blog's, and one for each language folder of hosts whose name has an m."""
     place = F.regexp_extract("url", r"\Ahttps?://([^/?#]*)", 1)
     folder = F.regexp_extract("url", r"\Ahttps?://([^/?#]*/[^/?#]*)/", 1)
-    rows = table(spark, sf, "pages").filter("page_id % 3 = 0")
+    rows = table(spark, sf, "pages").filter(~F.col("url").contains("//blog."))
     both = rows.select(place.alias("package")).unionAll(rows.filter(folder.contains("m.")).select(folder.alias("package")))
     return both.filter("package <> ''").distinct().select(F.concat("package", F.lit("#site")).alias("id"), "package")
 
 
-_PAGES_SQL = f"""WITH RECURSIVE paths AS (SELECT DISTINCT regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages WHERE {CHANGED_PAGES}),
-packages AS (SELECT DISTINCT package FROM (
-  SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS package FROM pages WHERE page_id % 3 = 0
-  UNION ALL SELECT regexp_extract(url, '^https?://([^/?#]*/[^/?#]*)/', 1) FROM pages WHERE page_id % 3 = 0 AND contains(regexp_extract(url, '^https?://([^/?#]*/[^/?#]*)/', 1), 'm.')) WHERE package <> ''),
-held AS (SELECT path, package, rank() OVER (PARTITION BY path ORDER BY length(package) DESC) AS r FROM paths JOIN packages ON path = package OR starts_with(path, package || '/'))"""
+_PAGES_SQL = """WITH paths AS (SELECT DISTINCT regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages),
+rows_ AS (SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract(url, '^https?://([^/?#]*/[^/?#]*)/', 1) AS folder FROM pages WHERE NOT contains(url, '//blog.')),
+packages AS (SELECT DISTINCT package FROM (SELECT host AS package FROM rows_ UNION ALL SELECT folder FROM rows_ WHERE contains(folder, 'm.')) WHERE package <> ''),
+dirs AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM paths),
+held AS (SELECT path, package, rank() OVER (PARTITION BY path ORDER BY length(package) DESC) AS r FROM dirs JOIN packages ON dir = package OR starts_with(dir, package || '/'))"""
 
 
 @query(_PAGES_SQL + " SELECT path, package, package || '#site' AS id FROM held WHERE r = 1")
@@ -337,31 +362,99 @@ def unmatched_paths(spark, sf):
 
 
 @query(
-    f"""SELECT DISTINCT path, id FROM (SELECT regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages WHERE {CHANGED_PAGES})
-JOIN (VALUES ('en', '%/en/*', '^.*/en/.*$'), ('de-1', '%', '^.*/de/1.*$'), ('html', '%', '^.*\\.html$')) AS p(id, x, rx) ON regexp_matches(path, rx)"""
+    """SELECT DISTINCT path, id FROM (SELECT regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages)
+JOIN (VALUES ('en', '^.*/en/.*$'), ('de-1', '^.*/de/1.*$'), ('html', '^.*\\.html$')) AS p(id, rx) ON regexp_matches(path, rx)"""
 )
 def pattern_owners(spark, sf):
     patterns = spark.sql("SELECT * FROM VALUES ('en', '*/en/*'), ('de-1', '*/de/1*'), ('html', '*.html'), ('none', 'a/b.html') AS t(id, pattern)")
     return selection.pattern_owners(_page_paths(spark, sf), patterns)
 
 
+@query("SELECT DISTINCT regexp_extract(url, '^https?://([^?#]*)', 1) AS path, 'own' AS id FROM pages")
+def unsafe_patterns(spark, sf):
+    """Absolute patterns and those that go up match nothing, whatever they would match otherwise."""
+    pages = _page_paths(spark, sf)
+    own = pages.select(F.lit("own").alias("id"), F.concat(F.lit("./"), F.col("path")).alias("pattern"))
+    wrong = pages.select(F.lit("absolute").alias("id"), F.concat(F.lit("/"), F.col("path")).alias("pattern")).unionAll(
+        pages.select(F.lit("up").alias("id"), F.concat(F.lit("x/../"), F.col("path")).alias("pattern"))
+    )
+    return selection.pattern_owners(pages, own.unionAll(wrong).unionAll(spark.sql("SELECT 'all' AS id, '/*' AS pattern UNION ALL SELECT 'all', '../*'")))
+
+
+_CHANGED = """ch AS (SELECT 'part/' || p_partkey AS path FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'part/x/' || p_partkey FROM part WHERE p_partkey < 5
+  UNION ALL SELECT 'nowhere/x' UNION ALL SELECT 'rules/a.star')"""
+
+
+def _changed(spark, sf) -> DataFrame:
+    """(path): paths of targets, paths inside a package, one that nothing owns, and a configured module."""
+    part = table(spark, sf, "part").select("p_partkey")
+    own = part.filter("p_partkey % 3 = 0").select(F.concat(F.lit("./part/"), F.col("p_partkey").cast("string")).alias("path"))
+    inside = part.filter("p_partkey < 5").select(F.concat(F.lit("part/x/"), F.col("p_partkey").cast("string")))
+    return own.unionAll(inside).unionAll(spark.sql("SELECT * FROM VALUES ('nowhere/x'), ('rules/a.star')"))
+
+
+_DEFINITIONS = [selection.DEFINITION, "rules/*.star"]
+
+
 @query(
     with_("targets", "edges", recursive=True)
-    + """, ch AS (SELECT 'part/' || p_partkey AS path FROM part WHERE p_partkey IN (900, 451) UNION ALL SELECT 'nowhere/x'),
-own AS (SELECT path, path AS id FROM ch WHERE path IN (SELECT id FROM targets)),
-c AS (SELECT id AS start, id AS node FROM own UNION SELECT c.start, e.src FROM c JOIN edges e ON e.dst = c.node),
-r AS (SELECT c.node AS id, CASE WHEN c.node = c.start THEN 'owns ' || own.path ELSE 'depends on ' || c.start || ' for ' || own.path END AS reason FROM c JOIN own ON own.id = c.start
-  UNION SELECT id, 'unmatched nowhere/x' FROM targets WHERE kind = 'part')
-SELECT id, array_to_string(list_sort(list(DISTINCT reason)), '; ') AS reasons FROM r WHERE id LIKE 'part/%' GROUP BY id"""
+    + f""", {_CHANGED},
+declared AS (SELECT path, path AS id FROM ch WHERE path IN (SELECT id FROM targets)),
+own AS (SELECT * FROM declared UNION ALL SELECT ch.path, t.id FROM ch JOIN targets t ON t.package = 'part' AND ch.path LIKE 'part/%' WHERE ch.path NOT IN (SELECT path FROM declared)),
+starts AS (SELECT DISTINCT id FROM own),
+c AS (SELECT id AS start, id AS node FROM starts UNION SELECT c.start, e.src FROM c JOIN edges e ON e.dst = c.node),
+r AS (SELECT DISTINCT c.node AS id, CASE WHEN c.node = c.start THEN 'owns ' || own.path ELSE 'depends on ' || c.start || ' for ' || own.path END AS reason FROM c JOIN own ON own.id = c.start),
+g AS (SELECT id, array_to_string(list_sort(list(reason)), '; ') AS reasons FROM r GROUP BY id)
+SELECT t.id, coalesce(reasons, '') AS reasons, true AS full_scope FROM targets t LEFT JOIN g USING (id) WHERE t.kind = 'part'"""
 )
 def affected_targets(spark, sf):
     """Parts are tests; each is the declared owner of the path of its name."""
     targets = R.targets(spark, sf)
-    changed = spark.sql("SELECT * FROM VALUES ('./part/900'), ('part/451'), ('nowhere/x') AS t(path)")
     patterns = targets.select("id", F.col("id").alias("pattern"))
-    tests = targets.filter("kind = 'part'")
-    bare = targets.filter("package <> 'nowhere'")
-    return selection.affected(changed, patterns, bare, graph.depends_on(targets), tests)
+    return selection.affected(_changed(spark, sf), patterns, targets, graph.depends_on(targets), targets.filter("kind = 'part'"), _DEFINITIONS)
+
+
+@query(
+    with_("targets", "edges", recursive=True)
+    + """, own AS (SELECT id FROM targets WHERE id IN (SELECT 'nation/' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0)),
+c AS (SELECT id AS start, id AS node FROM own UNION SELECT c.start, e.src FROM c JOIN edges e ON e.dst = c.node)
+SELECT c.node AS id, string_agg('depends on ' || c.start || ' for ' || c.start, '; ' ORDER BY c.start) AS reasons, false AS full_scope FROM c JOIN targets t ON t.id = c.node WHERE t.kind = 'order' GROUP BY 1"""
+)
+def affected_dependents(spark, sf):
+    """Every path has an owner, so only the tests that depend on one of these run."""
+    targets = R.targets(spark, sf)
+    patterns = targets.select("id", F.col("id").alias("pattern"))
+    changed = table(spark, sf, "nation").filter("n_nationkey % 2 = 0").select(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("path"))
+    return selection.affected(changed, patterns, targets, graph.depends_on(targets), targets.filter("kind = 'order'"))
+
+
+@query(f"WITH {_CHANGED} SELECT path, 'graph definition' AS reason FROM ch WHERE path LIKE 'rules/%' UNION ALL SELECT path, 'no owner' FROM ch WHERE path = 'nowhere/x'")
+def manifest_change(spark, sf):
+    """The changed paths for which all tests run."""
+    targets = R.targets(spark, sf)
+    return selection.full_scope(_changed(spark, sf), targets.select("id", F.col("id").alias("pattern")), targets, _DEFINITIONS)
+
+
+@query(with_("plan") + " SELECT target, row_number() OVER (PARTITION BY target ORDER BY position, batch) AS pos, batch AS batch_id FROM plan")
+def batches_by_target(spark, sf):
+    return selection.batches_by_target(R.plan(spark, sf).withColumnRenamed("batch", "batch_id"))
+
+
+@query(with_("plan", "runs") + " SELECT batch AS batch_id, success, position FROM runs JOIN plan USING (batch)")
+def plan_order(spark, sf):
+    """What has run, in the order of the plan."""
+    ran = R.runs(spark, sf).select(F.col("batch").alias("batch_id"), "success")
+    return selection.restore_plan_order(ran, R.plan(spark, sf).withColumnRenamed("batch", "batch_id"))
+
+
+@query(
+    """WITH u AS (SELECT DISTINCT l_suppkey AS target, l_returnflag AS file, l_returnflag || l_linestatus AS unit FROM lineitem WHERE l_suppkey % 2 = 0)
+SELECT target, file AS batch, string_agg(unit, ',' ORDER BY unit) AS units FROM u GROUP BY 1, 2 UNION ALL SELECT s_suppkey, s_suppkey::VARCHAR, '' FROM supplier WHERE s_suppkey NOT IN (SELECT target FROM u)"""
+)
+def planned_units(spark, sf):
+    """Batches of all suppliers; those with odd keys have no known units."""
+    units = table(spark, sf, "lineitem").filter("l_suppkey % 2 = 0").select(F.col("l_suppkey").alias("target"), F.concat("l_returnflag", "l_linestatus").alias("unit"), F.col("l_returnflag").alias("file"))
+    return selection.planned_units(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), units)
 
 
 @query(
@@ -377,7 +470,14 @@ def file_batches(spark, sf):
     return selection.file_batches(units)
 
 
-@query(f"SELECT sha256('plan' || chr(10) || array_to_string(list_sort(list(DISTINCT regexp_extract(url, '^https?://([^?#]*)', 1))), chr(10))) AS plan_id FROM pages WHERE {CHANGED_PAGES}")
+def _set_digest_sql(rows: str, key: str, label: str, line: str, domain: str) -> str:
+    """SQL of ``digests.set_digest``: parts by a digest of the label, then a fold of the parts."""
+    return f"""WITH s AS (SELECT {key} AS k, {label} AS label, {line} AS line FROM {rows}),
+p AS (SELECT k, substr(sha256(label), 1, 3) AS part, sha256(string_agg(line || chr(10), '' ORDER BY label, line)) AS digest, count(*) AS n FROM s GROUP BY 1, 2),
+f AS (SELECT k, sha256('{domain}' || chr(10) || string_agg(part || chr(10) || digest || chr(10), '' ORDER BY part)) AS digest, sum(n)::BIGINT AS n FROM p GROUP BY k)"""
+
+
+@query(_set_digest_sql("(SELECT DISTINCT regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages)", "1", "path", "path", "plan") + " SELECT digest AS plan_id FROM f")
 def plan_id(spark, sf):
     return selection.plan_id(_page_paths(spark, sf))
 
@@ -456,7 +556,7 @@ def gc_report(spark, sf):
 
 @query(with_("blobs") + " SELECT digest, count(*) AS copies, min(modified) AS first FROM blobs GROUP BY digest")
 def dedupe_blobs(spark, sf):
-    return R.blobs(spark, sf).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("modified").alias("first"))
+    return store.put_blobs(R.blobs(spark, sf))
 
 
 @query(with_("attempts") + " SELECT batch_id, arg_max(id, (started_at_unix_ms, id)) AS id FROM attempts GROUP BY batch_id HAVING batch_id NOT IN ('b1', 'b2')")
@@ -483,17 +583,14 @@ def _components(spark, sf) -> DataFrame:
     return docs.select("source", F.col("lang").alias("category"), F.col("doc_id").cast("string").alias("label"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
 
 
-@query(
-    """SELECT source, sha256('fingerprint' || chr(10) || string_agg(doc_id::VARCHAR || chr(10) || sha256(coalesce(text, '')) || chr(10), '' ORDER BY doc_id::VARCHAR, sha256(coalesce(text, '')))) AS digest,
-count(*) AS n FROM documents GROUP BY source"""
-)
+@query(_set_digest_sql("documents", "source", "doc_id::VARCHAR", "doc_id::VARCHAR || ' ' || sha256(coalesce(text, ''))", "fingerprint") + " SELECT k AS source, digest, n FROM f")
 def fingerprint(spark, sf):
     return digests.fingerprint(_components(spark, sf), "source")
 
 
 @query("SELECT lang AS category, count(*) AS n FROM documents GROUP BY lang")
 def category_counts(spark, sf):
-    return _components(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return digests.category_counts(_components(spark, sf))
 
 
 @query(
@@ -521,7 +618,7 @@ def run_diff(spark, sf):
     return digests.differences(half(0), half(1), "batch_id", "v")
 
 
-@query("SELECT lang AS tree, sha256(string_agg(sha256(coalesce(text, '')) || '  ' || source || '/' || doc_id || chr(10), '' ORDER BY source || '/' || doc_id)) AS digest FROM documents GROUP BY lang")
+@query(_set_digest_sql("documents", "lang", "source || '/' || doc_id", "sha256(coalesce(text, '')) || '  ' || source || '/' || doc_id", "tree") + " SELECT k AS tree, digest FROM f")
 def tree_manifest(spark, sf):
     files = table(spark, sf, "documents").select(
         F.col("lang").alias("tree"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
@@ -570,19 +667,131 @@ def case_merge(spark, sf):
     return results.merge_cases(R.cases(spark, sf)).select("target", "case_id", "status")
 
 
-@query(with_("cases") + " SELECT target, bool_and(status <> 'failed') AS all_passed FROM cases GROUP BY target")
+def _batches(spark, sf) -> DataFrame:
+    return results.batch_runs(R.plan(spark, sf), R.runs(spark, sf))
+
+
+_BATCHES = with_("cases", "plan", "runs", "merged", "files")
+_COUNTS = """, n AS (SELECT target, count(*) AS total, count(*) FILTER (status IN ('passed', 'flaky')) AS passed, count(*) FILTER (status = 'failed') AS failed,
+  count(*) FILTER (status IN ('skipped', 'todo')) AS skipped, count(*) FILTER (status = 'flaky') AS flaky FROM merged GROUP BY target),
+v AS (SELECT target, bool_and(success AND coalesce(status = 'passed', true)) AS ok, coalesce(arg_min(runner, position) FILTER (runner IS NOT NULL AND status IS NOT NULL), 'unknown') AS runner FROM batches GROUP BY target),
+res AS (SELECT v.target, runner, CASE WHEN ok AND failed = 0 THEN 'passed' ELSE 'failed' END AS status, total, passed, failed, skipped, flaky FROM v JOIN n USING (target))"""
+
+
+@query(_BATCHES + " SELECT target, batch, success, status, runner FROM batches")
+def batch_runs(spark, sf):
+    """Every batch of the plan with its run; one that has none did not succeed."""
+    return _batches(spark, sf).select("target", "batch", "success", "status", "runner")
+
+
+@query(_BATCHES + " SELECT target, bool_and(success AND coalesce(status = 'passed', true)) AS all_passed FROM batches GROUP BY target")
 def all_passed(spark, sf):
-    return results.all_passed(R.cases(spark, sf), "target")
+    return results.all_passed(_batches(spark, sf))
+
+
+@query(_BATCHES + " SELECT target, case_id, -position AS position, status FROM every WHERE real = 0")
+def synthetic_cases(spark, sf):
+    return results.synthetic_cases(_batches(spark, sf))
+
+
+@query(_BATCHES + " SELECT target, case_id, status FROM merged")
+def merged_cases(spark, sf):
+    return results.merged_cases(_batches(spark, sf), R.batch_cases(spark, sf))
+
+
+@query(_BATCHES + _COUNTS + " SELECT * FROM res")
+def merged_results(spark, sf):
+    return results.merged_results(_batches(spark, sf), R.batch_cases(spark, sf))
+
+
+@query(_BATCHES + " SELECT target, field, path FROM artifacts")
+def artifact_union(spark, sf):
+    return results.artifacts(_batches(spark, sf), R.batch_files(spark, sf))
+
+
+_DOCUMENT = "results.v1"
+
+
+def _documents(spark, sf) -> DataFrame:
+    """(target, document): the results of every supplier as JSON."""
+    batches = stored(_batches(spark, sf), "batches")
+    cases, merged = results.merged_cases(batches, R.batch_cases(spark, sf)), results.merged_results(batches, R.batch_cases(spark, sf))
+    return results.results_document(merged, cases, results.artifacts(batches, R.batch_files(spark, sf)), _DOCUMENT)
+
+
+@query(
+    _BATCHES
+    + _COUNTS
+    + """, a AS (SELECT target, coalesce('"' || string_agg(path, '","' ORDER BY path) FILTER (field = 'logs') || '"', '') AS l, coalesce('"' || string_agg(path, '","' ORDER BY path) FILTER (field = 'native_results') || '"', '') AS r,
+  '"' || string_agg(path, '","' ORDER BY path) FILTER (field = 'coverage') || '"' AS c FROM artifacts GROUP BY target)
+SELECT 'results.v1' AS source_schema, target::VARCHAR AS target, '{"type":"' || runner || '","metadata":{}}' AS runner, status,
+  '{"total":' || total || ',"passed":' || passed || ',"failed":' || failed || ',"skipped":' || skipped || ',"flaky":' || flaky || '}' AS summary,
+  '{"logs":[' || coalesce(l, '') || '],"native_results":[' || coalesce(r, '') || ']' || coalesce(',"coverage":[' || c || ']', '') || '}' AS artifacts FROM res LEFT JOIN a USING (target)"""
+)
+def results_summary(spark, sf):
+    """What a results document says but for its cases."""
+    return results.document_summary(_documents(spark, sf))
+
+
+@query(
+    _BATCHES
+    + """ SELECT s_suppkey AS target, 'stored' AS source, 's' || s_suppkey AS unit, 'kept' AS name, NULL AS suite, 'a.c' AS file FROM supplier WHERE s_suppkey % 4 = 0
+UNION ALL SELECT target, 'normalized_results', case_id, case_id, target::VARCHAR, NULL FROM merged WHERE target % 4 IN (1, 2)
+UNION ALL SELECT s_suppkey, 'whole_target_fallback', NULL, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 4 = 3 OR (s_suppkey % 4 IN (1, 2) AND s_suppkey NOT IN (SELECT target FROM merged))"""
+)
+def test_manifest(spark, sf):
+    """Units of every supplier: of a quarter they are stored, of half they follow from results, the rest are run whole."""
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
+    kept = suppliers.filter("id % 4 = 0").select(
+        F.col("id").alias("target"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("unit"), F.lit("kept").alias("name"), F.lit(None).cast("string").alias("suite"), F.lit("a.c").alias("file")
+    )
+    return results.test_manifest(suppliers, kept, _documents(spark, sf).filter("target % 4 IN (1, 2)"))
+
+
+@query(
+    with_("targets")
+    + """ SELECT id, kind, array_to_string(deps, ',') AS deps, CASE WHEN k % 3 = 0 THEN 'r' || k % 5 END AS runner, CASE WHEN k % 3 = 0 THEN 'a,b' ELSE '' END AS labels,
+  CASE WHEN k % 3 = 0 THEN 'x/' || k ELSE '.cache/out/' || id || '/test/test_results.json' END AS results_path
+FROM (SELECT *, name::BIGINT AS k FROM targets WHERE kind = 'order' AND list_contains(capabilities, 'F'))"""
+)
+def test_records(spark, sf):
+    """Orders with status F are tests; a third of all orders have metadata, another third an empty one."""
+    targets = R.targets(spark, sf).filter("kind = 'order'").withColumn("capabilities", F.transform("capabilities", lambda c: F.when(c == "F", "test").otherwise(c)))
+    k = F.col("name").cast("long")
+    full = F.to_json(F.struct(F.struct(F.concat(F.lit("r"), (k % 5).cast("string")).alias("type")).alias("runner"), F.array(F.lit("a"), F.lit("b")).alias("labels"), F.struct(F.concat(F.lit("x/"), F.col("name")).alias("results")).alias("outputs")))
+    metadata = targets.filter(k % 3 < 2).select("id", F.when(k % 3 == 0, full).otherwise(F.lit('{"runner":{}}')).alias("info"))
+    got = results.test_records(targets, metadata)
+    return got.withColumns({"deps": F.array_join("deps", ","), "labels": F.array_join("labels", ",")})
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS target, s_suppkey % 8 AS k FROM supplier)
+SELECT target, unnest(CASE k WHEN 0 THEN ['not an object'] WHEN 1 THEN ['schema', 'status'] WHEN 2 THEN ['target'] WHEN 3 THEN ['summary.total'] WHEN 4 THEN ['case'] WHEN 5 THEN ['artifacts.logs', 'artifacts.coverage'] WHEN 6 THEN ['cases'] ELSE [] END) AS message FROM s"""
+)
+def v_results_contract(spark, sf):
+    """Documents that break the contract in seven ways, and good ones."""
+    k, target = F.col("s_suppkey") % 8, F.col("s_suppkey").cast("string")
+    case = '{"id":"a","name":"a","suite":"s","status":"passed","attempts":[%s],"runner_metadata":{}}'
+    whole = '{"schema":"%s","target":"@","status":%s,"runner":{"type":"t","metadata":{}},"summary":{"total":%s,"passed":1,"failed":0,"skipped":0,"flaky":0},"cases":%s,"artifacts":{"logs":%s,"native_results":[]%s}}'
+    attempt = '{"status":"passed"}'
+    good = (_DOCUMENT, '"passed"', "1", f"[{case % attempt}]", '["l"]', "")
+    change = lambda **by: F.replace(F.lit(whole % tuple(by.get(f"_{i}", g) for i, g in enumerate(good))), F.lit("@"), target)
+    document = (
+        F.when(k == 0, F.lit("[1]")).when(k == 1, change(_0="other", _1="7")).when(k == 2, F.lit(whole % good)).when(k == 3, change(_2="-1")).when(k == 4, change(_3=f"[{case % ''}]"))
+        .when(k == 5, change(_4="[1]", _5=',"coverage":"x"')).when(k == 6, change(_3='{}')).otherwise(change())
+    )
+    return results.contract_violations(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("target"), document.alias("document")), _DOCUMENT)
 
 
 @query(
     with_("cases")
-    + """, p AS (SELECT s_suppkey AS target, p_partkey AS case_id FROM supplier JOIN part ON p_partkey % 50 = s_suppkey % 50 AND p_partkey < 200)
+    + """, p AS (SELECT DISTINCT l_suppkey AS target, l_partkey + d AS case_id FROM lineitem, (VALUES (0), (1)) AS v(d))
 SELECT target, case_id, 'missing' AS status FROM p WHERE (target, case_id) NOT IN (SELECT (target, case_id) FROM cases)"""
 )
 def missing_cases(spark, sf):
-    parts = table(spark, sf, "part").filter("p_partkey < 200").select(F.col("p_partkey").alias("case_id"), (F.col("p_partkey") % 50).alias("m"))
-    planned = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("target"), (F.col("s_suppkey") % 50).alias("m")).join(parts, "m")
+    """Planned are the cases there are and, for each, the one of the next part."""
+    lines = table(spark, sf, "lineitem")
+    planned = lines.select(F.col("l_suppkey").alias("target"), F.explode(F.array(F.col("l_partkey"), F.col("l_partkey") + 1)).alias("case_id"))
     return results.with_missing(R.cases(spark, sf), planned).filter("status = 'missing'")
 
 
@@ -614,19 +823,171 @@ def v_duplicate(spark, sf):
     return validate.duplicate_targets(declared).select("code", "target", "message")
 
 
-@query(with_("targets") + " SELECT 'missing_dependency' AS code, id AS target, 'no target ' || dep AS message FROM (SELECT id, unnest(deps) AS dep FROM targets) WHERE dep NOT IN (SELECT id FROM targets)")
+def _roles(spark) -> DataFrame:
+    """What each role of a kind accepts: parts take brands, orders nothing; suppliers have a role besides; the other kinds say nothing."""
+    return spark.sql("SELECT * FROM VALUES ('part', 'deps', array('Brand#1', 'Brand#12', 'Brand#23')), ('order', 'deps', array()), ('supplier', 'tools', array('Brand#2')) AS t(kind, role, accepts)")
+
+
+def _with_roles(targets: DataFrame) -> DataFrame:
+    """``targets`` whose suppliers name parts as tools and data, and whose nations name a role ``deps``."""
+    k = F.col("name")
+    tools = F.create_map(F.lit("tools"), F.array(F.concat(F.lit("part/"), k)), F.lit("data"), F.array(F.concat(F.lit("part/"), k), F.lit("part/none")))
+    roles = F.when(F.col("kind") == "supplier", tools).when(F.col("kind") == "nation", F.create_map(F.lit("deps"), F.array(F.lit("region/0"))))
+    return targets.withColumn("dependencies", F.coalesce(roles, F.create_map().cast("map<string,array<string>>")))
+
+
+@query(
+    with_("targets")
+    + """ SELECT 'missing_dependency' AS code, id AS target, 'deps' AS attribute, 'no target ' || dep AS message FROM (SELECT id, unnest(deps) AS dep FROM targets) WHERE dep NOT IN (SELECT id FROM targets)
+UNION ALL SELECT 'missing_dependency', id, 'dependencies.data', 'no target part/none' FROM targets WHERE kind = 'supplier'"""
+)
 def v_missing_dep(spark, sf):
-    return validate.missing_dependencies(R.targets(spark, sf)).select("code", "target", "message")
+    return validate.missing_dependencies(_with_roles(R.targets(spark, sf)))
 
 
 @query(
     with_("targets", "edges")
     + """ SELECT 'incompatible_dependency_provider' AS code, e.src AS target, e.dst || ' gives none of Brand#1,Brand#12,Brand#23' AS message
-FROM edges e JOIN targets d ON d.id = e.dst WHERE e.src LIKE 'part/%' AND NOT list_has_any(d.providers, ['Brand#1', 'Brand#12', 'Brand#23'])"""
+FROM edges e JOIN targets d ON d.id = e.dst WHERE e.src LIKE 'part/%' AND NOT list_has_any(d.providers, ['Brand#1', 'Brand#12', 'Brand#23'])
+UNION ALL SELECT 'incompatible_dependency_provider', e.src, e.dst || ' gives none of Brand#2' FROM edges e WHERE e.src LIKE 'supplier/%'
+UNION ALL SELECT 'incompatible_dependency_provider', s.id, 'part/' || s.name || ' gives none of Brand#2' FROM targets s JOIN targets p ON p.id = 'part/' || s.name WHERE s.kind = 'supplier' AND NOT list_contains(p.providers, 'Brand#2')"""
 )
 def v_provider(spark, sf):
-    accepted = spark.sql("SELECT 'part' AS kind, array('Brand#1', 'Brand#12', 'Brand#23') AS accepts")
-    return validate.incompatible_providers(R.targets(spark, sf), accepted).select("code", "target", "message")
+    """A supplier's plain dependencies may be what any of its roles accepts; roles that it doesn't declare are left out."""
+    return validate.incompatible_providers(_with_roles(R.targets(spark, sf)), _roles(spark)).select("code", "target", "message")
+
+
+@query(
+    with_("targets", "edges")
+    + """ SELECT 'unexpected_dependency' AS code, e.src AS target, 'kind ' || t.kind || ' takes no ' || e.dst AS message FROM edges e JOIN targets t ON t.id = e.src WHERE t.kind NOT IN ('part', 'supplier')
+UNION ALL SELECT 'unexpected_dependency', id, 'kind nation takes no region/0' FROM targets WHERE kind = 'nation'"""
+)
+def v_unexpected(spark, sf):
+    """Kinds that accept no provider, or say nothing of dependencies, have none."""
+    return validate.unexpected_dependencies(_with_roles(R.targets(spark, sf)), _roles(spark)).select("code", "target", "message")
+
+
+@query(
+    with_("targets")
+    + """ SELECT 'unknown_dependency_role' AS code, id AS target, 'dependencies.data' AS attribute FROM targets WHERE kind = 'supplier' UNION ALL SELECT 'unknown_dependency_role', id, 'dependencies.deps' FROM targets WHERE kind = 'nation'"""
+)
+def v_unknown_role(spark, sf):
+    return validate.unknown_roles(_with_roles(R.targets(spark, sf)), _roles(spark)).select("code", "target", "attribute")
+
+
+def _referring(spark, sf) -> DataFrame:
+    """Parts with an attribute ``main`` that refers to a target: rightly, relatively, to none, malformed, or by a select()."""
+    k, name = F.col("name").cast("long") % 6, F.col("name")
+    plain = F.when(k == 0, F.concat(F.lit("part/"), name)).when(k == 1, F.concat(F.lit("./"), name)).when(k == 2, F.concat(F.lit("part/x"), name)).when(k == 3, F.lit("a:b")).when(k == 4, F.lit(""))
+    select = F.to_json(F.struct(F.struct(F.struct(F.concat(F.lit("part/y"), name).alias("mac"), F.concat(F.lit("part/"), name).alias("default")).alias("select")).alias("main")))
+    return R.targets(spark, sf).filter("kind = 'part'").withColumn("attrs", F.when(k == 5, select).otherwise(F.to_json(F.struct(plain.alias("main")))))
+
+
+def _main(spark) -> DataFrame:
+    return spark.sql("SELECT * FROM VALUES ('part', 'main', 'target', true, false), ('region', 'label', 'string', false, true) AS t(kind, name, type, implemented, configurable)")
+
+
+@query(
+    """SELECT 'missing_target_attribute' AS code, 'part/' || p_partkey AS target, 'no target part/' || CASE p_partkey % 6 WHEN 2 THEN 'x' ELSE 'y' END || p_partkey AS message FROM part WHERE p_partkey % 6 IN (2, 5)"""
+)
+def v_missing_target_attr(spark, sf):
+    return validate.missing_target_attributes(_referring(spark, sf), _main(spark)).select("code", "target", "message")
+
+
+@query("SELECT 'invalid_target_attribute' AS code, 'part/' || p_partkey AS target, 'a:b' AS message FROM part WHERE p_partkey % 6 = 3")
+def v_invalid_target_attr(spark, sf):
+    return validate.invalid_target_attributes(_referring(spark, sf), _main(spark)).select("code", "target", "message")
+
+
+@query("SELECT 'select_on_non_configurable_attr' AS code, 'part/' || p_partkey AS target, 'main' AS attribute FROM part WHERE p_partkey % 6 = 5")
+def v_select(spark, sf):
+    return validate.selects_not_allowed(_referring(spark, sf), _main(spark)).select("code", "target", "attribute")
+
+
+@query("SELECT 'unimplemented_attr' AS code, 'region/' || r_regionkey AS target, 'label' AS attribute FROM region")
+def v_unimplemented(spark, sf):
+    return validate.unimplemented_attributes(R.targets(spark, sf), _main(spark)).select("code", "target", "attribute")
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT regexp_extract(url, '^https?://([^?#]*)', 1) AS path, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages), h AS (SELECT DISTINCT host FROM p WHERE host <> '')
+SELECT 'missing_source' AS code, path AS target, 'no file ' || path || '.bak' AS message FROM p
+UNION ALL SELECT 'missing_source', host, 'no file ' || host || '/fr/*' FROM h WHERE host NOT IN (SELECT host FROM p WHERE starts_with(path, host || '/fr/'))"""
+)
+def v_sources(spark, sf):
+    """Every page is a source that exists and one that doesn't; every host has a pattern for its pages in French."""
+    pages = _page_paths(spark, sf).distinct()
+    hosts = table(spark, sf, "pages").select(F.regexp_extract("url", r"\Ahttps?://([^/?#]*)", 1).alias("id")).filter("id <> ''").distinct()
+    sources = pages.select(F.col("path").alias("id"), F.explode(F.array("path", F.concat("path", F.lit(".bak")))).alias("path"))
+    return validate.missing_sources(sources.unionAll(hosts.select("id", F.concat("id", F.lit("/fr/*")))), pages).select("code", "target", "message")
+
+
+@query(
+    with_("cyclic", recursive=True)
+    + """, c AS (SELECT src AS start, dst AS node FROM cyclic UNION SELECT c.start, d.dst FROM c JOIN cyclic d ON d.src = c.node),
+g AS (SELECT a.start AS node, min(a.node) AS least FROM c a JOIN c b ON a.start = b.node AND a.node = b.start GROUP BY 1)
+SELECT 'dependency_cycle' AS code, least AS target, count(*) || ' targets depend on each other' AS message FROM g GROUP BY least"""
+)
+def v_cycle(spark, sf):
+    return validate.dependency_cycles(R.cyclic_edges(spark, sf)).select("code", "target", "message")
+
+
+@query("SELECT 'invalid_visibility' AS code, 'part/' || p_partkey AS target, CASE p_partkey % 9 WHEN 6 THEN 'package:a//b' WHEN 7 THEN 'subtree:' ELSE 'x:y' END AS message FROM part WHERE p_partkey % 9 >= 6")
+def v_invalid_visibility(spark, sf):
+    rules = ("public", "private", "package:a/b", "subtree:a", "a/b", "./b", "package:a//b", "subtree:", "x:y")
+    rule = F.get(F.array(*map(F.lit, rules)), (F.col("name").cast("long") % 9).cast("int"))
+    return validate.invalid_visibility(R.targets(spark, sf).filter("kind = 'part'").withColumn("visibility", F.array(rule))).select("code", "target", "message")
+
+
+@query(
+    """SELECT CASE p_partkey % 5 WHEN 0 THEN 'target_name_required' WHEN 1 THEN 'invalid_target_name' ELSE 'target_kind_required' END AS code, 'part/' || p_partkey AS target FROM part WHERE p_partkey % 5 < 3"""
+)
+def v_names(spark, sf):
+    k = F.col("name").cast("long") % 5
+    named = R.targets(spark, sf).filter("kind = 'part'").withColumn("kind", F.when(k == 2, " ").otherwise(F.col("kind"))).withColumn("name", F.when(k == 0, " ").when(k == 1, "a b").otherwise(F.col("name")))
+    return validate.invalid_names(named).select("code", "target")
+
+
+@query("SELECT 'unknown_status' AS code, 'a' || event_id AS target, event_type AS message FROM events WHERE event_type IN ('click', 'view')")
+def v_enum(spark, sf):
+    """Attempts whose status is no status: here some events' types are taken for it."""
+    kind = F.col("event_type")
+    rows = table(spark, sf, "events").select(F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("id"), F.when(kind.isin("click", "view"), kind).otherwise("error").alias("status"))
+    return validate.unknown_values(rows, "status", "attempt_status").select("code", "target", "message")
+
+
+@query(with_("evidence") + " SELECT 'fingerprint_mismatch' AS code, id AS target FROM evidence WHERE substr(id, 2)::BIGINT % 17 IN (0, 1)")
+def v_fingerprint(spark, sf):
+    """Evidence whose fingerprint is of other inputs, or that lacks its input digest."""
+    k = F.substring("id", 2, 20).cast("long") % 17
+    print_ = F.when(k == 0, F.sha2("id", 256)).when(k != 2, F.col("input_digest"))
+    rows = R.evidence(spark, sf).withColumn("fingerprint_digest", print_).withColumn("input_digest", F.when(k != 1, F.col("input_digest")))
+    return validate.fingerprint_mismatches(rows).select("code", "target")
+
+
+@query(
+    """WITH d AS (SELECT source AS action, doc_id AS k, 'in/' || doc_id AS path, lang FROM documents)
+SELECT action, 'undeclared_write' AS code, 'tmp/' || k AS path FROM d WHERE k % 10 = 0
+UNION ALL SELECT DISTINCT action, 'missing_output', 'gone' FROM d
+UNION ALL SELECT action, 'declared_input_deleted', path FROM d WHERE k % 3 = 0 AND k % 21 = 0
+UNION ALL SELECT action, 'declared_input_modified', path FROM d WHERE k % 3 = 0 AND k % 21 <> 0 AND k % 5 = 0
+UNION ALL SELECT action, 'undeclared_write', path FROM d WHERE k % 3 <> 0 AND k % 5 = 0
+UNION ALL SELECT action, 'undeclared_read', path FROM d WHERE k % 3 <> 0 AND k % 7 = 0
+UNION ALL SELECT action, 'symlink_escape', 'out/' || lang || '/' || k FROM d WHERE k % 11 = 0"""
+)
+def contract_audit(spark, sf):
+    """An action a source: it writes out/, now and then tmp/, changes and deletes inputs, and fails to read what it didn't declare."""
+    k = F.col("doc_id")
+    docs = table(spark, sf, "documents").select(F.col("source").alias("action"), "doc_id", F.concat(F.lit("in/"), k.cast("string")).alias("path"), F.concat_ws("/", F.lit("out"), "lang", k.cast("string")).alias("made"))
+    inputs = docs.filter(k % 3 == 0).select("action", "path")
+    outputs = docs.select("action", F.explode(F.array(F.lit("out/"), F.lit("gone"))).alias("path")).distinct()
+    made = docs.select("action", F.col("made").alias("path")).unionAll(docs.select("action", F.lit("out"))).distinct()
+    after = made.unionAll(docs.filter(k % 10 == 0).select("action", F.concat(F.lit("tmp/"), k.cast("string")))).withColumn("print", F.lit("p"))
+    before = docs.select("action", "path", F.lit("1").alias("print"))
+    later = docs.filter((k % 3 != 0) | (k % 21 != 0)).select("action", "path", F.when(k % 5 == 0, "2").otherwise("1").alias("print"))
+    errors = docs.filter(k % 7 == 0).select("action", F.concat(F.lit("cannot open "), F.col("path"), F.lit(": no such file")).alias("text"))
+    links = docs.select("action", F.col("made").alias("path"), (k % 11 != 0).alias("inside"))
+    return contract.violations(inputs, outputs, (after.limit(0), after), (before, later), errors, links)
 
 
 @query(
@@ -674,14 +1035,19 @@ def diagnostics_all(spark, sf):
 # Journal and logs
 
 
-@query(
-    with_("journal")
-    + """, j AS (SELECT * FROM journal WHERE path IS NOT NULL OR generation > 900), a AS (SELECT count(*) = 20 AND min(generation) = 101 AND count(*) FILTER (path IS NULL) = 0 AS ok,
-  list_sort(list(DISTINCT path) FILTER (path IS NOT NULL)) AS p FROM journal WHERE generation > 100 AND generation <= 120)
-SELECT ok AS known, CASE WHEN ok THEN array_to_string(p, ',') END AS paths, CASE WHEN ok THEN len(p)::BIGINT END AS n_paths FROM a"""
-)
+@query(with_("journal") + " SELECT DISTINCT true AS known, path FROM journal WHERE generation > (SELECT max(generation) FROM journal WHERE path IS NULL)")
 def changes_since(spark, sf):
-    return journal.changes_since(R.journal(spark, sf), F.lit(100).cast("long"), F.lit(120).cast("long"))
+    """All changes since the last one that lost its path."""
+    changes = R.journal(spark, sf)
+    lost, last = changes.agg(F.max(F.when(F.col("path").isNull(), F.col("generation"))), F.max("generation")).first()
+    return journal.changes_since(changes, lost, last)
+
+
+@query("SELECT false AS known, NULL::VARCHAR AS path")
+def changes_unknown(spark, sf):
+    """A record in between lost its path, so nothing is known of the changes since the start."""
+    changes = R.journal(spark, sf)
+    return journal.changes_since(changes, 0, changes.agg(F.max("generation")).first()[0])
 
 
 @query(with_("journal") + " SELECT area, min(generation) AS first, max(generation) AS last, max(generation) - min(generation) + 1 - count(DISTINCT generation) AS missing FROM journal GROUP BY area")
@@ -689,7 +1055,7 @@ def journal_gaps(spark, sf):
     return journal.gaps(R.journal(spark, sf))
 
 
-@query(with_("journal") + " SELECT generation, area FROM journal WHERE generation > (SELECT max(generation) FROM journal) - 500")
+@query(with_("journal") + " SELECT generation, area FROM (SELECT *, max(generation) OVER (PARTITION BY area) AS top FROM journal) WHERE generation > top - 500")
 def journal_retained(spark, sf):
     return journal.retained(R.journal(spark, sf), 500).select("generation", "area")
 
@@ -750,8 +1116,46 @@ def reconcile(spark, sf):
 
 @query("SELECT p_partkey, p_type FROM part WHERE string_split(lower(replace(p_type, ' ', '_')), '_')[1] = 'standard'")
 def kind_search(spark, sf):
-    parts = table(spark, sf, "part").select("p_partkey", "p_type", F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))).alias("kind"), F.col("p_name").alias("docs"))
-    return search.matching(parts, "the STANDARD target").select("p_partkey", "p_type")
+    return search.matching(_catalog(spark, sf), "the STANDARD target").select("p_partkey", "p_type")
+
+
+def _catalog(spark, sf) -> DataFrame:
+    """A kind for each part: ``type_colour_thing``, with docs and an example."""
+    kind = F.concat_ws("_", F.lower("p_type"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")))
+    example = F.array(F.struct(F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("slug"), F.col("p_brand").alias("name")))
+    return table(spark, sf, "part").select("p_partkey", "p_type", kind.alias("kind"), F.concat(F.lit("made by "), F.col("p_brand")).alias("docs"), example.alias("examples"))
+
+
+_CATALOG = "WITH c AS (SELECT *, lower(p_type) || '_' || replace(lower(p_name), ' ', '_') AS kind, 'made by ' || p_brand AS docs FROM part)"
+
+
+@query(_CATALOG + " SELECT p_partkey, kind FROM c WHERE lower(p_type) IN ('standard', 'small') OR contains(kind, 'ring') OR contains(kind, 'the') OR regexp_matches(docs, 'the|ring')")
+def kind_search_families(spark, sf):
+    """Two families and a word that isn't generic: the families, and kinds that mention the word."""
+    return search.matching(_catalog(spark, sf), "the standard, small: ring test").select("p_partkey", "kind")
+
+
+@query(_CATALOG + " SELECT p_partkey, kind FROM c WHERE contains(lower(p_name), 'widget')")
+def kind_search_segment(spark, sf):
+    return search.matching(_catalog(spark, sf), "a widget, a ring").select("p_partkey", "kind")
+
+
+@query(_CATALOG + " SELECT p_partkey, kind FROM c WHERE contains(lower(docs), '17') OR contains(kind, 'idge')")
+def kind_search_words(spark, sf):
+    """No family and no segment: kinds with a word that holds a term."""
+    return search.matching(_catalog(spark, sf), "idge 17").select("p_partkey", "kind")
+
+
+@query(_CATALOG + " SELECT kind, docs, 'e' || p_partkey AS examples FROM c")
+def kind_summaries(spark, sf):
+    return search.summaries(_catalog(spark, sf)).withColumn("examples", F.array_join("examples", ","))
+
+
+@query("SELECT 'e7' AS slug, p_brand AS name FROM part WHERE p_partkey = 7")
+def kind_example(spark, sf):
+    catalog = _catalog(spark, sf).withColumn("kind", F.concat_ws("_", "kind", F.col("p_partkey").cast("string")))
+    kind = catalog.filter("p_partkey = 7").first()["kind"]
+    return search.example_of(catalog, kind, "e7")
 
 
 @query(
@@ -783,7 +1187,7 @@ def path_parts(spark, sf):
     return pages.select("page_id", P.parent(F.col("path")).alias("parent"), P.basename(F.col("path")).alias("base"), P.matches_any(F.col("path"), ["*/en/*", "en"]).alias("is_en"))
 
 
-@query("SELECT c_custkey, coalesce(c_name, 'null') || ' | ' || coalesce(c_mktsegment, 'null') || ' | null' AS line, '''' || replace(c_name, '''', '''\\''''') || '''' AS quoted FROM customer")
+@query("SELECT c_custkey, coalesce(c_name, 'null') || ' | ' || coalesce(c_mktsegment, 'null') || ' | null' AS line, '''' || replace(c_name, '''', '''\"''\"''') || '''' AS quoted FROM customer")
 def human_rows(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", S.human_row(F.col("c_name"), F.col("c_mktsegment"), F.lit(None)).alias("line"), S.shell_quote(F.col("c_name")).alias("quoted"))
 
@@ -796,7 +1200,201 @@ def relative_refs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", P.relative_reference(F.lit("a/b"), refs).alias("id"))
 
 
-@query("SELECT doc_id, (doc_id % 256) NOT IN (0, 10, 127) AND doc_id % 256 < 224 AND NOT (doc_id % 256 = 172 AND doc_id % 32 BETWEEN 16 AND 31) AS public FROM documents")
+@query(
+    """SELECT doc_id, NOT (a IN (10, 127) OR a BETWEEN 224 AND 239 OR (a = 172 AND b BETWEEN 16 AND 31)) AS public
+FROM (SELECT doc_id, doc_id % 256 AS a, doc_id % 32 AS b FROM documents)"""
+)
 def public_address(spark, sf):
     ip = F.format_string("%d.%d.7.9", F.col("doc_id") % 256, F.col("doc_id") % 32)
     return table(spark, sf, "documents").select("doc_id", P.is_public_ipv4(ip).alias("public"))
+
+
+_IPV6 = ("::1", "::", "fc00::1", "fe80::9:%d", "2001:db8::1", "2607:f8b0::%d", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "ff02::1", "1:2:3", "2a00:1450:4001:81b::200e", "8.8.4.4")
+_URLS = ("https://example.com/%d", "http://example.com", "https://localhost/x", "https://a.localhost:8443/", "https://10.1.2.3/x", "https://8.8.8.8:443/?q=%d", "https://[::1]/", "https://[2607:f8b0::1]/x", "https://u@example.org", "nonsense")
+
+
+@query("SELECT doc_id, doc_id % 12 IN (5, 7, 10, 11) AS public_ip, doc_id % 10 IN (0, 5, 7, 8) AS public_url FROM documents")
+def public_hosts(spark, sf):
+    """Addresses of both kinds, and web addresses."""
+    k = F.col("doc_id")
+    pick = lambda some: F.replace(F.get(F.array(*map(F.lit, some)), (k % len(some)).cast("int")), F.lit("%d"), (k % 10).cast("string"))
+    return table(spark, sf, "documents").select("doc_id", P.is_public_ip(pick(_IPV6)).alias("public_ip"), P.is_public_url(pick(_URLS)).alias("public_url"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 3) THEN CASE p_partkey % 4 WHEN 0 THEN 'a/b-1.c/' ELSE '.x/' END || p_partkey END AS safe, p_partkey % 4 IN (0, 1) AS code,
+  p_partkey % 4 = 2 AS skipped FROM part"""
+)
+def path_rules(spark, sf):
+    """Ids as safe paths, endings, and what a walk leaves out."""
+    k = (F.col("p_partkey") % 4).cast("int")
+    ident = F.concat(F.get(F.array(*map(F.lit, ("a/b-1.c/", "a/../", "a b/", ".x/"))), k), F.col("p_partkey").cast("string"))
+    file = F.get(F.array(*map(F.lit, ("a/x.c", "b/x.cc", "a/node_modules/x.js", "x"))), k)
+    return table(spark, sf, "part").select(
+        "p_partkey", P.safe_path(ident).alias("safe"), P.has_extension(file, [".c", ".cc"]).alias("code"), P.excluded_walk(file, ["q"], ["node_modules"]).alias("skipped")
+    )
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'macos-arm64,macos-aarch64,macos,arm64,aarch64' WHEN 1 THEN 'linux-x86_64,linux,x86_64' ELSE '' END AS tokens,
+  CASE c_custkey % 3 WHEN 0 THEN 'arm64' WHEN 1 THEN 'amd64' ELSE 'riscv' END AS arch, CASE c_custkey % 3 WHEN 0 THEN 'macos' WHEN 1 THEN 'linux' ELSE 'plan9' END AS system,
+  '''' || replace(c_name, '''', '''''') || '''' AS quoted FROM customer"""
+)
+def platforms(spark, sf):
+    k = (F.col("c_custkey") % 3).cast("int")
+    system, machine = (F.get(F.array(*map(F.lit, some)), k) for some in (("darwin", "linux", "plan9"), ("aarch64", "x86_64", "riscv")))
+    named = S.operating_system(system)
+    return table(spark, sf, "customer").select(
+        "c_custkey", F.array_join(S.platform_tokens(named, machine), ",").alias("tokens"), S.arch(machine).alias("arch"), named.alias("system"), S.powershell_quote(F.col("c_name")).alias("quoted")
+    )
+
+
+@query("SELECT p_partkey, p_brand AS brand, p_size::VARCHAR AS second, NULL::VARCHAR AS missing, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS decoded FROM part")
+def json_and_base64(spark, sf):
+    """JSON pointers, and base64 texts of which half are broken."""
+    doc = F.to_json(F.struct(F.struct(F.col("p_brand").alias("br/and")).alias("info"), F.array(F.lit(0), F.col("p_size")).alias("list")))
+    coded = F.concat(F.base64(F.encode("p_name", "UTF-8")), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("!"))
+    return table(spark, sf, "part").select(
+        "p_partkey", S.json_pointer(doc, "/info/br~1and").alias("brand"), S.json_pointer(doc, "/list/1").alias("second"), S.json_pointer(doc, "/none/x").alias("missing"),
+        S.decoded_base64(coded).cast("string").alias("decoded"),
+    )
+
+
+@query(
+    """SELECT c_custkey, greatest(1, least(c_custkey, 8)) AS workers, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE greatest(1, (c_custkey * 100) // greatest(c_custkey % 7, 1)) END AS memory,
+  CASE WHEN c_custkey % 5 = 0 THEN 8 ELSE greatest(1, least(8, c_custkey // 16)) END AS parallel FROM customer"""
+)
+def worker_limits(spark, sf):
+    k = F.col("c_custkey")
+    memory = F.when(k % 5 == 0, F.lit(0).cast("long")).otherwise(k)
+    return table(spark, sf, "customer").select(
+        "c_custkey", S.workers(k, 8).alias("workers"), S.worker_memory(memory * 100, k % 7).alias("memory"), S.parallel_actions(F.lit(8).cast("long"), memory, F.lit(16)).alias("parallel")
+    )
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'env' WHEN 1 THEN 'value' ELSE 'path' END AS kind, CASE c_custkey % 3 WHEN 2 THEN 'a=' || c_custkey ELSE 'N' END AS name,
+  CASE c_custkey % 3 WHEN 1 THEN 'v=' || c_custkey END AS value, sha256('N' || chr(0) || c_custkey) AS digest FROM customer"""
+)
+def input_specs(spark, sf):
+    """Inputs given as text, and digests of variables."""
+    k = F.col("c_custkey").cast("string")
+    spec = F.get(F.array(F.lit("env:N"), F.concat(F.lit("value:N=v="), k), F.concat(F.lit("a="), k)), (F.col("c_custkey") % 3).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", digests.input_spec(spec).alias("s"), digests.env_digest(F.lit("N"), k).alias("digest")).select("c_custkey", "s.*", "digest")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 8 = 0 OR doc_id % 13 = 0")
+def path_drift(spark, sf):
+    """Recorded files that are gone (by 8) or have another print (by 13); new files don't count."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("print"))
+    now = docs.filter("doc_id % 8 <> 0").withColumn("print", F.col("print") + F.when(F.col("doc_id") % 13 == 0, 1).otherwise(0))
+    return digests.drifted(docs, now.unionAll(docs.select(-F.col("doc_id") - 1, "print")), "doc_id", "print")
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '{"a":["' || p_brand || '","x"],"b":{"c":1}}' WHEN 1 THEN '{"a":"any"}' END AS attrs FROM part"""
+)
+def resolved_attrs(spark, sf):
+    """select() in lists, by default, and without a branch that matches."""
+    both = F.concat(F.lit('{"a":[{"select":{"linux":"l","macos":"'), F.col("p_brand"), F.lit('"}},"x"],"b":{"select":{"macos-arm64":{"c":{"select":{"default":1}}},"macos":2}}}'))
+    k = F.col("p_partkey") % 3
+    attrs = F.when(k == 0, both).when(k == 1, '{"a":{"select":{"default":"any"}}}').otherwise('{"a":{"select":{"linux":1}}}')
+    return selects.resolved(table(spark, sf, "part").select("p_partkey", attrs.alias("attrs")), ["macos-arm64", "macos"])
+
+
+# Providers, scripts, projects
+
+
+@query(
+    with_("targets")
+    + """ SELECT id, 'deps' AS role, 0::BIGINT AS pos, 'nation/' || (SELECT s_nationkey FROM supplier WHERE s_suppkey::VARCHAR = name) AS dep, '' AS providers FROM targets WHERE kind = 'supplier'
+UNION ALL SELECT t.id, r.role, 0, 'part/' || t.name, p.providers[1] FROM targets t JOIN (VALUES ('tools'), ('data')) AS r(role) ON true JOIN targets p ON p.id = 'part/' || t.name WHERE t.kind = 'supplier'"""
+)
+def providers_by_role(spark, sf):
+    """What suppliers get from their dependencies, role by role; targets that aren't there are left out."""
+    targets = _with_roles(R.targets(spark, sf))
+    got = providers.dependencies_by_role(targets, targets.select("id")).filter(F.col("id").startswith("supplier/"))
+    return got.withColumn("providers", F.array_join("providers", ","))
+
+
+@query(
+    with_("deep", recursive=True)
+    + """, w AS (SELECT p_partkey AS start, p_partkey AS node, 0::BIGINT AS hops FROM part UNION SELECT w.start, d.dst, w.hops + 1 FROM w JOIN deep d ON d.src = w.node)
+SELECT start AS id, p_brand AS value, min(hops) AS hops FROM w JOIN part ON p_partkey = node GROUP BY 1, 2"""
+)
+def collected_providers(spark, sf):
+    """The brands of every part and of all it depends on, each at its nearest place."""
+    own = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("value"))
+    return providers.collected(own, R.deep_edges(spark, sf))
+
+
+def _scripts(spark, sf) -> DataFrame:
+    """(path, text): a script for each part, which needs that of half its number."""
+    k = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("s/"), c.cast("string"), F.lit(".sh"))
+    need = F.when(k > 0, F.concat(F.lit('# task needs "'), name(F.floor(k / 2).cast("long")), F.lit('"\n'))).otherwise("")
+    text = F.concat(F.lit("#!/usr/bin/env -S bash -e\n# plain comment\n\n"), need, F.lit('  // TASK input "in.txt"  \n; task output out\necho\n# task env "X"\n'))
+    return table(spark, sf, "part").select(name(k).alias("path"), text.alias("text"))
+
+
+@query(
+    """SELECT 's/' || p_partkey || '.sh' AS path, 'needs' AS directive, 's/' || p_partkey // 2 || '.sh' AS value FROM part WHERE p_partkey > 0
+UNION ALL SELECT 's/' || p_partkey || '.sh', 'input', 'in.txt' FROM part UNION ALL SELECT 's/' || p_partkey || '.sh', 'invalid', '; task output out' FROM part"""
+)
+def script_annotations(spark, sf):
+    """Annotations end at the first line that is no comment."""
+    return scripts.annotations(_scripts(spark, sf)).select("path", "directive", "value")
+
+
+@query("SELECT 's/' || p_partkey || '.sh' AS path, 'bash' AS runtime, '-e' AS args FROM part")
+def script_runtimes(spark, sf):
+    return scripts.runtimes(_scripts(spark, sf)).withColumn("args", F.array_join("args", " "))
+
+
+@query(
+    with_("deep", recursive=True)
+    + """, c AS (SELECT p_partkey AS start, p_partkey AS node FROM part WHERE p_partkey >= 100 UNION SELECT c.start, d.dst FROM c JOIN deep d ON d.src = c.node)
+SELECT 's/' || start || '.sh' AS start, 's/' || node || '.sh' AS node FROM c WHERE start <> node"""
+)
+def script_needs(spark, sf):
+    """Which scripts those from number 100 on need, over any number of steps."""
+    roots = table(spark, sf, "part").filter("p_partkey >= 100").select(F.concat(F.lit("s/"), F.col("p_partkey").cast("string"), F.lit(".sh")).alias("start"))
+    return scripts.needed_scripts(scripts.annotations(_scripts(spark, sf)), roots)
+
+
+@query(
+    """SELECT 'd' || p_partkey AS package, 'both' AS project FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'd' || p_partkey, 'one' FROM part WHERE p_partkey % 3 <> 2
+UNION ALL SELECT 'd' || p_partkey || '/vendor', 'one' FROM part WHERE p_partkey % 3 = 2 AND false UNION ALL SELECT 'd' || p_partkey || '/sub', 'one' FROM part WHERE p_partkey % 3 = 2"""
+)
+def native_projects(spark, sf):
+    """Folders with all marker files of a project; the shallowest only, not in folders left out, and not too deep."""
+    k = F.col("p_partkey")
+    files_of = F.when(k % 3 == 0, F.array(*map(F.lit, ("a.toml", "b.lock", "sub/a.toml")))).when(k % 3 == 1, F.array(*map(F.lit, ("a.toml", ".hid/b.lock", "sub/a.toml")))).otherwise(
+        F.array(*map(F.lit, ("sub/a.toml", "vendor/a.toml", "x/y/z/a.toml", "b.lock")))
+    )
+    paths = table(spark, sf, "part").select(F.concat(F.lit("d"), k.cast("string"), F.lit("/")).alias("d"), F.explode(files_of).alias("f")).select(F.concat("d", "f").alias("path"))
+    markers = spark.sql("SELECT * FROM VALUES ('both', 'a.toml'), ('both', 'b.lock'), ('one', 'a.toml') AS t(project, marker)")
+    rules = spark.sql("SELECT * FROM VALUES ('both', 4, array('vendor'), false), ('one', 4, array('vendor'), true) AS t(project, max_depth, exclude, stop)")
+    return files.marker_projects(paths, markers, rules)
+
+
+@query(
+    """SELECT user_id AS path, event_id AS line, event_type AS rule_id, 'm' AS message FROM events"""
+)
+def sorted_findings(spark, sf):
+    found = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("line"), F.col("event_type").alias("rule_id"), F.lit("m").alias("message"))
+    return results.sorted_findings(found)
+
+
+@query(
+    """WITH e AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'update' WHEN 1 THEN 'delete' END AS op FROM customer)
+SELECT 'c' || c_custkey AS id, CASE WHEN op = 'update' THEN 'new' ELSE c_mktsegment END AS value FROM customer JOIN e USING (c_custkey) WHERE op IS DISTINCT FROM 'delete'
+UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation"""
+)
+def edited_targets(spark, sf):
+    """A batch that creates, changes and deletes; one change keeps the value as it is."""
+    now = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("value"), "c_custkey")
+    k = F.col("c_custkey") % 3
+    old = now.filter(k < 2).select(F.when(k == 0, "update").otherwise("delete").alias("op"), "id", F.when(k == 0, "new").alias("value"))
+    new = table(spark, sf, "nation").select(F.lit("create").alias("op"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("value"))
+    return edits.apply(now.select("id", "value"), old.unionAll(new), ["value"])

@@ -28,7 +28,10 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, key: str = "id") -> None:
-    """Appends records to a store; an id that repeats in ``df`` or is in the store is an error."""
+    """Appends records to a store; an id that repeats in ``df`` or is in the store is an error.
+
+    For one writer at a time: two that append the same new id at once would both pass the check.
+    """
     repeated = df.groupBy(key).count().filter("count > 1")
     known = read_or_empty(df.sparkSession, path, df.select(key).schema.simpleString()[7:-1].replace(":", " "))
     if not repeated.isEmpty() or not df.join(known, key, "left_semi").isEmpty():
@@ -85,10 +88,45 @@ def read_manifests(spark: SparkSession, root: str, include: list[str] = (), excl
     return map_batches(files, parse, MANIFEST).orderBy("package", "path")
 
 
-def marker_projects(paths: DataFrame, markers: DataFrame) -> DataFrame:
-    """(package, project): folders that hold every marker file (project, marker) of a project."""
+def marker_projects(paths: DataFrame, markers: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(package, project), in order: folders that hold every marker file (project, marker) of a project.
+
+    ``rules`` (project, max_depth, exclude array, stop boolean) bound how deep folders may lie
+    and which names they may not have; of a project with ``stop`` only the shallowest folder
+    of each branch stays. Folders whose name starts with a dot never count.
+    """
     folder, file = F.regexp_extract("path", r"\A(.*?)/?[^/]*\z", 1), F.element_at(F.split("path", "/"), -1)
     wanted = markers.groupBy("project").agg(F.count_distinct("marker").alias("_all"))
-    held = paths.select(folder.alias("package"), file.alias("marker")).join(F.broadcast(markers), "marker")
-    got = held.groupBy("package", "project").agg(F.count_distinct("marker").alias("_n")).join(F.broadcast(wanted), "project")
-    return got.filter("_n = _all").select("package", "project")
+    seen = paths.filter(~F.col("path").rlike(r"(?:\A|/)\."))
+    held = seen.select(folder.alias("package"), file.alias("marker")).join(markers, "marker")
+    got = held.groupBy("package", "project").agg(F.count_distinct("marker").alias("_n")).join(wanted, "project").filter("_n = _all").select("package", "project")
+    if rules is not None:
+        parts = F.filter(F.split("package", "/"), lambda p: p != "")
+        bounded = got.join(rules, "project").filter((F.size(parts) < F.col("max_depth")) & ~F.arrays_overlap(parts, "exclude"))
+        up = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+        above = bounded.filter(F.col("stop") & (F.size(parts) > 0)).select("project", "package", F.explode(up).alias("_up"))
+        inner = above.join(bounded.select("project", F.col("package").alias("_up")), ["project", "_up"], "left_semi")
+        got = bounded.join(inner.select("project", "package").distinct(), ["project", "package"], "left_anti").select("package", "project")
+    return got.orderBy("package", "project")
+
+
+def project_package(found: DataFrame, project: str, package: str | None = None) -> str:
+    """The folder of a project: the one given, else the only one. LookupError if there is none, ValueError if several."""
+    rows = found.filter(F.col("project") == project)
+    rows = rows if package is None else rows.filter(F.col("package") == package)
+    some = rows.orderBy("package").limit(2).collect()
+    if not some:
+        raise LookupError(f"no project {project}")
+    if len(some) > 1:
+        raise ValueError(f"project {project} is in several folders")
+    return some[0]["package"]
+
+
+def bounded_texts(files: DataFrame, each: int = 16 << 20, all_of: int = 64 << 20) -> DataFrame:
+    """(owner, path, text): the texts that owners (owner, path, text) read. ValueError if one, or an owner's sum, is too large."""
+    sized = files.withColumn("_n", F.octet_length("text"))
+    over = sized.groupBy("owner").agg(F.max("_n").alias("one"), F.sum("_n").alias("all")).filter((F.col("one") > each) | (F.col("all") > all_of))
+    bad = over.select("owner").limit(5).collect()
+    if bad:
+        raise ValueError(f"inputs too large: {[r['owner'] for r in bad]}")
+    return files.select("owner", "path", "text")

@@ -116,14 +116,17 @@ def unique_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, size, modified, ref): an action each turn of a conversation, referring to up to two documents' blobs."""
+    """(id, size, modified, ref): an action each turn of a conversation, referring to two documents' blobs, from all over the table."""
+    documents = table(spark, sf_dir, "documents")
+    n = max(documents.count(), 1)
+    first, second = F.col("conv_id") * 37 + F.col("turn") * 11, F.col("conv_id") * 53 + 7
     turns = table(spark, sf_dir, "conversations").select(
         F.concat_ws("/", _text("conv_id"), _text("turn")).alias("id"),
         F.length("text").cast("long").alias("size"),
         (F.col("conv_id") * 100 + F.col("turn")).alias("modified"),
-        F.explode(F.array((F.col("conv_id") * 3 + F.col("turn")) % 1000, F.col("conv_id") % 500)).alias("_doc"),
+        F.explode(F.array(first % n, second % n)).alias("_doc"),
     )
-    refs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_doc"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("ref"))
+    refs = documents.select(F.col("doc_id").alias("_doc"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("ref"))
     return turns.join(refs, "_doc").drop("_doc")
 
 
@@ -159,6 +162,40 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target, batch, position, units): a batch for each line number of a supplier; some name no units."""
+    supplier, line = F.col("l_suppkey"), F.col("l_linenumber").cast("long")
+    units = F.when((supplier + line) % 3 == 0, F.expr(NO_STRINGS)).otherwise(F.array(F.concat(F.lit("u"), supplier.cast("string")), F.concat(F.lit("u"), line.cast("string"))))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber").distinct()
+    return rows.select(supplier.alias("target"), F.concat_ws("/", supplier.cast("string"), line.cast("string")).alias("batch"), line.alias("position"), units.alias("units"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(batch, success, status, runner) of the batches that ran; a null status means no results."""
+    t, p = F.col("target"), F.col("position")
+    status = F.when((t * 3 + p) % 7 == 0, F.lit(None)).when((t + p) % 9 == 0, "failed").otherwise("passed")
+    rows = plan(spark, sf_dir).filter((t + p * 2) % 11 != 0)
+    return rows.select("batch", ((t + p) % 5 != 0).alias("success"), status.alias("status"), F.when(p % 2 == 0, F.concat(F.lit("r"), p.cast("string"))).alias("runner"))
+
+
+def batch_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(batch, case_id, place, status): cases as batches report them; ids come back in several batches."""
+    rows = cases(spark, sf_dir)
+    return rows.select(
+        F.concat_ws("/", F.col("target").cast("string"), F.col("batch").cast("string")).alias("batch"),
+        F.concat(F.lit("u"), (F.col("case_id") % 200).cast("string")).alias("case_id"), F.col("position").alias("place"), "status",
+    )
+
+
+def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(batch, field, path): the logs and native results that batches left."""
+    field = F.when(F.col("l_returnflag") == "A", "logs").when(F.col("l_returnflag") == "R", "native_results").otherwise("coverage")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("/", _text("l_suppkey"), _text("l_linenumber")).alias("batch"), field.alias("field"),
+        F.concat(F.lit("f/"), (F.col("l_orderkey") % 5).cast("string")).alias("path"),
+    )
+
+
 SQL = {
     "attempts": """attempts AS (SELECT 'a' || event_id AS id, 'b' || user_id AS batch_id, 'customer/' || user_id AS target, 1::BIGINT AS attempt,
   (epoch_us(ts) // 1000) AS started_at_unix_ms, (epoch_us(ts) // 1000) + floor(value)::BIGINT AS finished_at_unix_ms, floor(value)::BIGINT AS duration_ms,
@@ -185,13 +222,24 @@ SQL = {
     "unique_blobs": "unique_blobs AS (SELECT digest, min(size) AS size, min(modified) AS modified FROM blobs GROUP BY digest)",
     "actions": """actions AS (SELECT t.id, t.size, t.modified, sha256(coalesce(d.text, '')) AS ref FROM (
     SELECT conv_id || '/' || turn AS id, length(text)::BIGINT AS size, conv_id * 100 + turn AS modified,
-      unnest([(conv_id * 3 + turn) % 1000, conv_id % 500]) AS doc FROM conversations) t JOIN documents d ON d.doc_id = t.doc)""",
+      unnest([(conv_id * 37 + turn * 11) % (SELECT count(*) FROM documents), (conv_id * 53 + 7) % (SELECT count(*) FROM documents)]) AS doc FROM conversations) t JOIN documents d ON d.doc_id = t.doc)""",
     "journal": """journal AS (SELECT event_id AS generation, CASE WHEN event_type IN ('click', 'view') THEN 'output' ELSE 'source' END AS area,
     CASE WHEN event_type <> 'error' THEN 'user/' || user_id END AS path FROM events)""",
     "log_lines": """log_lines AS (SELECT conv_id AS session, CASE WHEN role = 'user' THEN 'stdout' ELSE 'stderr' END AS source, turn AS "order", text AS message FROM conversations)""",
     "cases": """cases AS (SELECT l_suppkey AS target, l_linenumber::BIGINT AS batch, l_partkey AS case_id, l_orderkey AS position,
     CASE WHEN l_quantity % 8 = 0 THEN 'flaky' WHEN l_quantity % 7 = 0 THEN 'skipped' WHEN l_quantity % 11 = 0 THEN 'todo'
       WHEN l_returnflag = 'R' THEN 'failed' ELSE 'passed' END AS status FROM lineitem)""",
+    "plan": """plan AS (SELECT DISTINCT l_suppkey AS target, l_suppkey || '/' || l_linenumber AS batch, l_linenumber::BIGINT AS position,
+    CASE WHEN (l_suppkey + l_linenumber) % 3 = 0 THEN []::VARCHAR[] ELSE ['u' || l_suppkey, 'u' || l_linenumber] END AS units FROM lineitem)""",
+    "runs": """runs AS (SELECT batch, (target + position) % 5 <> 0 AS success, CASE WHEN (target * 3 + position) % 7 = 0 THEN NULL WHEN (target + position) % 9 = 0 THEN 'failed' ELSE 'passed' END AS status,
+    CASE WHEN position % 2 = 0 THEN 'r' || position END AS runner FROM plan WHERE (target + 2 * position) % 11 <> 0),
+  batches AS (SELECT p.*, coalesce(r.success, false) AS success, r.status, r.runner FROM plan p LEFT JOIN runs r USING (batch))""",
+    "merged": """batch_cases AS (SELECT target || '/' || batch AS batch, 'u' || case_id % 200 AS case_id, position AS place, status FROM cases),
+  every AS (SELECT b.target, c.case_id, 1 AS real, b.position, c.place, c.status FROM batches b JOIN batch_cases c USING (batch) WHERE b.status IS NOT NULL
+    UNION ALL SELECT target, unnest(CASE WHEN len(units) > 0 THEN units ELSE [target || '::batch:' || batch] END), 0, -position, 0, CASE WHEN success THEN 'passed' ELSE 'failed' END FROM batches WHERE status IS NULL),
+  merged AS (SELECT target, case_id, status FROM (SELECT *, row_number() OVER (PARTITION BY target, case_id ORDER BY real DESC, position DESC, place DESC) AS n FROM every) WHERE n = 1)""",
+    "files": """batch_files AS (SELECT l_suppkey || '/' || l_linenumber AS batch, CASE l_returnflag WHEN 'A' THEN 'logs' WHEN 'R' THEN 'native_results' ELSE 'coverage' END AS field, 'f/' || l_orderkey % 5 AS path FROM lineitem),
+  artifacts AS (SELECT DISTINCT b.target, f.field, f.path FROM batches b JOIN batch_files f USING (batch) WHERE b.status IS NOT NULL)""",
 }
 
 

@@ -15,24 +15,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a new folder where it is unset."""
+    """spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a local session gets a new folder of its own; a cluster has none that
+    all can see, so there it is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 
-    Loops use it each round: the plan stays small and a lost executor loses nothing.
-    """
-    path = f"{shared_dir(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so a lost executor loses nothing of it."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """A table that a loop adds to round by round. However many rounds, reading it is one scan."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths, self.schema = spark, new_folder(spark, name), [], None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes one round's rows; gives them back as stored."""
+        path = f"{self.folder}/round-{len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        self.schema = self.schema or df.schema
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """The rows of all rounds so far."""
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
 def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     """``df.mapInArrow``, with this package's place on the Python workers' path.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths as P
 from graphloom.functions import scalars as S
-from graphloom.operators import edits, graph, history, journal, logs, results, search, selection, store, validate
+from graphloom.operators import contract, edits, graph, history, journal, logs, providers, results, scripts, search, selection, selects, store, validate
 from graphloom.plans import fixpoint, pattern
 from graphloom.plans.pattern import Condition
 from graphloom.sources import files
@@ -56,7 +56,8 @@ def test_patterns_are_two_valued(spark, app):
     assert ids([Condition("t", "info.id", "=", None)]) == set()
     assert ids([Condition("t", "list", "contains", "b")]) == {"apps/App"}
     assert ids([Condition("t", "n", "=", 1)]) == {"apps/App"} and ids([Condition("t", "f", "=", 1)]) == set()
-    assert ids([Condition("x", "id", "<>", "y")]) == set()
+    assert ids([Condition("x", "id", "<>", "y")]) == set() and len(ids()) == 4
+    assert pattern.node(nodes, "t", "target").returns("t.id", n="t.name").columns == ["t.id", "n"]
     assert ids([Condition("t", "id", "ends", "Tests")], [Condition("t", "kind", "in", ["app"])]) == {"apps/Tests", "apps/App"}
 
 
@@ -87,17 +88,50 @@ def test_closures_cycles_and_depths(spark):
         fixpoint.critical_depth(spark.createDataFrame([(1,), (2,), (3,), (4,)], "node long"), ring)
 
 
+def test_plans_of_loops_do_not_grow(spark):
+    def chain(n):
+        edges = spark.range(n).selectExpr("id AS src", "id + 1 AS dst")
+        return fixpoint.closure(edges, spark.sql("SELECT 0L AS start")), fixpoint.critical_depth(spark.range(n + 1).selectExpr("id AS node"), edges)
+    scans = []
+    for n in (3, 16):
+        far, deep = chain(n)
+        assert far.count() == n and far.agg(F.max("hops")).first()[0] == n
+        assert dict(values(deep))[n] == n + 1
+        scans.append([df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in (far, deep)])
+    assert scans[0] == scans[1]
+
+
+def test_groups_of_cycles(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (7, 7), (8, 9), (0, 1), (10, 11), (11, 12), (12, 10), (12, 11)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    by: dict = {}
+    for r in fixpoint.cycles(df).collect():
+        by.setdefault(r["cycle"], set()).add(r["node"])
+    assert sorted(map(sorted, by.values())) == [[1, 2, 3], [4, 5], [7], [10, 11, 12]]
+    assert values(validate.dependency_cycles(df.selectExpr("CAST(src AS string) src", "CAST(dst AS string) dst")), "target") == [("1",), ("10",), ("4",), ("7",)]
+
+
 def test_affected_tests(spark, app):
     edges, tests = graph.depends_on(app), app.filter("kind = 'test'")
-    patterns = spark.createDataFrame([("apps/Util", "apps/util/*.c"), ("apps/Tests", "apps/tests/t.c")], "id string, pattern string")
-    def run(*paths):
-        return dict(values(selection.affected(spark.createDataFrame([(p,) for p in paths], "path string"), patterns, app, edges, tests)))
-    assert run("./apps/util/deleted.c") == {"apps/Tests": "depends on apps/Util for apps/util/deleted.c"}
-    assert run("apps/tests/t.c") == {"apps/Tests": "owns apps/tests/t.c"}
-    assert "unmatched elsewhere/x" in run("elsewhere/x")["apps/Tests"]
-    near = run("apps/readme")["apps/Tests"]
-    assert "owns apps/readme" in near
-    assert run() == {"apps/Tests": "full run"}
+    patterns = spark.createDataFrame([("apps/Util", "apps/util/*.c"), ("apps/Tests", "apps/tests/t.c"), ("apps/App", "/abs/*"), ("apps/App", "../up/*")], "id string, pattern string")
+    def run(*paths, of=app):
+        changed = spark.createDataFrame([(p,) for p in paths], "path string")
+        got = selection.affected(changed, patterns, of, edges, tests, ["manifest.toml", "rules/*.star"])
+        return {r["id"]: (r["reasons"], r["full_scope"]) for r in got.collect()}, sorted(map(tuple, selection.full_scope(changed, patterns, of, ["manifest.toml", "rules/*.star"]).collect()))
+    assert run("./apps/util/deleted.c") == ({"apps/Tests": ("depends on apps/Util for apps/util/deleted.c", False)}, [])
+    assert run("apps/tests/t.c") == ({"apps/Tests": ("owns apps/tests/t.c", False)}, [])
+    assert run("elsewhere/x", "/abs/x", "../up/x") == ({"apps/Tests": ("", True)}, [("../up/x", "no owner"), ("/abs/x", "no owner"), ("elsewhere/x", "no owner")])
+    assert run("rules/a.star", "apps/tests/t.c")[0] == {"apps/Tests": ("owns apps/tests/t.c", True)} and run("manifest.toml")[1] == [("manifest.toml", "graph definition")]
+    assert "owns apps/readme" in run("apps/readme")[0]["apps/Tests"][0]
+    # A package's manifest belongs to its package; without an owner in between nothing else runs.
+    assert run("apps/manifest.toml")[1] == [] and "owns apps/manifest.toml" in run("apps/manifest.toml")[0]["apps/Tests"][0]
+    assert run()[0] == {"apps/Tests": ("full run", True)}
+
+
+def test_nearest_package_is_that_of_the_directory(spark):
+    targets = spark.createDataFrame([("t1", "a"), ("t2", "a/b"), ("t3", "App"), ("t4", "")], "id string, package string")
+    paths = spark.createDataFrame([("a/b",), ("App",), ("a/b/c/d",), ("z/x",), ("manifest.toml",)], "path string")
+    assert values(selection.nearest_packages(paths, targets), "path", "package") == [("App", ""), ("a/b", "a"), ("a/b/c/d", "a/b"), ("manifest.toml", "")]
 
 
 def test_file_batches_fall_back_to_the_target(spark):
@@ -127,6 +161,24 @@ def test_results(spark):
     assert values(results.missing_units(planned, df)) == [("t", "z")]
 
 
+def test_results_over_batches(spark):
+    plan = spark.createDataFrame([("t", "b1", 1, ["a", "s"]), ("t", "b2", 2, ["a", "c"]), ("t", "b3", 3, []), ("u", "b4", 1, []), ("v", "b5", 1, [])], "target string, batch string, position long, units array<string>")
+    runs = spark.createDataFrame([("b1", True, None, None), ("b2", True, "passed", "r2"), ("b4", True, "passed", None), ("b5", True, None, "x")], "batch string, success boolean, status string, runner string")
+    cases = spark.createDataFrame([("b2", "a", 1, "flaky"), ("b2", "a", 2, "todo"), ("b4", "q", 1, None)], "batch string, case_id string, place long, status string")
+    batches = results.batch_runs(plan, runs)
+    merged = results.merged_cases(batches, cases)
+    assert values(merged, "target", "case_id", "status")[:3] == [("t", "a", "todo"), ("t", "s", "passed"), ("t", "t::batch:b3", "failed")]
+    # A batch that did not run fails its target; a case without a status counts as failed; a run without results keeps its verdict.
+    assert dict(values(results.all_passed(batches))) == {"t": False, "u": True, "v": True}
+    got = {r["target"]: (r["runner"], r["status"], r["total"], r["passed"], r["failed"], r["skipped"]) for r in results.merged_results(batches, cases).collect()}
+    assert got == {"t": ("r2", "failed", 3, 1, 1, 1), "u": ("unknown", "failed", 1, 0, 1, 0), "v": ("unknown", "passed", 1, 1, 0, 0)}
+    left = spark.createDataFrame([("b2", "logs", "l"), ("b2", "logs", "l"), ("b1", "logs", "x")], "batch string, field string, path string")
+    assert values(results.artifacts(batches, left)) == [("t", "logs", "l")]
+    document = results.results_document(results.merged_results(batches, cases), merged, results.artifacts(batches, left), "v1")
+    assert values(results.contract_violations(document.filter("target <> 'u'"), "v1")) == []
+    assert values(results.units_of(document), "target", "unit")[0] == ("t", "a")
+
+
 def test_sarif(spark):
     place = {"physicalLocation": {"artifactLocation": {"uri": "file:///src/a%20b.c"}, "region": {"startLine": 3, "startColumn": 1}}}
     run = {"tool": {"driver": {"name": "lint", "rules": [{"id": "R1", "helpUri": "http://h"}]}}, "results": [{"ruleId": "R1", "level": "odd", "message": {"text": "m"}, "locations": [place]}, {"ruleId": "R2", "level": "error", "message": {"text": "n"}}]}
@@ -138,9 +190,9 @@ def test_sarif(spark):
 def test_changes_since(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "a"), (5, "c"), (6, None)], "generation long, path string")
     def since(a, b):
-        return tuple(journal.changes_since(df, F.lit(a).cast("long"), F.lit(b).cast("long")).first())
-    assert since(0, 3) == (True, "a,b", 2) and since(3, 3) == (True, "", 0)
-    assert since(3, 5) == (False, None, None) and since(4, 6) == (False, None, None) and since(9, 6) == (False, None, None)
+        return sorted(tuple(r) for r in journal.changes_since(df, a, b).collect())
+    assert since(0, 3) == [(True, "a"), (True, "b")] and since(3, 3) == [(True, None)]
+    assert since(3, 5) == since(4, 6) == since(9, 6) == [(False, None)]
 
 
 def test_logs(spark):
@@ -161,7 +213,10 @@ def test_rules(spark, app):
     shown = app.withColumn("visibility", F.when(F.col("name") == "Core", F.array(F.lit("subtree:lib"))).otherwise(F.array(F.lit("public"))))
     assert values(validate.invisible_dependencies(shown), "target") == [("apps/App",), ("apps/App",), ("apps/Tests",)]
     sources = spark.createDataFrame([("apps/App", "a.c"), ("apps/App", "b.c")], "id string, path string")
-    assert values(validate.missing_sources(sources, spark.createDataFrame([("a.c",)], "path string")), "message") == [("no file b.c",)]
+    assert values(validate.missing_sources(sources.unionAll(spark.createDataFrame([("apps/App", "*.c"), ("apps/App", "x/*.c")], sources.schema)), spark.createDataFrame([("a.c",)], "path string")), "message") == [("no file b.c",), ("no file x/*.c",)]
+    roles = spark.createDataFrame([("app", "deps", ["other"]), ("test", "extra", ["module"])], "kind string, role string, accepts array<string>")
+    assert values(validate.incompatible_providers(app, roles), "target") == [("apps/App",), ("apps/App",)]
+    assert values(validate.unexpected_dependencies(app, roles), "target") == [("apps/Core",)]
 
 
 def test_scalars(spark):
@@ -172,7 +227,8 @@ def test_scalars(spark):
         return tuple(one.select(*columns).first())
     assert of(S.cut_bytes(F.lit("aé"), 2)["text"], S.cut_bytes(F.lit("aé"), 3)["truncated"]) == ("a", False)
     assert of(S.is_digest(F.lit("A" * 64)), S.is_digest(F.lit("a" * 64))) == (False, True)
-    assert of(S.arch(F.lit("AArch64")), S.operating_system(F.lit("Darwin")), S.workers(F.lit(0), 4)) == ("arm64", "macos", 1)
+    assert of(S.arch(F.lit("aarch64")), S.operating_system(F.lit("darwin")), S.workers(F.lit(0), 4)) == ("arm64", "macos", 1)
+    assert of(S.first_distinct(F.array(*map(F.lit, "bab"))), S.worker_memory(F.lit(7), F.lit(0))) == (["b", "a"], 7)
     assert of(P.relative_reference(F.lit("a/b"), F.lit("../c")), P.relative_reference(F.lit(""), F.lit("../c"))) == ("a/c", None)
     assert of(P.target_id(F.lit(""), F.lit("x")), P.area(F.lit(".git/x")), P.area(F.lit(".cache/out/y"))) == ("x", None, "output")
     assert of(P.included(F.lit("a/b"), [], ["a*"]), P.included(F.lit("a/b"), ["a/*"], [])) == (False, True)
@@ -180,12 +236,70 @@ def test_scalars(spark):
 
 
 def test_search(spark):
-    df = spark.createDataFrame([("apple_app", "an app"), ("apple_test", "tests"), ("rust_test", "tests"), ("go_lib", "a library")], "kind string, docs string")
+    df = spark.createDataFrame([("apple_app", "an app"), ("apple_test", "tests"), ("rust_test", "tests"), ("go_lib", "a library"), ("node", "the runner of specs")], "kind string, docs string")
     def kinds(q):
         return {r[0] for r in search.matching(df, q).select("kind").collect()}
     assert kinds("the apple target") == {"apple_app", "apple_test"}
-    assert kinds("rust go app") == {"rust_test", "go_lib", "apple_app"}
-    assert kinds("test") == {"apple_test", "rust_test"} and kinds("libra") == {"go_lib"} and len(kinds("the")) == 4
+    # Several families: these, and kinds that mention another word, unless it is generic.
+    assert kinds("rust go app") == {"rust_test", "go_lib"} and kinds("rust go spec") == {"rust_test", "go_lib", "node"}
+    assert kinds("test") == {"apple_test", "rust_test"} and kinds("libra") == {"go_lib"} and kinds("the") == {"node"} and len(kinds("?!")) == 5
+    catalog = df.selectExpr("*", "array(named_struct('slug', 's', 'name', 'n')) AS examples")
+    assert values(search.example_of(catalog, "node", "s")) == [("s", "n")] and search.schema_of(catalog, "node").count() == 1
+    for wrong in (lambda: search.schema_of(catalog, "x"), lambda: search.example_of(catalog, "node", "x")):
+        with pytest.raises(LookupError):
+            wrong()
+
+
+def test_selects():
+    value = {"a": [{"select": {"x": 1, "default": {"select": {"y": 2}}}}], "b": {"select": {"y": 3}, "other": 4}}
+    assert selects.resolve(value, ["x", "default"]) == {"a": [1], "b": value["b"]}
+    assert selects.resolve(value, ["y", "default"]) == {"a": [2], "b": value["b"]}
+    with pytest.raises(LookupError):
+        selects.resolve(value, ["default"])
+
+
+def test_providers_and_functions(spark):
+    rows = [("a", ["c", "b", "gone", "b"], {"tools": ["b"]}, []), ("b", [], {}, ["p"]), ("c", ["b"], {}, ["q", "r"])]
+    df = spark.createDataFrame(rows, "id string, deps array<string>, dependencies map<string,array<string>>, providers array<string>")
+    got = values(providers.dependencies_by_role(df, df.select("id")), "id", "role", "pos", "dep")
+    assert got == [("a", "deps", 0, "c"), ("a", "deps", 1, "b"), ("a", "deps", 2, "b"), ("a", "tools", 0, "b"), ("c", "deps", 0, "b")]
+    known = providers.Functions()
+    known.register("count", lambda key, frame: frame.groupby("role", as_index=False).size().assign(id=key)[["id", "role", "size"]], "id string, role string, size long")
+    with pytest.raises(ValueError):
+        known.register("count", None, "")
+    with pytest.raises(LookupError):
+        known.apply("none", df)
+    edges = providers.dependencies_by_role(df, df.select("id"))
+    assert values(known.apply("count", edges)) == [("a", "deps", 3), ("a", "tools", 1), ("c", "deps", 1)]
+    known.register("twice", lambda _, frame: frame[["id"]].loc[frame.index.repeat(2)], "id string")
+    assert values(known.expand("twice", df.select("id"))) == [("a",), ("a",), ("b",), ("b",), ("c",), ("c",)]
+
+
+def test_scripts(spark):
+    text = '#!/bin/sh -x\n# task needs "b"\r\n\n-- TASK   cwd "x y"\n; task bogus "1"\n# taskforce needs "z"\nrun\n# task needs "late"\n'
+    df = spark.createDataFrame([("a", text), ("b", '#!/usr/bin/env -S node\n# task needs "a"'), ("c", "no shebang"), ("d", '#!x\n# task needs "c"')], "path string, text string")
+    notes = scripts.annotations(df)
+    assert values(notes.filter("path = 'a'"), "directive", "value") == [("cwd", "x y"), ("invalid", '; task bogus "1"'), ("needs", "b")]
+    assert values(scripts.runtimes(df), "path", "runtime") == [("a", "/bin/sh"), ("b", "node"), ("c", None), ("d", "x")]
+    start = lambda p: spark.createDataFrame([(p,)], "start string")
+    assert values(scripts.needed_scripts(notes, start("d"))) == [("d", "c")]
+    with pytest.raises(ValueError):
+        scripts.needed_scripts(notes, start("a"))
+
+
+def test_contract(spark):
+    listing = lambda *rows: spark.createDataFrame([("x", *r) for r in rows], "action string, path string, print string")
+    declared = lambda *paths: spark.createDataFrame([("x", p) for p in paths], "action string, path string")
+    empty = listing(("q", "1")).limit(0)
+    private = (empty, listing(("out", "dir"), ("out/deep", "dir"), ("out/deep/o", "1"), ("tmp", "1")))
+    shared = (listing(("src", "dir"), ("src/a", "1"), ("src/b", "1"), ("lib/c", "1"), ("lib", "dir")), listing(("src", "dir"), ("src/a", "2"), ("lib/c", "3"), ("lib", "dir")))
+    errors = spark.createDataFrame([("x", "cannot read lib/c, src/a or lib")], "action string, text string")
+    links = spark.createDataFrame([("x", "out/deep/l", False)], "action string, path string, inside boolean")
+    got = values(contract.violations(declared("src/a", "src/b"), declared("out/deep/", "none"), private, shared, errors, links), "code", "path")
+    assert got == [
+        ("declared_input_deleted", "src/b"), ("declared_input_modified", "src/a"), ("missing_output", "none"), ("symlink_escape", "out/deep/l"),
+        ("undeclared_read", "lib/c"), ("undeclared_write", "lib/c"), ("undeclared_write", "tmp"),
+    ]
 
 
 def test_edits_are_all_or_nothing(spark):
@@ -217,7 +331,18 @@ def test_files(spark, tmp_path):
     assert values(files.read_manifests(spark, str(tmp_path / "w")), "id", "attrs") == [("apps/A", '{"n": 1}')]
     paths = spark.createDataFrame([("p/a.toml",), ("p/b.lock",), ("q/a.toml",)], "path string")
     markers = spark.createDataFrame([("both", "a.toml"), ("both", "b.lock"), ("one", "a.toml")], "project string, marker string")
-    assert values(files.marker_projects(paths, markers)) == [("p", "both"), ("p", "one"), ("q", "one")]
+    found = files.marker_projects(paths, markers)
+    assert values(found) == [("p", "both"), ("p", "one"), ("q", "one")]
+    assert files.project_package(found, "both") == "p" and files.project_package(found, "one", "q") == "q"
+    with pytest.raises(ValueError):
+        files.project_package(found, "one")
+    with pytest.raises(LookupError):
+        files.project_package(found, "two")
+    texts = spark.createDataFrame([("a", "x", "1234"), ("a", "y", "12")], "owner string, path string, text string")
+    assert files.bounded_texts(texts, 4, 6).count() == 2
+    for each, all_of in ((3, 9), (4, 5)):
+        with pytest.raises(ValueError):
+            files.bounded_texts(texts, each, all_of)
 
 
 def test_stream_numbers_changes_across_batches(spark, tmp_path):
