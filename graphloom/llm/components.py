@@ -34,17 +34,33 @@ def id_of(name: Column, kind: T.DataType, digest_chars: int) -> Column:
     return F.when(name.startswith("i"), text)
 
 
+#: Parts that a node's links are dealt to, so that a node with very many is no hot key.
+PARTS = 16
+
+
+def _told(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``links`` (u, v) with ``_m``, the least v of their u; and (u, _m) alone.
+
+    Least values are taken in each part of a node's links, then over its parts, and told to
+    the parts there are; links join by node and part.
+    """
+    dealt = links.withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    of_part = dealt.groupBy("u", "_part").agg(F.min("v").alias("_p"))
+    least = of_part.groupBy("u").agg(F.min("_p").alias("_m"))
+    told = of_part.select("u", "_part").join(least, "u")
+    return dealt.join(told, ["u", "_part"]).drop("_part"), least
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours."""
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v"))
+    told, _ = _told(edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return told.filter("v > u").select(F.col("v").alias("u"), F.least("u", "_m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("_m"))
-    others = edges.join(least, "u").filter("v > _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
+    told, least = _told(edges)
+    others = told.filter("v > _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
     return others.unionAll(least.select("u", F.col("_m").alias("v"))).distinct()
 
 

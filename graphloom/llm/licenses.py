@@ -8,14 +8,18 @@ whole text is a licence file's by its name, or if one of ``LINES`` of its lines
 licence, copyright, warranty or liability (``LEGAL``), as every template of a header or text
 does. The texts are in ``licence_texts``, by licence. A file without a licence
 of its own inherits that of the nearest ancestor directory with a licence file, by joining
-its ancestor paths to the directories of such files.
+the ancestor paths of its directory to the directories of such files. A file is a licence
+file by its name, or if it is a text file of which LICENCE_PERCENT of the words or more are in
+licence pieces: a short notice. Files learn what their directory inherits in SPREAD parts a directory, so one that
+holds very many files is no hot key.
 
 Document frequencies come from all pieces of a kind, for every term. Broadcast
 are the templates' terms and weights only, whose number is fixed.
 
 Defined cases: null and empty texts have no licence of their own but may inherit; ties go to
 the first licence by name; repeated rows give repeated results; a null path inherits
-nothing; extra columns are ignored.
+nothing; a text of any length is cut into pieces in its row; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,9 +99,12 @@ TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 MIN_COSINE = 0.6
 #: Least cosine of whole files: long texts of one language share their common words.
 MIN_WHOLE = 0.8
-#: Names of licence files, and the share of its words in licence sentences (percent) that makes a file of any name one.
+#: Names of licence files; names of text files, and the share of its words in licence pieces (percent) that makes one a licence file.
 LICENCE_FILE = "(?i)(?:^|/)(?:licen[cs]e|copying|unlicense|notice)[^/]*$"
-LICENCE_PERCENT = 100
+TEXT_FILE = "(?i)(?:(?:^|/)[^/.]*|\\.(?:txt|md|rst))$"
+LICENCE_PERCENT = 33
+#: Tasks that the files of one directory are dealt to.
+SPREAD = 32
 
 
 def terms(text: Column) -> Column:
@@ -192,13 +199,18 @@ def scan(files: DataFrame) -> DataFrame:
     own = own_licenses(files.select("_row", "path", "text"))
     listed = files.select("_row", "doc_id", "path", n_words(F.col("text")).alias("_size"))
     listed = materialise(listed.join(own, "_row", "left"), "licensed")
-    is_file = F.col("path").rlike(LICENCE_FILE) | (F.col("license_words") * 100 >= F.col("_size") * LICENCE_PERCENT)
+    is_file = F.col("path").rlike(LICENCE_FILE) | F.col("path").rlike(TEXT_FILE) & (F.col("license_words") * 100 >= F.col("_size") * LICENCE_PERCENT)
     directory = F.regexp_replace("path", "/?[^/]*$", "")
     granted = listed.filter(F.col("license").isNotNull() & is_file & F.col("path").isNotNull())
     granted = granted.groupBy(directory.alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("_g"))
-    bare = listed.filter("license IS NULL AND path IS NOT NULL").select("_row", F.inline(ancestors(F.col("path"))))
-    near = bare.join(granted, "dir").groupBy("_row").agg(F.max_by("_g", "depth").alias("_g"))
-    out = listed.join(near, "_row", "left")
+    # Directories, not files, meet their ancestors.
+    directories = listed.filter("path IS NOT NULL").select(directory.alias("dir")).distinct()
+    up = directories.select("dir", F.inline(ancestors(F.concat("dir", F.lit("/")))).alias("depth", "_up"))
+    near = up.join(granted.withColumnRenamed("dir", "_up"), "_up").groupBy("dir").agg(F.max_by("_g", "depth").alias("_g"))
+    near = near.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    part = F.pmod(F.xxhash64("_row"), F.lit(SPREAD)).cast("int")
+    own_dir = F.when(F.col("license").isNull() & F.col("path").isNotNull(), directory)
+    out = listed.withColumn("dir", own_dir).withColumn("_part", part).join(near, ["dir", "_part"], "left")
     return out.select(
         "doc_id",
         "path",

@@ -228,6 +228,89 @@ def test_license_scores_hold_as_the_corpus_grows(spark):
         assert [(r["license"], r["origin"]) for r in got] == [("MIT", "own")]
 
 
+def plain_license_scan(files):
+    """(doc_id, license, score, origin, n_matches) of (doc_id, path, text), read off the rules without Spark."""
+    import math
+    from collections import Counter
+
+    terms = lambda t: re.findall(licenses.TERM, t.lower())
+    words = lambda t: len(WORD.findall(t))
+    found = []
+    for row, (_, path, text) in enumerate(files):
+        if not text or not re.search(licenses.CUE, text):
+            continue
+        found += [(row, licenses.SENTENCE, p) for p in re.split(licenses.SENTENCE_END, text) if re.search(licenses.CUE, p)]
+        lines = [x for x in text.split("\n") if re.search("[A-Za-z0-9]", x)]
+        cues = [bool(re.search(licenses.CUE, x)) for x in lines]
+        for kind, around in ((licenses.CUES, 0), (licenses.BLOCK, 1)):
+            marked = [x if any(cues[max(0, i - around) : i + around + 1]) else None for i, x in enumerate(lines)]
+            block: list = []
+            for x in [*marked, None]:
+                if x is None and block:
+                    found += [(row, kind, "\n".join(block))] if re.search(licenses.LEGAL, "\n".join(block)) else []
+                    block = []
+                elif x is not None:
+                    block.append(x)
+        if (path and re.search(licenses.LICENCE_FILE, path)) or sum(bool(re.search(licenses.LEGAL, x)) for x in lines) * licenses.LINES >= max(len(lines), 1):
+            found.append((row, licenses.WHOLE, text))
+    sizes, df = Counter(k for _, k, _ in found), Counter()
+    for _, k, p in found:
+        df.update((k, t) for t in set(terms(p)))
+    def vector(kind, text):
+        return {t: n * (math.log((sizes[kind] + 1) / (df[kind, t] + 1)) + 1) for t, n in Counter(terms(text)).items()}
+    texts = licenses.licence_texts()
+    headers = (*licenses.HEADERS, *[t for t in texts if len(t[1]) < 2000])
+    of_kind = {licenses.SENTENCE: licenses.TEMPLATES, licenses.CUES: headers, licenses.BLOCK: headers, licenses.WHOLE: texts}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    models = {k: [(name, v, norm(v)) for name, t in some for v in [vector(k, t)]] for k, some in of_kind.items()}
+    best: dict = {}
+    for row, kind, p in found:
+        v = vector(kind, p)
+        scored = [(-round(sum(x * w.get(t, 0) for t, x in v.items()) / norm(v) / size, 6), name) for name, w, size in models[kind]] if v else []
+        least = max(licenses.MIN_COSINE, licenses.MIN_WHOLE) if kind == licenses.WHOLE else licenses.MIN_COSINE
+        if scored and -min(scored)[0] >= least:
+            best.setdefault(row, {}).setdefault(kind, []).append((min(scored), 0 if kind == licenses.BLOCK else words(p)))
+    own = {r: (min(m for ms in by.values() for m, _ in ms), max(len(ms) for ms in by.values()), max(sum(w for _, w in ms) for ms in by.values())) for r, by in best.items()}
+    directory = lambda path: path.rpartition("/")[0]
+    grants: dict = {}
+    for r, (match, _, n) in own.items():
+        _, path, text = files[r]
+        if path is not None and (re.search(licenses.LICENCE_FILE, path) or (re.search(licenses.TEXT_FILE, path) and n * 100 >= words(text) * licenses.LICENCE_PERCENT)):
+            grants[directory(path)] = min(match, grants.get(directory(path), match))
+    out = []
+    for r, (doc_id, path, _) in enumerate(files):
+        if r in own:
+            out.append((doc_id, own[r][0][1], -own[r][0][0], "own", own[r][1]))
+            continue
+        at, hit = path and directory(path), None
+        while path is not None and hit is None:
+            hit = grants.get(at)
+            if not at:
+                break
+            at = directory(at)
+        out.append((doc_id, hit and hit[1], hit and -hit[0], "inherited" if hit else "none", 0))
+    return out
+
+
+def test_license_query_against_plain_reading(spark):
+    rows = duckdb.sql("SELECT doc_id, source || '/' || doc_id || '.txt', text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    want = {r[0]: r[1:] for r in plain_license_scan(rows)}
+    got = licenses.op8_license_scan(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(rows) and sum(r["origin"] == "inherited" for r in got) > 0
+    for r in got:
+        license_, score, origin, n = want[r["doc_id"]]
+        assert (r["license"], r["origin"], r["n_matches"]) == (license_, origin, n)
+        assert (score is None) == (r["score"] is None) and (score is None or abs(score - r["score"]) < 2e-6)
+
+
+def test_long_texts_and_deep_folders(spark):
+    rows = [(1, "a/b/c/d/e/f.txt", "x " * 200_000), (2, "a/LICENSE", "Released under the MIT License."), (3, "top.txt", "word"), (4, "NOTICE", "Licensed under the ISC License.")]
+    rows += [(10 + i, "a/many/x.py", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(df).collect()}
+    assert got[1] == ("MIT", "inherited") and got[3] == ("ISC", "inherited") and {got[i] for i in range(10, 60)} == {("MIT", "inherited")}
+
+
 def test_headers_and_licence_files_are_compared_whole(spark):
     gpl = """# This program is free software: you can redistribute it and/or modify
 # it under the terms of the GNU General Public License as published by
