@@ -1,11 +1,14 @@
 """Line-first quality cleaning with DataFrame functions only.
 
-Every line is judged on its own; failing lines are removed; a document that loses too
-large a share of its words, or fails the whole-text floor rules, is rejected.
-No step shuffles: a document is judged inside its own row.
+Every line is judged on its own by four rules: navigation (separators), boilerplate (phrases),
+markup (symbols) and terminal punctuation (a line of one or two words that doesn't end as a
+sentence does). Failing lines are removed; a document that loses too large a share of its
+words, or fails the whole-text floor rules, is rejected. No step shuffles: a document is
+judged inside its own row.
 
 Defined cases: null and empty texts have no words, all counts 0, and are rejected
-(too few words). Repeated rows give repeated results. Extra input columns pass through
+(too few words). Repeated rows give repeated results; an empty table gives an empty result;
+texts of any length are judged whole. Extra input columns pass through
 ``clean`` untouched unless they carry one of the names it adds, which are replaced.
 """
 
@@ -38,8 +41,13 @@ BOILERPLATE = (
 
 SEPARATORS = "|»›•·"
 MARKS = "#*$%&|<>{}~^=_\\\\"
-#: Any case of any phrase from its first space on: what a text with a phrase must hold.
-PHRASE_TAIL = "(?i) (?:" + "|".join(sorted({p.split(" ", 1)[1] for p in BOILERPLATE})) + ")"
+#: Every phrase from its first space on, in lower case: what a text with a phrase must hold.
+PHRASE_TAIL = " (?:" + "|".join(sorted({p.split(" ", 1)[1] for p in BOILERPLATE})) + ")"
+#: Ends of sentences, with what may close after them, and of lines that lead on to others.
+TERMINAL = ".!?\u2026:;,\"'\u201d\u2019\u00bb)\\]}\u3002\uff01\uff1f"
+_BLANK = "[\\x20\\x09\\x0B-\\x0D]"
+#: A line of one or two words whose last character ends nothing.
+FRAGMENT = f"{_BLANK}*(?:[^{SPACES}]+{_BLANK}+)?[^{SPACES}]*[^{SPACES}{TERMINAL}]{_BLANK}*"
 
 
 def repeated_window_words(tokens: Column) -> Column:
@@ -91,7 +99,7 @@ def has_phrase(lower: Column) -> Column:
 
 
 def line_fails(line: Column, may_have_phrase: Column) -> Column:
-    """True for a line of navigation, boilerplate or markup noise.
+    """True for a line of navigation, boilerplate or markup noise, and for a fragment.
 
     ``may_have_phrase``: false if the whole text is known to hold no boilerplate phrase.
     Words of the line are counted only where a cheaper test has already hit.
@@ -101,7 +109,7 @@ def line_fails(line: Column, may_have_phrase: Column) -> Column:
     symbols = count_of(line, f"[{MARKS}]")
     punctuation = (symbols > 0) & (symbols * 2 > n_words(line))
     boilerplate = may_have_phrase & has_phrase(F.lower(line)) & (n_words(line) <= BOILERPLATE_WORDS)
-    return navigation | punctuation | boilerplate
+    return navigation | punctuation | boilerplate | line.rlike(f"\\A{FRAGMENT}\\z")
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -114,8 +122,9 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     tokens = words(text)
     worded = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACES}]"))
     dup_lines = let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    # One pass over the whole text each: most texts hold neither a mark nor a phrase, and then no line can fail.
-    marked, phrased = text.rlike(f"[{SEPARATORS}{MARKS}]"), text.rlike(PHRASE_TAIL)
+    # One pass over the whole text each: most texts hold neither a mark nor a phrase nor a fragment, and then no line can fail.
+    marked, phrased = text.rlike(f"[{SEPARATORS}{MARKS}]"), F.lower(text).rlike(PHRASE_TAIL)
+    broken = text.rlike(f"(?:\\A|\\n){FRAGMENT}(?=\\n|\\z)")
     good_lines = let(phrased, lambda may: F.filter(F.split(text, "\n", -1), lambda x: ~line_fails(x, may)))
     stats = let(
         tokens,
@@ -126,7 +135,7 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ),
     )
     added = {"_stats": stats, "n_symbols": count_of(text, "[#*$%&|<>]").cast("long"), "n_dup_lines": dup_lines.cast("long")}
-    added["clean_text"] = F.when(~(marked | phrased), F.col(text_col)).when(
+    added["clean_text"] = F.when(~(marked | phrased | broken), F.col(text_col)).when(
         F.col(text_col).isNotNull(), F.array_join(good_lines, "\n")
     )
     out = docs.withColumns(added)
@@ -142,3 +151,30 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     got = clean(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_W = r"[^\x20\x09-\x0D]+"
+_PHRASES = " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
+_FRAGMENT = FRAGMENT.replace("'", "''")
+OP5_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '{_W}') AS w FROM t),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM t),
+l AS (
+  SELECT r, line, lower(line) AS low, len(regexp_extract_all(line, '{_W}')) AS n, len(regexp_extract_all(line, '[{SEPARATORS}]')) AS sep,
+    len(regexp_extract_all(line, '[{MARKS}]')) AS marks, regexp_matches(line, '\A{_FRAGMENT}\z') AS fragment FROM lines),
+f AS (
+  SELECT r, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup,
+    coalesce(sum(n) FILTER (NOT (sep >= {MIN_SEPARATORS} AND sep * 3 >= n OR marks > 0 AND marks * 2 > n OR fragment OR n <= {BOILERPLATE_WORDS} AND ({_PHRASES}))), 0) AS words_left
+  FROM l GROUP BY r),
+k AS (SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
+s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM k) WHERE c > 1),
+rep AS (SELECT r, sum(d) AS n FROM (SELECT r, least({WINDOW}, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, {WINDOW})) AS d FROM s) GROUP BY r),
+c AS (
+  SELECT t.r, doc_id, text, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, words_left
+  FROM t JOIN w ON w.r = t.r JOIN f ON f.r = t.r LEFT JOIN rep ON rep.r = t.r),
+v AS (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words - words_left) * 100 > n_words * {MAX_LOST_PERCENT} AS kept FROM v
+"""

@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": chat.OP2_SQL,
+        "op5_quality_rules": quality.OP5_SQL,
         "op7_embedding_near_dedup": neighbours.OP7_SQL,
         "op9_ngram_jaccard": jaccard.OP9_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
