@@ -4,12 +4,14 @@ Bytes are embedded, filters of several widths run over them, each filter's large
 a window is kept, and a softmax layer gives the language. Whole texts are cut into windows
 of a fixed length; a text's language is that of its windows' mean log-probabilities.
 
-Training takes a bounded sample: TRAIN_PER_LANGUAGE texts of each language (first by a hash
-of the id), TRAIN_TOTAL in all, WINDOWS_PER_TEXT windows spread over each.
+Training takes a bounded sample of windows, drawn from all windows of all training texts by a
+hash of id and place: TRAIN_PER_LANGUAGE of each language, TRAIN_TOTAL in all. Windows are
+cut where the texts are; the driver gets windows, not texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is
-everything if no training text has a language; repeated rows give repeated results; ids may
-be null (they count as the empty text in the fold); extra columns are ignored.
+everything if no training text has a language (an empty table, say); repeated rows give
+repeated results; a text of any length is read whole, STEP windows at a time; ids may be
+null (they count as the empty text in the fold); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from graphloom.llm.common import crc_remainder, map_batches, read
 
 EMBED, WIDTHS, FILTERS = 8, (2, 3, 4), 16
 WINDOW_BYTES = 256
-TRAIN_PER_LANGUAGE, TRAIN_TOTAL, WINDOWS_PER_TEXT = 1_000, 20_000, 2
-#: Range of the hash that draws the sample, and how many rows more than wanted it may draw.
+TRAIN_PER_LANGUAGE, TRAIN_TOTAL = 2_000, 40_000
+#: Range of the hash that draws the sample, and how many windows more than wanted it may draw.
 HASHES, SPARE = 1 << 40, 1.2
 EPOCHS, BATCH, RATE = 4, 128, 0.01
 #: Windows that a prediction step holds at once.
@@ -91,16 +93,16 @@ def _mask() -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """A network trained on windows of labelled texts by Adam steps."""
+    """A network trained on all windows of labelled texts by Adam steps."""
+    rows = [cut(t.encode()) for t in texts]
+    return fit_windows(np.concatenate(rows), [label for label, r in zip(labels, rows, strict=True) for _ in r], epochs, seed)
+
+
+def fit_windows(x: np.ndarray, labels: list[str], epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """A network trained on labelled windows (rows of bytes) by Adam steps."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
-    x, y = [], []
-    for text, label in zip(texts, labels, strict=True):
-        rows = cut(text.encode())
-        for i in sorted({int(p) for p in np.linspace(0, len(rows) - 1, WINDOWS_PER_TEXT)}):
-            x.append(rows[i])
-            y.append(languages.index(label))
-    x, y = np.array(x), np.array(y)
+    y = np.array([languages.index(label) for label in labels])
     n_filters, places, mask = FILTERS * len(WIDTHS), 4 * EMBED, _mask()
     p = {
         "embed": rng.normal(0, 0.5, (256, EMBED)),
@@ -161,37 +163,39 @@ def _gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.n
     }
 
 
-def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(text, lang) of the training sample: of each language the first rows by a hash of the id.
+def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
+    """(window, lang) of the training sample: of each language the first windows by a hash of id and place.
 
-    Languages are counted first; then a row is let through if its hash lies under its
-    language's rate, so the texts that leave the scan are about those wanted and no task
-    gathers a language. What is left over is cut by the same hash.
+    The windows of each language are counted first, by the texts' lengths; then a window is let
+    through if its hash lies under its language's rate, so what leaves the scan is about what
+    is wanted and no task gathers a language. What is left over is cut by the same hash.
     """
     usable = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
-    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(TRAIN_TOTAL)
+    windows = F.ceil(F.octet_length("text") / WINDOW_BYTES).cast("long")
+    counted = usable.groupBy("lang").agg(F.sum(windows).alias("n")).orderBy(F.col("n").desc(), "lang").limit(TRAIN_TOTAL)
     counts = {r["lang"]: r["n"] for r in counted.collect()}
     if not counts:
         return []
     each = max(1, min(TRAIN_PER_LANGUAGE, TRAIN_TOTAL // len(counts)))
     rates = [(lang, min(HASHES, round(HASHES * each * SPARE / n))) for lang, n in counts.items()]
     rates = docs.sparkSession.createDataFrame(rates, "lang string, _rate long")  # at most TRAIN_TOTAL rows
-    key = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(HASHES))
-    drawn = usable.withColumn("_key", key).join(F.broadcast(rates), "lang").filter("_key < _rate")
-    drawn = drawn.orderBy("_key", "doc_id", "lang").limit(2 * TRAIN_TOTAL).select("text", "lang").collect()
+    keys = F.transform(F.sequence(F.lit(0).cast("long"), windows - 1), lambda i: F.struct(i.alias("at"), F.pmod(F.xxhash64("doc_id", "lang", i), F.lit(HASHES)).alias("key")))
+    drawn = usable.join(F.broadcast(rates), "lang").withColumn("_w", F.explode(F.filter(keys, lambda k: k["key"] < F.col("_rate"))))
+    window = F.substring(F.encode("text", "UTF-8"), (F.col("_w.at") * WINDOW_BYTES + 1).cast("int"), F.lit(WINDOW_BYTES))
+    drawn = drawn.select(window.alias("window"), "lang", "_w.key", "doc_id", "_w.at").orderBy("key", "doc_id", "lang", "at").limit(2 * TRAIN_TOTAL).select("window", "lang").collect()
     kept: dict[str, int] = {}
     out = []
     for r in drawn:
         kept[r["lang"]] = kept.get(r["lang"], 0) + 1
         if kept[r["lang"]] <= each:
-            out.append((r["text"], r["lang"]))
+            out.append((bytes(r["window"]), r["lang"]))
     return out
 
 
 def train(docs: DataFrame) -> Model | None:
     """A model of the rows of ``docs`` (doc_id, text, lang) that have both text and language."""
     rows = sample(docs)
-    return fit([text for text, _ in rows], [lang for _, lang in rows]) if rows else None
+    return fit_windows(np.concatenate([cut(w) for w, _ in rows]), [lang for _, lang in rows]) if rows else None
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

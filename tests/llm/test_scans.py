@@ -167,13 +167,29 @@ def test_quality_counts(spark):
 def test_lines_fail_by_rule(spark):
     clean = "The river runs past the old mill, and the road follows it to the sea."
     bad = ["home | news | about | help", "We make use of cookies, accept cookies", "### $$$ *** %%% &&&"]
-    rows = [(1, "\n".join([clean, *bad, clean.upper()])), (2, "\n".join([clean] + [f"home {i} | news | about | help" for i in range(4)])), (3, "\n".join([clean] + [f"{clean} {i}" for i in range(3)]))]
+    bad += ["Home", "  Next page \t", "See »more"]
+    rows = [(1, "\n".join([clean, *bad, "Yes.", "\"No!\"", "and so,", clean.upper()])), (2, "\n".join([clean] + [f"home {i} | news | about | help" for i in range(4)])), (3, "\n".join([clean] + [f"{clean} {i}" for i in range(3)]))]
     got = {r["doc_id"]: r for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1]["clean_text"] == f"{clean}\n{clean.upper()}" and got[1]["kept"]
+    assert got[1]["clean_text"] == f'{clean}\nYes.\n"No!"\nand so,\n{clean.upper()}' and got[1]["kept"]
     assert not got[2]["kept"] and not got[2]["base_failed"]
     assert got[3]["clean_text"] == rows[2][1]
 
 
+def test_quality_query_matches_sql(spark, tmp_path):
+    def same(where, view):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{view}'")
+        assert sorted(map(str, map(tuple, quality.op5_quality_rules(spark, where).collect()))) == sorted(map(str, con.sql(quality.OP5_SQL).fetchall()))
+
+    same(DIR, f"{DIR}/documents.parquet")
+    line = "The river runs past the old mill, and the road follows it to the sea"
+    texts = [None, "", "\n\n", "Home\nNext page\n" * 9, f"{line}.\nHome\n\r\n x\ty \x0b\n{line} \nKLICKE READ MORE\nread more, it says", "a | b | c |\n" * 30, "### $$ one\n" * 20, "İ click here\n" * 12, "one two\n" * 5 + f"{line}\n" * 2]
+    texts += [" ".join(f"w{i % 37}" for i in range(k)) for k in (7, 8, 9, 20, 45, 300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:5])], "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    same(str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet")
+
+
 def test_quality_query(spark):
     docs = dict(duckdb.sql(f"SELECT doc_id, text FROM '{DIR}/documents.parquet'").fetchall())
     for r in quality.op5_quality_rules(spark, DIR).collect():
@@ -346,6 +362,19 @@ def test_language_of_odd_texts(spark):
     assert {r["lang_pred"] for r in langid.predict(df, langid.train(df.limit(0))).collect()} == {"und"}
 
 
+def test_every_window_of_a_training_text_may_be_drawn(spark, monkeypatch):
+    text = "".join(f"{i:04d}{'x' * 252}" for i in range(300))
+    df = spark.createDataFrame([(1, text, "a"), (2, "é" * 200, "b"), (3, None, "a"), (4, "", "a"), (5, "zz", None)], "doc_id long, text string, lang string")
+    got = langid.sample(df)
+    assert sorted(w[:4] for w, lang in got if lang == "a") == [f"{i:04d}".encode() for i in range(300)]
+    assert b"".join(sorted((w for w, lang in got if lang == "b"), key=len, reverse=True)) == ("é" * 200).encode()
+    monkeypatch.setattr(langid, "TRAIN_PER_LANGUAGE", 50)
+    some = langid.sample(df)
+    assert 20 < sum(lang == "a" for _, lang in some) <= 50 and some == langid.sample(df)
+    long = spark.createDataFrame([(1, "the cat " * 200_000, "en")], df.schema)
+    assert [r["lang_pred"] for r in langid.predict(long, langid.train(df.filter("lang = 'a'"))).collect()] == ["a"]
+
+
 def test_pair_tables_equal_the_convolution():
     import numpy as np
 
