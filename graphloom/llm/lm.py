@@ -1,25 +1,28 @@
 """Subword lattice likelihood of whole texts.
 
 A word's probability sums over all ways to spell it from the pieces of an existing
-vocabulary, by a forward recursion over the word's bytes in log space. Pieces are weighted
-by that vocabulary's own scores (as ranks, 1 / (rank + RANK_SHIFT)) and by their counts in
-the distinct training words; a piece that starts a word and one that goes on have separate
-weights, and a word's end has one of its own. Training words are arcs of the lattice too,
-over the whole word, weighted by their counts; their share is 1 minus that of words seen
-once (Good-Turing).
+vocabulary, by a forward recursion over the word's bytes in log space. The vocabulary's own
+scores (as ranks, 1 / (rank + RANK_SHIFT)) weight the pieces at first; they stay as a prior,
+and ROUNDS times the pieces' expected counts over all spellings of all distinct training
+words are added to it (backward recursion). A piece that starts a word and one that goes on
+have separate weights, and a word's end has one of its own. Training words are arcs of the
+lattice too, over the whole word, by their counts less an absolute discount; the discounts'
+sum is the share of spellings. ``lattice_score`` leaves these arcs out.
 
 All weights are kept for a few classes of texts (the most common labels of the training
 rows; the last class takes the rest). A text's probability sums over the classes: the share
 of a class times the product over the text's words and one end. A text's own label is never
-used to score it.
+used to score it. All of it is in double precision.
 
-Words are counted, scored and joined as a table of distinct words. Words that make up at
-least 1 / FREQUENT of the training words are looked up in place: there are at most FREQUENT
-of them, so what is broadcast is bounded, and no key of the join of the others is hot.
+Words are counted, scored and joined as a table of distinct words; the recursions run over
+batches of words of one length. Words that make up at least 1 / FREQUENT of the training
+words are looked up in place: there are at most FREQUENT of them, so what is broadcast is
+bounded (two doubles a class each), and no key of the join of the others is hot.
 
 Defined cases: null text is empty (one end); with no training rows the base score is 0 a
-token and spellings alone give the score; repeated rows each count and are scored alike;
-ids may be null (the empty text in the fold); extra columns are ignored.
+token and spellings alone give the score; an empty table gives an empty result; texts and
+words of any length are scored whole; repeated rows each count and are scored alike; ids may
+be null (the empty text in the fold); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,19 +34,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import crc_remainder, map_batches, materialise, read
+from graphloom.llm.common import crc_remainder, let, map_batches, materialise, read
 
 VOCABULARY = "piece_bpe_32k.model"
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 #: Pseudo-count of a vocabulary's own scores, and what is added to a rank before it divides.
-PRIOR, RANK_SHIFT = 1_000.0, 10.0
+PRIOR, RANK_SHIFT = 50.0, 10.0
+#: Rounds of expected counts.
+ROUNDS = 4
 MARK = "▁".encode()
 #: Classes of texts, at most.
 CLASSES = 8
+#: Bytes of the words that a recursion runs over at once.
+STEP_BYTES = 1 << 16
 #: Distinct words that a task holds before it hands their counts on.
 HELD = 500_000
 
@@ -84,74 +91,133 @@ def _pieces(path: str) -> tuple[list[bytes | None], np.ndarray]:
     return text, 1.0 / (rank + RANK_SHIFT)
 
 
-class Lattice:
-    """Arcs of the vocabulary as tries (None where a string is a prefix only), with their
-    natural-log weights in each class.
+class Trie:
+    """The pieces as prefix trees, one for the start of a word and one for the rest; a node may end pieces.
 
-    ``first``, ``later``: counts by class and piece; ``types``: distinct words by class.
+    ``table[row[node], byte]`` is the next node; ``n`` stands for none. Node 0 is the mark
+    before a word alone, node 1 the root of the rest.
     """
 
-    def __init__(self, path: str, first: np.ndarray, later: np.ndarray, types: np.ndarray):
+    def __init__(self, path: str):
         text, weight = _pieces(path)
-        starts = np.array([t is not None and t.startswith(MARK) for t in text])
-        inner = np.array([t is not None and not t.startswith(MARK) for t in text])
-        self.classes = len(types)
-        self.first = _trie(text, starts, _log_shares(first, starts, weight, 0.0 * types, 0.0))
-        self.later = _trie(text, inner, _log_shares(later, inner, weight, types, PRIOR))
-        self.end = [math.log((n + PRIOR) / (row[inner].sum() + n + 2 * PRIOR)) for n, row in zip(types, later, strict=True)]
-
-    def log_probabilities(self, word: bytes) -> list[float]:
-        """Natural log, in each class, of the summed weight of all spellings of a word."""
-        w = MARK + word
-        n = len(w)
-        arcs = []
-        reached = bytearray(n + 1)
-        reached[0] = 1
-        trie, missing = self.first, ...
-        for i in range(n):
-            if reached[i]:
-                for j in range(i + 1, n + 1):
-                    v = trie.get(w[i:j], missing)
-                    if v is missing:
-                        break
-                    if v is not None:
-                        arcs.append((i, j, v))
-                        reached[j] = 1
-            trie = self.later
-        exp, log1p = math.exp, math.log1p
-        out = []
-        for k in range(self.classes):
-            alpha: list[float | None] = [None] * (n + 1)
-            alpha[0] = 0.0
-            for i, j, v in arcs:
-                x, old = alpha[i] + v[k], alpha[j]
-                if old is None:
-                    alpha[j] = x
-                elif old > x:
-                    alpha[j] = old + log1p(exp(x - old))
-                else:
-                    alpha[j] = x + log1p(exp(old - x))
-            out.append(alpha[n] + self.end[k])
-        return out
+        ids: dict[tuple[int, bytes], int] = {(0, b""): 0, (1, b""): 1}
+        below: dict[int, dict[int, int]] = {}
+        ends: dict[int, float] = {}
+        for t, x in zip(text, weight, strict=True):
+            if t is None:
+                continue
+            root, t = (0, t[len(MARK) :]) if t.startswith(MARK) else (1, t)
+            at = ids[root, b""]
+            for j in range(1, len(t) + 1):
+                below.setdefault(at, {}).setdefault(t[j - 1], ids.setdefault((root, t[:j]), len(ids)))
+                at = ids[root, t[:j]]
+            ends[at] = ends.get(at, 0.0) + x
+        self.n = n = len(ids)
+        inner = sorted(below)
+        self.row = np.full(n + 1, len(inner), dtype=np.int32)
+        self.row[inner] = np.arange(len(inner))
+        self.table = np.full((len(inner) + 1, 256), n, dtype=np.int32)
+        for i in inner:
+            for byte, child in below[i].items():
+                self.table[self.row[i], byte] = child
+        self.starts = np.zeros(n + 1, dtype=bool)
+        self.starts[[i for (root, _), i in ids.items() if root == 0]] = True
+        self.weight = np.zeros(n + 1)
+        self.weight[list(ends)] = list(ends.values())
+        self.ends = self.weight > 0
 
 
-def _log_shares(counts: np.ndarray, chosen: np.ndarray, weight: np.ndarray, ends: np.ndarray, end_prior: float) -> np.ndarray:
-    """Log weight of each chosen piece in each class; the prior follows the vocabulary's scores."""
-    prior = np.where(chosen, PRIOR * weight / weight[chosen].sum(), 0.0)
-    total = counts[:, chosen].sum(axis=1) + ends + PRIOR + end_prior
-    with np.errstate(divide="ignore"):
-        return np.log((np.where(chosen, counts, 0.0) + prior) / total[:, None])
+@lru_cache(maxsize=2)
+def trie(path: str) -> Trie:
+    return Trie(path)
 
 
-def _trie(text: list[bytes | None], chosen: np.ndarray, logs: np.ndarray) -> dict[bytes, tuple[float, ...] | None]:
-    out: dict[bytes, tuple[float, ...] | None] = {}
-    for i in np.flatnonzero(chosen):
-        t = text[i]
-        for j in range(1, len(t)):
-            out.setdefault(t[:j], None)
-        held, mine = out.get(t), logs[:, i]
-        out[t] = tuple((mine if held is None else np.logaddexp(mine, held)).tolist())
-    return out
+class Lattice:
+    """Log weights of a vocabulary's pieces in each class, and the recursions over them.
+
+    ``counts``: (expected) counts by class and node; ``types``: distinct words by class.
+    """
+
+    def __init__(self, path: str, counts: np.ndarray, types: np.ndarray):
+        t = trie(path)
+        self.path, self.classes = path, len(types)
+        shares = []
+        for chosen, ends in ((t.starts, np.zeros(len(types))), (~t.starts, types + PRIOR)):
+            prior = np.where(chosen, t.weight, 0.0)
+            mass = np.where(chosen & t.ends, counts, 0.0) + PRIOR * prior / prior.sum()
+            shares.append(mass / (mass.sum(axis=1) + ends)[:, None])
+        with np.errstate(divide="ignore"):
+            self.log = np.log(np.where(t.starts, *shares))
+        self.end = np.log1p(-shares[1].sum(axis=1))
+
+    def _forward(self, words: np.ndarray) -> tuple[np.ndarray, list]:
+        """For words of one length (rows of bytes): log sums at each place, and the arcs in order."""
+        t, w = trie(self.path), self.log
+        n_words, size = words.shape
+        alpha = np.full((size + 1, self.classes, n_words), -np.inf)
+        arcs = []
+
+        def walk(i: int, root: int, base: np.ndarray) -> None:
+            at, node = np.arange(n_words), np.full(n_words, root, dtype=np.int32)
+            for j in range(i, size):
+                node = t.table[t.row[node], words[at, j]]
+                ok = node < t.n
+                if not ok.all():
+                    at, node = at[ok], node[ok]
+                    if not len(at):
+                        return
+                whole = t.ends[node]
+                if whole.any():
+                    some, of = (at, node) if whole.all() else (at[whole], node[whole])
+                    alpha[j + 1][:, some] = np.logaddexp(alpha[j + 1][:, some], base[:, some] + w[:, of])
+                    arcs.append((i, j + 1, root, some, of))
+
+        walk(0, 0, np.zeros((self.classes, n_words)))
+        alpha[0] = w[:, :1]
+        for i in range(size):
+            walk(i, 1, alpha[i])
+        return alpha, arcs
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Natural log, for each word and class, of the summed weight of all spellings."""
+        out = np.empty((len(words), self.classes))
+        for at, rows in _by_length(words):
+            alpha, _ = self._forward(rows)
+            out[at] = (alpha[-1] + self.end[:, None]).T
+        return out
+
+    def expected(self, words: list[bytes], has: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces by class and node; ``has``: 1 where a class learns from a word."""
+        total = np.zeros((self.classes, trie(self.path).n + 1))
+        for at, rows in _by_length(words):
+            alpha, arcs = self._forward(rows)
+            mine = has[at].T
+            z = alpha[-1] + self.end[:, None]
+            beta = np.full_like(alpha, -np.inf)
+            beta[-1] = self.end[:, None]
+            nodes, shares = [np.zeros(len(at), dtype=np.int32)], []
+            for i, j, root, some, of in reversed(arcs):
+                tail = self.log[:, of] + beta[j][:, some]
+                if root:
+                    beta[i][:, some] = np.logaddexp(beta[i][:, some], tail)
+                shares.append(np.exp((alpha[i][:, some] if root else 0.0) + tail - z[:, some]) * mine[:, some])
+                nodes.append(of)
+            shares.insert(0, np.exp(alpha[0] + beta[0] - z) * mine)
+            node, share = np.concatenate(nodes), np.concatenate(shares, axis=1)
+            for k in range(self.classes):
+                total[k] += np.bincount(node, weights=share[k], minlength=total.shape[1])
+        return total
+
+
+def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the words of each length, in steps of bounded size, and their bytes as rows."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    for size in np.unique(sizes):
+        places = np.flatnonzero(sizes == size)
+        step = max(1, STEP_BYTES // int(size + 1))
+        for i in range(0, len(places), step):
+            some = places[i : i + step]
+            yield some, np.frombuffer(b"".join(words[j] for j in some), dtype=np.uint8).reshape(len(some), int(size))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -196,67 +262,57 @@ def count_words(docs: DataFrame, n_classes: int) -> DataFrame:
     return counted.groupBy("word").agg(*sums).select("word", F.array(*[f"c{k}" for k in range(n_classes)]).alias("c"))
 
 
-def piece_counts(counts: DataFrame, path: str, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By class: counts of each piece at the start of and further on in distinct words, and the words."""
-    size = _processor(path).get_piece_size()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _processor(path)
-        first, later = np.zeros((n_classes, size), dtype=np.int64), np.zeros((n_classes, size), dtype=np.int64)
-        for b in batches:
-            ids = sp.encode([w.decode(errors="replace") for w in b.column("word").to_pylist()], num_threads=1)
-            has = np.array(b.column("c").to_pylist()) > 0
-            lengths = np.array([len(i) for i in ids], dtype=np.int64)
-            flat = np.array([x for i in ids for x in i], dtype=np.int64)
-            start = np.zeros(len(flat), dtype=bool)
-            start[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-            owner = np.repeat(np.arange(len(ids)), lengths)
-            for k in range(n_classes):
-                mine = has[owner, k]
-                first[k] += np.bincount(flat[mine & start], minlength=size)
-                later[k] += np.bincount(flat[mine & ~start], minlength=size)
-        k, at = np.nonzero(first + later)
-        cols = [pa.array(k, pa.int64()), pa.array(at, pa.int64()), pa.array(first[k, at], pa.int64()), pa.array(later[k, at], pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["class", "piece", "a", "b"])
-
-    got = map_batches(counts.filter(F.exists("c", lambda x: x > 0)).select("word", "c"), run, "class long, piece long, a long, b long")
-    first, later = np.zeros((n_classes, size)), np.zeros((n_classes, size))
-    # At most one row for each piece and class.
-    for r in got.groupBy("class", "piece").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect():
-        first[r["class"], r["piece"]], later[r["class"], r["piece"]] = r["a"], r["b"]
-    return first, later, first.sum(axis=1)
-
-
-def score_words(counts: DataFrame, lattice: Lattice, n_words: list[int], once: list[int], p_end: float) -> DataFrame:
-    """(word, c: count in all classes, lp: log10 of the model's probability of the word in each)."""
-    known = [1 - (o + 1) / (n + 2) if n else 0.0 for n, o in zip(n_words, once, strict=True)]
-    log_spelled = [math.log(1 - x) for x in known]
-    log_whole = [math.log(x / n) if n else 0.0 for x, n in zip(known, n_words, strict=True)]
+def learn(counts: DataFrame, path: str, types: np.ndarray, rounds: int = ROUNDS) -> Lattice:
+    """The lattice of the words of ``counts``, after so many rounds of expected counts over all of them."""
+    n_classes, n = len(types), trie(path).n
+    learnt = counts.filter(F.exists("c", lambda x: x > 0)).select("word", "c")
+    lattice = Lattice(path, np.zeros((n_classes, n + 1)), types)
+    for _ in range(rounds if types.any() else 0):
+        shared = counts.sparkSession.sparkContext.broadcast(lattice)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            lattice = shared.value
+            total = np.zeros((n_classes, n + 1))
+            for b in batches:
+                total += lattice.expected(b.column("word").to_pylist(), (np.array(b.column("c").to_pylist()) > 0).astype(float))
+            k, at = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(at, pa.int64()), pa.array(total[k, at], pa.float64())], names=["class", "node", "x"])
+
+        # At most one row for each class and node of the vocabulary's trees.
+        got = map_batches(learnt, run, "class long, node long, x double").groupBy("class", "node").agg(F.sum("x").alias("x")).toArrow()
+        total = np.zeros((n_classes, n + 1))
+        total[got.column("class").to_numpy(), got.column("node").to_numpy()] = got.column("x").to_numpy()
+        lattice = Lattice(path, total, types)
+    return lattice
+
+
+def score_words(counts: DataFrame, lattice: Lattice, n_words: list[int], types: list[int], once: list[int], twice: list[int], p_end: float) -> DataFrame:
+    """(word, c: count in all classes, lp: log10 of the probability of the word in each class, by the model and then by spelling alone)."""
+    n = np.array(n_words, dtype=float)
+    discount = (np.array(once) + 1.0) / (np.array(once) + 2.0 * np.array(twice) + 2.0)
+    freed = discount * np.array(types)
+    spelled = np.where(n > 0, (freed + 1) / (n + 1), 1.0)
+    with np.errstate(divide="ignore"):
+        log_spelled, log_whole = np.log(spelled), np.log(1 - spelled) - np.log(np.maximum(n - freed, 1e-300))
     rest, ten = math.log(1 - p_end), math.log(10)
     shared = counts.sparkSession.sparkContext.broadcast(lattice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, log, log1p, exp = shared.value.log_probabilities, math.log, math.log1p, math.exp
         for b in batches:
-            lp, total = [], []
-            for w, cs in zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True):
-                row = []
-                for spelled, share, whole, c in zip(of(w), log_spelled, log_whole, cs, strict=True):
-                    x = spelled + share
-                    if c:
-                        y = whole + log(c)
-                        x = y + log1p(exp(x - y)) if y > x else x + log1p(exp(y - x))
-                    row.append((x + rest) / ten)
-                lp.append(row)
-                total.append(sum(cs))
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(total, pa.int64()), pa.array(lp, pa.list_(pa.float32()))], names=["word", "c", "lp"])
-
-    return map_batches(counts.select("word", "c"), run, "word binary, c long, lp array<float>")
+            c = np.array(b.column("c").to_pylist(), dtype=np.int64).reshape(b.num_rows, len(n))
+            alone = shared.value.log_probabilities(b.column("word").to_pylist())
+            with np.errstate(divide="ignore"):
+                whole = np.where(c > 0, np.log(np.maximum(c - discount, 0.0)) + log_whole, -np.inf)
+            lp = (np.concatenate([np.logaddexp(alone + log_spelled, whole), alone], axis=1) + rest) / ten
+            rows = pa.ListArray.from_arrays(np.arange(0, lp.size + 1, lp.shape[1], dtype=np.int32), pa.array(lp.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(c.sum(axis=1), pa.int64()), rows], names=["word", "c", "lp"])
+
+    return map_batches(counts.select("word", "c"), run, "word binary, c long, lp array<double>")
 
 
 def score(docs: DataFrame, held_out, label: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, and ``label`` if named): doc_id, held_out,
-    n_tokens, n_known, train_tokens, base_score, score. ``held_out``: a column, true for rows not learned from.
+    n_tokens, n_known, train_tokens, base_score, score, lattice_score. ``held_out``: a column, true for rows not learned from.
     """
     path = vocabulary or default_vocabulary()
     own = F.col(label) if label else F.lit(None).cast("string")
@@ -275,21 +331,23 @@ def score(docs: DataFrame, held_out, label: str | None = None, vocabulary: str |
     train_docs = sum(class_docs)
     any_count = F.exists("c", lambda x: x > 0)
     sums = [F.coalesce(F.sum(F.col("c")[k]), F.lit(0)).alias(f"n{k}") for k in range(k_all)]
-    sums += [F.count_if(F.col("c")[k] == 1).alias(f"o{k}") for k in range(k_all)]
+    for name, holds in (("t", lambda x: x > 0), ("o", lambda x: x == 1), ("d", lambda x: x == 2)):
+        sums += [F.count_if(holds(F.col("c")[k])).alias(f"{name}{k}") for k in range(k_all)]
     stats = counts.agg(F.count_if(any_count).alias("v"), *sums).first()
-    n_words, once = [stats[f"n{k}"] for k in range(k_all)], [stats[f"o{k}"] for k in range(k_all)]
+    n_words, types, once, twice = ([stats[f"{name}{k}"] for k in range(k_all)] for name in "ntod")
     n, v = sum(n_words) + train_docs, stats["v"] + (train_docs > 0)
     below = n + 1 * (v + 1)
     p_end = (train_docs + 1) / (n + 2)
-    lattice = Lattice(path, *piece_counts(counts, path, k_all))
-    scored = materialise(score_words(counts, lattice, n_words, once, p_end), "scored")
+    lattice = learn(counts, path, np.array(types, dtype=float))
+    scored = materialise(score_words(counts, lattice, n_words, types, once, twice, p_end), "scored")
 
     least = max(1, -(-sum(n_words) // FREQUENT))
     often = scored.filter(F.col("c") >= least).toArrow()  # at most FREQUENT rows
     base = lambda c: math.log10((c + 1) / below)
-    columns = (often.column(x).to_pylist() for x in ("word", "c", "lp"))
-    shared = docs.sparkSession.sparkContext.broadcast({w: (base(c), *lp) for w, c, lp in zip(*columns, strict=True)})
-    end = [base(train_docs), *[math.log10(p_end)] * k_all]
+    place = {w: i for i, w in enumerate(often.column("word").to_pylist())}
+    logs_of = np.array([(base(c), *lp) for c, lp in zip(often.column("c").to_pylist(), often.column("lp").to_pylist(), strict=True)]).reshape(len(place), 1 + 2 * k_all)
+    shared = docs.sparkSession.sparkContext.broadcast((place, logs_of))
+    end = np.array([base(train_docs), *[math.log10(p_end)] * (2 * k_all)])
     end_known = int(train_docs > 0)
     id_type = docs.schema["doc_id"]
     fields = [("held_out", T.BooleanType()), ("_row", T.LongType()), ("word", T.BinaryType()), ("n", T.LongType()), ("known", T.LongType()), ("logs", T.ArrayType(T.DoubleType()))]
@@ -298,15 +356,16 @@ def score(docs: DataFrame, held_out, label: str | None = None, vocabulary: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document (its word is null), and one for each of its words not looked up in place."""
-        of = shared.value.get
+        place, logs_of = shared.value
+        of = place.get
         for b in batches:
             rows, words, ns = [], [], []
             tokens, knowns, logs = [], [], []
             for text, row in zip(b.column("text").to_pylist(), b.column("_row").to_pylist(), strict=True):
-                n_tokens, known, got, times = 1, end_known, [end], [1]
+                n_tokens, known, got, times = 1, end_known, [], []
                 for w, k in Counter(words_of(text)).items():
                     n_tokens += k
-                    if found := of(w):
+                    if (found := of(w)) is not None:
                         got.append(found)
                         times.append(k)
                         known += k
@@ -316,7 +375,7 @@ def score(docs: DataFrame, held_out, label: str | None = None, vocabulary: str |
                         ns.append(k)
                 tokens.append(n_tokens)
                 knowns.append(known)
-                logs.append((np.array(times) @ np.array(got)).tolist())
+                logs.append((end + np.array(times, dtype=float) @ logs_of[got] if got else end).tolist())
             own = [b.column("doc_id"), b.column("held_out"), b.column("_row"), pa.nulls(b.num_rows, pa.binary()), pa.array(tokens, pa.int64()), pa.array(knowns, pa.int64()), pa.array(logs, logs_type)]
             yield pa.RecordBatch.from_arrays(own, names=schema.names)
             if k := len(rows):
@@ -326,17 +385,21 @@ def score(docs: DataFrame, held_out, label: str | None = None, vocabulary: str |
     parts = materialise(map_batches(docs.drop("class"), run, schema), "parts")
     rare = parts.filter("word IS NOT NULL").select("_row", "word", "n").join(scored, "word")
     log_base = F.log10((F.col("c") + 1) / F.lit(float(below)))
-    sums = [F.sum(F.col("n") * F.col("lp")[k]).alias(f"s{k}") for k in range(k_all)]
+    sums = [F.sum(F.col("n") * F.col("lp")[k]).alias(f"s{k}") for k in range(2 * k_all)]
     rare = rare.groupBy("_row").agg(F.sum(F.col("n") * log_base).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("more"), *sums)
     out = parts.filter("word IS NULL").drop("word").join(rare, "_row", "left")
     total = lambda at, name: F.col("logs")[at] + F.coalesce(name, F.lit(0.0))
     share = [math.log10((c + 1) / (train_docs + k_all)) for c in class_docs]
-    by_class = F.array(*[total(k + 1, f"s{k}") + F.lit(share[k]) for k in range(k_all)])
-    best = F.array_max("_by")
-    mixed = best + F.log10(F.aggregate(F.transform("_by", lambda x: F.pow(F.lit(10.0), x - best)), F.lit(0.0), lambda a, x: a + x))
-    return out.withColumn("_by", by_class).select(
+
+    def over_classes(first: int) -> Column:
+        each = F.array(*[total(first + k + 1, f"s{first + k}") + F.lit(share[k]) for k in range(k_all)])
+        best = lambda xs: F.array_max(xs)
+        add = lambda xs: best(xs) + F.log10(F.aggregate(F.transform(xs, lambda x: F.pow(F.lit(10.0), x - best(xs))), F.lit(0.0), lambda a, x: a + x))
+        return let(each, add)
+
+    return out.select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), total(0, "s").alias("base_score"), mixed.alias("score"),
+        F.lit(n).cast("long").alias("train_tokens"), total(0, "s").alias("base_score"), over_classes(0).alias("score"), over_classes(k_all).alias("lattice_score"),
     )
 
 
