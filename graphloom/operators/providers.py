@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.fixpoint import closure
+from graphloom.sources.tables import Rounds
 
 
 def dependencies_by_role(targets: DataFrame, reachable: DataFrame) -> DataFrame:
@@ -70,3 +71,23 @@ class Functions:
                 yield function(None, frame)
 
         return rows.mapInPandas(run, schema)
+
+
+def expanded(targets: DataFrame, functions: Functions, name: str, most: int = 100_000, key: str = "id") -> DataFrame:
+    """``targets`` and all that a registered function makes of them, of what it made, and so on until nothing new comes.
+
+    The function gives rows of the columns of ``targets``. ValueError for a key that comes
+    twice, or if more than ``most`` rows would come of it.
+    """
+    all_of = Rounds(targets.sparkSession, "expanded")
+    new = all_of.add(targets)
+    n = new.count()
+    while not new.isEmpty():
+        new = all_of.add(functions.expand(name, new).select(*targets.columns))
+        n += new.count()
+        if n > most:
+            raise ValueError(f"more than {most} targets")
+        twice = all_of.all().groupBy(key).count().filter("count > 1").limit(5).collect()
+        if twice:
+            raise ValueError(f"declared twice: {[r[key] for r in twice]}")
+    return all_of.all()

@@ -275,6 +275,32 @@ def test_providers_and_functions(spark):
     assert values(known.expand("twice", df.select("id"))) == [("a",), ("a",), ("b",), ("b",), ("c",), ("c",)]
 
 
+def test_expansion_ends_and_finds_repeats(spark):
+    known = providers.Functions()
+
+    def halves(_, frame):
+        some = frame[frame["n"] > 1]
+        return some.assign(id=some["id"] + "/h", n=some["n"] // 2)[["id", "n"]]
+
+    known.register("halves", halves, "id string, n long")
+    known.register("same", lambda _, frame: frame, "id string, n long")
+    df = spark.createDataFrame([("a", 5), ("b", 1)], "id string, n long")
+    assert values(providers.expanded(df, known, "halves")) == [("a", 5), ("a/h", 2), ("a/h/h", 1), ("b", 1)]
+    for name, most in (("halves", 3), ("same", 100)):
+        with pytest.raises(ValueError):
+            providers.expanded(df, known, name, most)
+
+
+def test_journal_of_batches_is_numbered_again_the_same(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, text in enumerate(('{"area":"a","path":"y"}\n{"area":"b","path":"q"}\n{"area":"a","path":"x"}', '{"area":"a","path":"b"}')):
+        (tmp_path / "in" / f"{k}.json").write_text(text)
+        for out, check in (("out", "check"), ("again", "check2")):
+            stream.journal_stream(stream.tail(spark, str(tmp_path / "in"), "area string, path string"), str(tmp_path / out), str(tmp_path / check))
+    want = [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "b"), ("b", 1, "q")]
+    assert values(spark.read.parquet(str(tmp_path / "out")), "area", "generation", "path") == values(spark.read.parquet(str(tmp_path / "again")), "area", "generation", "path") == want
+
+
 def test_scripts(spark):
     text = '#!/bin/sh -x\n# task needs "b"\r\n\n-- TASK   cwd "x y"\n; task bogus "1"\n# taskforce needs "z"\nrun\n# task needs "late"\n'
     df = spark.createDataFrame([("a", text), ("b", '#!/usr/bin/env -S node\n# task needs "a"'), ("c", "no shebang"), ("d", '#!x\n# task needs "c"')], "path string, text string")

@@ -47,9 +47,14 @@ def test_the_rest_works_without_the_optional_parts(tmp_path):
     skip = shutil.ignore_patterns("llm", "__pycache__")
     shutil.copytree(root / "graphloom", tmp_path / "graphloom", ignore=skip)
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; print(len(e.queries()), all(isinstance(s, str) for s in e.oracle_sql().values()))"
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("said", len(e.queries()), all(isinstance(s, str) for s in e.oracle_sql().values()), e.entry(spark).count() > 0, e.queries()["closure_cyclic"](spark, e.SMALL).count() > 0)
+"""
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
-    assert said.stdout.split() == [str(len(named.queries())), "True"]
+    assert said.stdout.split("said")[1].split() == [str(len(named.queries())), "True", "True", "True"]
 
 
 def test_all_sql_is_text():
