@@ -150,14 +150,19 @@ class Lattice:
             self.log = np.log(np.where(t.starts, *shares))
         self.end = np.log1p(-shares[1].sum(axis=1))
 
-    def _forward(self, words: np.ndarray) -> tuple[np.ndarray, list]:
-        """For words of one length (rows of bytes): log sums at each place, and the arcs in order."""
-        t, w = trie(self.path), self.log
+    def _forward(self, words: np.ndarray, cls: np.ndarray | None = None) -> tuple[np.ndarray, list, np.ndarray]:
+        """For words of one length (rows of bytes): log sums at each place, the arcs in order with their weights, and the ends.
+
+        In all classes, or each word in its own class of ``cls``.
+        """
+        t = trie(self.path)
         n_words, size = words.shape
-        alpha = np.full((size + 1, self.classes, n_words), -np.inf)
+        every = cls is None
+        end = self.end[:, None] if every else self.end[cls]
+        alpha = np.full((size + 1, self.classes, n_words) if every else (size + 1, n_words), -np.inf)
         arcs = []
 
-        def walk(i: int, root: int, base: np.ndarray) -> None:
+        def walk(i: int, root: int, base: np.ndarray | float) -> None:
             at, node = np.arange(n_words), np.full(n_words, root, dtype=np.int32)
             for j in range(i, size):
                 node = t.table[t.row[node], words[at, j]]
@@ -169,44 +174,46 @@ class Lattice:
                 whole = t.ends[node]
                 if whole.any():
                     some, of = (at, node) if whole.all() else (at[whole], node[whole])
-                    alpha[j + 1][:, some] = np.logaddexp(alpha[j + 1][:, some], base[:, some] + w[:, of])
-                    arcs.append((i, j + 1, root, some, of))
+                    w = self.log[:, of] if every else self.log[cls[some], of]
+                    so_far = base[..., some] if root else 0.0
+                    alpha[j + 1][..., some] = np.logaddexp(alpha[j + 1][..., some], so_far + w)
+                    arcs.append((i, j + 1, root, some, of, w))
 
-        walk(0, 0, np.zeros((self.classes, n_words)))
-        alpha[0] = w[:, :1]
+        walk(0, 0, 0.0)
+        alpha[0] = self.log[:, :1] if every else self.log[cls, 0]
         for i in range(size):
             walk(i, 1, alpha[i])
-        return alpha, arcs
+        return alpha, arcs, end
 
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         """Natural log, for each word and class, of the summed weight of all spellings."""
         out = np.empty((len(words), self.classes))
         for at, rows in _by_length(words):
-            alpha, _ = self._forward(rows)
-            out[at] = (alpha[-1] + self.end[:, None]).T
+            alpha, _, end = self._forward(rows)
+            out[at] = (alpha[-1] + end).T
         return out
 
     def expected(self, words: list[bytes], has: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces by class and node; ``has``: 1 where a class learns from a word."""
-        total = np.zeros((self.classes, trie(self.path).n + 1))
+        """Expected counts of the pieces by class and node; ``has``: true where a class learns from a word."""
+        width = trie(self.path).n + 1
+        total = np.zeros(self.classes * width)
         for at, rows in _by_length(words):
-            alpha, arcs = self._forward(rows)
-            mine = has[at].T
-            z = alpha[-1] + self.end[:, None]
+            row, cls = np.nonzero(has[at])
+            alpha, arcs, end = self._forward(rows[row], cls)
+            z = alpha[-1] + end
             beta = np.full_like(alpha, -np.inf)
-            beta[-1] = self.end[:, None]
-            nodes, shares = [np.zeros(len(at), dtype=np.int32)], []
-            for i, j, root, some, of in reversed(arcs):
-                tail = self.log[:, of] + beta[j][:, some]
+            beta[-1] = end
+            places, shares = [], []
+            for i, j, root, some, of, w in reversed(arcs):
+                tail = w + beta[j][some]
                 if root:
-                    beta[i][:, some] = np.logaddexp(beta[i][:, some], tail)
-                shares.append(np.exp((alpha[i][:, some] if root else 0.0) + tail - z[:, some]) * mine[:, some])
-                nodes.append(of)
-            shares.insert(0, np.exp(alpha[0] + beta[0] - z) * mine)
-            node, share = np.concatenate(nodes), np.concatenate(shares, axis=1)
-            for k in range(self.classes):
-                total[k] += np.bincount(node, weights=share[k], minlength=total.shape[1])
-        return total
+                    beta[i][some] = np.logaddexp(beta[i][some], tail)
+                shares.append(np.exp((alpha[i][some] if root else 0.0) + tail - z[some]))
+                places.append(cls[some] * width + of)
+            shares.append(np.exp(alpha[0] + beta[0] - z))
+            places.append(cls * width)
+            total += np.bincount(np.concatenate(places), weights=np.concatenate(shares), minlength=len(total))
+        return total.reshape(self.classes, width)
 
 
 def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -274,7 +281,7 @@ def learn(counts: DataFrame, path: str, types: np.ndarray, rounds: int = ROUNDS)
             lattice = shared.value
             total = np.zeros((n_classes, n + 1))
             for b in batches:
-                total += lattice.expected(b.column("word").to_pylist(), (np.array(b.column("c").to_pylist()) > 0).astype(float))
+                total += lattice.expected(b.column("word").to_pylist(), np.array(b.column("c").to_pylist()) > 0)
             k, at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(at, pa.int64()), pa.array(total[k, at], pa.float64())], names=["class", "node", "x"])
 
