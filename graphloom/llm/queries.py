@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphloom.llm import bpe, chat, jaccard, langid, licenses, lm, mixing, neighbours, quality, secrets
+from graphloom.llm import bpe, chat, codes, collocations, jaccard, langid, licenses, lm, mixing, neighbours, pieces, quality, secrets
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,9 @@ def queries() -> dict[str, Callable]:
         "op8_license_scan": licenses.op8_license_scan,
         "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_vector_codes": codes.op11_vector_codes,
+        "op12_sentencepiece": pieces.op12_sentencepiece,
+        "op13_phrase_collocations": collocations.op13_phrase_collocations,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_embedding_near_dedup": neighbours.OP7_SQL,
         "op9_ngram_jaccard": jaccard.OP9_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
+        "op11_vector_codes": codes.OP11_SQL,
+        "op13_phrase_collocations": collocations.OP13_SQL,
     }
