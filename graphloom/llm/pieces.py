@@ -36,11 +36,11 @@ from graphloom.llm.common import map_batches, read
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Runs and pairs of pieces that a worker remembers; the others are worked out again.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Longer runs are not remembered.
-LONGEST = 64
+LONGEST = 32
 #: Characters that are cut into runs at once.
-WINDOW = 4_000_000
+WINDOW = 500_000
 #: Characters that a table says of which pairs occur inside pieces; pairs of others are never cut.
 MOST_CLASSES = 8_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -58,10 +58,9 @@ class Model:
 
     def __init__(self, path: str):
         import ahocorasick
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
-        self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.processor = processor(path)
         spec = proto.ModelProto()
         spec.ParseFromString(self.processor.serialized_model_proto())
         if spec.trainer_spec.model_type != _BPE or {p.type for p in spec.pieces} - {_NORMAL, _UNKNOWN, _CONTROL, _BYTE}:
@@ -241,6 +240,13 @@ class Model:
         return self.encode_batch([text])[0].as_py()
 
 
+@lru_cache(maxsize=2)
+def processor(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 @lru_cache(maxsize=2)
 def model(path: str) -> Model:
     return Model(path)
@@ -269,7 +275,7 @@ def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str | None = None, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of = model(path).processor.decode
+            of = processor(path).decode
             text = [None if x is None else of(x) if x else "" for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(text, pa.string())], names=[*keep, to])
 
