@@ -5,9 +5,9 @@ words into ids, orders the places by prefix doubling in numpy, and reads the n-g
 counts off the intervals of places with n equal words. Counts are merged by phrase over all
 shards.
 
-Lengths are counted one after another. A phrase of n words occurs ``least`` times only if both
-phrases of n - 1 words in it do, so from two words on only places are ordered where both are
-frequent. Which are is told to the tasks in a bitmap of hashes, of at most 2**``most_bits``
+Lengths are counted one after another, the last two at once. A phrase occurs ``least`` times
+only if all shorter phrases in it do, so from two words on only places are ordered where those
+of the length before are frequent. Which are is told to the tasks in a bitmap of hashes, of at most 2**``most_bits``
 bits however many there are: a wrong hit costs time, never a result.
 
 Defined cases: null text counts as empty, null language as ``und``; texts without words and an
@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphloom.llm.common import map_batches, materialise, read
+from graphloom.plans.ranges import numbered
 
 LONGEST = 5
 LEAST = 100
@@ -103,14 +103,15 @@ def common_prefixes(ids: np.ndarray, order: np.ndarray, depth: int) -> np.ndarra
     return out
 
 
-def ngram_counts(ids: np.ndarray, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, count) of every distinct n-gram: one place where it is, and how many ``wanted`` places it has."""
-    order = suffix_array(ids, n)
-    order = order[wanted[order]]
-    if not len(order):
-        return order, order
-    first = np.flatnonzero(common_prefixes(ids, order, n) < n)
-    return order[first], np.diff(np.append(first, len(order)))
+def ngram_counts(ids: np.ndarray, wanted: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each n of ``wanted`` (place, count) of every distinct n-gram: one place where it is, and how many wanted places it has."""
+    depth = max(wanted)
+    whole, out = suffix_array(ids, depth), {}
+    for n, places in wanted.items():
+        order = whole[places[whole]]
+        first = np.flatnonzero(common_prefixes(ids, order, n) < n)
+        out[n] = order[first], np.diff(np.append(first, len(order)))
+    return out
 
 
 def _word_hash(word: bytes, lang: str) -> int:
@@ -161,50 +162,53 @@ class _Shard:
         self.parts.append(ids)
         self.size += len(ids)
 
-    def counted(self, n: int, known: tuple[int, np.ndarray] | None, last: bool) -> pa.RecordBatch:
-        """The n-grams that start in the shard; its last n - 1 words stay for the next."""
+    def counted(self, sizes: tuple[int, ...], known: tuple[int, int, np.ndarray] | None, last: bool) -> pa.RecordBatch:
+        """The n-grams of ``sizes`` that start in the shard; unless it is the last, what may go on in the next stays for it."""
         ids = np.concatenate([*self.parts, np.zeros(0, np.int64)]).astype(np.int64)
         words = list(self.ids)
-        clear = ids != _BETWEEN
-        starts = max(len(ids) - n + 1, 0)
-        wanted = np.zeros(len(ids), bool)
-        wanted[:starts] = np.logical_and.reduce([clear[k : k + starts] for k in range(n)])
+        stop = len(ids) if last else max(len(ids) - max(sizes) + 1, 0)
+        clear = np.concatenate([ids != _BETWEEN, np.zeros(max(sizes), bool)])
         if known is not None:
-            bits, table = known
+            m, bits, table = known
             hashes = np.array([_word_hash(w, self.lang) for w in words], np.uint64)[ids]
-            at = _buckets(_combined(hashes, n - 1), bits)
-            hit = (table[at >> 6] >> (at & 63) & 1).astype(bool)
-            wanted[:starts] &= hit[:starts] & hit[1 : starts + 1]
-        tail = ids[max(len(ids) - n + 1, 0) :]
-        total = len(ids[: len(ids) if last else starts][clear[: len(ids) if last else starts]]) if n == 1 else None
+            at = _buckets(_combined(hashes, m), bits)
+            hit = np.concatenate([(table[at >> 6] >> (at & 63) & 1).astype(bool), np.zeros(len(ids) + max(sizes) - len(at), bool)])
+        wanted = {}
+        for n in sizes:
+            wanted[n] = np.logical_and.reduce([clear[k : k + len(ids)] for k in range(n)])
+            wanted[n][stop:] = False
+            if known is not None:
+                wanted[n] &= np.logical_and.reduce([hit[k : k + len(ids)] for k in range(n - m + 1)])
         # only what wanted n-grams cover is ordered, with a place between what isn't adjacent
-        cover = np.zeros(len(ids) + 1, np.int64)
-        at = np.flatnonzero(wanted)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + n, -1) if len(at) else None
-        covered = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+        edge = np.zeros(len(ids) + max(sizes) + 1, np.int64)
+        for n, places in wanted.items():
+            edge[: len(ids)] += places
+            edge[n : n + len(ids)] -= places
+        covered = np.flatnonzero(np.cumsum(edge) > 0)
         gaps = np.flatnonzero(np.diff(covered) > 1) + 1
-        short, mark = np.insert(ids[covered], gaps, _BETWEEN), np.insert(wanted[covered], gaps, False)
-        place, count = ngram_counts(short, n, mark)
-        table = pa.array(words, pa.binary())
-        columns = [table.take(pa.array(short[place + k])) for k in range(n)]
-        phrase = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())) if n > 1 else columns[0]
-        phrase, count = phrase.cast(pa.string()), pa.array(count, pa.int64())
-        if total is not None:
+        short = np.insert(ids[covered], gaps, _BETWEEN)
+        marks = {n: np.insert(places[covered], gaps, False) for n, places in wanted.items()}
+        vocabulary, phrases, counts = pa.array(words, pa.binary()), [pa.array([], pa.binary())], [np.zeros(0, np.int64)]
+        for n, (place, count) in ngram_counts(short, marks).items():
+            columns = [vocabulary.take(pa.array(short[place + k])) for k in range(n)]
+            phrases.append(pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())) if n > 1 else columns[0])
+            counts.append(count)
+        phrase = pa.concat_arrays(phrases).cast(pa.string())
+        if 1 in sizes:
             phrase = pa.concat_arrays([phrase, pa.array([None], pa.string())])
-            count = pa.concat_arrays([count, pa.array([total], pa.int64())])
-        kept_words, self.ids = [words[i] for i in tail.tolist()], _Ids()
-        self.parts = [np.array([self.ids[w] for w in kept_words], np.int64)] if kept_words else []
-        self.size = len(kept_words)
+            counts.append([np.count_nonzero(clear[:stop])])
+        stays, self.ids = [words[i] for i in ids[stop:].tolist()], _Ids()
+        self.parts = [np.array([self.ids[w] for w in stays], np.int64)] if stays else []
+        self.size = len(stays)
         lang = pa.array([self.lang], pa.string()).take(pa.array(np.zeros(len(phrase), np.int64)))
-        return pa.RecordBatch.from_arrays([lang, phrase, count], names=["lang", "phrase", "n"])
+        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.concatenate(counts).astype(np.int64))], names=["lang", "phrase", "n"])
 
 
-def phrase_counts(docs: DataFrame, n: int, known: tuple[int, np.ndarray] | None, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(lang, phrase, n): how often each phrase of n words occurs; for n = 1 a row without phrase has the number of all words.
+def phrase_counts(docs: DataFrame, sizes: tuple[int, ...], known: tuple[int, int, np.ndarray] | None, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(lang, phrase, n): how often each phrase of ``sizes`` words occurs; with size 1 a row without phrase has the number of all words.
 
-    With a bitmap of the frequent phrases of n - 1 words, phrases that can't be frequent are
-    left out (a few may stay).
+    With a bitmap of the frequent phrases of fewer words (their size, bits, bitmap), phrases
+    that can't be frequent are left out (a few may stay).
     """
     spark = docs.sparkSession
     told = spark.sparkContext.broadcast(known) if known else None
@@ -219,27 +223,28 @@ def phrase_counts(docs: DataFrame, n: int, known: tuple[int, np.ndarray] | None,
                 for ids in word_ids(text.as_py(), shard.ids):
                     shard.add(ids)
                     if shard.size >= shard_words:
-                        yield shard.counted(n, bits, False)
+                        yield shard.counted(sizes, bits, False)
                 shard.add(between)
             if sum(s.size for s in shards.values()) >= 2 * shard_words:  # many languages
-                yield from (s.counted(n, bits, True) for s in shards.values())
+                yield from (s.counted(sizes, bits, True) for s in shards.values())
                 shards.clear()
-        yield from (s.counted(n, bits, True) for s in shards.values())
+        yield from (s.counted(sizes, bits, True) for s in shards.values())
 
     rows = docs.select(F.col(text_col), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("_lang")).filter(F.length(text_col) > 0)
     return map_batches(rows, run, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", most_bits: int = MOST_BITS, shard_words: int = SHARD_WORDS) -> list[DataFrame]:
-    """For each length from 1 on: (lang, phrase, n) of the phrases that occur ``least`` times or more, stored."""
+    """(lang, phrase, n) of the phrases that occur ``least`` times or more, stored; first single words and the numbers of all words, then longer ones."""
     out, known = [], None
-    for n in range(1, longest + 1):
-        counts = phrase_counts(docs, n, known, text_col, lang_col, shard_words)
-        frequent = materialise(counts.filter(F.col("phrase").isNull() | (F.col("n") >= least)), f"phrases{n}")
-        out.append(frequent)
-        if n == longest or frequent.filter("phrase IS NOT NULL").isEmpty():
+    steps = [(n,) for n in range(1, longest - 1)] + [(longest - 1, longest)] if longest > 3 else [(n,) for n in range(1, longest + 1)]
+    for sizes in steps:
+        counts = phrase_counts(docs, sizes, known, text_col, lang_col, shard_words)
+        out.append(materialise(counts.filter(F.col("phrase").isNull() | (F.col("n") >= least)), "phrases"))
+        frequent = out[-1].filter("phrase IS NOT NULL")
+        if sizes == steps[-1] or frequent.isEmpty():
             break
-        known = bitmap(frequent.filter("phrase IS NOT NULL"), n, most_bits)
+        known = (sizes[-1], *bitmap(frequent, sizes[-1], most_bits))
     return out
 
 
@@ -285,8 +290,10 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, te
 
 def ranked(found: DataFrame, top: int = TOP) -> DataFrame:
     """The first ``top`` of each language with their rank, by score, count and phrase."""
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
+    placed = numbered(found, ["lang", F.col("score").desc(), F.col("a").desc(), "phrase"], "_pos")
+    first = placed.groupBy("lang").agg(F.min("_pos").alias("_first"))  # one row a language
+    both = placed.join(F.broadcast(first), "lang").withColumn("rank", F.col("_pos") - F.col("_first") + 1)
+    return both.filter(F.col("rank") <= top).drop("_pos", "_first")
 
 
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
