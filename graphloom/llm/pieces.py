@@ -36,11 +36,11 @@ from graphloom.llm.common import map_batches, read
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Runs and pairs of pieces that a worker remembers; the others are worked out again.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Longer runs are not remembered.
 LONGEST = 32
 #: Characters that are cut into runs at once.
-WINDOW = 500_000
+WINDOW = 2_000_000
 #: Characters that a table says of which pairs occur inside pieces; pairs of others are never cut.
 MOST_CLASSES = 8_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -275,8 +275,11 @@ def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str | None = None, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of = processor(path).decode
-            text = [None if x is None else of(x) if x else "" for x in b.column(ids_col).to_pylist()]
+            of, column = processor(path).decode, b.column(ids_col)
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            # one row's ids at a time as Python numbers, which take nine times their place
+            rows = zip(ends[:-1].tolist(), ends[1:].tolist(), column.is_valid().to_pylist(), strict=True)
+            text = [(of(values[i:j].tolist()) if j > i else "") if there else None for i, j, there in rows]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(text, pa.string())], names=[*keep, to])
 
     return map_batches(df.select(*keep), run, schema)
