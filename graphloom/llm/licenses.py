@@ -1,12 +1,12 @@
 """License scans with DataFrame functions only.
 
 Pieces of a text are compared to licence templates by the cosine of sparse TF-IDF vectors
-(joins and sums over terms): header blocks (adjoining lines with a licence word, alone and
-with the lines next to them) to the headers by which licences are granted, whole licence
-files to full licence texts, and besides sentences with a licence word to short grants. A
-whole text is a licence file's by its name, or if one of ``LINES`` of its lines speaks of
-licence, copyright, warranty or liability (``LEGAL``), as every template of a header or text
-does. The texts are in ``licence_texts``, by licence. A file without a licence
+(joins and sums over terms): the comment a text begins with, as one vector whatever follows
+it, to headers and full licence texts; header blocks (adjoining lines with a licence word,
+alone and with the lines next to them) to the headers by which licences are granted; whole
+licence files to full licence texts; and besides sentences with a licence word to short
+grants. A whole text is compared if it is a licence file's by its name, or has no more words
+than twice the longest licence text. The texts are in ``licence_texts``, by licence. A file without a licence
 of its own inherits that of the nearest ancestor directory with a licence file, by joining
 the ancestor paths of its directory to the directories of such files. A file is a licence
 file by its name, or if it is a text file of which LICENCE_PERCENT of the words or more are in
@@ -16,9 +16,12 @@ holds very many files is no hot key.
 Document frequencies come from all pieces of a kind, for every term. Broadcast
 are the templates' terms and weights only, whose number is fixed.
 
+Rows are told apart by a digest of what is read of them, so ``files`` may be any DataFrame,
+shuffled, sampled or joined anew each time it is read.
+
 Defined cases: null and empty texts have no licence of their own but may inherit; ties go to
-the first licence by name; repeated rows give repeated results; a null path inherits
-nothing; a text of any length is cut into pieces in its row; an empty table gives an empty
+the first licence by name; repeated rows give repeated results, and count once in document
+frequencies; a null path inherits nothing; a text of any length is cut into pieces in its row; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -86,11 +89,12 @@ HEADERS = (
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 )
 
-#: Kinds of pieces: sentences, header blocks without and with the lines next to them, whole files.
-SENTENCE, CUES, BLOCK, WHOLE = range(4)
+#: Kinds of pieces: sentences, header blocks without and with the lines next to them, whole files, leading comments.
+SENTENCE, CUES, BLOCK, WHOLE, LEADING = range(5)
 LEGAL = "(?i)licen[cs]|copyright|warrant|liabil"
-#: One line in so many is ``LEGAL`` in a whole text that is compared as a licence file.
-LINES = 20
+#: A line of a comment, and the marks that open and close comments of several lines.
+COMMENT_LINE = "^[ \\t]*(?:#|//|--|;|%|\\*|$)"
+COMMENTS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
 
 #: A sentence is looked at if it holds one of these.
 CUE = "(?i)[lcsrp](?:icen[cs]|opyright|pdx|edistribut|ermission is hereby|ublic domain|roprietary|c0 1| by)|eative commons"
@@ -120,7 +124,7 @@ def templates(spark: SparkSession) -> DataFrame:
     """(kind, template, license, term, tf) of the templates."""
     texts = licence_texts()
     headers = (*HEADERS, *[t for t in texts if len(t[1]) < 2000])
-    of_kind = ((SENTENCE, TEMPLATES), (CUES, headers), (BLOCK, headers), (WHOLE, texts))
+    of_kind = ((SENTENCE, TEMPLATES), (CUES, headers), (BLOCK, headers), (WHOLE, texts), (LEADING, (*headers, *[t for t in texts if t not in headers])))
     listed = [(kind, i, name, text) for kind, some in of_kind for i, (name, text) in enumerate(some)]
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for k, i, name, text in listed])
     rows = spark.range(1).select(F.inline(rows))
@@ -134,15 +138,29 @@ def _blocks(lines: Column, cues: Column, around: int) -> Column:
     return F.filter(F.split(marked, "\\x00"), lambda b: b.rlike(LEGAL))
 
 
+def leading_comment(text: Column, lines: Column) -> Column:
+    """The comment that a text begins with, after a first line with ``#!``; empty if there is none."""
+    start = F.ltrim(F.regexp_replace(text, "\\A#![^\n]*\n", ""))
+    other = F.array_position(F.transform(lines, lambda line: line.rlike(COMMENT_LINE)), False)
+    out = F.when(other > 0, F.array_join(F.slice(lines, F.lit(1), (other - 1).cast("int")), "\n")).otherwise(text)
+    for opens, closes in COMMENTS:
+        inner = F.substring(start, F.lit(len(opens) + 1), F.length(start))
+        out = F.when(start.startswith(opens), F.substring_index(inner, closes, 1)).otherwise(out)
+    return out
+
+
 def pieces(files: DataFrame) -> DataFrame:
     """(_row, kind, pos, piece) of what is compared of ``files`` (_row, path, text) with a licence word."""
     hit = files.filter(F.col("text").rlike(CUE))
     sentences = F.filter(F.split("text", SENTENCE_END), lambda s: s.rlike(CUE))
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
+    longest = max(len(text.split()) for _, text in licence_texts())
+    whole = named | (n_words(F.col("text")) <= 2 * longest)
+    none = F.array().cast("array<string>")
 
     def larger(lines: Column, cues: Column) -> Column:
-        whole = named | ((F.size(F.filter(lines, lambda line: line.rlike(LEGAL))) * LINES >= F.greatest(F.size(lines), F.lit(1))))
-        return F.array(_blocks(lines, cues, 0), _blocks(lines, cues, 1), F.when(whole, F.array("text")).otherwise(F.array().cast("array<string>")))
+        leading = F.filter(F.array(leading_comment(F.col("text"), lines)), lambda c: c.rlike(CUE))
+        return F.array(_blocks(lines, cues, 0), _blocks(lines, cues, 1), F.when(whole, F.array("text")).otherwise(none), leading)
 
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike("[A-Za-z0-9]"))
     found = let(lines, lambda ls: let(F.transform(ls, lambda line: line.rlike(CUE)), lambda cs: larger(ls, cs)))
@@ -154,8 +172,11 @@ def own_licenses(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(_row, license, score, n_matches, license_words) of the files (_row, path, text) with a licence."""
     spark, key = files.sparkSession, ["_row", "kind", "pos"]
     found = materialise(pieces(files), "pieces")
-    sizes = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
-    n = F.element_at(F.array(*[F.lit(sizes.get(k, 0) + 1.0) for k in (SENTENCE, CUES, BLOCK, WHOLE)]), F.col("kind") + 1)
+    # The lines next to a block may be anything: their words are not words of a licence.
+    of_licence = F.when(F.col("kind") == BLOCK, F.lit(0)).otherwise(n_words(F.col("piece")))
+    words = materialise(found.select(*key, of_licence.alias("_words")).distinct(), "words")
+    sizes = {r["kind"]: r["count"] for r in words.groupBy("kind").count().collect()}
+    n = F.element_at(F.array(*[F.lit(sizes.get(k, 0) + 1.0) for k in (SENTENCE, CUES, BLOCK, WHOLE, LEADING)]), F.col("kind") + 1)
     tf = found.select(*key, F.explode(terms(F.col("piece"))).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.log(n / (F.coalesce("df", F.lit(0)) + 1)) + 1
     frequencies = materialise(tf.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
@@ -173,9 +194,7 @@ def own_licenses(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     least = F.when(F.col("kind") == WHOLE, F.lit(max(min_cosine, MIN_WHOLE))).otherwise(F.lit(min_cosine))
     scored = dots.join(norms, key).withColumn("score", F.round(F.col("_d") / F.col("_n"), 6)).filter(F.col("score") >= least)
     best = scored.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    # The lines next to a block may be anything: their words are not words of a licence.
-    best = best.join(found, key).withColumn("_words", F.when(F.col("kind") == BLOCK, F.lit(0)).otherwise(n_words(F.col("piece"))))
-    best = best.groupBy("_row", "kind").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("_words").alias("_words"))
+    best = best.join(words, key).groupBy("_row", "kind").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("_words").alias("_words"))
     return best.groupBy("_row").agg(
         F.min("b").alias("b"), F.max("n").alias("n_matches"), F.max("_words").alias("license_words")
     ).select("_row", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "n_matches", "license_words")
@@ -195,7 +214,9 @@ def scan(files: DataFrame) -> DataFrame:
 
     ``origin`` is ``own``, ``inherited`` or ``none``; an inherited licence has the score that its licence file has.
     """
-    files = files.select("doc_id", "path", "text").withColumn("_row", F.monotonically_increasing_id())
+    read_of = [x for c in ("doc_id", "path", "text") for x in (F.col(c), F.col(c).isNull())]
+    row = F.struct(F.xxhash64(*read_of).alias("a"), F.xxhash64(F.lit(1), *read_of).alias("b"))
+    files = files.select("doc_id", "path", "text").withColumn("_row", row)
     own = own_licenses(files.select("_row", "path", "text"))
     listed = files.select("_row", "doc_id", "path", n_words(F.col("text")).alias("_size"))
     listed = materialise(listed.join(own, "_row", "left"), "licensed")

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import langid, licenses, quality, secrets
@@ -96,6 +97,56 @@ def test_no_literal_is_lost_however_many_there_are():
         assert isinstance(secrets.lexed(text), list)
 
 
+def test_constants_in_any_order_and_of_any_length():
+    long = "Qx7" + "plain words and more of them " * 10 + "Zx9kQ2mB7vL4pR8t"
+    for text in (f'password = "{long}"', f'k = "{long}"\npassword = k', f'password = k\nk = "{long}"', f'k = "{long}"\nj = k + "x"\npassword = j'):
+        assert long in hits(text), text
+    for text in (f'password = k\nk = "{K}"', f'class C:\n    k = "{K}"\npassword = C.k', f'password = a\na = b\nb = "{K}"', f'secret = ""\nsecret += "{K}"', f'a = b\nb = a + "{K}"\npassword = a'):
+        assert hits(text) == {K}, text
+
+
+def test_values_with_alternatives():
+    for text in (
+        f'password = env or "{K}"', f'password = x ? y : "{K}"', f'password = x ?? "{K}"', f'password = "{K}" if debug else ""', f'password = read("x") || "{K}"', f'char password[] = "{K}";', f'password[0] = "{K}"',
+        f'password = r#"{K}"#', f'password: |\n  {K}\nuser: bob', f'a:\n  - password: >-\n      {K}\n    user: b7x9Qm2Zr4Tb6Lp8', f'os.environ.get("DB_PASSWORD", "{K}")', f"getenv('API_TOKEN', '{K}')",
+    ):
+        assert hits(text) == {K}, text
+    two = {K, "Hn5Vc8Xd3Gj1Fk7Q"}
+    for text in ('passwords = ["{}", "{}"]', 'password = ("{}", "{}")', 'char *password[] = {{"{}", "{}"}};', 'passwd = [\n  "{}",\n  "{}",\n]', "password: |\n  {}\n  {}\nnext: 1", 'password = ["{}"] + ["{}"]'[:0] + 'k = ["{}", "{}"]\npassword = k'):
+        assert hits(text.format(*sorted(two))) == two, text
+    assert hits(f'"password": {{"hint": "{K}"}}') == set() and hits(f'password = [a, b]\nother = "{K}"') == set()
+
+
+def test_lines_of_assignments_take_linear_time():
+    import time
+
+    text = "".join(f"name{i % 977}: value{i}\n" for i in range(60_000))
+    began = time.process_time()
+    secrets.lexed(text)
+    one = time.process_time() - began
+    assert one < 3 * len(text) / 1e6 + 0.5  # about 0.7 s a MB where nothing else runs
+
+
+def plain_base_and_lexed(text):
+    """Spans that the base patterns find and that lie in a plain ``name = literal`` of a line."""
+    found = set()
+    for m in re.finditer(r"""(?im)\b(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*(["'])([A-Za-z0-9+/_.=-]{12,})\1""", text):
+        found.add(m.span(2))
+    return found
+
+
+def test_lexer_finds_the_quoted_secrets_of_all_documents(spark):
+    docs = dict(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    n = 0
+    for text in docs.values():
+        got = {(a, b) for a, b, _ in secrets.lexed(text or "")}
+        for a, b in plain_base_and_lexed(text or ""):
+            if secrets.Value(text[a:b]).score() >= 3:
+                n += 1
+                assert (a, b) in got
+    assert n > 0
+
+
 def test_lexer_against_plain_reading(spark):
     """Texts put together from assignments whose secret literals are known."""
     import random
@@ -267,8 +318,13 @@ def plain_license_scan(files):
                     block = []
                 elif x is not None:
                     block.append(x)
-        if (path and re.search(licenses.LICENCE_FILE, path)) or sum(bool(re.search(licenses.LEGAL, x)) for x in lines) * licenses.LINES >= max(len(lines), 1):
+        if (path and re.search(licenses.LICENCE_FILE, path)) or words(text) <= 2 * max(len(t.split()) for _, t in licenses.licence_texts()):
             found.append((row, licenses.WHOLE, text))
+        start = re.sub(r"\A#![^\n]*\n", "", text).lstrip(" ")
+        opened = next(((a, b) for a, b in licenses.COMMENTS if start.startswith(a)), None)
+        run = next((i for i, x in enumerate(lines) if not re.search(licenses.COMMENT_LINE, x)), len(lines))
+        leading = start[len(opened[0]) :].split(opened[1])[0] if opened else "\n".join(lines[:run]) if run < len(lines) else text
+        found += [(row, licenses.LEADING, leading)] if re.search(licenses.CUE, leading) else []
     sizes, df = Counter(k for _, k, _ in found), Counter()
     for _, k, p in found:
         df.update((k, t) for t in set(terms(p)))
@@ -276,7 +332,7 @@ def plain_license_scan(files):
         return {t: n * (math.log((sizes[kind] + 1) / (df[kind, t] + 1)) + 1) for t, n in Counter(terms(text)).items()}
     texts = licenses.licence_texts()
     headers = (*licenses.HEADERS, *[t for t in texts if len(t[1]) < 2000])
-    of_kind = {licenses.SENTENCE: licenses.TEMPLATES, licenses.CUES: headers, licenses.BLOCK: headers, licenses.WHOLE: texts}
+    of_kind = {licenses.SENTENCE: licenses.TEMPLATES, licenses.CUES: headers, licenses.BLOCK: headers, licenses.WHOLE: texts, licenses.LEADING: (*headers, *[t for t in texts if t not in headers])}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     models = {k: [(name, v, norm(v)) for name, t in some for v in [vector(k, t)]] for k, some in of_kind.items()}
     best: dict = {}
@@ -344,6 +400,31 @@ def test_headers_and_licence_files_are_compared_whole(spark):
                    7: ("Apache-2.0", "inherited"), 8: (None, "none"), 9: (None, "none")}
 
 
+CLAUSE = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+
+
+@pytest.mark.parametrize("style", ["line", "block", "star"])
+def test_a_header_is_named_whatever_follows_it(spark, style):
+    texts = dict(licenses.licence_texts())
+    code = "for (i = 0; i < n; i++) { total += row[i] * scale; }\n"
+    rows = []
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC"):
+        lines = ("Copyright (c) 2021 Some Body\n\n" + texts[name]).strip().split("\n")
+        head = {"line": "\n".join("// " + x for x in lines), "block": "/*\n" + "\n".join(lines) + "\n*/", "star": "/*\n" + "\n".join(" * " + x for x in lines) + "\n */"}[style]
+        rows += [(f"{name} {n}", f"src/{name}-{n}.c", head + "\n" + code * n) for n in (0, 10, 100, 1000)]
+    df = spark.createDataFrame(rows, "doc_id string, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(df).collect()}
+    assert got == {i: (i.split()[0], "own") for i, _, _ in rows}
+
+
+def test_a_scan_is_the_same_however_its_input_is_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "concat(source, '/', doc_id, '.txt') AS path", "text")
+    plain = sorted(map(str, licenses.scan(docs).collect()))
+    assert sorted(map(str, licenses.scan(docs.repartition(8)).collect())) == plain
+    ids = docs.select("doc_id").repartition(5)
+    assert sorted(map(str, licenses.scan(ids.join(docs.hint("shuffle_hash"), "doc_id")).collect())) == plain
+
+
 def test_language_of_held_out_rows(spark):
     got = langid.op6_language_id(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
@@ -353,7 +434,7 @@ def test_language_of_held_out_rows(spark):
 
 
 def test_language_of_odd_texts(spark):
-    rows = [(1, None, "en"), (2, "", "en"), (3, "123 ... 456", "en"), (4, "the cat and the dog " * 40, "en"), (5, "der Hund und die Katze " * 40, "de"), (5, "der Hund und die Katze " * 40, None)]
+    rows = [(1, None, "en"), (2, "", "en"), (3, "123 ... 456", "en"), (3, "\u00b2 \u00bd \u2460 \u2167 _", "en"), (4, "the cat and the dog " * 40, "en"), (5, "der Hund und die Katze " * 40, "de"), (5, "der Hund und die Katze " * 40, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "2 AS extra")
     got = langid.predict(df, langid.train(df)).collect()
     assert len(got) == len(rows)
