@@ -8,15 +8,15 @@ Training takes a bounded sample of windows, drawn from all windows of all traini
 hash of id and place: TRAIN_PER_LANGUAGE of each language, TRAIN_TOTAL in all. Windows are
 cut where the texts are; the driver gets windows, not texts.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; so is
-everything if no training text has a language (an empty table, say); repeated rows give
+Defined cases: null texts and texts without a letter (Unicode category L) are ``und`` with
+score 0; so is everything if no training text has a language (an empty table, say); of
+languages that are equally likely the first by name is given; repeated rows give
 repeated results; a text of any length is read whole, STEP windows at a time; ids may be
 null (they count as the empty text in the fold); extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +37,6 @@ EPOCHS, BATCH, RATE = 4, 128, 0.01
 #: Windows that a prediction step holds at once.
 STEP = 64
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -210,7 +209,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             names: list[str] = []
             scores: list[float] = []
             for text in b.column(text_col).to_pylist():
-                if m is None or text is None or not _LETTER.search(text):
+                if m is None or text is None or not any(map(str.isalpha, text)):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
