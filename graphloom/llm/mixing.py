@@ -68,11 +68,11 @@ def source_key(source: Column) -> Column:
 def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(_row, doc_id, source, size, _key) of every row, written once: all later steps read it.
 
-    ``_key``: 60 bits of a digest of the id, the order of a source's documents. ``_row`` is
+    ``_key``: 60 bits of a digest of the id (of the row's number where that is null), the order of a source's documents. ``_row`` is
     taken from ``docs`` if it has one.
     """
     row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\0"), row.cast("string"))))
     rows = docs.select(
         row.alias("_row"),
         "doc_id",
