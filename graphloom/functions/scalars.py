@@ -12,12 +12,12 @@ SEVERITIES = ("none", "note", "warning", "error")
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of ``10``, ``2GiB``, ``3kb``: one letter and ``iB`` are binary, ``kB`` decimal; null if malformed."""
+    """Bytes of ``10``, ``2GiB``, ``3kb``: one letter and ``iB`` are binary, ``kB`` decimal; null if malformed or more than a long holds."""
     t = F.lower(F.trim(text))
     number = F.regexp_extract(t, r"\A(\d+) *([a-z]*)\z", 1).try_cast("long")
     unit = F.regexp_extract(t, r"\A(\d+) *([a-z]*)\z", 2)
     times = F.create_map(*[F.lit(x) for pair in _POWERS.items() for x in pair])
-    return number * F.element_at(times.cast("map<string,bigint>"), unit)
+    return F.try_multiply(number, F.element_at(times.cast("map<string,bigint>"), unit))
 
 
 def status_of(exit_code: Column) -> Column:
@@ -97,12 +97,26 @@ def platform_tokens(system: Column, machine: Column) -> Column:
 
 
 def json_pointer(text: Column, pointer: str) -> Column:
-    """The value at a JSON pointer (``/a/0/b``): texts bare, others as JSON; null if there is none."""
-    path = "$"
-    for part in pointer.split("/")[1:]:
-        part = part.replace("~1", "/").replace("~0", "~")
-        path += f"[{part}]" if part.isdigit() else f"['{part}']"
-    return F.get_json_object(text, path)
+    """The value at a JSON pointer (``/a/0/b``): texts bare, others as JSON; null if there is none.
+
+    A number may be a key or a place in a list.
+    """
+    parts = [p.replace("~1", "/").replace("~0", "~") for p in pointer.split("/")[1:]]
+    if any(("'" in p or "?" in p or not p) and (not p or "." in p or "[" in p) for p in parts):
+        found = F.try_parse_json(text)
+        for p in parts:
+            key = F.try_variant_get(found, '$["' + p.replace("\\", "\\\\").replace('"', '\\"') + '"]', "variant")
+            found = F.coalesce(key, F.try_variant_get(found, f"$[{p}]", "variant")) if _is_place(p) else key
+        return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string")).otherwise(F.to_json(found))
+    paths = ["$"]
+    for p in parts:
+        key = f".{p}" if "'" in p or "?" in p else f"['{p}']"
+        paths = [q + step for q in paths for step in ([key, f"[{p}]"] if _is_place(p) else [key])]
+    return F.coalesce(*[F.get_json_object(text, q) for q in paths])
+
+
+def _is_place(part: str) -> bool:
+    return part.isascii() and part.isdigit() and part == str(int(part))
 
 
 def decoded_base64(text: Column) -> Column:

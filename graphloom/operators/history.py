@@ -60,7 +60,11 @@ def adjacent_changes(rows: DataFrame, key: str, order: list[str], value: str) ->
     return before.groupBy(key).agg(F.count_if((F.col("_i") > 1) & ~F.col(value).eqNullSafe(F.col("_b"))).alias("n_changes"))
 
 
+def is_invalid_attempt() -> Column:
+    """Whether an attempt has no id or number, or ends before it starts."""
+    return F.col("id").isNull() | (F.col("id") == "") | (F.col("attempt") < 1) | (F.col("finished_at_unix_ms") < F.col("started_at_unix_ms"))
+
+
 def invalid_attempts(attempts: DataFrame) -> DataFrame:
-    """Ids of attempts without an id or number, or that end before they start."""
-    bad = F.col("id").isNull() | (F.col("id") == "") | (F.col("attempt") < 1) | (F.col("finished_at_unix_ms") < F.col("started_at_unix_ms"))
-    return attempts.filter(bad).select("id")
+    """Ids of attempts that fail an invariant."""
+    return attempts.filter(is_invalid_attempt()).select("id")

@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.paths import glob_regex, is_glob, matches_any, normalise_path, parent, usable_pattern
 from graphloom.operators.digests import set_digest
-from graphloom.plans.fixpoint import reverse_closure
+from graphloom.plans.fixpoint import reached_from, reverse_closure
 from graphloom.sources.tables import stored
 
 #: The manifest at the root: a change of it changes the graph.
 DEFINITION = "manifest.toml"
 
 
+#: Characters of the pieces of text that patterns without folder or ending are found by.
+GRAM = 3
+#: Parts that paths are dealt to for patterns that say nothing a path must hold.
+SPREAD = 32
+
+
 def pattern_owners(changed: DataFrame, patterns: DataFrame) -> DataFrame:
     """(path, id): targets (id, pattern) with a declared pattern that a changed path matches.
 
     Absolute patterns and those that go up match nothing. Patterns without wildcards join by
     equality. Others join on their literal directory (the part before the first wildcard, up
-    to a slash), or else on the extension they end in, and the rest is matched by regular
-    expression. Only a pattern with neither meets every path.
+    to a slash), or else on the extension they end in, or else on the rarest ``GRAM``
+    characters of what they say between wildcards; the rest is matched by regular expression.
     """
     changed = changed.select("path").distinct()
     pattern = F.col("pattern")
@@ -28,12 +34,44 @@ def pattern_owners(changed: DataFrame, patterns: DataFrame) -> DataFrame:
     exact = patterns.filter(~is_glob(pattern)).join(changed, F.regexp_replace(pattern, r"\A(?:\./)+", "") == F.col("path")).select("path", "id")
     folder = F.regexp_extract("pattern", r"\A((?:[^*?\[/]*/)+)", 1)
     ending = F.regexp_extract("pattern", r"(\.[^.*?\[\]/]+)\z", 1)
-    key = F.when(folder != "", folder).when(ending != "", F.concat(F.lit("*"), ending)).otherwise(F.lit("*"))
+    key = F.when(folder != "", folder).when(ending != "", F.concat(F.lit("*"), ending))
     globs = patterns.filter(is_glob(pattern)).withColumn("_key", key).withColumn("_rx", glob_regex(pattern))
-    own = F.array(F.lit("*"), F.concat(F.lit("*"), F.regexp_extract("path", r"(\.[^./]+)\z", 1)))
+    keyed = globs.filter(F.col("_key").isNotNull())
+    own = F.array(F.concat(F.lit("*"), F.regexp_extract("path", r"(\.[^./]+)\z", 1)))
     above = changed.withColumn("_key", F.explode(F.array_distinct(F.concat(own, directories(F.col("path"))))))
-    matched = above.join(globs, "_key").filter(F.regexp_like("path", F.col("_rx"))).select("path", "id")
-    return exact.unionAll(matched).distinct()
+    out = exact.unionAll(above.join(keyed, "_key").filter(F.regexp_like("path", F.col("_rx"))).select("path", "id"))
+    loose = globs.filter(F.col("_key").isNull()).select("id", "pattern", "_rx")
+    return (out if loose.isEmpty() else out.unionAll(_by_literal(changed, loose))).distinct()
+
+
+def _grams(text: Column, length: int) -> Column:
+    """The distinct pieces of a text of so many characters."""
+    n = F.length(text) - length + 1
+    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(length)))
+    return F.when(n >= 1, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def _by_literal(changed: DataFrame, loose: DataFrame) -> DataFrame:
+    """(path, id) for patterns (id, pattern, _rx) that name no folder and no ending.
+
+    Every path that matches holds all of a pattern's literal text, so it is met by the gram of it
+    that the fewest paths hold; a pattern with a gram that no path holds matches nothing. ``**/``
+    may stand for nothing, so a slash after it is no literal. Texts shorter than a gram, and
+    patterns of wildcards only, meet every path, dealt to ``SPREAD`` parts.
+    """
+    said = F.split(F.regexp_replace("pattern", r"\*\*/", "*"), r"[*?]+|\[[^\]]*\]")
+    loose = loose.select("id", "_rx", F.monotonically_increasing_id().alias("_p"), F.array_distinct(F.flatten(F.transform(said, lambda t: _grams(t, GRAM)))).alias("_grams"))
+    loose = stored(loose, "loose")
+    grams = stored(changed.select("path", F.explode(_grams(F.col("path"), GRAM)).alias("_gram")), "grams")
+    wanted = loose.select("_p", F.explode("_grams").alias("_gram"))
+    held = grams.join(wanted.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = wanted.join(held, "_gram", "left").groupBy("_p").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_g"))
+    rarest = rarest.filter("_g.n > 0").select("_p", F.col("_g._gram").alias("_gram")).join(loose, "_p")
+    by_gram = grams.join(rarest, "_gram").select("path", "id", "_rx")
+    silent = loose.filter(F.size("_grams") == 0).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = changed.withColumn("_s", F.pmod(F.xxhash64("path"), F.lit(SPREAD)).cast("int"))
+    every = dealt.join(silent, "_s").select("path", "id", "_rx")
+    return by_gram.unionAll(every).filter(F.regexp_like("path", F.col("_rx"))).select("path", "id")
 
 
 def directories(path: Column) -> Column:
@@ -98,7 +136,13 @@ def affected(changed: DataFrame, patterns: DataFrame, targets: DataFrame, edges:
     rest = changed.join(defines, "path", "left_anti")
     owners = stored(owners_of(rest, patterns, targets), "owners")
     every = not defines.unionAll(unmatched(rest, owners)).isEmpty()
-    reached = reverse_closure(edges, owners.select(F.col("id").alias("start")).distinct())
+    # edges between what tests depend on and what depends on an owner: pairs that end in no test don't arise
+    starts = owners.select(F.col("id").alias("node")).distinct()
+    lead = reached_from(edges, tests.select(F.col("id").alias("node")))
+    hit = reached_from(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts)
+    inside = stored(lead.join(hit, "node", "left_semi"), "inside")
+    between = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    reached = reverse_closure(between, starts.withColumnRenamed("node", "start"))
     hit = reached.join(owners.withColumnRenamed("id", "start"), "start").join(tests.withColumnRenamed("id", "node"), "node")
     reason = F.when(F.col("hops") == 0, F.concat(F.lit("owns "), F.col("path"))).otherwise(F.concat(F.lit("depends on "), F.col("start"), F.lit(" for "), F.col("path")))
     own = hit.groupBy(F.col("node").alias("id")).agg(F.array_join(F.sort_array(F.collect_set(reason)), "; ").alias("reasons"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.paths import relative_reference
 from graphloom.operators.selection import pattern_owners
-from graphloom.plans.fixpoint import cycles
+from graphloom.plans.fixpoint import cycle_paths, cycles
 from graphloom.sources.tables import map_batches
 
 NAME = r"\A[A-Za-z0-9][A-Za-z0-9_.+-]*\z"
@@ -177,6 +177,13 @@ def dependency_cycles(edges: DataFrame) -> DataFrame:
     return _found(groups, "dependency_cycle", F.lit("deps"), F.concat(F.col("n").cast("string"), F.lit(" targets depend on each other")))
 
 
+def dependency_cycle_paths(edges: DataFrame) -> DataFrame:
+    """One row for each group of targets that reach each other, as ``dependency_cycles``; the message is a shortest cycle: ``a -> b -> a``."""
+    paths = cycle_paths(edges).withColumn("id", F.col("cycle"))
+    way = F.concat(F.array_join(F.col("nodes").cast("array<string>"), " -> "), F.lit(" -> "), F.col("id").cast("string"))
+    return _found(paths, "dependency_cycle", F.lit("deps"), F.concat(F.lit("dependency cycle: "), way))
+
+
 def unknown_kinds(targets: DataFrame, kinds: DataFrame) -> DataFrame:
     lost = targets.join(kinds.select("kind").distinct(), "kind", "left_anti")
     return _found(lost, "unknown_target_kind", F.lit("kind"), F.concat(F.lit("no kind "), F.col("kind")))
@@ -226,6 +233,12 @@ def invalid_names(targets: DataFrame) -> DataFrame:
     )
 
 
+def well_named(targets: DataFrame) -> DataFrame:
+    """The targets that ``invalid_names`` finds nothing in. The other rules look at these only: a row without a name or kind has no other finding."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    return targets.filter(~blank("name") & ~blank("kind") & F.col("name").rlike(NAME))
+
+
 #: Fixed values of the enumerations in stored records.
 ENUMS = {"evidence_status": ("passed", "failed"), "cache": ("hit", "miss", "bypass"), "attempt_status": ("passed", "failed", "error")}
 

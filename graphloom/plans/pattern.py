@@ -1,11 +1,13 @@
 """Read-only pattern queries over a property graph, built from DataFrame operations.
 
-A graph is ``nodes`` (id, label, props as JSON) and ``edges`` (src, dst, type). A pattern
-binds one alias to a node, or two by an edge in either direction, or by any number of steps;
-conditions and results name ``alias.path.to.property``.
-
-Conditions are two-valued: a missing property equals nothing, not even null, and differs
-from everything; a condition on an unknown alias is false, a result of one is null.
+A graph is ``nodes`` (id, label, name, kind, package, and props: all properties as a JSON
+object) and ``edges`` (src, dst, type). A pattern binds one alias to a node, or two by an edge
+in either direction, or by any number of steps; conditions and results name
+``alias.path.to.property``.
+
+Conditions compare with texts, whole numbers, fractions, booleans, null and lists of these, by
+kind and value. They are two-valued: a missing property equals nothing, not even null, and
+differs from everything; a condition on an unknown alias is false, a result of one is null.
 """
 
 from __future__ import annotations
@@ -32,49 +34,76 @@ class Condition:
     def column(self, aliases: set[str]) -> Column:
         if self.alias not in aliases:
             return F.lit(False)
-        got = _property(self.alias, self.path)
-        kind = _json_kind(self.alias, self.path)
-        yes = F.lit(True)
+        return F.coalesce(self._holds(), F.lit(False))
+
+    def _holds(self) -> Column:
+        no, value, text = F.lit(False), self.value, isinstance(self.value, str)
         if self.op in ("=", "<>"):
-            same = F.coalesce((got == str(self.value)) & kind.isin(*_kinds(self.value)), F.lit(False)) if self.value is not None else F.lit(False)
+            same = F.coalesce(self._equals(value), no)
             return same if self.op == "=" else ~same
         if self.op == "in":
-            hits = [F.coalesce((got == str(v)) & kind.isin(*_kinds(v)), F.lit(False)) for v in self.value]
-            return reduce(or_, hits) if hits else ~yes
-        text = kind == "string"
+            return reduce(or_, [F.coalesce(self._equals(v), no) for v in value], no) if isinstance(value, (list, tuple, set)) else no
+        plain = _plain(self.alias, self.path)
+        got = None if plain is not None else _variant(self.alias, self.path)
+        string = plain if plain is not None else F.when(F.schema_of_variant(got) == "STRING", F.try_variant_get(got, "$", "string"))
         if self.op == "contains":
-            member = F.array_contains(F.from_json(got, "array<string>"), str(self.value))
-            return F.coalesce(F.when(text, got.contains(str(self.value))).when(kind == "array", member), F.lit(False))
-        test = {"starts": got.startswith, "ends": got.endswith}[self.op]
-        return F.coalesce(text & test(str(self.value)), F.lit(False))
+            within = string.contains(value) if text else no
+            if got is None:
+                return within
+            member = F.exists(F.try_variant_get(got, "$", "array<variant>"), lambda v: F.coalesce(_same(v, value), no))
+            return F.when(F.schema_of_variant(got).startswith("ARRAY"), member).otherwise(within)
+        test = {"starts": string.startswith, "ends": string.endswith}[self.op]
+        return test(value) if text else no
+
+    def _equals(self, value: object) -> Column:
+        plain = _plain(self.alias, self.path)
+        if plain is not None:
+            return plain == value if isinstance(value, str) else F.lit(False)
+        return _same(_variant(self.alias, self.path), value)
+
+
+def _same(got: Column, value: object) -> Column:
+    """Whether a JSON value is of a literal's kind and equal to it; an integer equals no fraction, lists go place by place."""
+    kind = F.schema_of_variant(got)
+    if value is None:
+        return F.is_variant_null(got)
+    if isinstance(value, (list, tuple)):
+        parts = F.try_variant_get(got, "$", "array<variant>")
+        equal = [F.coalesce(_same(F.get(parts, F.lit(i)), v), F.lit(False)) for i, v in enumerate(value)]
+        return kind.startswith("ARRAY") & reduce(and_, equal, F.size(parts) == len(value))
+    for python, json_kind, spark_type in ((bool, "BOOLEAN", "boolean"), (int, "BIGINT", "long"), (str, "STRING", "string")):
+        if isinstance(value, python):
+            return (kind == json_kind) & (F.try_variant_get(got, "$", spark_type) == F.lit(value))
+    if isinstance(value, float):
+        return (kind.startswith("DECIMAL") | (kind == "DOUBLE")) & (F.try_variant_get(got, "$", "double") == F.lit(value))
+    raise TypeError(f"no literal: {value!r}")
 
 
-def _kinds(value: object) -> tuple[str, ...]:
-    if isinstance(value, bool):
-        return ("boolean",)
-    if isinstance(value, int):
-        return ("integer",)
-    if isinstance(value, float):
-        return ("number",)
-    return ("string",)
+#: Properties that nodes have as columns, too.
+_COLUMNS = ("id", "name", "kind", "package")
+#: Nodes that are part of a target: their id is the library's own and no property.
+PARTS = ("Capability", "Provider")
+
+
+def _plain(alias: str, path: str) -> Column | None:
+    """A property that is a column."""
+    if path == "id":
+        return F.when(~F.col(f"{alias}.label").isin(*PARTS), F.col(f"{alias}.id"))
+    return F.col(f"{alias}.{path}") if path in _COLUMNS else None
+
+
+def _path(path: str) -> str:
+    return "$" + "".join(f"['{p.strip()}']" for p in path.split("."))
 
 
-def _json_kind(alias: str, path: str) -> Column:
-    """Kind of a property's JSON value: string, integer, number, boolean, object or array."""
-    if path in ("id", "label", "name", "kind", "package"):
-        return F.lit("string")
-    schema = F.schema_of_variant(F.try_variant_get(F.try_parse_json(f"{alias}.props"), f"$.{path}", "variant"))
-    return (
-        F.when(schema == "STRING", "string").when(schema == "BIGINT", "integer").when(schema == "BOOLEAN", "boolean")
-        .when(schema.startswith("ARRAY"), "array").when(schema.startswith("OBJECT"), "object").when(schema.isNotNull() & (schema != "VOID"), "number")
-    )
+def _variant(alias: str, path: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(f"{alias}.props"), _path(path), "variant")
 
 
 def _property(alias: str, path: str) -> Column:
     """A property as text; objects and arrays as JSON. Paths go through objects only."""
-    if path in ("id", "label", "name", "kind", "package"):
-        return F.col(f"{alias}.{path}")
-    return F.get_json_object(f"{alias}.props", f"$.{path}")
+    plain = _plain(alias, path)
+    return plain if plain is not None else F.get_json_object(f"{alias}.props", _path(path))
 
 
 @dataclass(frozen=True)
@@ -92,7 +121,7 @@ class Pattern:
         return Pattern(self.rows.filter(reduce(or_, either)), self.aliases)
 
     def returns(self, *plain: str, **results: str) -> DataFrame:
-        """One column for each result: ``alias`` (the node as JSON) or ``alias.path`` (null if missing).
+        """One column for each result: ``alias`` (all its properties as JSON) or ``alias.path`` (null if missing).
 
         A result given without a name is named by its own text.
         """
@@ -104,7 +133,7 @@ class Pattern:
             elif path:
                 value = _property(alias, path)
             else:
-                value = F.to_json(F.struct(*[F.col(f"{alias}.{c}").alias(c) for c in ("id", "kind", "label", "name", "package")]))
+                value = F.col(f"{alias}.props")
             columns.append(value.alias(name))
         return self.rows.select(*columns)
 

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import paths as P
 from graphloom.functions import scalars as S
-from graphloom.operators import contract, digests, edits, graph, history, journal, logs, providers, results, scripts, search, selection, selects, store, validate
+from graphloom.operators import contract, digests, edits, graph, history, journal, logs, providers, receipts, resolvers, results, scripts, search, selection, selects, store, validate
 from graphloom.plans import fixpoint, pattern
 from graphloom.plans.pattern import Condition
 from graphloom.sources import files
 from graphloom.sources import records as R
 from graphloom.sources.records import with_
-from graphloom.sources.tables import stored, table
+from graphloom.sources import store as store_files
+from graphloom.sources.tables import new_folder, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -108,6 +109,18 @@ def invalid_attempts(spark, sf):
     return history.invalid_attempts(R.attempts(spark, sf))
 
 
+@query("""SELECT CASE WHEN event_id % 11 = 0 THEN '' ELSE 'a' || event_id END AS id, event_id AS event FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0 OR (event_id % 17 = 0 AND floor(value) > 0)""")
+def invalid_attempts_of_each_kind(spark, sf):
+    """Attempts without an id, without a number, or that end before they start."""
+    k = F.substring("id", 2, 20).cast("long")
+    rows = R.attempts(spark, sf).withColumn("_e", k)
+    broken = rows.select(
+        "_e", F.when(k % 11 == 0, "").otherwise(F.col("id")).alias("id"), F.when(k % 13 == 0, 0).otherwise(F.col("attempt")).alias("attempt"), "started_at_unix_ms",
+        F.when(k % 17 == 0, F.col("started_at_unix_ms") - F.col("duration_ms")).otherwise(F.col("finished_at_unix_ms")).alias("finished_at_unix_ms"),
+    )
+    return broken.filter(history.is_invalid_attempt()).select("id", F.col("_e").alias("event"))
+
+
 # Graph and patterns
 
 
@@ -202,16 +215,16 @@ WHERE (json_extract_string(attrs, '$.info.brand') IN ('Brand#1', 'Brand#11', 'Br
 )
 def pattern_in_contains(spark, sf):
     nodes, _ = _graph(spark, sf)
-    some = [Condition("t", "info.brand", "in", ["Brand#1", "Brand#11", "Brand#23"]), Condition("t", "id", "contains", "1")]
+    some = [Condition("t", "attrs.info.brand", "in", ["Brand#1", "Brand#11", "Brand#23"]), Condition("t", "id", "contains", "1")]
     others = [Condition("t", "kind", "=", "supplier"), Condition("t", "name", "starts", "1")]
-    return pattern.node(nodes, "t", "Target").where(some, others).returns(id="t.id", size="t.info.size")
+    return pattern.node(nodes, "t", "Target").where(some, others).returns(id="t.id", size="t.attrs.info.size")
 
 
 @query(with_("targets") + " SELECT id FROM targets WHERE NOT coalesce(json_extract_string(attrs, '$.info.size') = '5', false)")
 def pattern_not_equal_missing(spark, sf):
     """A missing property differs from everything."""
     nodes, _ = _graph(spark, sf)
-    return pattern.node(nodes, "t", "Target").where([Condition("t", "info.size", "<>", 5)]).returns(id="t.id")
+    return pattern.node(nodes, "t", "Target").where([Condition("t", "attrs.info.size", "<>", 5)]).returns(id="t.id")
 
 
 @query(with_("targets") + " SELECT id, NULL::VARCHAR AS other FROM targets WHERE id LIKE 'customer/%' AND id LIKE '%7' ")
@@ -221,7 +234,8 @@ def pattern_prefix_suffix(spark, sf):
     return pattern.node(nodes, "t", "Target").where(both, [Condition("x", "id", "<>", "y")]).returns(id="t.id", other="x.id")
 
 
-@query(with_("targets") + """ SELECT '{"id":"' || id || '","kind":"' || kind || '","label":"Target","name":"' || name || '","package":"' || package || '"}' AS node FROM targets WHERE kind = 'nation'""")
+@query(with_("targets") + """ SELECT '{"attrs":' || attrs || ',"capabilities":[],"dependency_edges":{},"deps":["' || deps[1] || '"],"id":"' || id || '","kind":"nation","name":"' || name
+  || '","package":"nation","providers":[],"srcs":[],"visibility":[]}' AS node FROM targets WHERE kind = 'nation'""")
 def pattern_whole_node(spark, sf):
     nodes, _ = _graph(spark, sf)
     return pattern.node(nodes, "t", "Target", kind="nation").returns(node="t")
@@ -240,6 +254,68 @@ def pattern_transitive(spark, sf):
     return got.returns(src="a.id", dst="b.id")
 
 
+@query(with_("targets") + " SELECT id, '[\"' || capabilities[1] || '\"]' AS capabilities, '[\"' || deps[1] || '\"]' AS deps FROM targets WHERE list_contains(capabilities, 'F')")
+def pattern_capabilities(spark, sf):
+    """Lists of a target are properties: ``capabilities CONTAINS 'F'``."""
+    nodes, _ = _graph(spark, sf)
+    return pattern.node(nodes, "t", "Target").where([Condition("t", "capabilities", "contains", "F")]).returns(id="t.id", capabilities="t.capabilities", deps="t.deps")
+
+
+@query("""SELECT 'part/' || p_partkey AS id, p_size::VARCHAR AS size, p_size >= 25 AS is_large, p_size IN (7, 9) AS is_in, p_partkey % 3 = 0 AS has_tags, p_partkey % 3 <> 0 AS other_tags, p_size = 8 AS is_eight, true AS no_text
+FROM part""")
+def pattern_typed_literals(spark, sf):
+    """Booleans, numbers and lists are compared by kind and value: every condition splits the parts into those it holds for and the others."""
+    rows = table(spark, sf, "part")
+    tags = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("a")))
+    attrs = F.to_json(F.struct((F.col("p_size") >= 25).alias("large"), F.col("p_size").alias("size"), tags.alias("tags")))
+    targets = R.targets(spark, sf).filter("kind = 'part'").drop("attrs").join(rows.select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("id"), attrs.alias("attrs")), "id")
+    bound = pattern.node(graph.nodes(targets), "t", "Target", kind="part")
+    holds = {
+        "is_large": Condition("t", "attrs.large", "=", True), "is_in": Condition("t", "attrs.size", "in", [7, 9, "8", 10.0]), "has_tags": Condition("t", "attrs.tags", "=", ["a", "b"]),
+        "other_tags": Condition("t", "attrs.tags", "<>", ["a", "b"]), "is_eight": Condition("t", "attrs.size", "=", 8), "no_text": Condition("t", "attrs.size", "<>", "8"),
+    }
+    marked = bound.rows.select("t", *[c.column({"t"}).alias(n) for n, c in holds.items()])
+    return marked.select(F.col("t.id").alias("id"), F.get_json_object("t.props", "$.attrs.size").alias("size"), *holds)
+
+
+_ROLES = """roles AS (SELECT 'orders/' || o_orderkey AS src, unnest(['part/' || o_orderkey % 50, 'gone/1']) AS dst FROM orders)"""
+
+
+def _with_data_role(spark, sf) -> DataFrame:
+    """Targets whose orders also depend, as data, on a part and on something that doesn't exist."""
+    part = F.concat(F.lit("part/"), (F.col("name").cast("long") % 50).cast("string"))
+    role = F.create_map(F.lit("data"), F.array(part, F.lit("gone/1")))
+    return R.targets(spark, sf).withColumn("dependencies", F.when(F.col("kind") == "order", role).otherwise(F.from_json(F.lit("{}"), "map<string,array<string>>")))
+
+
+@query(with_("targets", "edges") + f", {_ROLES} SELECT src, dst, 'DEPENDS_ON' AS type FROM edges UNION ALL SELECT r.src, r.dst, 'DEPENDS_ON' FROM roles r JOIN targets t ON t.id = r.dst")
+def role_edges(spark, sf):
+    """Dependencies by role are edges, too, where the target exists."""
+    return graph.depends_on(_with_data_role(spark, sf))
+
+
+@query(with_("targets") + f", {_ROLES} SELECT r.dst AS part, r.src AS dependent FROM roles r JOIN targets t ON t.id = r.dst WHERE r.dst = 'part/7'")
+def pattern_role_dependents(spark, sf):
+    """What depends on a part by a role."""
+    targets = _with_data_role(spark, sf)
+    nodes, edges = graph.nodes(targets), graph.edges(targets)
+    left, right = pattern.node(nodes, "p", "Target", id="part/7"), pattern.node(nodes, "d", "Target", kind="order")
+    return pattern.related(nodes, edges, left, "DEPENDS_ON", right, reverse=True).returns(part="p.id", dependent="d.id")
+
+
+@query(
+    with_("cyclic", recursive=True)
+    + """, c AS (SELECT src AS start, dst AS node FROM cyclic UNION SELECT c.start, d.dst FROM c JOIN cyclic d ON d.src = c.node),
+least AS (SELECT start FROM c GROUP BY start HAVING bool_or(node = start) AND min(node) = start),
+walk AS (SELECT start, start AS node, start::VARCHAR AS path FROM least
+  UNION ALL SELECT w.start, d.dst, w.path || ' -> ' || d.dst FROM walk w JOIN cyclic d ON d.src = w.node WHERE d.dst <> w.start)
+SELECT 'dependency_cycle' AS code, w.start AS target, 'dependency cycle: ' || w.path || ' -> ' || w.start AS message FROM walk w JOIN cyclic d ON d.src = w.node AND d.dst = w.start"""
+)
+def v_cycle_path(spark, sf):
+    """One real cycle for each group of parts that reach each other, from its least part."""
+    return validate.dependency_cycle_paths(R.cyclic_edges(spark, sf)).select("code", "target", "message")
+
+
 # Closures and paths
 
 @query(
@@ -1032,6 +1108,89 @@ def diagnostics_all(spark, sf):
     return found.select("code", "target", "message")
 
 
+@query(
+    """SELECT CASE p_partkey % 5 WHEN 0 THEN 'target_name_required' WHEN 1 THEN 'invalid_target_name' WHEN 2 THEN 'target_kind_required' ELSE 'unknown_target_kind' END AS code, 'part/' || p_partkey AS target
+FROM part WHERE p_partkey % 5 < 4"""
+)
+def v_names_first(spark, sf):
+    """A target without a name or kind has no other finding, whatever else is wrong with it."""
+    k = F.substring("id", 6, 20).cast("long") % 5
+    name = F.when(k == 0, " ").when(k == 1, "a b").otherwise(F.col("name"))
+    kind = F.when(k == 2, " ").when((k == 3) | (k < 2), "odd").otherwise(F.col("kind"))
+    targets = R.targets(spark, sf).filter("kind = 'part'").withColumns({"name": name, "kind": kind})
+    kinds = spark.createDataFrame([("part",)], "kind string")
+    return validate.diagnostics(validate.invalid_names(targets), validate.unknown_kinds(validate.well_named(targets), kinds)).select("code", "target")
+
+
+# Receipts and stores
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS n FROM documents), r AS (SELECT p_partkey AS k, n - 1 - p_partkey % 7 AS g, n FROM part, n)
+SELECT 'r' || k AS key, CASE WHEN k % 13 = 0 THEN 'schema' WHEN k % 19 = 0 THEN 'target' WHEN k % 23 = 0 THEN 'sandbox' WHEN k % 29 = 0 THEN 'filesystem tracker'
+  WHEN k % 7 > 0 AND (k % 11 = 0 OR k % 17 = 0) THEN 'source change' WHEN k % 31 = 0 THEN 'output change' WHEN k % 15 = 0 THEN 'environment' WHEN k % 37 = 0 THEN 'host path'
+  WHEN k % 41 = 0 THEN 'executable' WHEN k % 43 = 0 THEN 'output' END AS reason,
+  CASE WHEN k % 13 = 0 OR k % 19 = 0 OR k % 23 = 0 OR k % 29 = 0 OR (k % 7 > 0 AND (k % 11 = 0 OR k % 17 = 0)) OR k % 31 = 0 OR k % 15 = 0 OR k % 37 = 0 OR k % 41 = 0 OR k % 43 = 0 THEN g ELSE n - 1 END AS generation
+FROM r"""
+)
+def receipt_checks(spark, sf):
+    """Receipts of parts held against the documents as a journal of sources: every reason occurs."""
+    documents = table(spark, sf, "documents").select("doc_id")
+    n = documents.count()
+    path = lambda g: F.concat(F.lit("src/"), (g % 50).cast("string"))
+    k = F.col("p_partkey")
+    of = lambda what, wrong, right: F.when(what, wrong).otherwise(F.lit(right))
+    newest = [path(F.lit(n - 1 - j)) for j in range(6)]
+    digests = [F.when((k % 11 == 0) if j == 0 else F.lit(False), "old").otherwise(F.sha2(p, 256)) for j, p in enumerate(newest)]
+    named = F.map_from_arrays(F.array(*newest), F.array(*digests))
+    found = table(spark, sf, "part").select(
+        F.concat(F.lit("r"), k.cast("string")).alias("key"), of(k % 13 == 0, "v4", "v5").alias("schema"), of(k % 19 == 0, "other", "t").alias("target"), of(k % 23 == 0, "none", "strict").alias("sandbox"),
+        of(k % 29 == 0, "before", "now").alias("instance"), (n - 1 - k % 7).alias("source_generation"), F.when(k % 31 == 0, 3).otherwise(4).cast("long").alias("output_generation"),
+        F.create_map(F.lit("PATH"), of(k % 15 == 0, "/old", "/bin"), F.lit("UNSET"), F.lit(None).cast("string")).alias("environment"), F.create_map(F.lit("/bin/cc"), of(k % 37 == 0, "f0", "f1")).alias("host_paths"),
+        F.map_filter(named, lambda p, _: (k % 17 != 0) | (p != newest[0])).alias("source_digests"), of(k % 41 == 0, "old", "exe").alias("executable"), F.array(F.lit("out/a"), of(k % 43 == 0, "out/none", "out/b")).alias("outputs"),
+    )
+    changes = documents.select(F.col("doc_id").alias("generation"), path(F.col("doc_id")).alias("path"))
+    world = receipts.World(
+        receipts.Position("now", n - 1, 4), changes, changes.select("path", F.sha2("path", 256).alias("digest")).distinct(), spark.createDataFrame([("out/a",), ("out/b",)], "path string"),
+        spark.createDataFrame([("PATH", "/bin")], "name string, value string"), spark.createDataFrame([("/bin/cc", "f1")], "path string, fingerprint string"), "exe", "v5",
+    )
+    wanted = found.select("key", F.lit("t").alias("target"), F.lit("strict").alias("sandbox"))
+    return receipts.checked(wanted, found, world).select("key", "reason", F.col("source_generation").alias("generation"))
+
+
+@query(with_("blobs") + " SELECT digest, min(size) AS size FROM blobs GROUP BY digest")
+def stored_blobs(spark, sf):
+    """All documents put into a store of files, half of them twice: one blob for each content."""
+    path, blobs = new_folder(spark, "blobs"), R.blobs(spark, sf).select("digest", "size")
+    store_files.put(blobs.filter("size % 2 = 0"), path)
+    store_files.put(blobs, path)
+    return store_files.contents(spark, path, "digest string, size long")
+
+
+class _Parts:
+    """A resolver: a nation becomes two offices, of which the first is its root; the nation learns their number."""
+
+    def eval(self, id: str, package: str, name: str, attrs: str):
+        for k in (1, 2):
+            yield "target", f"{name}-{k}", '{"kind":"office","deps":["' + id + '"],"attrs":{"floor":' + str(k) + "}}"
+        yield "root", f"{name}-1", None
+        yield "attr", "offices", "2"
+
+
+@query(
+    with_("targets")
+    + """ SELECT id, kind, array_to_string(CASE WHEN kind = 'nation' THEN list_append(deps, id || '-1') ELSE deps END, ',') AS deps,
+  CASE WHEN kind = 'nation' THEN attrs[1 : len(attrs) - 1] || ',"offices":2}' ELSE attrs END AS attrs, NULL::VARCHAR AS owner FROM targets
+UNION ALL SELECT id || '-' || k, 'office', id, '{"floor":' || k || '}', id FROM targets, (VALUES (1), (2)) v(k) WHERE kind = 'nation'"""
+)
+def resolved_targets(spark, sf):
+    """Targets and what a table function, joined laterally, makes of the nations."""
+    if not spark.catalog.functionExists("graphloom_offices"):
+        resolvers.register(spark, "graphloom_offices", _Parts)
+    targets = R.targets(spark, sf).withColumn("srcs", F.array().cast("array<string>"))
+    return resolvers.resolved(targets, {"nation": "graphloom_offices"}, most=10**12).select("id", "kind", F.array_join("deps", ",").alias("deps"), "attrs", "owner")
+
+
 # Journal and logs
 
 

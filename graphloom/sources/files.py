@@ -63,7 +63,7 @@ def read_manifests(spark: SparkSession, root: str, include: list[str] = (), excl
     """Targets of all manifests below a folder: ``[[target]]`` tables with name, kind, deps, srcs, visibility, attrs.
 
     Files in folders that start with a dot are skipped; inclusions and exclusions are
-    patterns over a package's path.
+    patterns over a package's path. A name or kind that isn't given is null.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
@@ -78,8 +78,9 @@ def read_manifests(spark: SparkSession, root: str, include: list[str] = (), excl
             out: list[list] = [[] for _ in types]
             for path, content, package in zip(*(b.column(c).to_pylist() for c in ("path", "content", "package")), strict=True):
                 for t in tomllib.loads(content.decode()).get("target", []):
-                    ident = f"{package}/{t['name']}" if package else t["name"]
-                    row = (package, path, ident, t["name"], t["kind"], *(t.get(k, []) for k in ("deps", "srcs", "visibility")), json.dumps(t.get("attrs", {}), sort_keys=True, default=str))
+                    name = t.get("name")  # a target without a name or kind is left to the rules
+                    ident = f"{package}/{name or ''}" if package else name
+                    row = (package, path, ident, name, t.get("kind"), *(t.get(k, []) for k in ("deps", "srcs", "visibility")), json.dumps(t.get("attrs", {}), sort_keys=True, default=str))
                     for o, x in zip(out, row, strict=True):
                         o.append(x)
             names = [c.split()[0] for c in MANIFEST.split(", ")]

@@ -60,14 +60,36 @@ class Rounds:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
-def map_batches(df: DataFrame, fn, schema) -> DataFrame:
-    """``df.mapInArrow``, with this package's place on the Python workers' path.
+class Current:
+    """A table that a loop replaces round by round. What was replaced is deleted: nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, new_folder(spark, name), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """Writes the next round's rows, which may be made of the last one's; gives them back as stored."""
+        path, schema = f"{self.folder}/round-{self.n}", df.schema
+        df.write.parquet(path)
+        if self.n:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/round-{self.n - 1}")
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        self.n += 1
+        return self.spark.read.schema(schema).parquet(path)
+
+
+def known_to_workers(spark: SparkSession) -> None:
+    """Puts this package's place on the path of the Python workers.
 
     Workers import what a function names from this package. On a cluster the package is
     installed or sent with --py-files; then the added place is merely not there.
     """
-    environment, here = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    environment, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     known = environment.get("PYTHONPATH", "").split(":")
     if here not in known:
         environment["PYTHONPATH"] = ":".join([here, *filter(None, known)])
+
+
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow``, with this package known to the workers."""
+    known_to_workers(df.sparkSession)
     return df.mapInArrow(fn, schema)

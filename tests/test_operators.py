@@ -51,11 +51,11 @@ def test_patterns_are_two_valued(spark, app):
     nodes = graph.nodes(app)
     def ids(*groups):
         return {r[0] for r in pattern.node(nodes, "t", "target").where(*groups).returns(id="t.id").collect()}
-    assert ids([Condition("t", "info.id", "=", "com.x")]) == {"apps/App"}
-    assert ids([Condition("t", "info.id", "<>", "com.x")]) == {"apps/Core", "apps/Util", "apps/Tests"}
-    assert ids([Condition("t", "info.id", "=", None)]) == set()
-    assert ids([Condition("t", "list", "contains", "b")]) == {"apps/App"}
-    assert ids([Condition("t", "n", "=", 1)]) == {"apps/App"} and ids([Condition("t", "f", "=", 1)]) == set()
+    assert ids([Condition("t", "attrs.info.id", "=", "com.x")]) == {"apps/App"}
+    assert ids([Condition("t", "attrs.info.id", "<>", "com.x")]) == {"apps/Core", "apps/Util", "apps/Tests"}
+    assert ids([Condition("t", "attrs.info.id", "=", None)]) == set()
+    assert ids([Condition("t", "attrs.list", "contains", "b")]) == {"apps/App"}
+    assert ids([Condition("t", "attrs.n", "=", 1)]) == {"apps/App"} and ids([Condition("t", "attrs.f", "=", 1)]) == set()
     assert ids([Condition("x", "id", "<>", "y")]) == set() and len(ids()) == 4
     assert pattern.node(nodes, "t", "target").returns("t.id", n="t.name").columns == ["t.id", "n"]
     assert ids([Condition("t", "id", "ends", "Tests")], [Condition("t", "kind", "in", ["app"])]) == {"apps/Tests", "apps/App"}
@@ -88,17 +88,55 @@ def test_closures_cycles_and_depths(spark):
         fixpoint.critical_depth(spark.createDataFrame([(1,), (2,), (3,), (4,)], "node long"), ring)
 
 
-def test_plans_of_loops_do_not_grow(spark):
-    def chain(n):
-        edges = spark.range(n).selectExpr("id AS src", "id + 1 AS dst")
-        return fixpoint.closure(edges, spark.sql("SELECT 0L AS start")), fixpoint.critical_depth(spark.range(n + 1).selectExpr("id AS node"), edges)
-    scans = []
-    for n in (3, 16):
-        far, deep = chain(n)
-        assert far.count() == n and far.agg(F.max("hops")).first()[0] == n
-        assert dict(values(deep))[n] == n + 1
-        scans.append([df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in (far, deep)])
-    assert scans[0] == scans[1]
+def test_long_chains_take_few_rounds(spark):
+    n = 5_000
+    edges = spark.range(n).selectExpr("id AS src", "id + 1 AS dst")
+    far, rounds = fixpoint._closure(edges, spark.sql("SELECT 0L AS start UNION ALL SELECT 4990L"))
+    assert rounds <= 20
+    assert {r["start"]: (r["n"], r["h"]) for r in far.groupBy("start").agg(F.count("*").alias("n"), F.max("value").alias("h")).collect()} == {0: (n + 1, n), 4990: (11, 10)}
+    deep, rounds = fixpoint._longest(edges)
+    assert rounds <= 20 and deep.filter("value <> node").isEmpty() and deep.count() == n + 1
+    # a ladder has no chains: its edges are squared
+    rungs = 300
+    ladder = spark.range(rungs).selectExpr("id", "explode(array(0, 1)) a", "0 z").selectExpr("id * 2 + a AS src", "explode(array((id + 1) * 2, (id + 1) * 2 + 1)) AS dst")
+    far, rounds = fixpoint._closure(ladder, spark.sql("SELECT 0L AS start"))
+    assert rounds <= 14 and far.count() == 2 * rungs + 1 and far.filter("value <> node div 2").isEmpty()
+    assert fixpoint.is_acyclic(ladder)
+    assert dict(values(fixpoint.critical_depth(spark.sql("SELECT 600L AS node"), ladder))) == {600: 301}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_loops_against_plain_searches(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    n = 40
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range([30, 45, 70][seed])] + [(n + i, n + i + 1) for i in range(12)] + [(n + 12, rng.randrange(n)), (rng.randrange(n), n), (60, 61), (61, 62), (62, 60)]
+    pairs += pairs[:3]
+    df = spark.createDataFrame(pairs, "src long, dst long")
+    nodes = sorted({x for p in pairs for x in p})
+    reach = {}
+    for s in nodes:
+        hops, frontier = {s: 0}, [s]
+        while frontier:
+            frontier = sorted({b for a, b in pairs if a in frontier and b not in hops})
+            hops |= {b: max(hops.values()) + 1 for b in frontier} if frontier else {}
+        reach[s] = hops
+    seeds = rng.sample(nodes, 4)
+    got = fixpoint.closure(df, spark.createDataFrame([(s,) for s in seeds], "start long"))
+    assert values(got) == sorted((s, v, h) for s in seeds for v, h in reach[s].items() if v != s)
+    on_cycle = {s for s in nodes if any(a in reach[s] and b == s for a, b in pairs)}
+    groups = {frozenset(v for v in on_cycle if v in reach[s] and s in reach[v]) for s in on_cycle}
+    by: dict = {}
+    for r in fixpoint.cycles(df).collect():
+        by.setdefault(r["cycle"], []).append(r["node"])
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, groups))
+    paths = {r["cycle"]: r["nodes"] for r in fixpoint.cycle_paths(df).collect()}
+    assert sorted(paths) == sorted(map(min, groups))
+    for start, way in paths.items():
+        ring = [*way, start]
+        assert way[0] == start and all(p in pairs for p in zip(ring, ring[1:]))
+        assert len(way) == min(reach[start][a] + 1 for a, b in pairs if b == start and a in reach[start])
 
 
 def test_groups_of_cycles(spark):
@@ -379,3 +417,31 @@ def test_stream_numbers_changes_across_batches(spark, tmp_path):
         stream.drain(stream.number_changes(changes), str(tmp_path / "out"), str(tmp_path / "check"))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert values(got, "area", "generation", "path") == [("a", 1, "x"), ("a", 2, "z"), ("b", 1, "y")]
+
+
+def test_sizes_pointers_and_status(spark):
+    df = spark.createDataFrame([("99999999999t", '{"a": {"0": 5, "it\'s": [1, {"x.y": "z"}]}, "": 3}', 0)], "size string, doc string, code int")
+    point = lambda p: S.json_pointer(F.col("doc"), p)
+    got = df.select(S.parse_size(F.col("size")), S.status_of(F.col("code")), S.status_of(F.lit(-1)), point("/a/0"), point("/a/it's/0"), point("/a/it's/1/x.y"), point("/"), point("/a/1"), point("/a/it's/00")).first()
+    assert list(got) == [None, "passed", "failed", "5", "1", "z", "3", None, None]
+
+
+def test_typed_literals_and_whole_nodes(spark):
+    rows = [("p/t", "p", "t", "lib", ["p/u"], ["m"], ["build"], '{"on": true, "tags": ["a", "b"], "mixed": [1, "1", null], "f": 1.0, "none": null}', {"tools": ["p/u", "p/gone"]})]
+    rows.append(("p/u", "p", "u", "lib", [], [], [], "{}", {}))
+    df = spark.createDataFrame(rows, TARGET + ", dependencies map<string,array<string>>")
+    nodes, edges = graph.nodes(df), graph.edges(df)
+    def holds(path, op, value):
+        return {r[0] for r in pattern.node(nodes, "t", "Target").where([Condition("t", path, op, value)]).returns("t.id").collect()} == {"p/t"}
+    for path, op, value in [
+        ("attrs.on", "=", True), ("attrs.on", "in", [False, True]), ("attrs.tags", "=", ["a", "b"]), ("attrs.tags", "in", [["a", "b"]]), ("attrs.mixed", "contains", 1), ("attrs.mixed", "contains", "1"), ("attrs.mixed", "=", [1, "1", None]),
+        ("attrs.mixed", "contains", None), ("attrs.f", "=", 1.0), ("attrs.none", "=", None), ("capabilities", "contains", "build"), ("deps", "=", ["p/u"]), ("dependency_edges.tools", "contains", "p/gone"),
+    ]:
+        assert holds(path, op, value), (path, op, value)
+    for path, op, value in [("attrs.on", "<>", True), ("attrs.on", "=", "true"), ("attrs.tags", "=", ["b", "a"]), ("attrs.tags", "=", ["a"]), ("attrs.tags", "contains", 1), ("attrs.f", "=", 1), ("attrs.gone", "=", None), ("attrs.on", "in", [1, "true"])]:
+        assert not holds(path, op, value), (path, op, value)
+    assert len(pattern.node(nodes, "t", "Target", kind="lib").rows.collect()) == 2
+    whole = pattern.node(nodes, "c", "Capability").returns(c="c", id="c.id", target="c.target").collect()
+    assert [tuple(r) for r in whole] == [('{"name":"build","output_groups":[],"requires_outputs":[],"target":"p/t"}', None, "p/t")]
+    assert list(json.loads(pattern.node(nodes, "t", "Target", id="p/t").returns(t="t").first()["t"])) == ["attrs", "capabilities", "dependency_edges", "deps", "id", "kind", "name", "package", "providers", "srcs", "visibility"]
+    assert values(edges.filter("type = 'DEPENDS_ON'"), "src", "dst") == [("p/t", "p/u"), ("p/t", "p/u")]
