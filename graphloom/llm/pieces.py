@@ -36,11 +36,13 @@ from graphloom.llm.common import map_batches, read
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Runs and pairs of pieces that a worker remembers; the others are worked out again.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Longer runs are not remembered.
 LONGEST = 32
 #: Characters that are cut into runs at once.
-WINDOW = 2_000_000
+WINDOW = 1_000_000
+#: Rows that are encoded or decoded at once.
+ROWS = 500
 #: Characters that a table says of which pairs occur inside pieces; pairs of others are never cut.
 MOST_CLASSES = 8_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -252,6 +254,13 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``ROWS`` rows, so that little is held as Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, ids array of int, n_tokens long), one row for each row of ``docs``."""
     path = vocabulary or default_vocabulary()
@@ -259,7 +268,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     schema = T.StructType([docs.schema[id_col], T.StructField("ids", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             ids = model(path).encode_batch(b.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(id_col), ids], names=[id_col, "ids"])
 
@@ -274,7 +283,7 @@ def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str | None = None, t
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(to, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             of, column = processor(path).decode, b.column(ids_col)
             values, ends = column.values.to_numpy(), column.offsets.to_numpy()
             # one row's ids at a time as Python numbers, which take nine times their place
