@@ -136,13 +136,10 @@ def affected(changed: DataFrame, patterns: DataFrame, targets: DataFrame, edges:
     rest = changed.join(defines, "path", "left_anti")
     owners = stored(owners_of(rest, patterns, targets), "owners")
     every = not defines.unionAll(unmatched(rest, owners)).isEmpty()
-    # edges between what tests depend on and what depends on an owner: pairs that end in no test don't arise
-    starts = owners.select(F.col("id").alias("node")).distinct()
-    lead = reached_from(edges, tests.select(F.col("id").alias("node")))
-    hit = reached_from(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts)
-    inside = stored(lead.join(hit, "node", "left_semi"), "inside")
-    between = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    reached = reverse_closure(between, starts.withColumnRenamed("node", "start"))
+    # along what tests depend on only: pairs that end in no test don't arise
+    lead = stored(reached_from(edges, tests.select(F.col("id").alias("node"))), "lead")
+    within = edges.join(lead.withColumnRenamed("node", "src"), "src", "left_semi").join(lead.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    reached = reverse_closure(within, owners.select(F.col("id").alias("start")).distinct())
     hit = reached.join(owners.withColumnRenamed("id", "start"), "start").join(tests.withColumnRenamed("id", "node"), "node")
     reason = F.when(F.col("hops") == 0, F.concat(F.lit("owns "), F.col("path"))).otherwise(F.concat(F.lit("depends on "), F.col("start"), F.lit(" for "), F.col("path")))
     own = hit.groupBy(F.col("node").alias("id")).agg(F.array_join(F.sort_array(F.collect_set(reason)), "; ").alias("reasons"))

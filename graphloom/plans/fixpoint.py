@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from graphloom.sources.tables import Current, Rounds, stored
 
 #: Rounds with the edges as they are, before they are squared.
-PLAIN_ROUNDS = 3
+PLAIN_ROUNDS = 6
+#: Rounds after which the longest paths of a graph whose powers are too large to take are held against a search for cycles.
+LAST_CHECK = 24
 #: How many times the pairs of the edges (or of ``SMALL``, if that is more) their powers may have.
 GROWTH, SMALL = 4, 100_000
 
@@ -57,8 +59,9 @@ def _contract(edges: DataFrame, best, fixed: DataFrame | None = None) -> Contrac
     single = into.filter("_in = 1").join(out, "node", "left_semi").select("node", "up", "w")
     if fixed is not None:
         single = single.join(fixed, "node", "left_anti")
-    single = stored(single, "single")
-    if single.isEmpty():
+    keep = Current(edges.sparkSession, "single")
+    single = keep.put(single, n=F.count(F.lit(1)))
+    if not keep.got["n"]:
         return None
     above = single.select(F.col("node").alias("_n"))
     inside = F.col("_n").isNotNull()
@@ -67,15 +70,15 @@ def _contract(edges: DataFrame, best, fixed: DataFrame | None = None) -> Contrac
         (~inside).alias("done"), F.col("node").alias("least"), F.lit(True).alias("new"),
     )
     jumps = Current(edges.sparkSession, "jumps")
-    table, rounds = jumps.put(start), 0
-    left = table.filter("not done").count()
+    counts = {"n": F.count_if(~F.col("done")), "new": F.count_if(F.col("new") & ~F.col("done"))}
+    table, rounds = jumps.put(start, **counts), 0
+    left = jumps.got["n"]
     while left:
         rounds += 1
-        table = jumps.put(_jumped(_jumped(table)))
-        state = table.filter("not done").agg(F.count(F.lit(1)).alias("n"), F.count_if("new").alias("new")).first()
-        if state["n"] == left and not state["new"]:
+        table = jumps.put(_jumped(_jumped(table)), **counts)
+        if jumps.got["n"] == left and not jumps.got["new"]:
             break  # what is left goes round in rings, and knows the least of its ring
-        left = state["n"]
+        left = jumps.got["n"]
     rings = table.filter("not done").select("node", F.col("least").alias("cycle"))
     first = single.select(F.col("node").alias("first"), F.col("up").alias("head"), F.col("w").alias("_w"))
     inner = stored(table.filter("done").join(first, table["to"] == first["first"]).select("node", "first", "head", (F.col("off") + F.col("_w")).alias("off")), "inner")
@@ -97,10 +100,11 @@ def _jumped(table: DataFrame) -> DataFrame:
     return table.filter("done").unionAll(met)
 
 
-def _squared(power: DataFrame, best) -> DataFrame:
-    """(src, dst, w): two steps of ``power`` as one. Ways back to where they began are left out."""
+def _squared(power: DataFrame, best, rings: bool) -> DataFrame:
+    """(src, dst, w): two steps of ``power`` as one; ways back to where they began are left out unless ``rings``."""
     after = power.select(F.col("src").alias("dst"), F.col("dst").alias("_end"), F.col("w").alias("_w"))
-    both = power.join(after, "dst").filter("src <> _end")
+    both = power.join(after, "dst")
+    both = both if rings else both.filter("src <> _end")
     return both.groupBy("src", F.col("_end").alias("dst")).agg(best(F.col("w") + F.col("_w")).alias("w"))
 
 
@@ -110,11 +114,13 @@ def _pairs_of_square(power: DataFrame) -> int:
     return into.join(out, "node").agg(F.sum(F.col("_in").cast("double") * F.col("_out"))).first()[0] or 0
 
 
-def _spread(values: DataFrame, edges: DataFrame, best, better, along, keys: tuple[str, ...] = ("node",)) -> tuple[DataFrame, int]:
+def _spread(values: DataFrame, edges: DataFrame, best, better, along, keys: tuple[str, ...] = ("node",), most: int | None = None, check=None) -> tuple[DataFrame, int] | None:
     """(keys, value) after values are spread along ``edges`` (src, dst, w) until none gets better, and the number of rounds.
 
     ``along(value, w)`` is what a value is after an edge or several, ``best`` the aggregate that
-    keeps one of two, ``better(new, old)`` says whether it would be the new one.
+    keeps one of two, ``better(new, old)`` says whether it would be the new one. With ``most``
+    rounds None is given if it takes more; ``check(rounds, power, new values)`` is called after
+    each round that found better ones, and ways back to where they began are squared, too.
     """
     keys, spark = list(keys), edges.sparkSession
     all_of = Rounds(spark, "spread")
@@ -128,7 +134,7 @@ def _spread(values: DataFrame, edges: DataFrame, best, better, along, keys: tupl
             limit = limit or GROWTH * max(edges.count(), SMALL // GROWTH)
             squares = _pairs_of_square(power) <= limit
             if squares:
-                power = powers.put(_squared(power, best))
+                power = powers.put(_squared(power, best, check is not None))
         known = all_of.all().groupBy(*keys).agg(best("value").alias("_old"))
         # a greater power goes on from all that is known, the same one from what is new
         doubled = rounds > PLAIN_ROUNDS and squares
@@ -137,8 +143,12 @@ def _spread(values: DataFrame, edges: DataFrame, best, better, along, keys: tupl
         told = told.select(*[k for k in keys if k != "node"], F.col("dst").alias("node"), "_v").groupBy(*keys).agg(best("_v").alias("value"))
         risen = told.join(known, keys, "left").filter(F.col("_old").isNull() | better(F.col("value"), F.col("_old")))
         frontier = all_of.add(risen.select(*keys, "value"))
-        if frontier.isEmpty():
+        if not all_of.added:
             return all_of.all().groupBy(*keys).agg(best("value").alias("value")), rounds
+        if rounds == most:
+            return None
+        if check:
+            check(rounds, power, frontier)
 
 
 def _plus(value: Column, w: Column) -> Column:
@@ -149,8 +159,11 @@ def _closure(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, int]:
     """(start, node, value) of what seeds reach, themselves with 0, and the number of rounds."""
     edges = stored(edges.select("src", "dst").filter("src <> dst").distinct().withColumn("w", F.lit(1).cast("long")), "edges")
     seeds = stored(seeds.select("start").distinct(), "seeds")
-    small = _contract(edges, F.min, seeds.select(F.col("start").alias("node")))
     begin = seeds.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("value"))
+    shallow = _spread(begin, edges, F.min, lambda new, old: new < old, _plus, ("start", "node"), most=PLAIN_ROUNDS)
+    if shallow:
+        return shallow
+    small = _contract(edges, F.min, seeds.select(F.col("start").alias("node")))
     far, rounds = _spread(begin, small.edges if small else edges, F.min, lambda new, old: new < old, _plus, ("start", "node"))
     if small is None:
         return far, rounds
@@ -187,13 +200,30 @@ def closure_of_kinds(targets: DataFrame, edges: DataFrame, roots: DataFrame, kin
 
 
 def _longest(edges: DataFrame) -> tuple[DataFrame, int]:
-    """(node, value): the most edges of a path that ends in each node of an acyclic graph, and the number of rounds."""
+    """(node, value): the most edges of a path that ends in each node, and the number of rounds. ValueError on a cycle."""
     edges = stored(edges.select("src", "dst").distinct().withColumn("w", F.lit(1).cast("long")), "edges")
     small = _contract(edges, F.max)
     core = small.edges if small else edges
+    if edges.filter("src = dst").limit(1).count() or (small and not small.rings.unionAll(core.filter("src = dst").select("src", "dst")).isEmpty()):
+        raise ValueError("the graph has a cycle")
+
+    n = edges.count()
+
+    def check(rounds: int, power: DataFrame, frontier: DataFrame) -> None:
+        """On a cycle a power of the edges leads back to where it began, or paths get longer than there are edges."""
+        long = rounds > PLAIN_ROUNDS and (frontier.agg(F.max("value")).first()[0] > n or not power.filter("src = dst").isEmpty())
+        if long or (rounds == LAST_CHECK and not is_acyclic(core)):
+            raise ValueError("the graph has a cycle")
+
     tops = core.select(F.col("src").alias("node")).distinct().join(core.select(F.col("dst").alias("node")), "node", "left_anti")
+    if tops.isEmpty() and not core.isEmpty():
+        raise ValueError("the graph has a cycle")
     begin = tops.withColumn("value", F.lit(0).cast("long"))
-    far, rounds = _spread(begin, core, F.max, lambda new, old: new > old, _plus)
+    far, rounds = _spread(begin, core, F.max, lambda new, old: new > old, _plus, check=check)
+    met = far.select("node")
+    unmet = core.select(F.col("dst").alias("node")).join(met, "node", "left_anti")
+    if not unmet.isEmpty():  # behind no node without a way in
+        raise ValueError("the graph has a cycle")
     if small is None:
         return far, rounds
     far = stored(far, "far")
@@ -204,11 +234,8 @@ def _longest(edges: DataFrame) -> tuple[DataFrame, int]:
 def longest_path(nodes: DataFrame, edges: DataFrame, at_least: int = 1) -> DataFrame:
     """(node, depth): ``at_least`` for a node that no edge enters, else 1 more than the deepest node before it.
 
-    Raises ValueError on a cycle, before any depth is looked for.
+    Raises ValueError on a cycle, after about as many rounds as paths would take.
     """
-    edges = _distinct(edges)
-    if not is_acyclic(edges):
-        raise ValueError("the graph has a cycle")
     far, _ = _longest(edges)
     return nodes.join(far, "node", "left").select("node", (F.coalesce("value", F.lit(0)) + at_least).cast("long").alias("depth"))
 
@@ -232,8 +259,9 @@ def _raked(edges: DataFrame, count: int) -> tuple[DataFrame, int]:
     """(edges, how many): without those from a node without a way in or to one without a way out, as long as a tenth goes each time."""
     while count:
         into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        less = stored(edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst", "w"), "raked")
-        left = less.count()
+        keep = Current(edges.sparkSession, "raked")
+        less = keep.put(edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst", "w"), n=F.count(F.lit(1)))
+        left = keep.got["n"]
         if left == count:
             break
         edges, slow, count = less, left > 0.9 * count, left

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +48,12 @@ class Rounds:
         self.spark, self.folder, self.paths, self.schema = spark, new_folder(spark, name), [], None
 
     def add(self, df: DataFrame) -> DataFrame:
-        """Writes one round's rows; gives them back as stored."""
+        """Writes one round's rows; gives them back as stored. ``added`` says how many they were."""
         path = f"{self.folder}/round-{len(self.paths)}"
         df.write.parquet(path)
         self.paths.append(path)
         self.schema = self.schema or df.schema
+        self.added = self.spark.read.schema(self.schema).parquet(path).count()  # from the files' footers
         return self.spark.read.schema(self.schema).parquet(path)
 
     def all(self) -> DataFrame:
@@ -66,10 +67,15 @@ class Current:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.n = spark, new_folder(spark, name), 0
 
-    def put(self, df: DataFrame) -> DataFrame:
-        """Writes the next round's rows, which may be made of the last one's; gives them back as stored."""
+    def put(self, df: DataFrame, **counts: Column) -> DataFrame:
+        """Writes the next round's rows, which may be made of the last one's; gives them back as stored.
+
+        ``counts`` are aggregates over the rows; ``got`` has their values.
+        """
         path, schema = f"{self.folder}/round-{self.n}", df.schema
         df.write.parquet(path)
+        if counts:
+            self.got = self.spark.read.schema(schema).parquet(path).agg(*[c.alias(n) for n, c in counts.items()]).first()
         if self.n:
             old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/round-{self.n - 1}")
             old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
