@@ -5,8 +5,9 @@ Pieces of a text are compared to licence templates by the cosine of sparse TF-ID
 it, to headers and full licence texts; header blocks (adjoining lines with a licence word,
 alone and with the lines next to them) to the headers by which licences are granted; whole
 licence files to full licence texts; and besides sentences with a licence word to short
-grants. A whole text is compared if it is a licence file's by its name, or has no more words
-than twice the longest licence text. The texts are in ``licence_texts``, by licence. A file without a licence
+grants. A whole text is compared if it is a licence file's by its name, or if it speaks of
+licence, copyright, warranty or liability (``LEGAL``), as every template of a header or text
+does, and has no more words than twice the longest licence text. The texts are in ``licence_texts``, by licence. A file without a licence
 of its own inherits that of the nearest ancestor directory with a licence file, by joining
 the ancestor paths of its directory to the directories of such files. A file is a licence
 file by its name, or if it is a text file of which LICENCE_PERCENT of the words or more are in
@@ -155,11 +156,11 @@ def pieces(files: DataFrame) -> DataFrame:
     sentences = F.filter(F.split("text", SENTENCE_END), lambda s: s.rlike(CUE))
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     longest = max(len(text.split()) for _, text in licence_texts())
-    whole = named | (n_words(F.col("text")) <= 2 * longest)
+    whole = named | F.col("text").rlike(LEGAL) & (n_words(F.col("text")) <= 2 * longest)
     none = F.array().cast("array<string>")
 
     def larger(lines: Column, cues: Column) -> Column:
-        leading = F.filter(F.array(leading_comment(F.col("text"), lines)), lambda c: c.rlike(CUE))
+        leading = F.filter(F.array(leading_comment(F.col("text"), lines)), lambda c: c.rlike(LEGAL))
         return F.array(_blocks(lines, cues, 0), _blocks(lines, cues, 1), F.when(whole, F.array("text")).otherwise(none), leading)
 
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike("[A-Za-z0-9]"))

@@ -318,13 +318,13 @@ def plain_license_scan(files):
                     block = []
                 elif x is not None:
                     block.append(x)
-        if (path and re.search(licenses.LICENCE_FILE, path)) or words(text) <= 2 * max(len(t.split()) for _, t in licenses.licence_texts()):
+        if (path and re.search(licenses.LICENCE_FILE, path)) or (re.search(licenses.LEGAL, text) and words(text) <= 2 * max(len(t.split()) for _, t in licenses.licence_texts())):
             found.append((row, licenses.WHOLE, text))
         start = re.sub(r"\A#![^\n]*\n", "", text).lstrip(" ")
         opened = next(((a, b) for a, b in licenses.COMMENTS if start.startswith(a)), None)
         run = next((i for i, x in enumerate(lines) if not re.search(licenses.COMMENT_LINE, x)), len(lines))
         leading = start[len(opened[0]) :].split(opened[1])[0] if opened else "\n".join(lines[:run]) if run < len(lines) else text
-        found += [(row, licenses.LEADING, leading)] if re.search(licenses.CUE, leading) else []
+        found += [(row, licenses.LEADING, leading)] if re.search(licenses.LEGAL, leading) else []
     sizes, df = Counter(k for _, k, _ in found), Counter()
     for _, k, p in found:
         df.update((k, t) for t in set(terms(p)))
