@@ -41,3 +41,14 @@ def matching_events(events: DataFrame, domain: str | None = None, kind: str | No
 def first_events(events: DataFrame, order: list[str], limit: int = DEFAULT_LIMIT, at_least_one: bool = True) -> DataFrame:
     """The first rows in order. Event and supervisor queries give one row for a limit of 0, log queries none."""
     return events.orderBy(*order).limit(max(limit, 1) if at_least_one else limit)
+
+
+def describe(sessions: DataFrame, session: str) -> DataFrame:
+    """The document (session, document) of one session; LookupError if there is none, ValueError if it is no JSON object."""
+    found = sessions.filter(F.col("session") == session)
+    state = found.select(F.coalesce(F.get_json_object("document", "$").startswith("{"), F.lit(False)).alias("ok")).limit(1).collect()
+    if not state:
+        raise LookupError(f"no session {session}")
+    if not state[0]["ok"]:
+        raise ValueError(f"the description of session {session} is no JSON object")
+    return found

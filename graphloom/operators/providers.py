@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.plans.fixpoint import closure
+from graphloom.plans.fixpoint import carried
 from graphloom.sources.tables import Rounds
 
 
@@ -32,9 +32,8 @@ def collected(own: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``edges``: src, dst. A target's own values have 0 hops; order by hops and value for a list.
     """
-    reach = closure(edges, own.select(F.col("id").alias("start")).distinct()).select("start", "node", "hops")
-    far = reach.join(own.select(F.col("id").alias("node"), "value"), "node").select(F.col("start").alias("id"), "value", "hops")
-    return own.select("id", "value", F.lit(0).alias("hops")).unionAll(far).groupBy("id", "value").agg(F.min("hops").cast("long").alias("hops"))
+    got = carried(own.select(F.col("id").alias("node"), F.col("value").alias("item")), edges)
+    return got.select(F.col("node").alias("id"), F.col("item").alias("value"), "hops")
 
 
 class Functions:

@@ -16,20 +16,33 @@ GENERIC = (
     "repository", "runner", "runners", "target", "targets", "test", "tests", "typed",
 )
 
+#: Fields of the entries of a kind's examples and references (arrays of structs) that are searched.
+SEARCHED = {"examples": ("slug", "name", "use_when"), "references": ("system", "symbol", "use_when")}
+
 
 def query_terms(text: str) -> list[str]:
     """Lower-case runs of letters and digits of a query, without repeats."""
     return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in text).lower().split()))
 
 
-def _mentions(columns: list[str], terms: list[str]) -> Column:
+def _mentions(columns: list[Column], terms: list[str]) -> Column:
     """True if a word of the columns holds one of the terms."""
     words = tokens(F.concat_ws(" ", *columns))
     return F.exists(words, lambda w: reduce(or_, [w.contains(t) for t in terms], F.lit(False)))
 
 
-def matching(catalog: DataFrame, text: str, searched: tuple[str, ...] = ("kind", "docs")) -> DataFrame:
-    """Catalog rows that a query asks for. ``searched``: the columns with a kind's name, docs, examples, references.
+def searched_columns(catalog: DataFrame) -> list[Column]:
+    """Texts in which words are looked for: name and docs, and what examples and references are and are for, where the catalog has them."""
+    texts = [F.col("kind"), F.col("docs")]
+    for column, fields in SEARCHED.items():
+        if column in catalog.columns:
+            has = catalog.schema[column].dataType.elementType.fieldNames()
+            texts += [F.array_join(F.col(f"{column}.{f}"), " ") for f in fields if f in has]
+    return texts
+
+
+def matching(catalog: DataFrame, text: str, searched: tuple[str, ...] | None = None) -> DataFrame:
+    """Catalog rows that a query asks for. ``searched``: the columns whose words count, else ``searched_columns``.
 
     A kind is ``family_segment...``. If exactly one term is a family, that family; if several
     are, those families and kinds that mention another term which isn't generic; else kinds
@@ -39,6 +52,7 @@ def matching(catalog: DataFrame, text: str, searched: tuple[str, ...] = ("kind",
     terms = query_terms(text)
     if not terms:
         return catalog
+    texts = searched_columns(catalog) if searched is None else [F.col(c) for c in searched]
     parts = F.split("kind", "_")
     family = F.get(parts, F.lit(0))
     flags = [F.bool_or(family == t) for t in terms] + [F.bool_or(F.array_contains(parts, t)) for t in terms]
@@ -49,10 +63,10 @@ def matching(catalog: DataFrame, text: str, searched: tuple[str, ...] = ("kind",
         return catalog.filter(family == families[0])
     if families:
         others = [t for t in terms if t not in families and t not in GENERIC]
-        return catalog.filter(family.isin(*families) | _mentions(list(searched), others))
+        return catalog.filter(family.isin(*families) | _mentions(texts, others))
     if segments:
         return catalog.filter(F.array_contains(parts, segments[0]))
-    return catalog.filter(_mentions(list(searched), terms))
+    return catalog.filter(_mentions(texts, terms))
 
 
 def summaries(catalog: DataFrame) -> DataFrame:

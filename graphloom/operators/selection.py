@@ -160,6 +160,40 @@ def plan_id(paths: DataFrame, domain: str = "plan") -> DataFrame:
     return set_digest(whole, "_plan", F.col("path"), F.col("path"), domain).select(F.col("digest").alias("plan_id"))
 
 
+def batch_id(target: Column, filters: Column) -> Column:
+    """Id of a batch: the same for the same target and set of filters, whatever plan it is in."""
+    pair = F.concat(F.regexp_replace(F.to_json(F.array(target.cast("string"))), r"\]\z", ","), F.to_json(F.array_sort(F.array_distinct(filters))), F.lit("]"))
+    return F.sha2(F.concat(F.lit("test-batch\0"), pair), 256)
+
+
+def plan_lines(changed: DataFrame, unmatched_paths: DataFrame, tests: DataFrame, batches: DataFrame | None = None) -> DataFrame:
+    """(section, key, line): the plan document, an entry a line as JSON; in order of section and key it is the same for equal plans.
+
+    ``changed`` and ``unmatched_paths``: path; ``tests``: id, kind, reasons (array);
+    ``batches``: target, filters (array), or none for a batch of each test. Entries are
+    distinct, reasons and filters sorted and distinct; reasons of rows of one test are put
+    together. Sort by section and key to write it.
+    """
+    paths = [
+        df.select(F.lit(section).alias("section"), F.col("path").alias("key"), F.to_json(F.struct("path")).alias("line")).distinct()
+        for section, df in (("changed", changed), ("unmatched", unmatched_paths))
+    ]
+    reason = tests.select("id", "kind", F.explode_outer("reasons").alias("_reason")).groupBy("id", "kind").agg(F.array_sort(F.collect_set("_reason")).alias("reasons"))
+    of_tests = reason.select(F.lit("tests").alias("section"), F.concat_ws("\0", "id", "kind").alias("key"), F.to_json(F.struct("id", "kind", "reasons")).alias("line"))
+    if batches is None:
+        batches = tests.select(F.col("id").alias("target"), F.array().cast("array<string>").alias("filters"))
+    listed = batches.select(F.col("target").cast("string").alias("target"), F.array_sort(F.array_distinct("filters")).alias("test_filters"))
+    listed = listed.withColumn("id", batch_id(F.col("target"), F.col("test_filters"))).distinct()
+    of_batches = listed.select(F.lit("batches").alias("section"), F.col("id").alias("key"), F.to_json(F.struct("id", "target", "test_filters")).alias("line"))
+    return paths[0].unionAll(paths[1]).unionAll(of_tests).unionAll(of_batches)
+
+
+def document_id(lines: DataFrame, domain: str = "test-plan") -> DataFrame:
+    """One row (plan_id, entries): an id of the plan document (``plan_lines``), taken in parts, so it is never in one task."""
+    whole = lines.withColumn("_plan", F.lit(domain))
+    return set_digest(whole, "_plan", F.concat_ws("\0", "section", "key"), F.col("line"), domain).select(F.col("digest").alias("plan_id"), F.col("n").alias("entries"))
+
+
 def restore_plan_order(completed: DataFrame, plan: DataFrame) -> DataFrame:
     """``completed`` (batch_id, ...) in the order of the plan (batch_id, position), with the position."""
     return completed.join(plan.select("batch_id", "position"), "batch_id").orderBy("position")

@@ -186,6 +186,19 @@ def reached_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return _spread(begin, edges, F.max, lambda new, old: F.lit(False), lambda value, _: value)[0].select("node")
 
 
+def carried(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, item, hops): the items (node, item) of each node and of all it depends on, each item once, at its nearest place.
+
+    Items go against the edges, not nodes: work grows with the different items that a node
+    gets, however many nodes have the same. Null items are items like others.
+    """
+    back = _reversed(edges).filter("src <> dst").distinct().withColumn("w", F.lit(1).cast("long"))
+    # A null would not meet itself again: items travel inside an array.
+    begin = items.select(F.array("item").alias("_item"), "node", F.lit(0).cast("long").alias("value")).distinct()
+    far, _ = _spread(begin, stored(back, "edges"), F.min, lambda new, old: new < old, _plus, ("_item", "node"))
+    return far.select("node", F.get("_item", F.lit(0)).alias("item"), F.col("value").alias("hops"))
+
+
 def reverse_closure(edges: DataFrame, owners: DataFrame) -> DataFrame:
     """(start, node, hops): the owners themselves (hops 0) and all that depend on them."""
     own = owners.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct()

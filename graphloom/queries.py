@@ -558,6 +558,44 @@ def plan_id(spark, sf):
     return selection.plan_id(_page_paths(spark, sf))
 
 
+_PLAN_LINES = """lines AS (
+  SELECT DISTINCT 'changed' AS section, path AS key, '{"path":"' || path || '"}' AS line FROM pp UNION ALL
+  SELECT DISTINCT 'unmatched', path, '{"path":"' || path || '"}' FROM pp WHERE NOT contains(path, '/en/') UNION ALL
+  SELECT 'tests', id || chr(0) || kind, '{"id":"' || id || '","kind":"' || kind || '","reasons":[' || string_agg(DISTINCT '"' || reason || '"', ',' ORDER BY '"' || reason || '"') || ']}'
+  FROM st GROUP BY id, kind UNION ALL
+  SELECT 'batches', sha256('test-batch' || chr(0) || pair), '{"id":"' || sha256('test-batch' || chr(0) || pair) || '","target":"' || id || '","test_filters":' || filters || '}'
+  FROM (SELECT id, filters, '["' || id || '",' || filters || ']' AS pair FROM (SELECT id, '[' || string_agg(DISTINCT '"' || filter || '"', ',' ORDER BY '"' || filter || '"') || ']' AS filters FROM st GROUP BY id)))"""
+_PLAN_PARTS = """pp AS (SELECT regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages),
+st AS (SELECT 'supplier/' || l_suppkey AS id, 'test_' || l_linestatus AS kind, 'line ' || l_linenumber AS reason, l_returnflag AS filter FROM lineitem)"""
+
+
+def _plan_lines(spark, sf) -> DataFrame:
+    """A plan: paths of pages, tests of suppliers with the reasons of all their lines, a batch a supplier with its flags as filters."""
+    paths = _page_paths(spark, sf)
+    lines = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("supplier/"), F.col("l_suppkey").cast("string")).alias("id"), F.concat(F.lit("test_"), F.col("l_linestatus")).alias("kind"),
+        F.array_repeat(F.concat(F.lit("line "), F.col("l_linenumber").cast("string")), 2).alias("reasons"), "l_returnflag",
+    )
+    batches = lines.groupBy(F.col("id").alias("target")).agg(F.collect_set("l_returnflag").alias("filters"))
+    return selection.plan_lines(paths, paths.filter("NOT contains(path, '/en/')"), lines, batches)
+
+
+@query(f"WITH {_PLAN_PARTS}, {_PLAN_LINES} SELECT section, key, line FROM lines")
+def plan_lines(spark, sf):
+    """The plan document, entry by entry."""
+    return _plan_lines(spark, sf)
+
+
+@query(
+    f"WITH {_PLAN_PARTS}, {_PLAN_LINES}, "
+    + _set_digest_sql("lines", "1", "section || chr(0) || key", "line", "test-plan").removeprefix("WITH ")
+    + " SELECT digest AS plan_id, n AS entries FROM f"
+)
+def plan_document_id(spark, sf):
+    """The id of the plan document does not depend on the order or repetition of anything in it."""
+    return selection.document_id(_plan_lines(spark, sf))
+
+
 # Store
 
 
@@ -1299,9 +1337,9 @@ def kind_search_segment(spark, sf):
     return search.matching(_catalog(spark, sf), "a widget, a ring").select("p_partkey", "kind")
 
 
-@query(_CATALOG + " SELECT p_partkey, kind FROM c WHERE contains(lower(docs), '17') OR contains(kind, 'idge')")
+@query(_CATALOG + " SELECT p_partkey, kind FROM c WHERE contains(lower(docs), '17') OR contains(kind, 'idge') OR contains('e' || p_partkey, '17')")
 def kind_search_words(spark, sf):
-    """No family and no segment: kinds with a word that holds a term."""
+    """No family and no segment: kinds with a word that holds a term, in their docs or their examples, too."""
     return search.matching(_catalog(spark, sf), "idge 17").select("p_partkey", "kind")
 
 

@@ -54,6 +54,12 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def read_sessions(spark: SparkSession, root: str, name: str = "session.json") -> DataFrame:
+    """(session, document): the description of every session below a folder, by the folder's name, as its text."""
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
+    return texts.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("session"), F.col("value").alias("document"))
+
+
 def write_by_target(df: DataFrame, path: str, key: str = "target") -> None:
     """JSON documents in a folder for each target."""
     df.write.mode("overwrite").partitionBy(key).json(path)

@@ -447,3 +447,50 @@ def test_typed_literals_and_whole_nodes(spark):
     assert [tuple(r) for r in whole] == [('{"name":"build","output_groups":[],"requires_outputs":[],"target":"p/t"}', None, "p/t")]
     assert list(json.loads(pattern.node(nodes, "t", "Target", id="p/t").returns(t="t").first()["t"])) == ["attrs", "capabilities", "dependency_edges", "deps", "id", "kind", "name", "package", "providers", "srcs", "visibility"]
     assert values(edges.filter("type = 'DEPENDS_ON'"), "src", "dst") == [("p/t", "p/u"), ("p/t", "p/u")]
+
+
+def test_items_are_carried_once_each(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "a"), ("d", "c"), ("d", "c")], "src string, dst string")
+    items = spark.createDataFrame([("b", "x"), ("c", "x"), ("c", None), ("c", None), ("z", "y")], "node string, item string")
+    got = {(r["node"], r["item"]): r["hops"] for r in fixpoint.carried(items, edges).collect()}
+    assert got == {("b", "x"): 0, ("c", "x"): 0, ("a", "x"): 1, ("d", "x"): 1, ("c", None): 0, ("b", None): 1, ("a", None): 2, ("d", None): 1, ("z", "y"): 0}
+    assert fixpoint.carried(items.limit(0), edges).count() == 0 and fixpoint.carried(items, edges.limit(0)).count() == 4
+
+
+def test_items_over_a_long_chain(spark):
+    n = 300
+    edges = spark.range(n - 1).selectExpr("id + 1 AS src", "id AS dst")
+    got = fixpoint.carried(spark.createDataFrame([(0, "x"), (100, "x"), (100, "y")], "node long, item string"), edges)
+    assert {(r["item"], r["n"], r["far"]) for r in got.groupBy("item").agg(F.count("node").alias("n"), F.max("hops").alias("far")).collect()} == {("x", n, n - 101), ("y", n - 100, n - 101)}
+
+
+def test_plan_documents(spark):
+    def plan(paths, tests, batches=None):
+        paths = spark.createDataFrame([(p,) for p in paths], "path string")
+        batches = batches and spark.createDataFrame(batches, "target string, filters array<string>")
+        lines = selection.plan_lines(paths, paths.filter("path > 'b'"), spark.createDataFrame(tests, "id string, kind string, reasons array<string>"), batches)
+        return lines, selection.document_id(lines).first()["plan_id"]
+
+    one, first = plan(["b", "a", "c", "a"], [("t", "k", ["r2", "r1", "r2"]), ("s", "k", [])])
+    two, second = plan(["c", "b", "a"], [("s", "k", []), ("t", "k", ["r1"]), ("t", "k", ["r2"])])
+    assert first == second and values(one) == values(two)
+    lines = {(r["section"], r["line"]) for r in one.collect()}
+    assert {line for s, line in lines if s == "tests"} == {'{"id":"s","kind":"k","reasons":[]}', '{"id":"t","kind":"k","reasons":["r1","r2"]}'}
+    assert {line for s, line in lines if s == "unmatched"} == {'{"path":"c"}'}
+    import hashlib
+
+    ident = hashlib.sha256(b'test-batch\0["t",[]]').hexdigest()
+    assert ("batches", f'{{"id":"{ident}","target":"t","test_filters":[]}}') in lines
+    others = [plan(["a"], [("t", "k", ["r1"])], [("t", f)]) for f in (["y", "x", "y"], ["x", "y"], ["x"])]
+    assert others[0][1] == others[1][1] != others[2][1]
+    quoted = spark.range(1).select(selection.batch_id(F.lit('a"]b'), F.array(F.lit("x")))).first()[0]
+    assert quoted == hashlib.sha256(b'test-batch\0["a\\"]b",["x"]]').hexdigest()
+
+
+def test_kinds_are_found_by_examples_and_references(spark):
+    schema = "kind string, docs string, examples array<struct<slug:string,use_when:string>>, references array<struct<system:string,symbol:string>>"
+    rows = [("node_app", "d", [("s", "starting a server")], None), ("go_tool", "d", None, [("bazel", "rule_x")]), ("c_lib", None, [], [])]
+    catalog = spark.createDataFrame(rows, schema)
+    found = lambda text, *columns: {r[0] for r in search.matching(catalog, text, *columns).select("kind").collect()}
+    assert (found("serve"), found("bazel"), found("rule"), found("rust")) == ({"node_app"}, {"go_tool"}, {"go_tool"}, set())
+    assert found("serve", ("kind", "docs")) == set()

@@ -94,6 +94,18 @@ def test_documents_and_results_as_json(spark, tmp_path):
     assert values(spark.read.json(str(tmp_path / "out")), "target", "case_id") == [("t", "c1"), ("t", "c2"), ("u", "c3")]
 
 
+def test_sessions_are_described(spark, tmp_path):
+    for name, text in (("s1", '{"sessionId": "s1",\n "runtime": {"kind": "test"}}'), ("s2", "[1]"), ("s3", "")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "session.json").write_text(text)
+    sessions = files.read_sessions(spark, str(tmp_path))
+    row = logs.describe(sessions, "s1").first()
+    assert row["session"] == "s1" and json.loads(row["document"])["runtime"] == {"kind": "test"}
+    for wrong, error in (("s2", ValueError), ("s3", ValueError), ("s4", LookupError)):
+        with pytest.raises(error):
+            logs.describe(sessions, wrong)
+
+
 # Receipts
 
 
