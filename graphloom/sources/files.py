@@ -56,7 +56,7 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_sessions(spark: SparkSession, root: str, name: str = "session.json") -> DataFrame:
     """(session, document): the description of every session below a folder, by the folder's name, as its text."""
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
     return texts.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("session"), F.col("value").alias("document"))
 
 
