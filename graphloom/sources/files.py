@@ -55,9 +55,9 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_sessions(spark: SparkSession, root: str, name: str = "session.json") -> DataFrame:
-    """(session, document): the description of every session below a folder, by the folder's name, as its text."""
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
-    return texts.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("session"), F.col("value").alias("document"))
+    """(session, document): the description of every session below a folder, by the folder's name, as its text. Spark lists no empty files, so they are no session."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("session"), F.decode("content", "UTF-8").alias("document"))
 
 
 def write_by_target(df: DataFrame, path: str, key: str = "target") -> None:

@@ -101,7 +101,7 @@ def test_sessions_are_described(spark, tmp_path):
     sessions = files.read_sessions(spark, str(tmp_path))
     row = logs.describe(sessions, "s1").first()
     assert row["session"] == "s1" and json.loads(row["document"])["runtime"] == {"kind": "test"}
-    for wrong, error in (("s2", ValueError), ("s3", ValueError), ("s4", LookupError)):
+    for wrong, error in (("s2", ValueError), ("s3", LookupError), ("s4", LookupError)):
         with pytest.raises(error):
             logs.describe(sessions, wrong)
 
