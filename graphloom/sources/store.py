@@ -81,7 +81,10 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def walk_blobs(spark: SparkSession, root: str) -> DataFrame:
-    """(path, digest, size, modified) of the blobs of a store folder; a path that is no address ``aa/rest`` has no digest."""
+    """(path, digest, size, modified) of the blobs of a store folder; a path that is no address ``aa/rest`` has no digest.
+
+    Spark lists no files without bytes: the blob of the empty content, and an action file cut to nothing, are not seen.
+    """
     parts = F.split("path", "/")
     name, shard = F.element_at(parts, -1), F.element_at(parts, -2)
     whole = F.concat(shard, name)
