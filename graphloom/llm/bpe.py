@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import map_batches, read
+from graphloom.llm.common import map_batches, parts, read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK_CHARS = 32_768
@@ -72,7 +72,7 @@ def encode_column(df: DataFrame, keep: list[str], text_col: str, path: str) -> D
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("ids", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             ids = pa.array([_encode(path, t) for t in b.column(text_col).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], names=[*keep, "ids"])
 
@@ -136,7 +136,7 @@ def _pretokenise(pieces: DataFrame, chunk: int, overlap: int) -> DataFrame:
     schema = T.StructType([*pieces.schema, T.StructField("head", places), T.StructField("tail", places)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = zip(b.column("piece").to_pylist(), b.column("k").to_pylist(), b.column("last").to_pylist(), strict=True)
             found = [boundaries(piece, k * chunk, chunk, overlap, last) for piece, k, last in rows]
             kind = pa.list_(pa.int64())
@@ -215,7 +215,7 @@ def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str | None = None, t
 
     def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _byte_table(path).__getitem__
-        for b in batches:
+        for b in parts(batches):
             ids = b.column(ids_col).to_pylist()
             out = [None if x is None else b"".join(map(of, np.frombuffer(x, "<u4").tolist())) for x in ids]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, to])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,11 +12,21 @@ from graphloom.sources.tables import map_batches
 from graphloom.sources.tables import stored as materialise
 from graphloom.sources.tables import table as read
 
-__all__ = ["SPACES", "crc_remainder", "let", "map_batches", "materialise", "n_words", "read", "words"]
+__all__ = ["SPACES", "crc_remainder", "let", "map_batches", "materialise", "n_words", "parts", "read", "words"]
 
 #: A word is a longest run of characters outside ``SPACES``.
 SPACES = "\\x20\\x09-\\x0D"
 
+#: Rows of a batch that a worker holds as Python objects at once.
+ROWS = 500
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, in order."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
 
 def words(text: Column) -> Column:
     """Array of the words of ``text``; null text has none."""

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import tiles
-from graphloom.llm.common import map_batches, materialise, read
+from graphloom.llm.common import map_batches, materialise, parts, read
 from graphloom.llm.components import components, id_of, named
 
 NGRAM = 5
@@ -140,7 +140,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     schema = docs.select("doc_id").schema.add("text_md5", "string").add("digest", "string").add("n_grams", "long").add("bands", T.ArrayType(T.LongType()))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             node, size, band = [], [], []
             for text in b.column("text").to_pylist():
                 g = ngrams(text)
@@ -287,7 +287,7 @@ def _with_sets(rows: DataFrame) -> DataFrame:
     schema = rows.select(*keep).schema.add("grams", "binary")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             grams = pa.array([ngrams(t).astype("<u8").tobytes() for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), grams], names=[*keep, "grams"])
 

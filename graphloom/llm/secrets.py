@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import map_batches, read
+from graphloom.llm.common import map_batches, parts, read
 
 KINDS = ("assign", "access", "hex", "lexed")
 BASE = KINDS[:3]
@@ -450,7 +450,7 @@ def scan(docs: DataFrame, text_col: str = "text", to: str = "spans") -> DataFram
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ("kind", "start", "end", "score")
-        for b in batches:
+        for b in parts(batches):
             found = [[dict(zip(keys, s, strict=True)) for s in spans(t or "")] for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _ARROW_SPANS)], names=[*b.schema.names, to])
 
@@ -463,7 +463,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
 
     def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = schema.names.index(text_col)
-        for b in batches:
+        for b in parts(batches):
             texts = pa.array([t and redacted(t, mark) for t in b.column(at).to_pylist()], b.schema.types[at])
             yield pa.RecordBatch.from_arrays([*b.columns[:at], texts, *b.columns[at + 1 :]], names=b.schema.names)
 
