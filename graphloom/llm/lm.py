@@ -14,10 +14,11 @@ rows; the last class takes the rest). A text's probability sums over the classes
 of a class times the product over the text's words and one end. A text's own label is never
 used to score it. All of it is in double precision.
 
-Words are counted, scored and joined as a table of distinct words; the recursions run over
-batches of words of one length. Words that make up at least 1 / FREQUENT of the training
-words are looked up in place: there are at most FREQUENT of them, so what is broadcast is
-bounded (two doubles a class each), and no key of the join of the others is hot.
+Words are counted, scored and joined as a table of distinct words, of which only the counts
+are stored; the recursions run over batches of words of one length. Words that make up at
+least 1 / FREQUENT of the training words are looked up in place: there are at most FREQUENT
+of them, so what is broadcast is bounded (two doubles a class each), and no key of the join
+of the others is hot.
 
 Defined cases: null text is empty (one end); with no training rows the base score is 0 a
 token and spellings alone give the score; an empty table gives an empty result; texts and
@@ -294,7 +295,10 @@ def learn(counts: DataFrame, path: str, types: np.ndarray, rounds: int = ROUNDS)
 
 
 def score_words(counts: DataFrame, lattice: Lattice, n_words: list[int], types: list[int], once: list[int], twice: list[int], p_end: float) -> DataFrame:
-    """(word, c: count in all classes, lp: log10 of the probability of the word in each class, by the model and then by spelling alone)."""
+    """(word, c: count in all classes, lp: log10 of the probability of the word in each class, and then what is added to it for spelling alone).
+
+    What is added is one number a class for words without a count there, which are most: those bytes vanish when rows are shuffled.
+    """
     n = np.array(n_words, dtype=float)
     discount = (np.array(once) + 1.0) / (np.array(once) + 2.0 * np.array(twice) + 2.0)
     freed = discount * np.array(types)
@@ -310,7 +314,8 @@ def score_words(counts: DataFrame, lattice: Lattice, n_words: list[int], types:
             alone = shared.value.log_probabilities(b.column("word").to_pylist())
             with np.errstate(divide="ignore"):
                 whole = np.where(c > 0, np.log(np.maximum(c - discount, 0.0)) + log_whole, -np.inf)
-            lp = (np.concatenate([np.logaddexp(alone + log_spelled, whole), alone], axis=1) + rest) / ten
+            model = np.logaddexp(alone + log_spelled, whole)
+            lp = np.concatenate([model + rest, np.where(c > 0, alone - model, -log_spelled)], axis=1) / ten
             rows = pa.ListArray.from_arrays(np.arange(0, lp.size + 1, lp.shape[1], dtype=np.int32), pa.array(lp.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(c.sum(axis=1), pa.int64()), rows], names=["word", "c", "lp"])
 
@@ -346,15 +351,15 @@ def score(docs: DataFrame, held_out, label: str | None = None, vocabulary: str |
     below = n + 1 * (v + 1)
     p_end = (train_docs + 1) / (n + 2)
     lattice = learn(counts, path, np.array(types, dtype=float))
-    scored = materialise(score_words(counts, lattice, n_words, types, once, twice, p_end), "scored")
-
     least = max(1, -(-sum(n_words) // FREQUENT))
-    often = scored.filter(F.col("c") >= least).toArrow()  # at most FREQUENT rows
+    in_all = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
+    scored = lambda some: score_words(counts.filter(some), lattice, n_words, types, once, twice, p_end)
+    often = scored(in_all >= least).toArrow()  # at most FREQUENT rows
     base = lambda c: math.log10((c + 1) / below)
     place = {w: i for i, w in enumerate(often.column("word").to_pylist())}
     logs_of = np.array([(base(c), *lp) for c, lp in zip(often.column("c").to_pylist(), often.column("lp").to_pylist(), strict=True)]).reshape(len(place), 1 + 2 * k_all)
     shared = docs.sparkSession.sparkContext.broadcast((place, logs_of))
-    end = np.array([base(train_docs), *[math.log10(p_end)] * (2 * k_all)])
+    end = np.array([base(train_docs), *[math.log10(p_end)] * k_all, *[0.0] * k_all])
     end_known = int(train_docs > 0)
     id_type = docs.schema["doc_id"]
     fields = [("held_out", T.BooleanType()), ("_row", T.LongType()), ("word", T.BinaryType()), ("n", T.LongType()), ("known", T.LongType()), ("logs", T.ArrayType(T.DoubleType()))]
@@ -390,7 +395,9 @@ def score(docs: DataFrame, held_out, label: str | None = None, vocabulary: str |
                 yield pa.RecordBatch.from_arrays(rest, names=schema.names)
 
     parts = materialise(map_batches(docs.drop("class"), run, schema), "parts")
-    rare = parts.filter("word IS NOT NULL").select("_row", "word", "n").join(scored, "word")
+    # Scored on their way to the join, not stored: the scores of all words outweigh the input. The size of
+    # what Python returns is guessed from the stored words, so the join is told not to broadcast it.
+    rare = parts.filter("word IS NOT NULL").select("_row", "word", "n").join(scored(in_all < least).hint("merge"), "word")
     log_base = F.log10((F.col("c") + 1) / F.lit(float(below)))
     sums = [F.sum(F.col("n") * F.col("lp")[k]).alias(f"s{k}") for k in range(2 * k_all)]
     rare = rare.groupBy("_row").agg(F.sum(F.col("n") * log_base).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("more"), *sums)
@@ -398,15 +405,18 @@ def score(docs: DataFrame, held_out, label: str | None = None, vocabulary: str |
     total = lambda at, name: F.col("logs")[at] + F.coalesce(name, F.lit(0.0))
     share = [math.log10((c + 1) / (train_docs + k_all)) for c in class_docs]
 
-    def over_classes(first: int) -> Column:
-        each = F.array(*[total(first + k + 1, f"s{first + k}") + F.lit(share[k]) for k in range(k_all)])
+    by_model = [total(k + 1, f"s{k}") for k in range(k_all)]
+    by_spelling = [by_model[k] + total(k_all + k + 1, f"s{k_all + k}") for k in range(k_all)]
+
+    def over_classes(logs: list[Column]) -> Column:
+        each = F.array(*[x + F.lit(y) for x, y in zip(logs, share, strict=True)])
         best = lambda xs: F.array_max(xs)
         add = lambda xs: best(xs) + F.log10(F.aggregate(F.transform(xs, lambda x: F.pow(F.lit(10.0), x - best(xs))), F.lit(0.0), lambda a, x: a + x))
         return let(each, add)
 
     return out.select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), total(0, "s").alias("base_score"), over_classes(0).alias("score"), over_classes(k_all).alias("lattice_score"),
+        F.lit(n).cast("long").alias("train_tokens"), total(0, "s").alias("base_score"), over_classes(by_model).alias("score"), over_classes(by_spelling).alias("lattice_score"),
     )
 
 

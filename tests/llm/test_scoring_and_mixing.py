@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import lm, mixing
+from graphloom.sources.tables import shared_dir
 
 DIR = "/root/testdata/sf0.001"
 
@@ -111,6 +113,20 @@ def test_scores_of_held_out_rows(spark, sf, least):
     assert all(r["lattice_score"] < 0 and math.isfinite(r["lattice_score"]) for r in held)
 
 
+def test_tables_stored_on_the_way_are_smaller_than_the_input(spark, monkeypatch):
+    """Scores of all words would outweigh the texts. Looked up in place or joined, words have the same scores."""
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    stored = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = stored()
+    want = {r["doc_id"]: r for r in lm.op3_lattice_lm(spark, "/root/testdata/sf0.01").collect()}
+    assert 0 < stored() - before < Path("/root/testdata/sf0.01/documents.parquet").stat().st_size
+    monkeypatch.setattr(lm, "FREQUENT", 4)
+    got = lm.op3_lattice_lm(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert all(math.isclose(r[name], want[r["doc_id"]][name], rel_tol=1e-9) for name in ("base_score", "score", "lattice_score"))
+
+
 def water(sizes):
     """Targets by pouring out the excess again and again."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
